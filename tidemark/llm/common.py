@@ -41,14 +41,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def publish(store, path: str, data: bytes) -> None:
-    """Writes a whole file under another name, then renames it: a lost or repeated attempt leaves no half file behind."""
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offset of each row in them, without copies. A null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, pii
+from tidemark.llm import bpe, decontam, langid, media, pii, seekstore, sharding, warc
 
 #: Name of the public vocabulary file of the automaton; its folder is a parameter of the operator.
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+#: Name of the tokenizer whose ids are stored, and the id that ends a document.
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = seekstore.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    return seekstore.id_digest(seekstore.read_ids(spark, manifest))
+
+
+def op2_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(sharding.shard_by_bytes(_table(spark, sf_dir, "documents")))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -34,5 +51,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(warc.plan(_table(spark, sf_dir, "pages")))
+    return warc.archive_digest(warc.read(spark, files))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
