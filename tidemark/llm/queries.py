@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, media, pii, seekstore, sharding, warc
+from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pii, seekstore, sharding, warc
 
 #: Name of the public vocabulary file of the automaton; its folder is a parameter of the operator.
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,17 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = langid.held_out("doc_id", fold=1)
+    scored = lmscore.score(documents, documents.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.links(_table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -56,5 +67,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(warc.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
