@@ -23,8 +23,8 @@ from tidemark.llm.common import WordHasher, batches_of, keep, mix, text_buffers
 
 #: Counts are quantised to powers of BASE; each level sets PROBES bits; bits for each level and n-gram.
 BASE, PROBES, BITS = 1.6, 5, 7.2
-#: Weight of the word's own probability against the pair's: that many observations.
-PRIOR = 3.0
+#: Weight of the word's own probability against the pair's: PRIOR observations times this power of the first word's count.
+PRIOR, GROWTH = 2.0, 0.75
 #: N-grams that one block of the hash range should hold, at most and about, and words of the broadcast table at most.
 BLOCK_NGRAMS, TABLE_WORDS = 1_500_000, 1_000_000
 #: Bytes of the filter in one broadcast variable, about.
@@ -270,13 +270,15 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
                 base = np.add.reduceat(np.where(counts > 0, own, 0.0), rows) if len(rows) else np.zeros(0)
                 known = np.add.reduceat((counts > 0).astype(np.int64), rows) if len(rows) else np.zeros(0, np.int64)
                 # the pair's probability, from the filter alone: a pair, the word before it, and the word itself
-                single = count_of(lookup.levels(words))
+                distinct, each = np.unique(words, return_inverse=True)
+                single = count_of(lookup.levels(distinct))[each]
                 pair = count_of(lookup.levels(pairs(words, first)))
                 before = np.empty_like(single)
                 before[1:] = single[:-1]
                 before[rows] = single[first[1:] - 1]
                 pair = np.minimum(pair, np.minimum(single, before))
-                smooth = (pair + PRIOR * 10 ** (np.log10(single + 0.5) - rest)) / (before + PRIOR)
+                weight = PRIOR * (before + 1) ** GROWTH
+                smooth = (pair + weight * 10 ** (np.log10(single + 0.5) - rest)) / (before + weight)
                 total = np.add.reduceat(np.log10(smooth), rows) if len(rows) else np.zeros(0)
                 # words out of the table: for each row by block
                 rare = np.flatnonzero(counts == 0)
