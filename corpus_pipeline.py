@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, pii
+from tidemark.llm import bpe, decontam, langid, ngramjoin, pii
 from tidemark.llm.common import keep
 
 #: No SQL states the language and automaton stages; tests/llm compares the stages with brute force.
@@ -25,6 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return guessed.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in columns])
 
 
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest id, of each group linked by 5-word shingles at a similarity of 0.8."""
+    return ngramjoin.keep_one(docs, size=5, percent=80)
+
+
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that benchmark items do not contaminate."""
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -45,6 +50,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
+    ("n-gram Jaccard join", remove_near_duplicates),
     ("benchmark decontamination", remove_contaminated),
     ("PII", redact_personal_data),
     ("BPE", tokenize),
