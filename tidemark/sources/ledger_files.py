@@ -27,7 +27,7 @@ def _checked(rows: DataFrame) -> DataFrame:
     """Typed columns and error (NULL for good rows) of text rows with a row number row_no."""
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     action, ticker = F.lower(text("Action")), F.upper(text("Code"))
-    day = F.coalesce(F.try_to_date(text("Date"), F.lit("yyyy-MM-dd")), F.try_to_date(text("Date"), F.lit("yyyyMMdd")))
+    day = F.coalesce(F.try_to_date(text("Date"), "yyyy-MM-dd"), F.try_to_date(text("Date"), "yyyyMMdd"))
     q, p, f = _number("Quantity"), _number("Price"), _number("Fee")
     trade = action.isin("buy", "sell")
     positive = lambda x: _is_finite(x) & (x > 0)
