@@ -38,17 +38,28 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 _LOOKALIKE = "[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]"
+_OPEN, _CLOSE = r"[\[({<*_\"'-]", r"[\])}>*_\"'-]"
+_LETTER_DIGIT = {"o": "0", "O": "0", "l": "1", "I": "1"}
 #: What a disguise needs: otherwise a text is not rewritten.
-TRIGGER = rf"{_LOOKALIKE}|[\[({{<]\s*(?i:at|dot|@|\.)\s*[\])}}>]|(?i:\bat\b.{{1,80}}\bdot\b)|(?i:\b{_DIGIT_WORD}\b(?:[\s,.-]+(?:\b{_DIGIT_WORD}\b|[0-9]+)){{4}})"
+TRIGGER = (
+    rf"{_LOOKALIKE}|{_OPEN}\s*(?i:at|dot|@|\.)\s*{_CLOSE}|(?i:\bat\b.{{1,80}}\bdot\b)|(?i:[0-9]\s+dot\s+[0-9])|[0-9][oOlI]+[0-9]|\s@\s|@\s+[A-Za-z0-9]"
+    r"|(?i:[._0-9][a-z0-9]*\s+at\s+[a-z0-9-]+\.[a-z]{2,6}\b)"
+    rf"|(?i:\b{_DIGIT_WORD}\b(?:[\s,.-]+(?:\b{_DIGIT_WORD}\b|[0-9]+)){{4}})"
+)
 _RULES = re.compile(
     rf"(?P<look>{_LOOKALIKE})"
-    r"|(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
-    r"|(?P<atword>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot|\.)))"
+    rf"|(?P<at>\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|(?<=[a-z0-9_])\s*@\s+(?=[a-z0-9-]+\s*(?:\.|dot\b))|(?<=[a-z0-9_])\s+@\s*(?=[a-z0-9-]+\s*(?:\.|dot\b)))"
+    rf"|(?P<dot>\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*)"
+    rf"|(?P<atword>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{_OPEN}\s*(?:dot|\.))))"
+    r"|(?P<atplain>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+\.[a-z]{2,6}\b))"
     r"|(?P<dotword>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
+    r"|(?P<letter>(?<=[0-9])(?-i:[oOlI])+(?=[0-9]))"
     rf"|(?P<plus>\bplus\s+(?=(?:{_DIGIT_WORD}\b|[0-9])))"
     rf"|(?P<digits>\b{_DIGIT_WORD}\b(?:[\s,-]+\b{_DIGIT_WORD}\b)*)",
     re.IGNORECASE,
 )
+#: A name that " at " before a plain domain may stand for an address with: prose has none like it.
+_NAME_LIKE = re.compile(r"[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*$")
 _WORDS = re.compile("[a-z]+", re.IGNORECASE)
 
 
@@ -123,6 +134,14 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
             emit(HOMOGLYPHS.get(m[0], ""), *m.span())
         elif m.lastgroup in ("at", "atword"):
             emit("@", *m.span())
+        elif m.lastgroup == "atplain":
+            if _NAME_LIKE.search(text, max(0, m.start() - 64), m.start()):
+                emit("@", *m.span())
+            else:
+                copy(*m.span())
+        elif m.lastgroup == "letter":
+            for k in range(*m.span()):
+                emit(_LETTER_DIGIT[text[k]], k, k + 1)
         elif m.lastgroup in ("dot", "dotword"):
             emit(".", *m.span())
         elif m.lastgroup == "plus":
