@@ -26,5 +26,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("ledger_plans", "return_plans", "risk_plans", "simulation_plans", "allocation_plans", "screen_plans", "text_plans"):
+for _module in ("ledger_plans", "return_plans", "risk_plans", "simulation_plans", "allocation_plans", "screen_plans", "text_plans", "report_plans"):
     import_module(f"tidemark.plans.{_module}")
