@@ -95,31 +95,33 @@ def build_block(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """All blocks of the filter, one after another."""
-
-    def __init__(self, parts: dict[int, bytes], blocks: int):
-        """parts: the bytes of each block that has any."""
-        sizes = np.array([len(parts.get(b, b"")) for b in range(blocks)], np.int64)
-        self.start = np.cumsum(sizes) - sizes
-        self.bits = (sizes * 8).astype(np.uint64)
-        self.data = np.frombuffer(b"".join(parts.get(b, b"") for b in range(blocks)), np.uint8)
+    """All blocks of the filter, in slices that are used as they are: (blocks, their sizes in bytes, their bytes)."""
+
+    def __init__(self, slices: list[tuple[list[int], list[int], bytes]], blocks: int):
         self.blocks = blocks
+        self.slice = np.full(blocks, -1, np.int64)
+        self.start, self.bits = np.zeros(blocks, np.int64), np.zeros(blocks, np.uint64)
+        self.data = []
+        for k, (own, sizes, data) in enumerate(slices):
+            self.slice[own] = k
+            self.start[own] = np.cumsum(sizes) - sizes
+            self.bits[own] = np.array(sizes, np.uint64) * np.uint64(8)
+            self.data.append(np.frombuffer(data, np.uint8))
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probes go on, level by level, for those that had all bits so far."""
         out = np.zeros(len(grams), np.int64)
-        if not len(self.data):
-            return out
         block = block_of(grams, self.blocks)
-        live = np.flatnonzero(self.bits[block] > 0)
-        start, size = self.start[block], self.bits[block]
-        for q in range(1, _LEVELS):
-            for p in range(PROBES):
-                at = _bit(grams[live], q, p, size[live])
-                live = live[(self.data[start[live] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(live):
-                break
-            out[live] = q
+        which = self.slice[block]
+        for k, data in enumerate(self.data):
+            live = np.flatnonzero(which == k)
+            for q in range(1, _LEVELS):
+                for p in range(PROBES):
+                    at = _bit(grams[live], q, p, self.bits[block[live]])
+                    live = live[(data[self.start[block[live]] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                if not len(live):
+                    break
+                out[live] = q
         return out
 
 
@@ -167,7 +169,7 @@ def count_ngrams(training: DataFrame, text_col: str = "text") -> tuple[DataFrame
                 for order, grams in ((1, words), (2, pairs(words, first))):
                     held[order].append(_sum_up(grams))
                     size += len(held[order][-1][0])
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield from out()
                     size = 0
         yield from out()
@@ -225,19 +227,11 @@ def broadcast_filter(table: DataFrame) -> list[Broadcast]:
         size += r["size"]
         if size >= SLICE or k == len(sizes) - 1:
             rows = table.where(F.col("block").between(own[0], own[-1])).select("block", "filter").collect()
-            out.append(sc.broadcast({x["block"]: bytes(x["filter"]) for x in rows}))
+            out.append(sc.broadcast(([x["block"] for x in rows], [len(x["filter"]) for x in rows], b"".join(x["filter"] for x in rows))))
             own, size = [], 0
     return out
 
 
-def load_filter(held: list[Broadcast], blocks: int) -> Filter:
-    """The filter in a worker."""
-    parts: dict[int, bytes] = {}
-    for b in held:
-        parts |= b.value
-    return Filter(parts, blocks)
-
-
 def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every document row; log10 of probabilities.
 
@@ -255,7 +249,7 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
 
     def scan(batches):
         hasher = WordHasher()
-        lookup = load_filter(held, blocks)
+        lookup = Filter([b.value for b in held], blocks)
         known_words, known_counts = frequent.value
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
@@ -301,6 +295,8 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
     asked_type = ArrayType(StructType([StructField("block", IntegerType()), StructField("words", BinaryType())]))
     schema = StructType([fields.schema["id"], StructField("rid", LongType()), StructField("tie", LongType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()), StructField("asked", asked_type)])
     scored = keep(fields.mapInArrow(scan, schema), "scored")
+    for b in (*held, frequent):  # the scores are written; the filter is not needed any more
+        b.destroy()
 
     # rare words, at their block's exact counts: sums for each document
     asked = scored.select("rid", "tie", F.explode("asked").alias("a")).select("rid", "tie", F.col("a.block").alias("block"), F.col("a.words").alias("words"))
