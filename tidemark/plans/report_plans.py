@@ -15,16 +15,16 @@ from tidemark.sources import adapters, price_tables
 
 
 @query(
-    "WITH r AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, o_totalprice AS raw, CASE WHEN o_orderkey % 40 = 0 THEN 2.0::DOUBLE ELSE 1.0 END AS f, o_orderkey FROM orders WHERE o_custkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_orderkey) = 1),"
-    " c AS (SELECT ticker, d, raw / coalesce(product(f) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS close, o_orderkey FROM r WHERE o_orderkey % 13 <> 0) SELECT ticker, d, round(close, 10) AS close FROM c"
+    "WITH r AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, o_totalprice AS raw, CASE WHEN o_orderkey % 40 = 0 THEN 1.07::DOUBLE ELSE 1.0 END AS f, o_orderkey FROM orders WHERE o_custkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_orderkey) = 1),"
+    " c AS (SELECT ticker, d, raw / coalesce(product(f) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS close, o_orderkey FROM r WHERE o_orderkey % 13 <> 0) SELECT ticker, d, round(close, 6) AS close FROM c"
 )
 def provider_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     o = adapters.table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").withColumn("d", F.to_date("o_orderdate"))
     o = o.withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority", "d").orderBy("o_orderkey"))).where("k = 1 and o_orderkey % 13 <> 0")
-    raw = o.select(F.col("o_orderpriority").alias("ticker"), F.concat(F.col("d").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), F.col("o_totalprice").cast("string").alias("close"), F.lit(None).cast("string").alias("adjClose"), F.when(F.col("o_orderkey") % 40 == 0, "2.0").otherwise("none").alias("splitFactor"))
-    return rounded(price_tables.provider_closes(raw, total_return=False), "close", digits=10)
+    raw = o.select(F.col("o_orderpriority").alias("ticker"), F.concat(F.col("d").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), F.col("o_totalprice").cast("string").alias("close"), F.lit(None).cast("string").alias("adjClose"), F.when(F.col("o_orderkey") % 40 == 0, "1.07").otherwise("none").alias("splitFactor"))
+    return rounded(price_tables.provider_closes(raw, total_return=False), "close")
 
 
 @query(
