@@ -23,7 +23,7 @@ def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return ""
     if isinstance(v, float):
-        return repr(v + 0.0)
+        return f"{v + 0.0:.8g}"  # other orders of summation, and ties of rounding
     return str(v)[:10] if hasattr(v, "isoformat") else str(v)
 
 

@@ -24,13 +24,13 @@ u AS (SELECT b.book, l.ticker, coalesce(h.value, 0) AS held, coalesce(t.w, 0) AS
 
 
 def _out(trade: str) -> str:
-    return f"SELECT book, ticker, CASE WHEN abs({trade}) < 1 THEN 'hold' WHEN {trade} > 0 THEN 'buy' ELSE 'sell' END AS action, round(CASE WHEN abs({trade}) < 1 THEN 0 ELSE abs({trade}) END, 3) AS dollars, round(CASE WHEN abs({trade}) < 1 THEN 0 ELSE abs({trade}) / price END, 6) AS shares, round(cur_w, 8) AS cur_w, w AS target_w"
+    return f"SELECT book, ticker, CASE WHEN abs({trade}) < 1 THEN 'hold' WHEN {trade} > 0 THEN 'buy' ELSE 'sell' END AS action, round(CASE WHEN abs({trade}) < 1 THEN 0 ELSE abs({trade}) END, 0) AS dollars, round(CASE WHEN abs({trade}) < 1 THEN 0 ELSE abs({trade}) / price END, 6) AS shares, round(cur_w, 8) AS cur_w, w AS target_w"
 
 
 def _suggest(spark: SparkSession, sf_dir: str, mode: str, **more) -> DataFrame:
     held = adapters.held_values(spark, sf_dir)
     out = allocate.suggest(mode, held, held.select("ticker", "price").distinct(), adapters.target(spark), **more)
-    return rounded(rounded(rounded(out, "dollars", digits=3), "shares"), "cur_w", digits=8)
+    return rounded(rounded(rounded(out, "dollars", digits=0), "shares"), "cur_w", digits=8)
 
 
 @query(f"WITH {UNI} {_out('(w * total - held)')} FROM u")
@@ -56,11 +56,11 @@ def rebalance_dca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suggest(spark, sf_dir, "fixed_dca", new_cash=NEW_CASH)
 
 
-@query(f"WITH {UNI}, t AS (SELECT book, w * total - held AS x FROM u) SELECT book, round(sum(CASE WHEN x >= 1 THEN x ELSE 0 END), 3) AS buy, round(sum(CASE WHEN x <= -1 THEN -x ELSE 0 END), 3) AS sell, round(sum(CASE WHEN abs(x) >= 1 THEN x ELSE 0 END), 2) + 0.0::DOUBLE AS net FROM t GROUP BY 1")
+@query(f"WITH {UNI}, t AS (SELECT book, w * total - held AS x FROM u) SELECT book, round(sum(CASE WHEN x >= 1 THEN x ELSE 0 END), 0) AS buy, round(sum(CASE WHEN x <= -1 THEN -x ELSE 0 END), 0) AS sell, round(sum(CASE WHEN abs(x) >= 1 THEN x ELSE 0 END), 2) + 0.0::DOUBLE AS net FROM t GROUP BY 1")
 def suggestion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = adapters.held_values(spark, sf_dir)
     out = allocate.totals(allocate.suggest("to_total", held, held.select("ticker", "price").distinct(), adapters.target(spark)))
-    return rounded(out, "buy", "sell", digits=3).withColumn("net", F.col("net") + 0.0)
+    return rounded(out, "buy", "sell", digits=0).withColumn("net", F.col("net") + 0.0)
 
 
 @query(f"WITH {sql.HELD} SELECT book, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY book) AS w FROM (SELECT DISTINCT book, ticker FROM hv)")
