@@ -190,6 +190,26 @@ def test_ngram_join_of_near_copies(spark):
         assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == brute_links(rows, size, percent)
 
 
+def test_ngram_join_inside_groups_of_equal_prefixes(spark, monkeypatch):
+    import pyarrow as pa
+
+    levels = np.zeros(1 << ngramjoin.CELLS_LOG, np.uint8)  # the order of shingles is that of their hashes alone
+    monkeypatch.setattr(ngramjoin, "frequency_levels", lambda body, size: levels)
+    rows = []
+    for g in range(12):
+        vocabulary = [f"g{g}w{k}" for k in range(60)]
+        key = {w: int(next(ngramjoin._ordered_sets(pa.RecordBatch.from_pydict({"body": [w]}), WordHasher(), 1, levels))[0]) for w in vocabulary}
+        low, rest = sorted(vocabulary, key=key.get)[:5], sorted(vocabulary, key=key.get)[5:]
+        # 20 words each, of which 5 are the prefix: y and z link, x with neither
+        texts = [low + rest[:15], low + rest[15:30], low + rest[15:29] + rest[30:31]]
+        rows += [(10 * g + k, " ".join(t)) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_links(rows, 1, 80)
+    assert sum(i % 10 == 2 and c == i - 1 for i, _, c in expected) == 12
+    found = ngramjoin.links(table, 1, 80).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == expected
+
+
 def test_one_of_each_group_stays(spark, docs):
     stay = ngramjoin.keep_one(docs)
     assert stay.columns == docs.columns

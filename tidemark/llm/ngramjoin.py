@@ -148,13 +148,14 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # nodes (equal sets) and groups (equal prefixes and sizes)
     full = signed.where("node is not null")
     nodes = keep(full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    groups = full.select("grp", "n", "prefix").dropDuplicates(["grp"])
-    postings = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several"))
+    postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
     same = Window.partitionBy("token").orderBy("n", "grp")
     led = postings.withColumn("lead", F.first(F.struct("n", "grp")).over(same)).withColumn("prev", F.lag(F.struct("n", "grp")).over(same))
     near = lambda s: F.col(s)["n"] * 100 >= F.col("n") * percent
     partner = F.when(F.col("prev").isNotNull(), F.when(near("lead"), F.col("lead")["grp"]).when(near("prev"), F.col("prev")["grp"]))
-    shared = led.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("shared > 1")
+    # a group of several nodes keeps its first shingle also where no other group has it: there its members meet each other
+    shared = led.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("shared > 1 or several and pos = 0")
     shared = keep(shared.select("token", "grp", "n", "pos", partner.alias("partner")), "shared")
 
     # first round: a partner for each shingle, and the first member for each other member of a group
