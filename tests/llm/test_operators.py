@@ -434,3 +434,24 @@ def test_components_of_random_graphs(spark):
             assert (got[v] == got[want[v]]) and len({got[u] for u in want if want[u] == want[v]}) == 1
         assert len(set(got.values())) == len(set(want.values()))
     assert ngramjoin.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_disguises_of_any_length_pass_the_gate():
+    import pyarrow as pa
+
+    for text, kind, span in [
+        ("joe.bloggs at mail.example.com", "email", "joe.bloggs at mail.example.com"),
+        ("joe.bloggs at example.technology", "email", "joe.bloggs at example.technology"),
+        ("write to john at example\ndot com", "email", "john at example\ndot com"),
+        ("john at " + "long-" * 30 + "name dot com", "email", "john at " + "long-" * 30 + "name dot com"),
+        ("joe @example.com", "email", "joe @example.com"),
+        ("joe@example dot\u2003com.", "email", "joe@example dot\u2003com"),
+        ("host one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 192.168.one.one is up", "ip", "192.168.one.one"),
+        ("call plus four four 20 7946 0958", "phone", "plus four four 20 7946 0958"),
+    ]:
+        assert pii._triggered(pa.array([text]), pii.TRIGGER)[0], text
+        found = [(k, text[a:b]) for k, x in zip(pii.KINDS, pii.disguised_spans(text, pii.plain_spans(text)), strict=True) for a, b in x]
+        assert (kind, span) in found, (text, found)
+    for text in ("one of two ways", "we met at noon", "chapter one, 5 pages", "look at example.com"):
+        assert pii.disguised_spans(text, pii.plain_spans(text)) == [[], [], [], []], text

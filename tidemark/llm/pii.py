@@ -40,18 +40,26 @@ _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 _LOOKALIKE = "[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]"
 _OPEN, _CLOSE = r"[\[({<*_\"'-]", r"[\])}>*_\"'-]"
 _LETTER_DIGIT = {"o": "0", "O": "0", "l": "1", "I": "1"}
-#: What a disguise needs: otherwise a text is not rewritten.
+#: What Python takes for white space; the gate's engine knows only the ASCII part.
+_SPACE = "[\\t-\\r\\x1c-\\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BESIDE = _SPACE[:-1] + ",.-]"
+_AFTER_AT = rf"{_SPACE}*[a-z0-9-]+{_SPACE}*(?:\.|dot\b)"
+#: What a disguise needs: otherwise a text is not rewritten. Each rule has its part here, with its surroundings and without limits of length.
 TRIGGER = (
-    rf"{_LOOKALIKE}|{_OPEN}\s*(?i:at|dot|@|\.)\s*{_CLOSE}|(?i:\bat\b.{{1,80}}\bdot\b)|(?i:[0-9]\s+dot\s+[0-9])|[0-9][oOlI]+[0-9]|\s@\s|@\s+[A-Za-z0-9]"
-    r"|(?i:[._0-9][a-z0-9]*\s+at\s+[a-z0-9-]+\.[a-z]{2,6}\b)"
-    rf"|(?i:\b{_DIGIT_WORD}\b(?:[\s,.-]+(?:\b{_DIGIT_WORD}\b|[0-9]+)){{4}})"
+    rf"(?s){_LOOKALIKE}|(?i:{_OPEN}{_SPACE}*(?:at|dot|@|\.){_SPACE}*{_CLOSE})|[0-9][oOlI]+[0-9]"
+    rf"|(?i:[a-z0-9_](?:{_SPACE}*@{_SPACE}|{_SPACE}+@){_AFTER_AT})"
+    rf"|(?i:[a-z0-9_]{_SPACE}+at{_SPACE}+[a-z0-9-]+(?:{_SPACE}+dot{_SPACE}|{_SPACE}*{_OPEN}{_SPACE}*(?:dot|\.)))"
+    rf"|(?i:[._0-9][a-z0-9._%+-]*{_SPACE}+at{_SPACE}+(?:[a-z0-9-]+\.)+[a-z]{{2}})"
+    rf"|(?i:[a-z0-9]{_SPACE}+dot{_SPACE}+[a-z0-9])|(?i:\bplus{_SPACE}+(?:{_DIGIT_WORD}\b|[0-9]))"
+    rf"|(?i:\b{_DIGIT_WORD}\b(?:{_BESIDE}+\b{_DIGIT_WORD}\b){{2}})"
+    rf"|(?i:\b{_DIGIT_WORD}\b{_BESIDE}*[0-9]|[0-9]{_BESIDE}*\b{_DIGIT_WORD}\b|\+{_SPACE}*{_DIGIT_WORD}\b|\bdot{_SPACE}+{_DIGIT_WORD}\b|\b{_DIGIT_WORD}{_SPACE}+dot\b)"
 )
 _RULES = re.compile(
     rf"(?P<look>{_LOOKALIKE})"
     rf"|(?P<at>\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|(?<=[a-z0-9_])\s*@\s+(?=[a-z0-9-]+\s*(?:\.|dot\b))|(?<=[a-z0-9_])\s+@\s*(?=[a-z0-9-]+\s*(?:\.|dot\b)))"
     rf"|(?P<dot>\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*)"
     rf"|(?P<atword>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{_OPEN}\s*(?:dot|\.))))"
-    r"|(?P<atplain>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+\.[a-z]{2,6}\b))"
+    r"|(?P<atplain>(?<=[a-z0-9_])\s+at\s+(?=(?:[a-z0-9-]+\.)+[a-z]{2,63}\b))"
     r"|(?P<dotword>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
     r"|(?P<letter>(?<=[0-9])(?-i:[oOlI])+(?=[0-9]))"
     rf"|(?P<plus>\bplus\s+(?=(?:{_DIGIT_WORD}\b|[0-9])))"
@@ -61,6 +69,10 @@ _RULES = re.compile(
 #: A name that " at " before a plain domain may stand for an address with: prose has none like it.
 _NAME_LIKE = re.compile(r"[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*$")
 _WORDS = re.compile("[a-z]+", re.IGNORECASE)
+#: What makes digits of one or two number words: in the source before and after them, and in the rewritten text before them.
+_DOT_BEFORE = re.compile(rf"\bdot\s*{_CLOSE}?\s*\Z", re.IGNORECASE)
+_DIGITS_AFTER = re.compile(rf"\s*{_OPEN}?\s*dot\b|[\s,.-]*[0-9]", re.IGNORECASE)
+_DIGITS_BEFORE = re.compile(r"(?:[0-9][\s,.-]*|\+\s*)\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -148,7 +160,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
             emit("+", *m.span())
         else:
             words = list(_WORDS.finditer(m[0]))
-            if len(words) < 3:  # a number word in prose
+            if len(words) < 3 and not (_DIGITS_AFTER.match(text, at) or _DOT_BEFORE.search(text[max(0, m.start() - 16) : m.start()]) or _DIGITS_BEFORE.search("".join(out[-4:])[-16:])):  # a number word in prose
                 copy(*m.span())
             else:
                 for w in words:
