@@ -280,3 +280,38 @@ def test_positions_stream(spark, tmp_path):
     book(spark, [("A", 2, "sell", 1, 11, 0, 0)]).withColumn("ord", F.lit(5).cast("long")).write.parquet(str(source / "2"))
     ledger_stream.refold_positions(rows, str(tmp_path / "ledger"), str(tmp_path / "ck"), sink).awaitTermination()
     assert seen == [{"A": 2.0, "B": 1.0}, {"A": 1.0}]
+
+
+def test_positions_fold_as_a_stream(spark):
+    rows = [(t, 1 + k % 28, "buy" if k % 3 else "sell", 1 + k % 5, 300 + 7 * (k % 11), 0.25 * (k % 4), 0) for t in ("A", "B") for k in range(1, 60)]
+    expected = {}
+    for t, _, action, q, price, fee, _ in rows:
+        s, c, r, f = expected.get(t, (0.0, 0.0, 0.0, 0.0))
+        if action == "buy":
+            s, c, f = s + q, c + q * price + fee, f + fee
+        elif 0 < s >= q:
+            avg = c / s
+            s, c, r, f = s - q, (c - q * avg) * (s > q), r + q * price - q * avg - fee, f + fee
+        expected[t] = s, c, r, f
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = book(spark, rows)
+        out = ledger.positions(frame)
+        got = {x["ticker"]: (x["shares"], x["cost_basis"], x["realized"], x["fees"]) for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == expected.keys() and all(got[t] == pytest.approx(expected[t]) for t in got)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()  # no holding in one array
+
+
+def test_money_weighted_takes_one_entry_a_day(spark):
+    days = ["2022-01-01", "2022-07-01", "2023-01-01"]
+    rows = [("x", d, a) for d in days for a in (-50.0, -60.0, 10.0)] + [("up", d, a) for d in days for a in (-1.0, 3.0)]
+    flows = spark.createDataFrame(rows, "book string, d string, flow double").withColumn("d", F.to_date("d"))
+    values = spark.createDataFrame([("x", 350.0), ("up", -7.0), ("none", 1.0)], "book string, value double")
+    out = returns.money_weighted(flows, values, F.lit("2024-01-01").cast("date"))
+    got = {r["book"]: r["irr"] for r in out.collect()}
+    assert got["none"] == 0 and got["up"] is not None  # each day gains, but its flows have both signs
+    worth = sum(-100 * (1 + got["x"]) ** -t for t in (0, 181 / 365.25, 365 / 365.25)) + 350 * (1 + got["x"]) ** (-730 / 365.25)
+    assert abs(worth) < 1e-6
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [book") == 2  # by day, then the list

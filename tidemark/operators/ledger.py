@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DUST = 1e-9
 CASH = "CASH"
@@ -12,31 +15,63 @@ CASH = "CASH"
 def positions(ledger: DataFrame, keys: tuple[str, ...] = ("book", "ticker")) -> DataFrame:
     """keys, shares, cost_basis, realized, fees, error of every holding after its rows in order (column ord).
 
-    Buys add to the cost, sells take shares at the average cost, income and costs are realised. One aggregation folds a
-    holding's rows; error names the first row that breaks the contract (a sale of what is not held), and the fold goes
-    on without that row. Cash rows and transfers are no holdings: see cash_totals.
+    Buys add to the cost, sells take shares at the average cost, income and costs are realised. Sorted rows are folded
+    as a stream, so a holding may have any number of them; error names the first row that breaks the contract (a sale of
+    what is not held), and the fold goes on without that row. Cash rows and transfers are no holdings: see cash_totals.
     """
     rows = ledger.where((F.col("ticker") != CASH) & ~F.col("action").isin("deposit", "withdraw"))
-    row = F.struct("ord", "d", "action", "quantity", "price", "fee", "cash")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"), F.lit(0.0).alias("r"), F.lit(0.0).alias("f"), F.lit(None).cast("string").alias("e"))
-
-    def step(acc, x):
-        q, avg = x["quantity"], F.try_divide(acc["c"], acc["s"])
-        buy, sell, fee = x["action"] == "buy", x["action"] == "sell", x["action"] == "fee"
-        none, over = sell & (acc["s"] <= 0), sell & (acc["s"] > 0) & (q > acc["s"] + DUST)
-        bad = none | over
-        left = acc["s"] - q
-        closed = sell & ~bad & (left < DUST)
-        return F.struct(
-            F.when(buy, acc["s"] + q).when(closed, 0.0).when(sell & ~bad, left).otherwise(acc["s"]).alias("s"),
-            F.when(buy, acc["c"] + (q * x["price"] + x["fee"])).when(closed, 0.0).when(sell & ~bad, acc["c"] - q * avg).otherwise(acc["c"]).alias("c"),
-            F.when(sell & ~bad, acc["r"] + (q * x["price"] - q * avg - x["fee"])).when(x["action"].isin("dividend", "interest"), acc["r"] + (x["cash"] - x["fee"])).when(fee, acc["r"] - x["fee"]).otherwise(acc["r"]).alias("r"),
-            F.when(bad, acc["f"]).otherwise(acc["f"] + x["fee"]).alias("f"),
-            F.coalesce(acc["e"], F.when(bad, F.concat(F.when(none, "sell with no shares held on ").otherwise("oversell on "), x["d"].cast("string")))).alias("e"),
-        )
-
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step).alias("x"))
-    return folded.select(*keys, F.col("x.s").alias("shares"), F.col("x.c").alias("cost_basis"), F.col("x.r").alias("realized"), F.col("x.f").alias("fees"), F.col("x.e").alias("error"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("quantity", "price", "fee", "cash")]
+    held = [f"k_{i}" for i in range(len(keys))]
+    sent = rows.select(*[F.col(k).alias(h) for k, h in zip(keys, held, strict=True)], "ord", F.col("d").cast("string").alias("d"), "action", *numbers)
+    # in a holding by ord, ties by the other columns
+    dealt = sent.repartition(*held).sortWithinPartitions(*held, "ord", "d", "action", "quantity", "price", "fee", "cash")
+    figures = ["shares", "cost_basis", "realized", "fees"]
+    schema = StructType([*(sent.schema[h] for h in held), *(StructField(c, DoubleType()) for c in figures), StructField("error", StringType())])
+    kinds = [(f.name, f.dataType) for f in schema.fields]
+
+    def fold(batches):
+        names = [*held, *figures, "error"]
+        types = to_arrow_schema(StructType([StructField(n, t) for n, t in kinds]))
+        key, state = None, None
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in (*held, "d", "action", "quantity", "price", "fee", "cash")]
+            for *own, d, action, q, price, fee, cash in zip(*columns, strict=True):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    key, state = own, (0.0, 0.0, 0.0, 0.0, None)
+                state = _fold_row(state, d, action, q, price, fee, cash)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip((*key, *state), types, strict=True)], names=names)
+
+    out = dealt.mapInArrow(fold, schema)
+    return out.select(*[F.col(h).alias(k) for k, h in zip(keys, held, strict=True)], *figures, "error")
+
+
+def _fold_row(state: tuple, d: str | None, action: str, q: float | None, price: float | None, fee: float | None, cash: float | None) -> tuple:
+    """shares, cost, realised profit, fees and error after one more row; a missing figure makes those that need it missing."""
+    s, c, r, f, e = state
+    known = lambda *x: None not in x
+    if action == "sell" and (s is None or s > 0 and q is None):
+        pass  # nothing can be said of it but its fee
+    elif action == "sell":
+        none = s <= 0
+        if none or q > s + DUST or q != q and s == s:
+            return s, c, r, f, e if e is not None or d is None else ("sell with no shares held on " if none else "oversell on ") + d
+        cost = q * (c / s) if known(c) else None
+        r = r + (q * price - cost - fee) if known(r, price, cost, fee) else None
+        s, c = (0.0, 0.0) if s - q < DUST else (s - q, c - cost if known(cost) else None)
+    elif action == "buy":
+        c = c + (q * price + fee) if known(c, q, price, fee) else None
+        s = s + q if known(s, q) else None
+    elif action in ("dividend", "interest"):
+        r = r + (cash - fee) if known(r, cash, fee) else None
+    elif action == "fee":
+        r = r - fee if known(r, fee) else None
+    return s, c, r, f + fee if known(f, fee) else None, e
 
 
 def cash_totals(ledger: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:

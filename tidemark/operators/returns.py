@@ -88,13 +88,16 @@ def time_weighted(returns: DataFrame, key: str = "book") -> DataFrame:
 def money_weighted(flows: DataFrame, values: DataFrame, asof: Column, key: str = "book") -> DataFrame:
     """key, irr: the rate at which all flows (key, d, flow) and the final value (key, value) are worth nothing.
 
-    Newton's method from 0.1 in one expression over each key's flows, at most 100 steps. 0 without flows; NULL under
-    LEAST_DAYS days, if all flows have one sign, or without convergence.
+    Newton's method from 0.1 in one expression over each key's flows by day, at most 100 steps. 0 without flows; NULL
+    under LEAST_DAYS days, if all flows have one sign, or without convergence.
     """
     one = F.struct((F.datediff("d", "first_d") / YEAR_DAYS).alias("t"), F.col("flow").alias("a"))
     first = Window.partitionBy(key)
-    dated = flows.withColumn("first_d", F.min("d").over(first))
-    lists = dated.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("x"), F.min("d").alias("first_d"))
+    # a day's flows share their exponent, so their sum does; signs are those of the flows themselves
+    sums = F.when(F.count("flow") == F.count(F.lit(1)), F.sum("flow")).alias("flow")
+    days = flows.groupBy(key, "d").agg(sums, F.max(F.col("flow") > 0).alias("gain"), F.max(F.col("flow") < 0).alias("loss"))
+    dated = days.withColumn("first_d", F.min("d").over(first))
+    lists = dated.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("x"), F.min("d").alias("first_d"), F.max("gain").alias("gain"), F.max("loss").alias("loss"))
     full = values.join(lists, key, "left").withColumn("days", F.datediff(asof, "first_d"))
     full = full.withColumn("x", F.concat("x", F.array(F.struct((F.col("days") / YEAR_DAYS).alias("t"), F.col("value").alias("a")))))
     state = F.struct(F.lit(0.1).alias("r"), F.lit(0).alias("done"))
@@ -107,7 +110,7 @@ def money_weighted(flows: DataFrame, values: DataFrame, asof: Column, key: str =
         return F.when(s["done"] != 0, s).when(F.abs(g) < 1e-14, F.struct(rate.alias("r"), F.lit(2).alias("done"))).otherwise(F.struct(new.alias("r"), F.when(F.abs(new - rate) < 1e-10, 1).otherwise(0).alias("done")))
 
     solved = full.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(100)), state, newton))
-    signs = F.exists("x", lambda e: e["a"] > 0) & F.exists("x", lambda e: e["a"] < 0)
+    signs = (F.col("gain") | (F.col("value") > 0)) & (F.col("loss") | (F.col("value") < 0))
     irr = F.when(F.col("first_d").isNull(), 0.0).when((F.col("days") >= LEAST_DAYS) & signs & (F.col("s.done") == 1), F.col("s.r"))
     return solved.select(key, irr.alias("irr"))
 
