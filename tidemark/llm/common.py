@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a session of one process that names no shared folder, as in tests.
 OWN_SHARED_DIR = "/tmp/checkpoints/tidemark"
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"{OWN_SHARED_DIR}/{name}-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
@@ -34,6 +37,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes kept tables whose readers have all been written; nothing may read them afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a folder's URI and the path in it, for files that tasks write themselves."""
     from pyarrow import fs

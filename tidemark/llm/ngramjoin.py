@@ -8,8 +8,16 @@ which are expanded to their members and verified on the whole sets.
 Only components are asked for, so candidates come in three rounds. First each group meets one other group for each
 shingle they share. Then nodes that share a prefix shingle and still lie apart meet a few others each. Last, of pairs
 that share a prefix shingle, those that still lie in different components are verified, all of them: so no link is
-lost, and a large group of near copies takes few verifications, not all pairs. Before a pair is verified it must pass bounds that no linked pair fails: sizes, places of the shared shingle,
-and parity bitmaps of the sets, whose bits differ in no more places than the sets differ in shingles.
+lost, and a large group of near copies takes few verifications, not all pairs. Before a pair is verified it must pass
+bounds that no linked pair fails: sizes, places of the shared shingle, and parity bitmaps of the sets, whose bits differ
+in no more places than the sets differ in shingles.
+
+The sketch grows with the input up to a fixed size, which is what bounds the broadcast. Above that, shingles that are
+rarer than a cell's usual count stand in the order of their hashes: prefixes then hold more shared shingles and more
+pairs are tried, but no link depends on the order. A shingle whose cell is full is dealt out by group as well, over
+about as many parts as the square root of the number of documents, whose first groups then meet; so no task holds all
+groups of a frequent shingle. Sets are compared by 60-bit hashes of shingles and named by 63 bits; two different sets
+share a name with a chance of 1e-9 among 10^5 documents and 1e-3 among 10^8.
 """
 
 from __future__ import annotations
@@ -18,70 +26,111 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.common import WordHasher, batches_of, keep, mix, shingles, text_buffers
-
-#: Cells of the sketch of shingle counts, in slices of which each is summed up by itself.
-CELLS_LOG, SLICES = 24, 256
-#: Bits of the filter of nodes whose sets are wanted.
-WANTED_LOG = 26
+from tidemark.llm.common import WordHasher, batches_of, drop, keep, mix, shingles, text_buffers
+
+#: Cells of the sketch, as powers of two: at least and at most; and those of one slice, which is summed up by itself.
+CELLS_LOG, MOST_CELLS_LOG, SLICE_LOG = 16, 26, 16
+#: UTF-8 bytes of text for which there is a cell.
+CELL_BYTES = 5
+#: Counts at which the level of a cell grows by one; a cell that reaches the last is full.
+LEVELS = (1, 2, 3, 4, 6, 9, 14, 22, 36, 60, 100, 250, 800, 2500, 10_000)
+#: From this level on a shingle's groups are dealt out over several tasks.
+HOT = 12
+#: Bits of the filter of rows whose texts are wanted, as a power of two, at least and at most.
+WANTED_LOG, MOST_WANTED_LOG = 20, 27
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP_WORDS = 16
 #: Nodes before it that a node meets at each shingle in the second round.
 NEIGHBOURS = 4
 CHUNK = 4 << 20
+#: Shingles that a task counts before it hands them on.
+COUNTED = 3_000_000
 
 
 def _rows(part: pa.RecordBatch, hasher: WordHasher, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(*hasher(*text_buffers(part.column("body"))), size)
 
 
-def frequency_levels(body: DataFrame, size: int) -> np.ndarray:
-    """For each cell of the hash range, a byte that grows with the log of the number of shingles in it, over all documents.
+def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted cells of a slice and their counts (up to 255): gaps by low and high byte, then the counts."""
+    gaps = np.diff(cells, prepend=np.int64(-1)) - 1
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((gaps & 255, gaps >> 8, np.minimum(counts, 255))[k].astype(np.uint8).tobytes() for k in range(3)))
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high, counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
+    return np.cumsum((low | high << 8) + 1) - 1, counts
+
+
+def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """A level from 0 to 15 for each cell of the hash range, by the number of shingles in it over all documents; two
+    levels a byte, even cells in the low half. And the number of cells as a power of two.
 
-    Tasks sum up their own counts; slices of the sketch are added up in two steps, of at most 64 tasks' and then of all
-    groups' counts. The result has a fixed size.
+    Tasks sum up their own counts and send those of each slice to one task, which adds them up as they come. The cells
+    follow the bytes of text up to a fixed number.
     """
-    cells, width = 1 << CELLS_LOG, (1 << CELLS_LOG) // SLICES
+    text = body.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    log = min(MOST_CELLS_LOG, max(CELLS_LOG, (text // CELL_BYTES).bit_length() - 1))
+    width, bounds = 1 << SLICE_LOG, np.array(LEVELS)
 
     def count(batches):
-        hasher, sums, packer = WordHasher(), np.zeros(cells, np.uint32), zstandard.ZstdCompressor(level=1)
+        hasher, held, waiting = WordHasher(), [], 0
+
+        def out():
+            cells = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            counts, cells = np.diff(np.append(at, len(cells))), cells[at].astype(np.int64)
+            own, first = np.unique(cells >> SLICE_LOG, return_index=True)
+            last = np.append(first[1:], len(cells))
+            packed = [_pack(cells[a:z] & (width - 1), counts[a:z]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "cells"])
+
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
-                at = np.sort((_rows(part, hasher, size)[0] >> np.uint64(64 - CELLS_LOG)).astype(np.int64))
-                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
-                sums[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
-        if sums.any():
-            team = TaskContext.get().partitionId() // 64
-            for s in range(SLICES):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([team], pa.int32()), pa.array([packer.compress(sums[s * width : (s + 1) * width].astype("<u8").tobytes())], pa.binary())], names=["slice", "team", "sums"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint64)
-        for x in pdf["sums"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u8")
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "team": pdf["team"].iloc[:1], "sums": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
-
-    kind = "slice int, team int, sums binary"
-    counted = body.mapInArrow(count, kind).groupBy("slice", "team").applyInPandas(add, kind).groupBy("slice").applyInPandas(add, kind)
-
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": pdf["slice"], "levels": [np.minimum(63, 3 * np.log2(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u8") + 1.0)).astype(np.uint8).tobytes() for x in pdf["sums"]]})
-
-    out = np.zeros(cells, np.uint8)
-    for r in counted.mapInPandas(lambda it: (level(x) for x in it), "slice int, levels binary").collect():
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
-    return out
-
-
-def _ordered_sets(part: pa.RecordBatch, hasher: WordHasher, size: int, levels: np.ndarray):
-    """Each row's distinct shingles in the global order: the level in the top bits, then the hash."""
+                held.append((_rows(part, hasher, size)[0] >> np.uint64(64 - log)).astype(np.uint32))
+                waiting += len(held[-1])
+                if waiting > COUNTED:
+                    yield out()
+                    held, waiting = [], 0
+        if waiting:
+            yield out()
+
+    def add(batches):
+        current, sums = -1, np.zeros(width, np.int64)
+
+        def level():
+            levels = np.searchsorted(bounds, sums, "right").astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([(levels[::2] | levels[1::2] << 4).tobytes()], pa.binary())], names=["slice", "levels"])
+
+        for batch in batches:
+            for s, packed in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if s != current:
+                    if current >= 0:
+                        yield level()
+                    current = s
+                    sums[:] = 0
+                cells, counts = _unpack(packed)
+                sums[cells] += counts
+        if current >= 0:
+            yield level()
+
+    counted = body.mapInArrow(count, "slice int, cells binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, levels binary")
+    out = np.zeros(1 << (log - 1), np.uint8)
+    for r in counted.toLocalIterator():
+        out[r["slice"] << (SLICE_LOG - 1) : (r["slice"] + 1) << (SLICE_LOG - 1)] = np.frombuffer(r["levels"], np.uint8)
+    return out, log
+
+
+def _ordered_sets(part: pa.RecordBatch, hasher: WordHasher, size: int, levels: np.ndarray, log: int):
+    """Each row's distinct shingles in the global order: the level in the top four bits, then the hash."""
     hashes, first = _rows(part, hasher, size)
-    keys = (levels[(hashes >> np.uint64(64 - CELLS_LOG)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (hashes & np.uint64((1 << 57) - 1))
+    cells = (hashes >> np.uint64(64 - log)).astype(np.int64)
+    level = levels[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8) & np.uint8(15)
+    keys = (level.astype(np.uint64) << np.uint64(60)) | (hashes & np.uint64((1 << 60) - 1))
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own = np.sort(keys[a:z])
         yield own[np.concatenate(([True], own[1:] != own[:-1]))] if z - a > 1 else own
@@ -103,10 +152,14 @@ def _overlap(percent: int):
     return F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
 
 
-def _may_link(percent: int):
-    """Whether sizes and bitmaps of a pair (n_a, n_b, bits_a, bits_b) allow a link."""
+def _sizes_fit(percent: int):
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _bitmaps_fit(percent: int):
+    """Whether the bitmaps of a pair (n_a, n_b, bits_a, bits_b) allow a link."""
     differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP_WORDS)), F.lit(0))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ <= F.col("n_a") + F.col("n_b") - 2 * _overlap(percent))
+    return differ <= F.col("n_a") + F.col("n_b") - 2 * _overlap(percent)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -125,7 +178,8 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """
     spark = documents.sparkSession
     body = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    levels = spark.sparkContext.broadcast(frequency_levels(body, size))
+    table, log = frequency_levels(body, size)
+    levels = spark.sparkContext.broadcast(table)
     fields = body.withColumn("tie", F.xxhash64("body"))
 
     def sign(batches):
@@ -133,7 +187,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
                 n, node, group, prefix, bits = [], [], [], [], []
-                for own in _ordered_sets(part, hasher, size, levels.value):
+                for own in _ordered_sets(part, hasher, size, levels.value, log):
                     n.append(len(own))
                     node.append(_node(own) if len(own) else None)
                     head = own[: prefix_size(len(own), percent)] if len(own) else own
@@ -144,69 +198,102 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     schema = StructType([fields.schema["id"], StructField("tie", LongType()), StructField("n", LongType()), StructField("node", LongType()), StructField("grp", LongType()), StructField("prefix", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
     signed = keep(fields.select("id", "tie", "body").mapInArrow(sign, schema), "signatures")
+    levels.destroy()
 
-    # nodes (equal sets) and groups (equal prefixes and sizes)
+    # nodes (equal sets) with one row's key, and groups (equal prefixes and sizes)
     full = signed.where("node is not null")
-    nodes = keep(full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    one = F.min(F.struct("id", "tie"))
+    nodes = full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), one.alias("row"), F.first("bits").alias("bits"))
+    nodes = keep(nodes.select("node", "least", "grp", "n", F.xxhash64("row.id", "row.tie").alias("key"), "bits"), "nodes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several"))
-    postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
-    same = Window.partitionBy("token").orderBy("n", "grp")
-    led = postings.withColumn("lead", F.first(F.struct("n", "grp")).over(same)).withColumn("prev", F.lag(F.struct("n", "grp")).over(same))
-    near = lambda s: F.col(s)["n"] * 100 >= F.col("n") * percent
-    partner = F.when(F.col("prev").isNotNull(), F.when(near("lead"), F.col("lead")["grp"]).when(near("prev"), F.col("prev")["grp"]))
-    # a group of several nodes keeps its first shingle also where no other group has it: there its members meet each other
-    shared = led.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("shared > 1 or several and pos = 0")
-    shared = keep(shared.select("token", "grp", "n", "pos", partner.alias("partner")), "shared")
+    shared = keep(shared_tokens(groups, percent, parts=int(nodes.count() ** 0.5) + 1), "shared")
+    slim = keep(signed.select("id", "tie", "n", "node"), "rows")
+    drop(signed)
+
+    def checked(pairs: DataFrame, before: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs not tried before that bitmaps allow, and those of them that link."""
+        for b in before:
+            pairs = pairs.join(b, ["a", "b"], "left_anti")
+        sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        fit = keep(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_bitmaps_fit(percent)).select("a", "b"), name)
+        return fit, verify(fields, nodes, fit, size, percent)
 
     # first round: a partner for each shingle, and the first member for each other member of a group
-    member = nodes.select("grp", "node", "n", "bits")
-    head = nodes.groupBy("grp").agg(F.min(F.struct("node", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("members")).select("grp", "members", "h.*")
-    inner = member.toDF("grp", "b", "n_b", "bits_b").join(head.where("members > 1").select("grp", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "grp").where("a <> b")
+    head = keep(nodes.groupBy("grp").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("members")).select("grp", "members", "h.*"), "heads")
+    inner = nodes.select("grp", F.col("node").alias("b")).join(head.where("members > 1").select("grp", F.col("node").alias("a")), "grp").where("a <> b").select("a", "b")
     met = shared.where("partner is not null").select(F.col("partner").alias("g1"), F.col("grp").alias("g2")).distinct()
-    outer = met.join(head.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "g1")
-    outer = outer.join(head.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "g2")
-    tried = inner.where(_may_link(percent)).select("a", "b").unionByName(outer.where(_may_link(percent)).select("a", "b"))
-    tried = keep(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    edges = verify(fields, tried, size, percent, levels)
+    outer = met.join(head.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("n_a")), "g1").join(head.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("n_b")), "g2")
+    first = inner.unionByName(outer.where(_sizes_fit(percent)).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried, edges = checked(first, [], "tried")
     comps = components(edges)
+    drop(head, edges)
 
     # second round: of the nodes that share a prefix shingle and still lie apart, each meets those close before it
-    first_spots = spots_apart(shared, nodes, comps)
-    here, order = F.struct("node", "n", "pos", "comp", "bits"), Window.partitionBy("token").orderBy("node")
+    spots = spots_apart(shared, nodes, comps)
+    here, order = F.struct("node", "n", "pos", "comp"), Window.partitionBy("token", "part").orderBy("node")
     before = F.array(*[F.lag(here, k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    ahead = first_spots.select(here.alias("y"), before.alias("before")).select("y", F.explode("before").alias("x")).where("x is not null")
-    ahead = ahead.select(*[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos", "comp", "bits")])
-    again = keep(_new_pairs(ahead.where(F.col("comp_a") != F.col("comp_b")), tried, percent), "again")
-    comps = contract(comps, verify(fields, again, size, percent, levels))
+    ahead = spots.select(here.alias("y"), before.alias("before")).select("y", F.explode("before").alias("x")).where("x is not null")
+    ahead = ahead.select(*[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos", "comp")])
+    again, edges = checked(_new_pairs(ahead.where(F.col("comp_a") != F.col("comp_b")), percent), [tried], "again")
+    last = comps
+    comps = contract(comps, edges)
+    drop(spots, edges, last)
 
     # third round: all pairs that may link and still lie apart
     spots = spots_apart(shared, nodes, comps)
-    left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp", "bits")]) for x in "ab")
-    both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b"))
-    late = keep(_new_pairs(both, tried.unionByName(again), percent), "late")
-    comps = contract(comps, verify(fields, late, size, percent, levels))
+    left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")]) for x in "ab")
+    both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b") & _sizes_fit(percent) & _places_fit(percent))
+    late, edges = checked(_new_pairs(both, percent), [tried, again], "late")
+    last = comps
+    comps = contract(comps, edges)
+    drop(spots, edges, last, tried, again, late, shared)
 
     least = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     lowest = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = least.join(lowest, "comp").select("node", "component_id", F.col("comp").alias("group"))
-    slim = signed.select("id", "tie", "n", "node")
     return slim.join(named, "node", "left").select(F.col("id").alias(id_col), "tie", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
+def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
+    """token, part, grp, n, pos and partner: the prefix shingles that several groups have, or several nodes of a group.
+
+    partner is a group of the same shingle that a group may link with: the first in the order of sizes, or the one
+    before. A frequent shingle's groups are dealt out over parts; the first groups of its parts are partners as well.
+    """
+    postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
+    hot = F.shiftrightunsigned("token", 60) >= HOT
+    postings = postings.withColumn("part", F.when(hot, F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int")).otherwise(0))
+    own = Window.partitionBy("token", "part")
+    same, near = own.orderBy("n", "grp"), lambda s: F.col(s)["n"] * 100 >= F.col("n") * percent
+    led = postings.withColumn("lead", F.first(F.struct("n", "grp")).over(same)).withColumn("prev", F.lag(F.struct("n", "grp")).over(same)).withColumn("shared", F.count(F.lit(1)).over(own))
+    partner = F.when(F.col("prev").isNotNull(), F.when(near("lead"), F.col("lead")["grp"]).when(near("prev"), F.col("prev")["grp"]))
+    # a group of several nodes keeps its first shingle also where no other group has it: there its members meet each other
+    found = led.where((F.col("shared") > 1) | hot | (F.col("several") & (F.col("pos") == 0)))
+    found = found.select("token", "part", "grp", "n", "pos", partner.alias("partner"), F.col("prev").isNull().alias("first"))
+    tops = found.where(hot & F.col("first")).withColumn("prev", F.lag(F.struct("n", "grp")).over(Window.partitionBy("token").orderBy("n", "grp")))
+    tops = tops.withColumn("partner", F.when(near("prev"), F.col("prev")["grp"]))
+    return found.where(~(hot & F.col("first"))).unionByName(tops.select(*found.columns)).drop("first")
+
+
 def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, pos, node, n, comp and bits of the nodes at those prefix shingles whose nodes lie in more than one component."""
+    """token, part, pos, node, n and comp of the nodes at those prefix shingles whose nodes lie in more than one component."""
     placed = keep(nodes.select("grp", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    at = shared.select("token", "grp", "pos")
+    at = shared.select("token", "part", "grp", "pos")
     ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    spots = at.join(apart, "token").join(placed, "grp").join(nodes.select("node", "bits"), "node")
-    return keep(spots.select("token", "pos", "node", "n", "comp", "bits"), "spots")
+    spots = keep(at.join(apart, "token").join(placed, "grp").select("token", "part", "pos", "node", "n", "comp"), "spots")
+    drop(placed)
+    return spots
 
 
-def _new_pairs(both: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """a < b of the pairs that sizes, places and bitmaps allow to link and that were not tried before."""
-    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _overlap(percent)
-    return both.where(room & _may_link(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+def _places_fit(percent: int):
+    """Whether the places of a shared shingle in both sets leave room for the overlap."""
+    return F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _overlap(percent)
+
+
+def _new_pairs(both: DataFrame, percent: int) -> DataFrame:
+    """a < b of the pairs that sizes and places allow to link."""
+    return both.where(_sizes_fit(percent) & _places_fit(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def contract(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -218,70 +305,77 @@ def contract(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return keep(every.join(whole, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")), "comps")
 
 
-def marks_of(names: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which the lowest bits of every number of the only column are marked."""
+class Marks:
+    """A bitmap in which the lowest bits of every number of a column are marked; sized by their count, up to a bound."""
 
-    def mark(batches):
-        bits = np.zeros(1 << WANTED_LOG, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False) & ((1 << WANTED_LOG) - 1)] = True
-        packed = np.packbits(bits, bitorder="little")
-        at = np.flatnonzero(packed)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at].astype(np.int16))], names=["place", "byte"])
+    def __init__(self, names: DataFrame, count: int):
+        self.log = min(MOST_WANTED_LOG, max(WANTED_LOG, (16 * count).bit_length()))
+        cells = (1 << self.log) - 1
+
+        def mark(batches):
+            bits = np.zeros(1 << self.log, bool)
+            for batch in batches:
+                bits[batch.column(0).to_numpy(zero_copy_only=False) & cells] = True
+            packed = np.packbits(bits, bitorder="little")
+            at = np.flatnonzero(packed)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at].astype(np.int16))], names=["place", "byte"])
+
+        marked = names.mapInArrow(mark, "place int, byte short").groupBy("place").agg(F.bit_or("byte").alias("byte")).toPandas()
+        bits = np.zeros((1 << self.log) // 8, np.uint8)
+        bits[marked["place"].to_numpy()] = marked["byte"].to_numpy().astype(np.uint8)
+        self.bits = names.sparkSession.sparkContext.broadcast(bits)
 
-    marked = names.mapInArrow(mark, "place int, byte short").groupBy("place").agg(F.bit_or("byte").alias("byte")).toPandas()
-    out = np.zeros((1 << WANTED_LOG) // 8, np.uint8)
-    out[marked["place"].to_numpy()] = marked["byte"].to_numpy().astype(np.uint8)
-    return out
+    def has(self, column):
+        """Whether the number of a column may be marked: false marks happen, missing ones do not."""
+        bits, cells = self.bits, (1 << self.log) - 1
 
+        @F.pandas_udf("boolean")
+        def marked(numbers: pd.Series) -> pd.Series:
+            at = numbers.to_numpy() & cells
+            return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-def verify(fields: DataFrame, pairs: DataFrame, size: int, percent: int, levels) -> DataFrame:
+        return marked(column)
+
+
+def verify(fields: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a < b) of nodes whose whole sets reach the threshold.
 
-    A filter of fixed size marks the nodes in question; the texts are read again and the sets of marked nodes alone are
-    made, once for each node, and joined with the pairs. False marks cost work, never results.
+    A filter marks one row of each node in question; the texts are read again, and those of marked rows meet their
+    pairs, where their sets are made and compared. False marks cost work, never results.
     """
-    spark = fields.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    bitmap = marks_of(ends)
-    if not bitmap.any():
+    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "ends")
+    count = ends.count()
+    if not count:
+        drop(ends)
         return pairs.where("false")
-    wanted = spark.sparkContext.broadcast(bitmap)
-
-    def gather(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            for part in batches_of(batch, "body", CHUNK):
-                names, sets = [], []
-                seen = set()
-                for own in _ordered_sets(part, hasher, size, levels.value):
-                    if len(own):
-                        name = _node(own)
-                        at = name & ((1 << WANTED_LOG) - 1)
-                        if wanted.value[at >> 3] >> (at & 7) & 1 and name not in seen:
-                            seen.add(name)
-                            names.append(name)
-                            sets.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    # not written: both joins shuffle it by node, once if Spark reuses the exchange, else twice; false marks meet no pair
-    sets = fields.select("body").mapInArrow(gather, "node long, shingles binary").dropDuplicates(["node"])
+    key = F.xxhash64("id", "tie")
+    wanted = Marks(ends.select("key"), count)
+    rows = fields.where(wanted.has(key)).select(key.alias("key"), "body").dropDuplicates(["key"])
+    texts = keep(rows.join(ends, "key").select("node", "body"), "texts")
+    wanted.bits.destroy()
 
     def compare(batches):
+        hasher, last, own = WordHasher(), None, None
         for batch in batches:
-            same = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((s, t))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                same.append(100 * shared >= percent * (len(both) - shared))
-            mask = pa.array(same, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return keep(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "edges")
+            for part in batches_of(batch, "body_b", CHUNK):
+                other, first = shingles(*hasher(*text_buffers(part.column("body_b"))), size)
+                same = []
+                for k, a in enumerate(part.column("a").to_pylist()):
+                    if a != last:  # pairs come sorted by a
+                        own = np.unique(shingles(*hasher(*text_buffers(part.column("body_a").slice(k, 1))), size)[0])
+                        last = a
+                    both = np.concatenate((own, np.unique(other[first[k] : first[k + 1]])))
+                    both.sort()
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    same.append(100 * shared >= percent * (len(both) - shared))
+                mask = pa.array(same, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
+
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+    edges = keep(joined.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "edges")
+    drop(ends, texts)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,10 +390,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "low")
         step = keep(low.join(low.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "step")
-        links = step.withColumnRenamed("to", "comp") if links is None else links.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        last = links
+        links = step.withColumnRenamed("to", "comp") if last is None else last.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         links = keep(links, "links")
         moved = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        over = edges
         edges = keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "graph")
+        drop(over, low, step, *([last] if last is not None else []))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if links is None else links
 
 
@@ -311,18 +408,12 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str
     found = keep(links(documents, size, percent, id_col, text_col).select(F.col(id_col).alias("id_"), F.col("tie").alias("tie_"), F.col("group").alias("group_")).where("group_ is not null"), "linked")
     best = found.groupBy("group_").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("tie_").alias("tie"))).alias("b"))
     is_best = F.col("id_").eqNullSafe(F.col("b.id")) & (F.col("tie_") == F.col("b.tie"))
-    gone = found.join(best, "group_").where(~is_best).select("id_", "tie_").distinct()
+    gone = keep(found.join(best, "group_").where(~is_best).select("id_", "tie_").distinct(), "gone")
     tie = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     same = lambda df: documents[id_col].eqNullSafe(df["id_"]) & (tie == df["tie_"])
     # rows without a mark stay where they are; the others, few, are compared exactly
-    marks = documents.sparkSession.sparkContext.broadcast(marks_of(gone.select("tie_")))
-
-    @F.pandas_udf("boolean")
-    def marked(ties: pd.Series) -> pd.Series:
-        at = ties.to_numpy() & ((1 << WANTED_LOG) - 1)
-        return pd.Series((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    left = documents.where(~marked(tie)).unionByName(documents.where(marked(tie)).join(gone, same(gone), "left_anti"))
+    marks = Marks(gone.select("tie_"), gone.count())
+    left = documents.where(~marks.has(tie)).unionByName(documents.where(marks.has(tie)).join(gone, same(gone), "left_anti"))
     again = keep(found.groupBy("id_", "tie_").count().where("count > 1").select("id_", "tie_"), "again")
     if again.limit(1).count():
         there = left[id_col].eqNullSafe(again["id_"]) & (F.xxhash64(F.coalesce(left[text_col].cast("string"), F.lit(""))) == again["tie_"])
