@@ -3,11 +3,15 @@
 The automaton reads token labels and accepts exactly the label sequences that byte-pair merging would give. It is made
 from one state with a loop for every byte, by one gadget for each merge (a, b) -> ab in rank order: the state that a
 leads to is split into a copy without the arc b; wherever an arc a leaves, an arc ab is added, which leads to where b
-leads at that time. So each label leads to one state, and a state differs from the one it was split from by one arc.
-The tables keep just that: for each label its two parts and rank, for each split (label, arc) the rank of its merge.
-
-A pre-split word is encoded by running the automaton over its bytes: the longest label that starts here and that the
-state has an arc for, backing up from dead ends; of all label sequences that spell the word, one is accepted.
+leads at that time. So each label leads to one state, whichever state it leaves, and a state differs from the one it was
+split from by the arcs that the split took: b and the labels made later of which b is the first part, or the first part
+of the first part, and so on. With labels numbered in preorder by first parts, elder ones first, these are one number
+and one range of numbers. The tables hold that difference for every state; a state's row of missing arcs, as sorted
+bounds of ranges, is put together from them when the state is first entered.
+
+A pre-split word is encoded by one pass over its bytes: a second automaton, a trie of the labels with failure links,
+gives the labels that end at each byte; of these, one alone has an arc from the state that its start has reached, and
+that is the arc taken. The arcs are read backwards from the end. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ import hashlib
 import json
 import re
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +38,7 @@ _UNITS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The published splitting pattern of byte-level vocabularies.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units that a worker remembers, and the longest of these.
-REMEMBERED, LONGEST = 900_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,91 +52,110 @@ class Automaton:
     """The automaton of a list of merges over byte strings."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
-        """labels: bytes of each token id; merges: (left id, right id, merged id) in rank order."""
+        """labels: bytes of each token id; merges: (left id, right id, merged id) in rank order, each merged id once."""
         self.labels = labels
-        self.left, self.right, self.rank = {}, {}, {}
-        self.split: dict[tuple[int, int], int] = {}
-        made = {i for i, b in labels.items() if len(b) == 1}
+        made = [ab for _, _, ab in merges]
+        if len(set(made)) < len(made):
+            raise ValueError("two merges make one token")
+        self._number({ab: (a, rank) for rank, (a, _, ab) in enumerate(merges)})
+        # states: the one each was split from, and the numbers of the arcs it lost: one, and a range
+        self.parent, self.lost, self.lost_from, self.lost_to = array("i", [-1]), array("i", [-1]), array("i", [0]), array("i", [0])
+        self.state = {i: 0 for i, b in labels.items() if len(b) == 1}
         for rank, (a, b, ab) in enumerate(merges):
-            self._gadget(a, b, ab, rank, made)
-        self.ids = {labels[i]: i for i in sorted(made) if self._spells(i)}
-        self.reach: dict[bytes, int] = {}  # bytes of the longest label that starts with these three
-        for b in self.ids:
-            self.reach[b[:3]] = max(self.reach.get(b[:3], 2), len(b))
-        self.known: dict[int, bool] = {}  # arcs looked up so far
-
-    def _gadget(self, a: int, b: int, ab: int, rank: int, made: set[int]) -> None:
-        """Splits the state that a leads to from its arc b, and adds the arc ab."""
-        self.split.setdefault((a, b), rank)
-        if ab not in made:
-            made.add(ab)
-            self.left[ab], self.right[ab], self.rank[ab] = a, b, rank
-
-    def arc(self, last: int, label: int, when: int = 1 << 60) -> bool:
-        """Whether the state that last leads to has an arc with this label, just before the merge of rank when.
-
-        That state comes from the states of last's right parts, each as it was when the next was made; label is missing
-        where a split took it, or took a left part of it before label's longer left part was added.
-        """
-        x, until = last, when
-        while x is not None:
-            c, since = label, 1 << 60
-            while c is not None:
-                r = self.split.get((x, c))
-                if r is not None and r < until and r <= since:
-                    return False
-                since = self.rank.get(c, -1)
-                c = self.left.get(c)
-            until = min(until, self.rank.get(x, -1))
-            x = self.right.get(x)
-        return True
+            self._gadget(a, b, ab, rank)
+        self.rows: dict[int, array] = {}
+        self.ends = ahocorasick.Automaton()
+        for i in self.state:
+            self.ends.add_word(labels[i].decode("latin-1"), (len(labels[i]), i))
+        self.ends.make_automaton()
+
+    def _number(self, first_part: dict[int, tuple[int, int]]) -> None:
+        """Numbers the labels in preorder of the tree in which a label hangs below its first part, elder ones first."""
+        below: dict[int, list[int]] = {}
+        for ab, (a, _) in first_part.items():  # in order of rank
+            below.setdefault(a, []).append(ab)
+        self.below = below
+        self.born = {ab: rank for ab, (_, rank) in first_part.items()}
+        self.number: dict[int, int] = {}
+        self.last: dict[int, int] = {}  # the number after those below the label
+        for root in self.labels:
+            if root in first_part:
+                continue
+            waiting = [(root, False)]
+            while waiting:
+                x, done = waiting.pop()
+                if done:
+                    self.last[x] = len(self.number)
+                    continue
+                self.number[x] = len(self.number)
+                waiting.append((x, True))
+                waiting += [(c, False) for c in reversed(below.get(x, ()))]
+
+    def _gadget(self, a: int, b: int, ab: int, rank: int) -> None:
+        """Splits the state that a leads to from its arc b, and adds the arc ab, which leads where b does."""
+        old, to = self.state.get(a), self.state.get(b)
+        if old is None or to is None or self._is_missing(old, self.number[b]):
+            return  # no word comes to this merge
+        younger = [c for c in self.below.get(b, ()) if self.born[c] >= rank]
+        self.parent.append(old)
+        self.lost.append(self.number[b])
+        self.lost_from.append(self.number[younger[0]] if younger else 0)
+        self.lost_to.append(self.last[b] if younger else 0)
+        self.state[a] = len(self.parent) - 1
+        self.state[ab] = to
+
+    def _is_missing(self, state: int, number: int) -> bool:
+        """While the tables are made: whether a state has lost the arc of that number."""
+        parent, lost, low, high = self.parent, self.lost, self.lost_from, self.lost_to
+        while state > 0:
+            if lost[state] == number or low[state] <= number < high[state]:
+                return True
+            state = parent[state]
+        return False
+
+    def row(self, state: int) -> array:
+        """A state's row: bounds of the ranges of numbers whose arcs it has not, in order."""
+        ranges = []
+        k = state
+        while k > 0:
+            ranges.append((self.lost[k], self.lost[k] + 1))
+            if self.lost_to[k]:
+                ranges.append((self.lost_from[k], self.lost_to[k]))
+            k = self.parent[k]
+        out = array("i")
+        for low, high in sorted(ranges):
+            if out and low <= out[-1]:
+                out[-1] = max(out[-1], high)
+            else:
+                out.extend((low, high))
+        self.rows[state] = out
+        return out
 
     def encode(self, word: bytes) -> list[int]:
         """The labels that the automaton accepts for the word."""
-        ids, reach, known, n = self.ids, self.reach, self.known, len(word)
-        whole = ids.get(word)
-        if whole is not None:
-            return [whole]
-        path: list[int] = []  # labels so far, and where each starts
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, last, end = 0, -1, min(n, reach.get(word[:3], 2))
-        while at < n:
-            while end > at:
-                t = ids.get(word[at:end])
-                if t is not None and end not in dead:
-                    if last < 0:
-                        break
-                    key = last << 32 | t
-                    ok = known.get(key)
-                    if ok is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        ok = known[key] = self.arc(last, t)
-                    if ok:
-                        break
-                end -= 1
-            if end > at:
-                path.append(t)
-                starts.append(at)
-                at, last = end, t
-                end = at + reach.get(word[at : at + 3], 2)
-                if end > n:
-                    end = n
-            else:
-                dead.add(at)
-                path.pop()
-                end = at - 1
-                at = starts.pop()
-                last = path[-1] if path else -1
-        return path
-
-    def _spells(self, label: int) -> bool:
-        """Whether a label's own bytes lead to it: the arcs it was made from were there when it was added."""
-        if label not in self.left:
-            return True
-        a, b = self.left[label], self.right[label]
-        return self._spells(a) and self._spells(b) and self.arc(a, b, self.rank[label])
+        state, rows, number = self.state, self.rows, self.number
+        n = len(word)
+        at = [-1] * (n + 1)  # the state that each byte's end is reached in, by one arc, and that arc
+        by = [None] * (n + 1)
+        at[0] = 0
+        for end, arc in self.ends.iter(word.decode("latin-1")):
+            end += 1
+            if at[end] < 0:
+                size, label = arc
+                here = at[end - size]
+                if here >= 0:
+                    row = rows.get(here)
+                    if row is None:
+                        row = self.row(here)
+                    if not bisect_right(row, number[label]) & 1:
+                        at[end], by[end] = state[label], arc
+        out = []
+        while n:
+            size, label = by[n]
+            out.append(label)
+            n -= size
+        out.reverse()
+        return out
 
 
 class Vocabulary:
