@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
 CLASHING = ["id", "body", "tie", "rid", "n", "node", "grp", "size", "shard", "slot", "key", "item", "c_0", "media", "tile", "block", "words"]
+CLASHING += ["n_words", "n_hit", "items", "longest", "base", "added", "spans", "joined_spans_", "score", "lang_pred", "languages", "n_tokens", "ids", "decoded", "id_", "tie_", "group_", "component_id", "n_shingles", "c_1"]
 
 
 def _rows():

@@ -193,12 +193,12 @@ def test_ngram_join_of_near_copies(spark):
 def test_ngram_join_inside_groups_of_equal_prefixes(spark, monkeypatch):
     import pyarrow as pa
 
-    levels = np.zeros(1 << ngramjoin.CELLS_LOG, np.uint8)  # the order of shingles is that of their hashes alone
+    levels = np.zeros(1 << (ngramjoin.CELLS_LOG - 1), np.uint8), ngramjoin.CELLS_LOG  # the order of shingles is that of their hashes alone
     monkeypatch.setattr(ngramjoin, "frequency_levels", lambda body, size: levels)
     rows = []
     for g in range(12):
         vocabulary = [f"g{g}w{k}" for k in range(60)]
-        key = {w: int(next(ngramjoin._ordered_sets(pa.RecordBatch.from_pydict({"body": [w]}), WordHasher(), 1, levels))[0]) for w in vocabulary}
+        key = {w: int(next(ngramjoin._ordered_sets(pa.RecordBatch.from_pydict({"body": [w]}), WordHasher(), 1, *levels))[0]) for w in vocabulary}
         low, rest = sorted(vocabulary, key=key.get)[:5], sorted(vocabulary, key=key.get)[5:]
         # 20 words each, of which 5 are the prefix: y and z link, x with neither
         texts = [low + rest[:15], low + rest[15:30], low + rest[15:29] + rest[30:31]]
@@ -250,6 +250,48 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.search(empty, bench).count() == 0 and decontam.search(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_finds_runs_of_repeated_words(spark):
+    import random
+
+    r = random.Random(4)
+    line = lambda n, k: " ".join(r.choice("abc"[:k]) for _ in range(n))
+    texts = [(k, line(r.randrange(1, 60), r.randrange(1, 4))) for k in range(40)]
+    items = [(k, line(r.randrange(1, 30), r.randrange(1, 3))) for k in range(12)]
+    found = decontam.search(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), window=5).collect()
+    for row in found:
+        own = texts[row["doc_id"]][1].split()
+        assert (row["n_words"], row["n_hit"], row["items"]) == brute_windows(texts[row["doc_id"]][1], items, 5)
+        best = {}
+        for i, t in items:
+            w = t.split()
+            for q in range(len(w)):
+                for p in range(len(own)):
+                    n = 0
+                    while q + n < len(w) and p + n < len(own) and w[q + n] == own[p + n]:
+                        n += 1
+                    if n >= min(5, len(w)):
+                        best[str(i)] = max(best.get(str(i), (0, 0)), (n, -p))
+        assert {m["item"]: (m["length"], -m["word"]) for m in row["longest"]} == best
+        assert all(own[m["word"] : m["word"] + m["length"]] == items[int(m["item"])][1].split()[m["item_word"] : m["item_word"] + m["length"]] for m in row["longest"])
+
+
+def test_decontamination_of_long_repeats_stays_small():
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from tidemark.llm import decontam
+from tidemark.llm.common import WordHasher
+decontam._block = lambda path, window: decontam.Block(["1"], pa.array(["the " * 2000]), window, WordHasher(decontam.NOT_WORD))
+shard = pa.RecordBatch.from_pydict({"c_0": [1], "body": ["the " * 100_000]})
+out = decontam._scan_shard(shard, ["c_0"], ["x"], 13, WordHasher(decontam.NOT_WORD), True).to_pylist()[0]
+assert out["n_hit"] == 100_000 and out["longest"] == [{"item": "1", "item_word": 0, "word": 0, "length": 2000}], out["longest"]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 1000
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     w = r.integers(1, 4, 400).astype(np.uint64)
@@ -301,6 +343,26 @@ def test_automaton_accepts_what_merging_gives():
             assert [labels[t] for t in machine.encode(word)] == brute_merge(word, ranks), word
 
 
+def test_automaton_of_random_merges():
+    import random
+
+    r = random.Random(12)
+    for _ in range(40):
+        labels, ids, triples, ranks = {k: bytes([97 + k]) for k in range(3)}, {}, [], {}
+        ids = {b: k for k, b in labels.items()}
+        for _ in range(r.randrange(1, 25)):
+            a, b = r.choice(list(labels.values())), r.choice(list(labels.values()))
+            if a + b not in ids:
+                ids[a + b] = len(labels)
+                labels[ids[a + b]] = a + b
+                ranks[a, b] = len(triples)
+                triples.append((ids[a], ids[b], ids[a + b]))
+        machine = bpe.Automaton(labels, triples)
+        for _ in range(200):
+            word = bytes(r.choice(b"abc") for _ in range(r.randrange(0, 14)))
+            assert [labels[t] for t in machine.encode(word)] == brute_merge(word, ranks), (word, triples)
+
+
 def test_bpe_equals_the_library(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -327,6 +389,82 @@ def test_language_mixtures(spark, docs, empty):
     assert langid.fit_and_predict(docs).count() == docs.count() and langid.fit_and_predict(empty).count() == 0
 
 
+def brute_shares(text, names, table):
+    """The method as it is stated, word by word, for one text: EM over all languages, then over growing sets by BIC."""
+    raw = (text or "").encode().translate(LOWER)
+    for gap in b"\t\n\x0b\x0c\r":
+        raw = raw.replace(bytes([gap]), b" ")
+    raw += b"  "
+    starts = [m.start() for m in re.finditer(rb"[^ ]+", raw)]
+    ends = [*starts[1:], len(raw) - 2]
+    cell = lambda k: ((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 14
+    logs = [[sum(float(table[cell(k), j]) for k in range(a, z)) for j in range(len(names))] for a, z in zip(starts, ends, strict=True)]
+    like = [[math.exp(max(x - max(row), -60)) for x in row] for row in logs]
+
+    def em(share, own, steps):
+        for _ in range(steps):
+            sums = [0.0] * len(names)
+            for row in like:
+                total = sum(s * x for s, x in zip(share, row, strict=True))
+                for j in own:
+                    sums[j] += share[j] * row[j] / total
+            share = [x / len(like) for x in sums]
+        return share
+
+    everything = list(range(len(names)))
+    share = em([1 / len(names)] * len(names), everything, langid.STEPS)
+    order = sorted(everything, key=lambda j: (-share[j], j))
+    best, result = -math.inf, None
+    for size in range(1, len(names) + 1):
+        own = order[:size]
+        part = [share[j] / sum(share[k] for k in own) if j in own else 0.0 for j in everything]
+        if size > 1:
+            part = em(part, own, langid.SET_STEPS)
+        fit = sum(math.log(sum(s * x for s, x in zip(part, row, strict=True)) + 1e-300) for row in like) - 0.5 * (2 * size - 1) * math.log(len(like) + 1)
+        if fit <= best + 1e-9:
+            break
+        best, result = fit, {names[j]: part[j] for j in own}
+    return result
+
+
+def test_language_shares_equal_the_plain_method_and_rows_do_not_see_each_other(spark):
+    import pyarrow as pa
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(60).collect()
+    names, table = langid.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    short = ["no", "a", "die", "la no the", "\tno\n", "x1 y", "été", "no no"]
+    texts = [r["text"][:600] for r in rows] + short + [a + " " + b["text"][:300] for a, b in zip(short, rows, strict=False)] + ["1", "", None, " "]
+    whole = langid.shares_of(pa.array(texts, pa.string()), len(names), table)
+    for k, t in enumerate(texts):
+        alone = langid.shares_of(pa.array([t], pa.string()), len(names), table)[0]
+        assert np.array_equal(alone, whole[k]), t
+        if t and re.search(r"[^\W\d_]", t):
+            want = brute_shares(t, names, table)
+            got = {n: x for n, x in zip(names, alone.tolist(), strict=True) if x > 0}
+            assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-6 for n in want), (t, got, want)
+        else:
+            assert not alone.any()
+    table_of = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    some = [langid.predict(table_of.repartition(n), (names, table)).collect() for n in (1, 7)]
+    assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in some[0]} == {(r["doc_id"], r["lang_pred"], r["score"]) for r in some[1]}
+
+
+def test_many_languages(spark):
+    rows = [(k * 10 + j, f"w{k}a w{k}b w{k}c " * 4, f"l{k:03d}") for k in range(300) for j in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(table)
+    assert len(model[0]) == 300
+    mixed = spark.createDataFrame([(1, " ".join(f"w{k}a w{k}b w{k}c " * 40 for k in (5, 90, 200, 250, 299)))], "doc_id long, text string")
+    got = langid.predict(mixed, model).collect()[0]
+    assert len(got["languages"]) >= 4 and abs(sum(x["share"] for x in got["languages"]) - 1) < 1e-6
+
+
+def test_language_stage_keeps_columns(docs):
+    model = langid.learn(docs)
+    kept = langid.keep_known(docs, model)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
 def brute_pii(text):
     text = text or ""
     digits = lambda s: re.sub("[^0-9]", "", s)

@@ -44,7 +44,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination_digest(decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return decontam.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
