@@ -17,12 +17,8 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is found; lang becomes the predicted one."""
-    columns = tuple(docs.columns)
-    model = langid.learn(docs.where(~langid.held_out("doc_id")))
-    held = [c for c in columns if c != "lang"]
-    guessed = langid.predict(docs, model, carry=tuple(held))
-    return guessed.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in columns])
+    """Keeps the documents whose language is found; lang becomes the predicted one. Other columns stay as they are."""
+    return langid.keep_known(docs, langid.learn(docs.where(~langid.held_out("doc_id"))))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
