@@ -1,16 +1,21 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of all words and word pairs of the training documents are quantised to powers of a base; an n-gram with level q
-is in the filter once for each level from 1 to q, each time with several bits. A scorer finds an n-gram's level by
-probing level after level until a bit is missing, and smooths the pair's relative frequency with the word's own.
+is in the filter once for each level from 1 to q, each time with several bits. A scorer finds a pair's level by probing
+level after level until a bit is missing, and smooths the pair's relative frequency with the word's own.
 
 Counting sends sorted hash arrays, summed up in each task, to blocks of the hash range; each block becomes its exact
-word counts, kept as a table, and its part of the filter. The exact base score looks frequent words up in a table of
-bounded size that is broadcast, and sends only rare words to the blocks' exact counts.
+word counts, kept as a table, and its part of the filter. Word counts come from a table of the most frequent words,
+bounded and broadcast; all others count as their mean. So what a pair adds to a score depends on its own block alone:
+the documents are passed over once for each PASS_BLOCKS blocks, whose filters are broadcast, and the passes' sums are
+added up. A worker holds the filter of one pass, whatever the input; the passes grow with it. The exact base score takes
+frequent words from the table, words that the filter does not have as unknown, and the rest from the blocks' counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,8 +32,8 @@ BASE, PROBES, BITS = 1.6, 5, 7.2
 PRIOR, GROWTH = 2.0, 0.75
 #: N-grams that one block of the hash range should hold, at most and about, and words of the broadcast table at most.
 BLOCK_NGRAMS, TABLE_WORDS = 1_500_000, 1_000_000
-#: Bytes of the filter in one broadcast variable, about.
-SLICE = 24 << 20
+#: Blocks whose filters are in memory in one pass, and in one broadcast variable; a block takes about 2.5 MB, 4 at most.
+PASS_BLOCKS, SLICE_BLOCKS = 32, 8
 CHUNK = 2 << 20
 #: Stands for the end of a document, which counts as a token.
 END = np.uint64(0x5DEECE66D1234567)
@@ -66,6 +71,11 @@ def _sum_up(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return values[at], np.diff(np.append(at, len(values))) if weights is None else np.add.reduceat(weights, at)
 
 
+def _by_row(row: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
+    """The sum of the weights, or the number, of each of n rows."""
+    return np.bincount(row, weights, minlength=n).astype(np.float64)
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     """The quantised log count: 1 for 1, one more for each power of BASE."""
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
@@ -95,23 +105,24 @@ def build_block(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """All blocks of the filter, in slices that are used as they are: (blocks, their sizes in bytes, their bytes)."""
+    """Blocks of the filter from the first on, in slices that are used as they are: (blocks, their sizes in bytes, their bytes)."""
 
-    def __init__(self, slices: list[tuple[list[int], list[int], bytes]], blocks: int):
-        self.blocks = blocks
-        self.slice = np.full(blocks, -1, np.int64)
-        self.start, self.bits = np.zeros(blocks, np.int64), np.zeros(blocks, np.uint64)
+    def __init__(self, slices: list[tuple[list[int], list[int], bytes]], first: int, last: int):
+        self.first = first
+        self.slice = np.full(last - first, -1, np.int64)
+        self.start, self.bits = np.zeros(last - first, np.int64), np.ones(last - first, np.uint64)
         self.data = []
         for k, (own, sizes, data) in enumerate(slices):
-            self.slice[own] = k
-            self.start[own] = np.cumsum(sizes) - sizes
-            self.bits[own] = np.array(sizes, np.uint64) * np.uint64(8)
+            at = np.array(own, np.int64) - first
+            self.slice[at] = k
+            self.start[at] = np.cumsum(sizes) - sizes
+            self.bits[at] = np.array(sizes, np.uint64) * np.uint64(8)
             self.data.append(np.frombuffer(data, np.uint8))
 
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probes go on, level by level, for those that had all bits so far."""
+    def levels(self, grams: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The level of each n-gram of these blocks: probes go on, level by level, for those that had all bits so far."""
         out = np.zeros(len(grams), np.int64)
-        block = block_of(grams, self.blocks)
+        block = block - self.first
         which = self.slice[block]
         for k, data in enumerate(self.data):
             live = np.flatnonzero(which == k)
@@ -217,123 +228,137 @@ def frequent_words(table: DataFrame, most: int = TABLE_WORDS) -> tuple[np.ndarra
     return words[order], counts[order]
 
 
-def broadcast_filter(table: DataFrame) -> list[Broadcast]:
-    """The filter as broadcast variables of about SLICE bytes, so that the driver holds one slice at a time."""
-    sc = table.sparkSession.sparkContext
-    sizes = table.select("block", F.octet_length("filter").alias("size")).orderBy("block").collect()
-    out, own, size = [], [], 0
-    for k, r in enumerate(sizes):
-        own.append(r["block"])
-        size += r["size"]
-        if size >= SLICE or k == len(sizes) - 1:
-            rows = table.where(F.col("block").between(own[0], own[-1])).select("block", "filter").collect()
-            out.append(sc.broadcast(([x["block"] for x in rows], [len(x["filter"]) for x in rows], b"".join(x["filter"] for x in rows))))
-            own, size = [], 0
+def broadcast_filter(table: DataFrame, first: int, last: int) -> list[Broadcast]:
+    """The filters of the blocks from first to before last as broadcast variables, so that the driver holds one of them at a time."""
+    sc, out = table.sparkSession.sparkContext, []
+    for at in range(first, last, SLICE_BLOCKS):
+        rows = table.where(F.col("block").between(at, min(at + SLICE_BLOCKS, last) - 1)).select("block", "filter").collect()
+        out.append(sc.broadcast(([x["block"] for x in rows], [len(x["filter"]) for x in rows], b"".join(x["filter"] for x in rows))))
     return out
 
 
-def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every document row; log10 of probabilities.
 
     base_score is exact add-half word scoring; score takes pairs of words, from the filter, smoothed with the words.
     Whole texts are scored; a null or empty text is its end alone. Equal rows get equal scores. Without training texts
-    all words are unknown. Other columns are not read.
+    all words are unknown. Other columns are not read. pass_blocks bounds the memory and changes no result.
     """
     spark = documents.sparkSession
     table, blocks = count_ngrams(training, text_col)
     totals = table.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n_all, n_distinct = totals["n"] or 0, totals["v"] or 0
-    held = broadcast_filter(table)
-    frequent = spark.sparkContext.broadcast(frequent_words(table))
+    words_table = frequent_words(table)
+    others = max(0, n_distinct - len(words_table[0]))
+    rare_count = (n_all - int(words_table[1].sum())) / others if others else 0.0
+    frequent = spark.sparkContext.broadcast(words_table)
     rest = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
+    fields = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).withColumn("tie", F.xxhash64("body")).withColumn("rid", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("body")))
+    asked_type = ArrayType(StructType([StructField("block", IntegerType()), StructField("words", BinaryType())]))
+    schema = StructType([fields.schema["id"], StructField("rid", LongType()), StructField("tie", LongType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()), StructField("asked", asked_type)])
 
-    def scan(batches):
-        hasher = WordHasher()
-        lookup = Filter([b.value for b in held], blocks)
-        known_words, known_counts = frequent.value
+    def one_pass(first_block: int, last_block: int) -> DataFrame:
+        """What the words and pairs of these blocks add for each document."""
+        held = broadcast_filter(table, first_block, last_block)
+        begins = first_block == 0
+
+        def scan(batches):
+            hasher = WordHasher()
+            lookup = Filter([b.value for b in held], first_block, last_block)
+            known_words, known_counts = frequent.value
+            for batch in batches:
+                for part in batches_of(batch, "body", CHUNK):
+                    words, first = tokens(part.column("body"), hasher)
+                    rows, n = first[:-1], len(first) - 1
+                    row = np.repeat(np.arange(n), np.diff(first))
+                    if len(known_words):
+                        at = np.minimum(np.searchsorted(known_words, words), len(known_words) - 1)
+                        counts = np.where(known_words[at] == words, known_counts[at], 0)
+                    else:
+                        counts = np.zeros(len(words), np.int64)
+                    # words of these blocks: known ones, those that the filter lacks, and the rest, for each row by block
+                    block = block_of(words, blocks)
+                    here = (block >= first_block) & (block < last_block)
+                    base = _by_row(row[here & (counts > 0)], np.log10(counts[here & (counts > 0)] + 0.5) - rest, n)
+                    known = np.bincount(row[here & (counts > 0)], minlength=n)
+                    open_ = np.flatnonzero(here & (counts == 0))
+                    there = lookup.levels(words[open_], block[open_]) > 0
+                    base += _by_row(row[open_[~there]], None, n) * (np.log10(0.5) - rest)
+                    rare = open_[there]
+                    asked = [[] for _ in range(n)]
+                    order = rare[np.lexsort((block[rare], row[rare]))]
+                    key = row[order] * np.int64(blocks) + block[order]
+                    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+                    for a, z in zip(cut.tolist(), np.append(cut, len(key))[1:].tolist(), strict=True):
+                        asked[int(key[a]) // blocks].append({"block": int(key[a]) % blocks, "words": words[order[a:z]].tobytes()})
+                    # pairs of these blocks: the pair from the filter, its words from the table
+                    both = pairs(words, first)
+                    block = block_of(both, blocks)
+                    here = np.flatnonzero((block >= first_block) & (block < last_block))
+                    single = np.where(counts > 0, counts, rare_count)
+                    before = np.empty_like(single)
+                    before[1:] = single[:-1]
+                    before[rows] = single[first[1:] - 1]
+                    single, before = single[here], before[here]
+                    pair = np.minimum(count_of(lookup.levels(both[here], block[here])), np.minimum(single, before))
+                    weight = PRIOR * (before + 1) ** GROWTH
+                    smooth = (pair + weight * 10 ** (np.log10(single + 0.5) - rest)) / (before + weight)
+                    total = _by_row(row[here], np.log10(smooth), n)
+                    size = np.diff(first) if begins else np.zeros(n, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"), part.column("rid"), part.column("tie"), pa.array(size), pa.array(known), pa.array(base), pa.array(total), pa.array(asked, pa.list_(pa.struct([("block", pa.int32()), ("words", pa.binary())])))],
+                        names=["id", "rid", "tie", "n_tokens", "n_known", "base", "score", "asked"],
+                    )
+
+        out = keep(fields.mapInArrow(scan, schema), "scored")
+        for b in held:  # the sums are written; these filters are not needed any more
+            b.destroy()
+        return out.withColumn("times", F.lit(int(begins)).cast("long"))
+
+    scored = reduce(DataFrame.unionByName, [one_pass(at, min(at + pass_blocks, blocks)) for at in range(0, blocks, pass_blocks)])
+    frequent.destroy()
+
+    # rare words, at their block's exact counts: sums for each document. A block's counts come first, then what is asked
+    asked = scored.select("rid", "tie", F.explode("asked").alias("a")).select("rid", "tie", F.col("a.block").alias("block"), F.col("a.words").alias("words"), F.lit(None).cast("binary").alias("counts"))
+    none = F.lit(None).cast("long")
+    stream = asked.unionByName(table.select(none.alias("rid"), none.alias("tie"), "block", "words", "counts"))
+    stream = stream.repartition("block").sortWithinPartitions("block", F.col("counts").isNull())
+
+    def look_up(batches):
+        current, exact, exact_counts = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in batches_of(batch, "body", CHUNK):
-                words, first = tokens(part.column("body"), hasher)
-                rows = first[:-1]
-                if len(known_words):
-                    at = np.minimum(np.searchsorted(known_words, words), len(known_words) - 1)
-                    counts = np.where(known_words[at] == words, known_counts[at], 0)
+            rid, tie, known, base = [], [], [], []
+            for r, t, b, w, c in zip(*(batch.column(x).to_pylist() for x in ("rid", "tie", "block", "words", "counts")), strict=True):
+                if c is not None:
+                    current, exact, exact_counts = b, np.frombuffer(w, "<u8"), np.frombuffer(c, "<i8")
+                    continue
+                if b != current:  # no training word is in this block
+                    current, exact, exact_counts = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                words = np.frombuffer(w, "<u8")
+                if len(exact):
+                    at = np.minimum(np.searchsorted(exact, words), len(exact) - 1)
+                    counts = np.where(exact[at] == words, exact_counts[at], 0)
                 else:
                     counts = np.zeros(len(words), np.int64)
-                own = np.log10(counts + 0.5) - rest
-                base = np.add.reduceat(np.where(counts > 0, own, 0.0), rows) if len(rows) else np.zeros(0)
-                known = np.add.reduceat((counts > 0).astype(np.int64), rows) if len(rows) else np.zeros(0, np.int64)
-                # the pair's probability, from the filter alone: a pair, the word before it, and the word itself
-                distinct, each = np.unique(words, return_inverse=True)
-                single = count_of(lookup.levels(distinct))[each]
-                pair = count_of(lookup.levels(pairs(words, first)))
-                before = np.empty_like(single)
-                before[1:] = single[:-1]
-                before[rows] = single[first[1:] - 1]
-                pair = np.minimum(pair, np.minimum(single, before))
-                weight = PRIOR * (before + 1) ** GROWTH
-                smooth = (pair + weight * 10 ** (np.log10(single + 0.5) - rest)) / (before + weight)
-                total = np.add.reduceat(np.log10(smooth), rows) if len(rows) else np.zeros(0)
-                # words out of the table: for each row by block
-                rare = np.flatnonzero(counts == 0)
-                asked = [[] for _ in range(len(rows))]
-                if len(rare):
-                    row = np.searchsorted(first, rare, "right") - 1
-                    block = block_of(words[rare], blocks)
-                    order = np.lexsort((block, row))
-                    key = row[order] * np.int64(blocks) + block[order]
-                    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                    sorted_words = words[rare][order]
-                    for a, z in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
-                        asked[int(key[a]) // blocks].append({"block": int(key[a]) % blocks, "words": sorted_words[a:z].tobytes()})
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("rid"), part.column("tie"), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(total), pa.array(asked, pa.list_(pa.struct([("block", pa.int32()), ("words", pa.binary())])))],
-                    names=["id", "rid", "tie", "n_tokens", "n_known", "base", "score", "asked"],
-                )
-
-    fields = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).withColumn("tie", F.xxhash64("body")).withColumn("rid", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("body")))
-    asked_type = ArrayType(StructType([StructField("block", IntegerType()), StructField("words", BinaryType())]))
-    schema = StructType([fields.schema["id"], StructField("rid", LongType()), StructField("tie", LongType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()), StructField("asked", asked_type)])
-    scored = keep(fields.mapInArrow(scan, schema), "scored")
-    for b in (*held, frequent):  # the scores are written; the filter is not needed any more
-        b.destroy()
-
-    # rare words, at their block's exact counts: sums for each document
-    asked = scored.select("rid", "tie", F.explode("asked").alias("a")).select("rid", "tie", F.col("a.block").alias("block"), F.col("a.words").alias("words"))
-
-    def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sizes = left["words"].map(len).to_numpy() // 8
-        words = np.frombuffer(b"".join(left["words"]), "<u8")
-        exact = np.frombuffer(right["words"].iloc[0], "<u8") if len(right) else np.zeros(0, np.uint64)
-        if len(exact):
-            at = np.minimum(np.searchsorted(exact, words), len(exact) - 1)
-            counts = np.where(exact[at] == words, np.frombuffer(right["counts"].iloc[0], "<i8")[at], 0)
-        else:
-            counts = np.zeros(len(words), np.int64)
-        starts = np.cumsum(sizes) - sizes
-        found = left[["rid", "tie"]].copy()
-        if not len(left):
-            return found.assign(rare_base=0.0, rare_known=0)
-        found["rare_base"] = np.add.reduceat(np.log10(counts + 0.5) - rest, starts)
-        found["rare_known"] = np.add.reduceat((counts > 0).astype(np.int64), starts)
-        return found
-
-    out_schema = "rid long, tie long, rare_base double, rare_known long"
-    rare = asked.groupBy("block").cogroup(table.select("block", "words", "counts").groupBy("block")).applyInPandas(look_up, out_schema)
-    # equal rows (the same id and text) asked as often as they occur; each gets its share of the sum
-    zero = F.lit(0).cast("long")
-    both = scored.select("id", "rid", "tie", "n_tokens", "n_known", "base", "score", F.lit(1).cast("long").alias("times"), F.lit(0.0).alias("rare_base"), zero.alias("rare_known")).unionByName(
-        rare.select(F.lit(None).cast(fields.schema["id"].dataType).alias("id"), "rid", "tie", zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"), zero.alias("times"), "rare_base", "rare_known")
-    )
-    each = both.groupBy("rid", "tie").agg(
-        F.max("id").alias("id"), F.sum("times").alias("times"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.min("base").alias("base"), F.min("score").alias("score"), F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known")
+                rid.append(r)
+                tie.append(t)
+                base.append(float(np.sum(np.log10(counts + 0.5) - rest)))
+                known.append(int(np.count_nonzero(counts)))
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(tie, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64())], names=["rid", "tie", "rare_base", "rare_known"])
+
+    rare = stream.mapInArrow(look_up, "rid long, tie long, rare_base double, rare_known long")
+    # equal rows (the same id and text) asked as often as they occur; each gets its share of the sums
+    zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
+    both = scored.select("id", "rid", "tie", "n_tokens", "n_known", "base", "score", "times").unionByName(
+        rare.select(F.lit(None).cast(fields.schema["id"].dataType).alias("id"), "rid", "tie", zero.alias("n_tokens"), F.col("rare_known").alias("n_known"), F.col("rare_base").alias("base"), nothing.alias("score"), zero.alias("times"))
     )
+    each = both.groupBy("rid", "tie").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("times", "n_tokens", "n_known", "base", "score")])
     rows = each.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return rows.select(
         F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + (F.col("rare_known") / F.col("times")).cast("long")).alias("n_known"),
+        (F.col("n_tokens") / F.col("times")).cast("long").alias("n_tokens"),
+        (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base") / F.col("times")).alias("base_score"),
-        "score",
+        (F.col("base") / F.col("times")).alias("base_score"),
+        (F.col("score") / F.col("times")).alias("score"),
     )
