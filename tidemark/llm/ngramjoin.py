@@ -240,9 +240,9 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     drop(spots, edges, last)
 
     # third round: all pairs that may link and still lie apart
-    spots = spots_apart(shared, nodes, comps)
-    left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")]) for x in "ab")
-    both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b") & _sizes_fit(percent) & _places_fit(percent))
+    spots = spots_apart(shared, nodes, comps, with_bits=True)
+    left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp", "bits")]) for x in "ab")
+    both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b") & _sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent))
     late, edges = checked(_new_pairs(both, percent), [tried, again], "late")
     last = comps
     comps = contract(comps, edges)
@@ -275,13 +275,14 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
     return found.where(~(hot & F.col("first"))).unionByName(tops.select(*found.columns)).drop("first")
 
 
-def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, part, pos, node, n and comp of the nodes at those prefix shingles whose nodes lie in more than one component."""
+def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame, with_bits: bool = False) -> DataFrame:
+    """token, part, pos, node, n, comp and if asked for bits of the nodes at those prefix shingles whose nodes lie in more than one component."""
     placed = keep(nodes.select("grp", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     at = shared.select("token", "part", "grp", "pos")
     ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    spots = keep(at.join(apart, "token").join(placed, "grp").select("token", "part", "pos", "node", "n", "comp"), "spots")
+    found = at.join(apart, "token").join(placed, "grp").select("token", "part", "pos", "node", "n", "comp")
+    spots = keep(found.join(nodes.select("node", "bits"), "node") if with_bits else found, "spots")
     drop(placed)
     return spots
 
