@@ -199,6 +199,11 @@ def find(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     kind counts KINDS from 0; offsets are code points, the end is exclusive. Whole texts are searched; a null or empty
     text has no spans. base are the plain matches, added those that were disguised; base spans are never dropped.
     """
+    return _positional(documents, text_col, carry).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "base", "added")
+
+
+def _positional(documents: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """find() with carry's columns named c_0, c_1 and so on."""
     fields = documents.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("body"))
     held = [f"c_{i}" for i in range(len(carry))]
     schema = StructType([*(f for f in fields.schema.fields if f.name != "body"), StructField("base", ArrayType(_SPAN)), StructField("added", ArrayType(_SPAN))])
@@ -217,7 +222,7 @@ def find(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
                         added[k] = [{"kind": i, "start": a, "end": b} for i, x in enumerate(disguised_spans(text, spans)) for a, b in x]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(base, _ARROW_SPAN), pa.array(added, _ARROW_SPAN)], names=[*held, "base", "added"])
 
-    return fields.mapInArrow(scan, schema).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "base", "added")
+    return fields.mapInArrow(scan, schema)
 
 
 def spans_text(spans):
@@ -239,14 +244,13 @@ def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with every span of the text replaced by its kind in brackets, as [EMAIL].
+    """All rows and columns, whatever their names, with every span of the text replaced by its kind in brackets, as [EMAIL].
 
     Of overlapping spans the one that starts first (then the longer one) names the replacement, which covers them all.
     """
     columns = documents.columns
-    i = columns.index(text_col)
-    found = find(documents, text_col, tuple(columns))
-    text = F.col(columns[i])
+    found = _positional(documents, text_col, tuple(columns))
+    text = F.col(f"c_{columns.index(text_col)}")
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     joined = F.aggregate(
         spans,
@@ -261,7 +265,7 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     )
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     parts = F.aggregate(
-        F.col("joined_spans_"),
+        F.col("joined"),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, s: F.struct(
             F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"])).alias("out"),
@@ -269,8 +273,8 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    clean = F.when(F.size("joined_spans_") == 0, text).otherwise(parts)
-    return found.withColumn("joined_spans_", joined).select(*[clean.alias(c) if c == text_col else F.col(c) for c in columns])
+    clean = F.when(F.size("joined") == 0, text).otherwise(parts)
+    return found.withColumn("joined", joined).select(*[clean.alias(c) if c == text_col else F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def base_digest(text: str | None) -> str:
