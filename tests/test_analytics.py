@@ -35,7 +35,7 @@ def test_average_cost(spark):
 
 def test_contract_errors(spark):
     out = {r["ticker"]: r["error"] for r in ledger.positions(book(spark, [("A", 1, "sell", 1, 1, 0, 0), ("B", 1, "buy", 1, 1, 0, 0), ("B", 3, "sell", 2, 1, 0, 0)])).collect()}
-    assert out == {"A": "sell with no shares held on 2024-01-01", "B": "oversell on 2024-01-03"}
+    assert out == {"A": "nothing is held to sell on 2024-01-01", "B": "more is sold than is held on 2024-01-03"}
 
 
 def test_splits_count_after_the_trade_only(spark):

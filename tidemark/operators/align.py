@@ -18,13 +18,22 @@ def asof_fill(prices: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("tick
     return both.withColumn(value, F.last(value, ignorenulls=True).over(back)).where("on_grid = 1").drop("on_grid")
 
 
-def snap_forward(events: DataFrame, days: DataFrame, keys: tuple[str, ...], clamp: bool = False, into: str = "day") -> DataFrame:
-    """events with the first calendar day at or after their d; later ones get the last day if clamp, else NULL."""
+def snap_forward(events: DataFrame, days: DataFrame, keys: tuple[str, ...], clamp: bool = False, into: str = "day", last_into: str | None = None, last=None) -> DataFrame:
+    """events with the first calendar day at or after their d; later ones get the last day if clamp, else NULL.
+
+    Only the distinct days of the events are put in order with the calendar, and joined back to the events. For events
+    that are distinct days themselves, last (an expression over is_event and d) can be had as last_into.
+    """
+    if last_into is None and events.columns != [*keys, "d"]:
+        placed = snap_forward(events.select(*keys, "d").distinct(), days, keys, clamp, into)
+        return events.join(placed, [*keys, "d"], "left").select(*events.columns, into)
     ahead = Window.partitionBy(*keys).orderBy(F.desc("d"), "is_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = events.withColumns({"is_event": F.lit(1), into: F.lit(None).cast("date")}).unionByName(days.select(*keys, "d").withColumns({"is_event": F.lit(0), into: F.col("d")}), allowMissingColumns=True)
     out = both.withColumn(into, F.last(into, ignorenulls=True).over(ahead))
     if clamp:
         out = out.withColumn(into, F.coalesce(into, F.max(F.when(F.col("is_event") == 0, F.col("d"))).over(Window.partitionBy(*keys))))
+    if last_into is not None:
+        out = out.withColumn(last_into, last)
     return out.where("is_event = 1").drop("is_event")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import ratio
 from tidemark.operators.drawdown import pct_change
 
+# Days of returns for volatilities, dollars of the smallest trade, slack of bands.
 LOOKBACK, LEAST_TRADE, BAND_EPS = 252, 1.0, 1e-9
 #: Rules that need no validated edge. Any other rule is refused unless the caller says it was validated.
 DISCIPLINE = ("equal_weight", "inverse_vol", "to_total", "bands", "cash_flow_only", "fixed_dca")
@@ -15,9 +16,9 @@ DISCIPLINE = ("equal_weight", "inverse_vol", "to_total", "bands", "cash_flow_onl
 # Fixed values of the preset templates and the questionnaire.
 PRESETS = {"conservative": {"equity": 0.35, "bonds": 0.50, "diversifiers": 0.15}, "moderate": {"equity": 0.55, "bonds": 0.30, "diversifiers": 0.15}, "aggressive": {"equity": 0.75, "bonds": 0.12, "diversifiers": 0.13}}
 ROLE_WEIGHTS = {
-    "equity": {"us-large": 0.55, "intl-developed": 0.22, "us-dividend": 0.10, "us-small-mid": 0.08, "em-equity": 0.05, "sector": 0.0},
-    "bonds": {"aggregate": 0.50, "treasury": 0.20, "corporate": 0.18, "tips": 0.12},
-    "diversifiers": {"gold": 0.60, "reit": 0.40, "commodity": 0.0},
+    "equity": {"us-large": 0.55, "intl-developed": 0.22, "us-dividend": 0.10, "us-small-mid": 0.08, "em-equity": 0.05, "sector-equity": 0.0},
+    "bonds": {"bond-aggregate": 0.50, "treasury": 0.20, "corporate-bond": 0.18, "tips": 0.12},
+    "diversifiers": {"gold": 0.60, "reit": 0.40, "commodity-broad": 0.0},
 }
 REFERENCE_MIXES = {
     "60-40": {"VOO": 0.60, "BND": 0.40},
@@ -32,6 +33,36 @@ def require_edge(rule: str, validated: bool = False) -> None:
         raise PermissionError(f"{rule} claims an edge that was not validated")
 
 
+def needs_series(rule: str) -> bool:
+    """Whether a rule weighs by past prices, so that they must be given."""
+    return rule == "inverse_vol"
+
+
+def allocate(rule: str, members: DataFrame, prices: DataFrame | None = None, cap: float | None = None, validated: bool = False, key: str = "book") -> DataFrame:
+    """key, ticker, w of the members (key, ticker) by a rule: equal_weight or inverse_vol (prices: ticker, d, close).
+
+    Cash is never given a weight. A preset is no such rule, an unknown one is an error, and one that claims an edge must
+    have been validated. cap bounds every weight. Keys without usable members have no rows.
+    """
+    if rule in PRESETS:
+        raise ValueError(f"{rule} is a preset: it makes a target from roles, not from members")
+    if rule not in ("equal_weight", "inverse_vol"):
+        raise ValueError(f"no such rule: {rule}")
+    require_edge(rule, validated)
+    own = members.where(F.upper(F.trim("ticker")) != "CASH").select(key, "ticker").distinct()
+    if rule == "equal_weight":
+        out = equal_weight(own, key)
+    else:
+        out = own.join(volatility(prices), "ticker").withColumn("v", 1 / F.col("s")).select(key, "ticker", (F.col("v") / F.sum("v").over(Window.partitionBy(key))).alias("w"))
+    return out if cap is None else apply_caps(out, cap, key)
+
+
+def volatility(prices: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+    """ticker, s: the deviation of the last returns; tickers without variation are left out."""
+    r = pct_change(prices, "ticker").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("d")))).where(F.col("k") <= lookback)
+    return r.groupBy("ticker").agg(F.stddev_samp("r").alias("s")).where("s > 0")
+
+
 def equal_weight(members: DataFrame, key: str = "book") -> DataFrame:
     """key, ticker, w: one over the number of distinct tickers."""
     return members.select(key, "ticker").distinct().withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(key)))
@@ -39,8 +70,7 @@ def equal_weight(members: DataFrame, key: str = "book") -> DataFrame:
 
 def inverse_vol(prices: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """ticker, w: in inverse proportion to the deviation of the last returns; tickers without variation are left out."""
-    r = pct_change(prices, "ticker").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("d")))).where(F.col("k") <= lookback)
-    vol = r.groupBy("ticker").agg(F.stddev_samp("r").alias("s")).where("s > 0")
+    vol = volatility(prices, lookback)
     total = vol.agg(F.sum(1 / F.col("s")).alias("t"))
     return vol.join(F.broadcast(total)).select("ticker", (1 / F.col("s") / F.col("t")).alias("w"))
 
@@ -90,17 +120,23 @@ def _universe(held: DataFrame, prices: DataFrame, target: DataFrame, key: str) -
     return both.select(key, "ticker", F.coalesce("value", F.lit(0.0)).alias("held"), F.coalesce("w", F.lit(0.0)).alias("w"), "price", "total").withColumn("cur_w", F.coalesce(ratio(F.col("held"), F.col("total")), F.lit(0.0)))
 
 
-def _suggestion(df: DataFrame, key: str, dollars) -> DataFrame:
+def _percent(x, digits: int = 1):
+    return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+
+
+def _suggestion(df: DataFrame, key: str, dollars, rule: str, held_back, reason) -> DataFrame:
+    """held_back: why nothing is traded; reason: why something is."""
     trade = F.coalesce(dollars, F.lit(0.0))
     small = F.abs(trade) < LEAST_TRADE
     return df.select(
         key, "ticker", F.when(small, "hold").when(trade > 0, "buy").otherwise("sell").alias("action"), F.when(small, 0.0).otherwise(F.abs(trade)).alias("dollars"),
         F.when(small, 0.0).otherwise(ratio(F.abs(trade), F.col("price"))).alias("shares"), "cur_w", F.col("w").alias("target_w"),
+        F.lit(rule).alias("rule"), F.when(small, held_back).otherwise(reason).alias("reason"),
     )
 
 
 def suggest(mode: str, held: DataFrame, prices: DataFrame, target: DataFrame, new_cash: float = 0.0, band: float = 0.05, band_rel: float = 0.25, key: str = "book") -> DataFrame:
-    """key, ticker, action, dollars, shares, cur_w, target_w by rule.
+    """key, ticker, action, dollars, shares, cur_w, target_w, rule and reason by rule.
 
     to_total trades every ticker to its weight of the total with the new cash. bands does the same, but only for books
     in which any ticker lies outside its band (the smaller of band and band_rel of its weight). cash_flow_only spreads
@@ -110,17 +146,26 @@ def suggest(mode: str, held: DataFrame, prices: DataFrame, target: DataFrame, ne
     require_edge(mode)
     u, book = _universe(held, prices, target, key), Window.partitionBy(key)
     whole = F.col("w") * (F.col("total") + new_cash) - F.col("held")
+    exit_ = F.lit("target 0%: the position is sold off")
+    against = F.concat(_percent(F.col("cur_w")), F.lit(" held, "), _percent(F.col("w")), F.lit(" wanted"))
     if mode == "to_total":
-        return _suggestion(u, key, whole)
+        return _suggestion(u, key, whole, mode, F.lit("on target"), F.when(F.col("w") == 0, exit_).otherwise(against))
     if mode == "bands":
-        out = F.abs(F.col("cur_w") - F.col("w")) > F.least(F.lit(band), F.lit(band_rel) * F.col("w")) + BAND_EPS
-        return _suggestion(u.withColumn("breach", F.max(out).over(book)), key, F.when(F.col("breach"), whole))
+        width = F.least(F.lit(band), F.lit(band_rel) * F.col("w"))
+        out = F.abs(F.col("cur_w") - F.col("w")) > width + BAND_EPS
+        beyond = F.concat(F.format_string("%+.1f", (F.col("cur_w") - F.col("w")) * 100), F.lit(" points off, the band is "), F.format_string("%.2f", width * 100))
+        inside = F.concat(F.lit("within its band of "), F.format_string("%.2f", width * 100), F.lit(" points"))
+        reason = F.when(F.col("w") == 0, exit_).when(out, beyond).otherwise(F.concat(against, F.lit("; another left its band")))
+        return _suggestion(u.withColumn("breach", F.max(out).over(book)), key, F.when(F.col("breach"), whole), mode, F.when(F.col("breach"), "on target").otherwise(inside), reason)
     if mode == "cash_flow_only":
         short = u.withColumn("short", F.greatest(whole, F.lit(0.0))).withColumn("all_short", F.sum("short").over(book))
         spread = F.when(F.col("all_short") > 0, new_cash * ratio(F.col("short"), F.col("all_short"))).otherwise(new_cash * F.col("w"))
-        return _suggestion(short, key, F.when((F.col("w") > 0) & F.lit(new_cash > 0), spread))
+        may = (F.col("w") > 0) & F.lit(new_cash > 0)
+        held_back = F.when(may, "at or above target").otherwise("no cash for it")
+        return _suggestion(short, key, F.when(may, spread), mode, held_back, F.when(F.col("all_short") > 0, "new cash fills what lacks").otherwise("nothing lacks: new cash by target"))
     if mode == "fixed_dca":
-        return _suggestion(u, key, new_cash * F.col("w"))
+        reason = F.concat(_percent(F.col("w")), F.lit(f" of {new_cash:,.0f} dollars"))
+        return _suggestion(u, key, new_cash * F.col("w"), mode, F.lit("not in the target, or no cash"), reason)
     raise ValueError(f"no such mode: {mode}")
 
 

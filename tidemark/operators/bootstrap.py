@@ -10,13 +10,36 @@ from pyspark.sql import functions as F
 METRICS = ("sharpe", "sortino", "calmar", "max_drawdown", "ulcer", "cdar")
 
 
-def block_indices(n: int, block: int, reps: int, seed: int) -> np.ndarray:
+def seeded_starts(most: int, reps: int, pieces: int, seed: int) -> np.ndarray:
+    """Starts below most, from a seeded generator."""
+    return np.random.default_rng(seed).integers(0, most, size=(reps, pieces))
+
+
+def counted_starts(most: int, reps: int, pieces: int, seed: int) -> np.ndarray:
+    """Starts below most that follow from replicate, piece and seed by three congruential steps, so that SQL can draw them too."""
+    x = (seed * 1_000_003 + np.arange(reps, dtype=np.int64)[:, None] * 8191 + np.arange(pieces, dtype=np.int64) * 131_071 + 12_345) % 2_147_483_647
+    for _ in range(3):
+        x = (x * 48_271 + 11) % 2_147_483_647
+    return x % most
+
+
+DRAWS = {"seeded": seeded_starts, "counted": counted_starts}
+
+
+def block_indices(n: int, block: int, reps: int, seed: int, draws: str = "seeded") -> np.ndarray:
     """Positions of each replicate: blocks at random starts, end to end, cut to n."""
     pieces = -(-n // block)
-    starts = np.random.default_rng(seed).integers(0, max(1, n - block + 1), size=(reps, pieces))
+    starts = DRAWS[draws](max(1, n - block + 1), reps, pieces, seed)
     return (starts[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]
 
 
+def drawn(n: int, block: int, reps: int, seed: int, draws: str):
+    """block_indices in pieces of a bounded number of positions."""
+    at, step = block_indices(n, block, reps, seed, draws), max(1, 2_000_000 // max(1, n))
+    for k in range(0, reps, step):
+        yield at[k : k + step]
+
+
 def path_block(n: int) -> int:
     """Block length for metrics of the path: about the root of n, at least 2."""
     return min(n, max(2, round(n**0.5)))
@@ -40,7 +63,7 @@ def metric(r: np.ndarray, name: str) -> np.ndarray:
         return np.partition(dd, k - 1, axis=1)[:, :k].mean(axis=1)
 
 
-def intervals(returns: DataFrame, key: str, reps: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def intervals(returns: DataFrame, key: str, reps: int = 1000, ci: float = 0.95, seed: int = 42, draws: str = "seeded") -> DataFrame:
     """key, metric, point, low, high of returns (key, d, r): percentile intervals of block bootstraps.
 
     Ratios of returns use blocks of the cube root of n, metrics of the path of the square root. Replicates that are not
@@ -50,15 +73,20 @@ def intervals(returns: DataFrame, key: str, reps: int = 1000, ci: float = 0.95,
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values("d")["r"].to_numpy(float)
         n, out = len(r), []
+        made: dict[str, list] = {name: [] for name in METRICS}
+        if n > 1:  # one set of positions for each length of block
+            for block, names in ((min(n, max(2, round(n ** (1 / 3)))), METRICS[:2]), (path_block(n), METRICS[2:])):
+                for at in drawn(n, block, reps, seed, draws):
+                    for name in names:
+                        made[name].append(metric(r[at], name))
         for name in METRICS:
             point = float(metric(r[None, :], name)[0]) if n > 1 else float("nan")
             low = high = point
             if n > 1 and np.isfinite(point):
-                block = min(n, max(2, round(n ** (1 / 3)))) if name in ("sharpe", "sortino") else path_block(n)
-                made = metric(r[block_indices(n, block, reps, seed)], name)
-                made = made[np.isfinite(made)]
-                if len(made):
-                    low, high = np.quantile(made, [(1 - ci) / 2, (1 + ci) / 2])
+                found = np.concatenate(made[name])
+                found = found[np.isfinite(found)]
+                if len(found):
+                    low, high = np.quantile(found, [(1 - ci) / 2, (1 + ci) / 2])
             fix = lambda x: float(x) if np.isfinite(x) else None
             out.append((pdf[key].iloc[0], name, fix(point), fix(low), fix(high)))
         return pd.DataFrame(out, columns=[key, "metric", "point", "low", "high"])
@@ -67,18 +95,19 @@ def intervals(returns: DataFrame, key: str, reps: int = 1000, ci: float = 0.95,
     return returns.select(key, "d", "r").groupBy(key).applyInPandas(resample, f"{key} {kind}, metric string, point double, low double, high double")
 
 
-def paired_ulcer_gain(returns: DataFrame, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """One row, low and high: the interval of the Ulcer index of r_without less that of r_with, both resampled at the same positions; NULL under ten days."""
+def paired_ulcer_gain(returns: DataFrame, key: str = "pair", reps: int = 1000, seed: int = 42, draws: str = "seeded") -> DataFrame:
+    """key, low and high: the interval of the Ulcer index of r_without less that of r_with, both resampled at the same positions; NULL under ten days."""
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         n, low, high = len(pdf), None, None
         if n >= 10:
-            at = block_indices(n, path_block(n), reps, seed)
-            gain = metric(pdf["r_without"].to_numpy(float)[at], "ulcer") - metric(pdf["r_with"].to_numpy(float)[at], "ulcer")
+            a, b = pdf["r_without"].to_numpy(float), pdf["r_with"].to_numpy(float)
+            gain = np.concatenate([metric(a[at], "ulcer") - metric(b[at], "ulcer") for at in drawn(n, path_block(n), reps, seed, draws)])
             gain = gain[np.isfinite(gain)]
             if len(gain):
                 low, high = (float(x) for x in np.percentile(gain, [2.5, 97.5]))
-        return pd.DataFrame({"low": [low], "high": [high]}, dtype=float)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "low": [low], "high": [high]}).astype({"low": float, "high": float})
 
-    return returns.withColumn("pair", F.lit(0)).groupBy("pair").applyInPandas(resample, "low double, high double")
+    kind = returns.schema[key].dataType.simpleString()
+    return returns.groupBy(key).applyInPandas(resample, f"{key} {kind}, low double, high double")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
 
+# A role up to this share is a gap; funds shown of a shelf, and of a shelf asked for; roles that are bets, not gaps.
 GAP, SHELF_CAP, DRILL_CAP = 0.03, 3, 6
+SATELLITES = ("sector-equity",)
 
 
 def exposure(held: DataFrame, universe: DataFrame) -> DataFrame:
@@ -17,9 +19,10 @@ def exposure(held: DataFrame, universe: DataFrame) -> DataFrame:
     return known.join(whole.where("total > 0"), "book").select("book", "role", ratio(F.col("v"), F.col("total")).alias("exposure"))
 
 
-def gaps(held: DataFrame, universe: DataFrame, threshold: float = GAP) -> DataFrame:
-    """book, role, exposure of the universe's roles that the book holds at most threshold of."""
-    grid = held.select("book").distinct().crossJoin(F.broadcast(universe.select("role").distinct()))  # as many roles as the vocabulary has
+def gaps(held: DataFrame, universe: DataFrame, threshold: float = GAP, with_satellites: bool = False, satellites: tuple[str, ...] = SATELLITES) -> DataFrame:
+    """book, role, exposure of the universe's roles that the book holds at most threshold of; satellite roles only if asked for."""
+    roles = universe.select("role").distinct()
+    grid = held.select("book").distinct().crossJoin(F.broadcast(roles if with_satellites else roles.where(~F.col("role").isin(*satellites))))  # as many roles as the vocabulary has
     out = grid.join(exposure(held, universe), ["book", "role"], "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
     return out.where(F.col("exposure") <= threshold)
 
@@ -46,14 +49,46 @@ def more_shelves(held: DataFrame, universe: DataFrame, open_roles: DataFrame, ca
     return rest.groupBy("book", "role", "flavor").agg(F.count(F.lit(1)).alias("n"))
 
 
-def role_menu(universe: DataFrame, role: str, flavor: str | None = None) -> DataFrame:
-    """The funds of one role: up to DRILL_CAP of one shelf, core first; or the first SHELF_CAP core funds of each shelf."""
-    pool = universe.where(F.col("role") == role)
-    if flavor is not None:
-        order = Window.partitionBy("role").orderBy(F.desc("core"), "file_ord")
-        return pool.where(F.col("flavor") == flavor).withColumn("place", F.row_number().over(order)).where(F.col("place") <= DRILL_CAP)
-    order = Window.partitionBy("flavor").orderBy("file_ord")
-    return pool.where("core").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SHELF_CAP)
+def parse_request(text: str, roles: set[str]) -> tuple[list[tuple[str, str | None]], list[str]]:
+    """(role, shelf or None) of "role,role:shelf", and what is left out: unknown roles, and roles named again."""
+    asked: list[tuple[str, str | None]] = []
+    refused = []
+    for part in (p.strip() for p in text.split(",")):
+        role, _, shelf = part.partition(":")
+        if not part:
+            continue
+        if role not in roles or role in {r for r, _ in asked}:
+            refused.append(part)
+        else:
+            asked.append((role, shelf or None))
+    return asked, refused
+
+
+def role_menus(asked: DataFrame, held: DataFrame, universe: DataFrame, satellites: tuple[str, ...] = SATELLITES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The funds that books do not hold of roles named (asked: book, role, flavor or NULL), the other shelves, and errors.
+
+    Funds (book, role, place, ticker, flavor, core): of a shelf named, up to DRILL_CAP, core first. Without one, of a
+    satellite role nothing, unless it has one shelf only, which is then the one named; of any other role the first
+    SHELF_CAP core funds of each shelf, or without core funds the role's first SHELF_CAP. Shelves (book, role, flavor, n)
+    are those that no fund is shown of. Errors (book, role, flavor, shelves): a shelf that the role does not have.
+    """
+    pool = asked.select("book", "role", F.col("flavor").alias("wanted")).join(F.broadcast(universe), "role").join(held.select("book", "ticker"), ["book", "ticker"], "left_anti")
+    role, shelf = Window.partitionBy("book", "role"), Window.partitionBy("book", "role", "flavor")
+    pool = pool.withColumns({"shelves": F.array_sort(F.collect_set("flavor").over(role)), "shelf_ord": F.min("file_ord").over(shelf), "any_core": F.max("core").over(role)})
+    is_satellite = F.col("role").isin(*satellites)
+    pool = pool.withColumn("wanted", F.coalesce("wanted", F.when(is_satellite & (F.size("shelves") == 1), F.get("shelves", F.lit(0)))))
+    named = pool.where("wanted is not null")
+    known = F.array_contains("shelves", F.col("wanted"))
+    first = F.row_number().over(role.orderBy(F.desc("core"), "file_ord"))
+    drill = named.where(F.col("flavor") == F.col("wanted")).withColumn("k", first).where(F.col("k") <= DRILL_CAP)
+    plain = pool.where(F.col("wanted").isNull() & ~is_satellite)
+    full = plain.where("core").withColumn("k", F.row_number().over(shelf.orderBy("file_ord"))).where(F.col("k") <= SHELF_CAP)
+    tilts = plain.where("not any_core").withColumn("k", F.row_number().over(role.orderBy("file_ord"))).where(F.col("k") <= SHELF_CAP)
+    menu = drill.unionByName(full).unionByName(tilts)
+    menu = menu.withColumn("place", F.row_number().over(role.orderBy(F.when(F.col("wanted").isNull(), F.col("shelf_ord")), F.desc("core"), "file_ord"))).select("book", "role", "place", "ticker", "flavor", "core")
+    index = pool.where(F.col("wanted").isNull() | known).groupBy("book", "role", "flavor").agg(F.count(F.lit(1)).alias("n")).join(menu.select("book", "role", "flavor").distinct(), ["book", "role", "flavor"], "left_anti")
+    errors = named.where(~known).select("book", "role", F.col("wanted").alias("flavor"), "shelves").distinct()
+    return menu, index, errors
 
 
 def merge_menus(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -91,3 +91,16 @@ def ratios(returns: DataFrame, key: str) -> DataFrame:
         (F.sqrt(year) * ratio(F.col("m"), F.col("s"))).alias("sharpe"), (F.sqrt(year) * ratio(F.col("m"), F.col("down"))).alias("sortino"),
         ratio(annual, F.abs("depth")).alias("calmar"), "depth",
     )
+
+
+def panel(levels: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """One row for each key: the deepest fall of its levels (key, d, x) and, of intervals (key, metric, point, low, high), every metric with its interval.
+
+    Columns: n_days, is_noisy, depth, peak_date, trough_date, recovery_date, duration_days, and metric, metric_low,
+    metric_high of each. Keys with fewer than two returns have no row.
+    """
+    from tidemark.operators.bootstrap import METRICS
+
+    picked = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(m if c == "point" else f"{m}_{c}") for m in METRICS for c in ("point", "low", "high")]
+    counts = levels.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("n_days")).where("n_days >= 2")
+    return intervals.groupBy(key).agg(*picked).join(walk(curve(levels, key), key), key).join(counts, key).withColumn("is_noisy", F.col("n_days") < NOISY)

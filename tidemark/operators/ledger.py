@@ -17,9 +17,13 @@ def positions(ledger: DataFrame, keys: tuple[str, ...] = ("book", "ticker")) ->
 
     Buys add to the cost, sells take shares at the average cost, income and costs are realised. Sorted rows are folded
     as a stream, so a holding may have any number of them; error names the first row that breaks the contract (a sale of
-    what is not held), and the fold goes on without that row. Cash rows and transfers are no holdings: see cash_totals.
+    what is not held, a trade of cash, a transfer of a security), and the fold goes on without that row. Transfers, income
+    and costs of cash are no holdings: see cash_totals.
     """
-    rows = ledger.where((F.col("ticker") != CASH) & ~F.col("action").isin("deposit", "withdraw"))
+    is_transfer = F.col("action").isin("deposit", "withdraw")
+    rows = ledger.where(F.when(F.col("ticker") == CASH, F.col("action").isin("buy", "sell")).otherwise(True))
+    odd = F.when(is_transfer, "transfer").when(F.col("ticker") == CASH, "cash trade").otherwise(F.col("action"))
+    rows = rows.withColumn("action", odd)
     numbers = [F.col(c).cast("double").alias(c) for c in ("quantity", "price", "fee", "cash")]
     held = [f"k_{i}" for i in range(len(keys))]
     sent = rows.select(*[F.col(k).alias(h) for k, h in zip(keys, held, strict=True)], "ord", F.col("d").cast("string").alias("d"), "action", *numbers)
@@ -54,13 +58,15 @@ def positions(ledger: DataFrame, keys: tuple[str, ...] = ("book", "ticker")) ->
 def _fold_row(state: tuple, d: str | None, action: str, q: float | None, price: float | None, fee: float | None, cash: float | None) -> tuple:
     """shares, cost, realised profit, fees and error after one more row; a missing figure makes those that need it missing."""
     s, c, r, f, e = state
+    if action in ("transfer", "cash trade"):
+        return s, c, r, f, e if e is not None or d is None else f"{action} on {d}: " + ("only cash is paid in or out" if action == "transfer" else "cash is not bought or sold")
     known = lambda *x: None not in x
     if action == "sell" and (s is None or s > 0 and q is None):
         pass  # nothing can be said of it but its fee
     elif action == "sell":
         none = s <= 0
         if none or q > s + DUST or q != q and s == s:
-            return s, c, r, f, e if e is not None or d is None else ("sell with no shares held on " if none else "oversell on ") + d
+            return s, c, r, f, e if e is not None or d is None else ("nothing is held to sell on " if none else "more is sold than is held on ") + d
         cost = q * (c / s) if known(c) else None
         r = r + (q * price - cost - fee) if known(r, price, cost, fee) else None
         s, c = (0.0, 0.0) if s - q < DUST else (s - q, c - cost if known(cost) else None)

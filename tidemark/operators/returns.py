@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cash_delta, cash_flow, ratio
-from tidemark.operators.align import asof_fill, snap_forward
+from tidemark.operators.align import snap_forward
+from tidemark.sources.shared import keep
 
 YEAR_DAYS, TRADING_DAYS = 365.25, 252
 LEAST_DAYS, LEAST_OBS = 183, 126
@@ -17,62 +18,114 @@ def _running(key: str) -> Window:
     return Window.partitionBy(key).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def book_calendar(ledger: DataFrame, prices: DataFrame) -> DataFrame:
-    """book, d: the days on which any ticker of the book has a price, from the book's first row on."""
-    owned = ledger.groupBy("book", "ticker").agg(F.min("d").alias("start"))
-    first = Window.partitionBy("book")
-    priced = prices.join(owned.join(prices.select("ticker").distinct(), "ticker", "left_semi").withColumn("start", F.min("start").over(first)), "ticker")
-    return priced.where("d >= start").select("book", "d").distinct()
-
-
 def priced_rows(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """The ledger's rows of tickers that have prices."""
     return ledger.join(prices.select("ticker").distinct(), "ticker", "left_semi")
 
 
-def value_curve(ledger: DataFrame, prices: DataFrame) -> DataFrame:
-    """book, d, v: shares times the last close, over the book's calendar.
+def book_days(ledger: DataFrame, prices: DataFrame) -> DataFrame:
+    """book, d, v, flow, income, delta: one row for each day on which any ticker of the book has a price, from its first row on.
+
+    v is shares times the last close; a ticker without a price yet counts as zero. flow is the money into trades less the
+    money out of them, delta the effect on the cash balance. Rows count from the first such day at or after theirs; later
+    ones count on the last day if they are income or costs, and not yet if they are trades. Transfers are left out.
 
-    Trades count from the first calendar day at or after theirs; those after the last day are not counted yet. A day on
-    which a ticker has no price yet counts it as zero.
+    The ledger is read once and summed up by holding and day; only days, not ledger rows, are placed on the calendar. The
+    holdings' values are one row for each day of the book and each of its tickers.
     """
-    rows, days = priced_rows(ledger, prices), book_calendar(ledger, prices)
-    trades = snap_forward(rows.where("action in ('buy', 'sell')").select("book", "ticker", "d", F.when(F.col("action") == "buy", F.col("quantity")).otherwise(-F.col("quantity")).alias("q")), days, ("book",)).where("day is not null")
-    moved = trades.groupBy("book", "ticker", F.col("day").alias("d")).agg(F.sum("q").alias("q"))
-    grid = days.join(rows.select("book", "ticker").distinct(), "book")
-    run = Window.partitionBy("book", "ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = grid.join(moved, ["book", "ticker", "d"], "left").withColumn("shares", F.sum(F.coalesce("q", F.lit(0.0))).over(run))
-    filled = asof_fill(prices.join(rows.select("book", "ticker").distinct(), "ticker"), grid, ("book", "ticker"))
-    return shares.join(filled, ["book", "ticker", "d"]).groupBy("book", "d").agg(F.sum(F.coalesce(F.col("shares") * F.col("close"), F.lit(0.0))).alias("v"))
-
-
-def daily_flows(ledger: DataFrame, prices: DataFrame) -> DataFrame:
-    """book, d, flow (money into trades less money out of them), income and delta (effect on the cash balance) of each calendar day with any."""
-    rows, days = priced_rows(ledger, prices), book_calendar(ledger, prices)
-    snapped = snap_forward(rows.where("action not in ('deposit', 'withdraw')"), days, ("book",), clamp=False, into="exact")
-    last = days.groupBy("book").agg(F.max("d").alias("last_day"))
-    trade = F.col("action").isin("buy", "sell")
-    c = [F.col(x) for x in ("action", "quantity", "price", "fee", "cash")]
-    placed = snapped.join(last, "book").withColumn("day", F.when(trade, F.col("exact")).otherwise(F.coalesce("exact", "last_day"))).where("day is not null")
-    return placed.groupBy("book", F.col("day").alias("d")).agg(
-        F.sum(F.when(trade, -cash_flow(*c)).otherwise(0.0)).alias("flow"), F.sum(F.when(trade, 0.0).otherwise(cash_flow(*c))).alias("income"), F.sum(cash_delta(*c)).alias("delta")
-    )
+    px = keep(prices.select("ticker", "d", "close"), "closes")
+    kind, c = F.col("action"), [F.col(x) for x in ("action", "quantity", "price", "fee", "cash")]
+    trade, other = kind.isin("buy", "sell"), ~kind.isin("buy", "sell", "deposit", "withdraw")
+    part = lambda when, x: F.sum(F.when(when, x).otherwise(0.0))
+    signed = F.when(kind == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
+    sums = {"q": part(trade, signed), "trade_flow": part(trade, cash_flow(*c)), "other_flow": part(other, cash_flow(*c)), "trade_delta": part(trade, cash_delta(*c)), "other_delta": part(other, cash_delta(*c))}
+    moves = keep(priced_rows(ledger, px).groupBy("book", "ticker", "d").agg(*[x.alias(n) for n, x in sums.items()]), "moves")
+    owned = moves.groupBy("book", "ticker").agg(F.min("d").alias("start")).withColumn("start", F.min("start").over(Window.partitionBy("book")))
+    closes = keep(px.join(owned, "ticker"), "owned-closes")
+    days = closes.where("d >= start").select("book", "d").distinct()
+    last = F.max(F.when(F.col("is_event") == 0, F.col("d"))).over(Window.partitionBy("book"))
+    asked = moves.select("book", "d").distinct()
+    placed = keep(snap_forward(asked, days, ("book",), into="day", last_into="last_day", last=last), "placed-days")
+    at = moves.join(placed, ["book", "d"])
+    traded = at.where("day is not null").select("book", "ticker", F.col("day").alias("d"), "q")
+    # closes, trades and the days that a value is wanted for, in one order for each holding
+    none = F.lit(None).cast("double")
+    grid = days.join(owned.select("book", "ticker"), "book").select("book", "ticker", "d", none.alias("close"), none.alias("q"), F.lit(1).alias("wanted"))
+    marks = closes.select("book", "ticker", "d", "close", none.alias("q"), F.lit(0).alias("wanted")).unionByName(traded.select("book", "ticker", "d", none.alias("close"), "q", F.lit(0).alias("wanted"))).unionByName(grid)
+    run = Window.partitionBy("book", "ticker").orderBy("d", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.coalesce(F.sum("q").over(run), F.lit(0.0)) * F.last("close", ignorenulls=True).over(run)
+    values = marks.withColumn("v", F.coalesce(value, F.lit(0.0))).where("wanted = 1").groupBy("book", "d").agg(F.sum("v").alias("v"))
+    flows = at.select("book", F.explode(F.array(
+        F.struct(F.col("day").alias("d"), (-F.col("trade_flow")).alias("flow"), F.lit(0.0).alias("income"), F.col("trade_delta").alias("delta")),
+        F.struct(F.coalesce("day", "last_day").alias("d"), F.lit(0.0).alias("flow"), F.col("other_flow").alias("income"), F.col("other_delta").alias("delta")),
+    )).alias("f")).select("book", "f.*").where("d is not null").groupBy("book", "d").agg(F.sum("flow").alias("flow"), F.sum("income").alias("income"), F.sum("delta").alias("delta"))
+    return values.join(flows, ["book", "d"], "left").fillna(0.0, ["flow", "income", "delta"])
+
+
+def value_curve(ledger: DataFrame, prices: DataFrame) -> DataFrame:
+    """book, d, v of book_days."""
+    return book_days(ledger, prices).select("book", "d", "v")
 
 
 def pnl_curve(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """book, d, pnl: value plus all flows so far, transfers left out."""
-    joined = value_curve(ledger, prices).join(daily_flows(ledger, prices), ["book", "d"], "left")
-    return joined.select("book", "d", (F.col("v") + F.sum(F.coalesce("delta", F.lit(0.0))).over(_running("book"))).alias("pnl"))
+    return book_days(ledger, prices).select("book", "d", (F.col("v") + F.sum("delta").over(_running("book"))).alias("pnl"))
 
 
 def daily_returns(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """book, d, r: the day's gain over the value before it and the day's net money in; money out leaves the base alone."""
-    joined = value_curve(ledger, prices).join(daily_flows(ledger, prices), ["book", "d"], "left").fillna(0.0, ["flow", "income"])
-    before = joined.withColumn("v0", F.lag("v").over(Window.partitionBy("book").orderBy("d")))
+    before = book_days(ledger, prices).withColumn("v0", F.lag("v").over(Window.partitionBy("book").orderBy("d")))
     gain = F.col("v") - F.col("v0") - F.col("flow") + F.col("income")
     return before.where(F.col("v0") > VALUE_DUST).select("book", "d", ratio(gain, F.col("v0") + F.greatest(F.col("flow"), F.lit(0.0))).alias("r")).where("r is not null")
 
 
+def performance(returns: DataFrame, key: str = "book") -> DataFrame:
+    """key, n, cumulative and annualized as in time_weighted, and depth, ulcer and underwater of the growth index, in one pass."""
+    grown = growth_index(returns, key)
+    drops = grown.withColumn("dd", ratio(F.col("g"), F.max("g").over(_running(key))) - 1)
+    out = drops.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("g", "d").alias("g"), F.min("dd").alias("depth"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.avg((F.col("dd") < 0).cast("double")).alias("underwater")
+    )
+    return out.select(key, "n", *_growth_rates(), "depth", "ulcer", "underwater")
+
+
+def _growth_rates() -> tuple[Column, Column]:
+    up = F.col("g") > 0
+    return F.when(up, F.col("g") - 1).alias("cumulative"), F.when(up & (F.col("n") >= LEAST_OBS), F.pow("g", F.lit(float(TRADING_DAYS)) / F.col("n")) - 1).alias("annualized")
+
+
+def stale_tails(prices: DataFrame, asof: Column, days: int = 10) -> DataFrame:
+    """Tickers whose last close lies more than so many days before the day."""
+    return prices.groupBy("ticker").agg(F.max("d").alias("last")).where(F.datediff(asof, "last") > days).select("ticker")
+
+
+def excluded(ledger: DataFrame, prices: DataFrame, asof: Column, factor: float = 2.0) -> DataFrame:
+    """ticker, mismatched, stale: what time-weighted returns and risk leave out, since it would make up a return.
+
+    Tickers with a trade that the prices cannot explain, and those whose prices ended long before the day.
+    """
+    odd = basis_mismatches(ledger, prices, factor).select("ticker", F.lit(True).alias("mismatched"))
+    old = stale_tails(prices, asof).select("ticker", F.lit(True).alias("stale"))
+    return odd.join(old, "ticker", "full").fillna(False, ["mismatched", "stale"])
+
+
+def summary(ledger: DataFrame, values: DataFrame, asof: Column, time_weighted_rows: DataFrame, key: str = "book") -> DataFrame:
+    """One row for each key: period_start, asof_date, money_weighted, modified_dietz, twr and twr_cumulative.
+
+    values: key, value, fully_priced. The period starts with the first row that is no transfer. The money-weighted figures
+    need the whole value: NULL where any holding has no price. Keys whose ledger is only transfers have 0 for both.
+    """
+    c = [F.col(x) for x in ("action", "quantity", "price", "fee", "cash")]
+    invested = F.min(F.when(~F.col("action").isin("deposit", "withdraw"), F.col("d")))
+    start = ledger.groupBy(key).agg(F.coalesce(invested, F.min("d")).alias("period_start"))
+    flows = ledger.select(key, "d", cash_flow(*c).alias("flow")).where("flow is not null")
+    money = money_weighted(flows, values.select(key, "value"), asof, key)
+    dietz = modified_dietz(flows, values.select(key, "value"), asof, key).select(key, F.coalesce("annualized", F.when(F.col("days").isNull(), 0.0)).alias("annualized_dietz"))
+    out = start.join(values, key, "left").join(money, key, "left").join(dietz, key, "left").join(time_weighted_rows.select(key, "cumulative", "annualized"), key, "left")
+    whole = F.coalesce("fully_priced", F.lit(False))
+    return out.select(key, "period_start", asof.alias("asof_date"), F.when(whole, F.col("irr")).alias("money_weighted"), F.when(whole, F.col("annualized_dietz")).alias("modified_dietz"), F.col("annualized").alias("twr"), F.col("cumulative").alias("twr_cumulative"))
+
+
 def growth_index(returns: DataFrame, key: str = "book") -> DataFrame:
     """The running product of 1 + r; the first value is that of the first return."""
     return returns.withColumn("g", F.product(1 + F.col("r")).over(_running(key)))
@@ -81,8 +134,7 @@ def growth_index(returns: DataFrame, key: str = "book") -> DataFrame:
 def time_weighted(returns: DataFrame, key: str = "book") -> DataFrame:
     """key, n, cumulative and annualized return; NULL where growth is not positive, annualized also under LEAST_OBS returns."""
     out = returns.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.product(1 + F.col("r")).alias("g"))
-    grown = F.col("g") > 0
-    return out.select(key, "n", F.when(grown, F.col("g") - 1).alias("cumulative"), F.when(grown & (F.col("n") >= LEAST_OBS), F.pow("g", F.lit(float(TRADING_DAYS)) / F.col("n")) - 1).alias("annualized"))
+    return out.select(key, "n", *_growth_rates())
 
 
 def money_weighted(flows: DataFrame, values: DataFrame, asof: Column, key: str = "book") -> DataFrame:

@@ -77,16 +77,34 @@ def correlation(pairs: DataFrame, key: str) -> DataFrame:
     return sums.select(key, "n", F.when((F.col("cc") > 0) & (F.col("pp") > 0), ratio(F.col("cp"), F.sqrt(F.col("cc") * F.col("pp")))).alias("rho"))
 
 
-def diversifier(candidates: DataFrame, book: DataFrame, book_walk: DataFrame) -> DataFrame:
+FAR = "9999-12-31"
+
+
+def book_context(book: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each cut-off day: the book's returns up to it (cut, d, p), and one row of its deepest fall (cut, peak_date, trough_date, book_depth).
+
+    book: d, r; cuts: cut, as many rows as there are different days, FAR for no cut-off.
+    """
+    own = book.select("d", F.col("r").alias("p")).join(F.broadcast(cuts.select("cut").distinct()), F.col("d") <= F.col("cut"))
+    levels = drawdown.with_base(own.withColumnRenamed("p", "r"), "cut")
+    walk = drawdown.walk(drawdown.curve(levels, "cut"), "cut").select("cut", "peak_date", "trough_date", F.col("depth").alias("book_depth"))
+    return own, walk
+
+
+def diversifier(candidates: DataFrame, book: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """ticker, n, rho, red_rho, dd_return and status: do candidates' returns (ticker, d, r) move unlike the book's (d, r)?
 
-    book_walk has one row with peak_date and trough_date; dd_return is the return through that window. The correlation
-    on the book's red days needs LEAST_RED of them, and turns a pass into a warning if it lies far above the other.
+    dd_return is the return through the book's deepest fall. The correlation on the book's red days needs LEAST_RED of
+    them, and turns a pass into a warning if it lies far above the other. cuts (ticker, cut): the last day that is looked
+    at for a candidate, in its own returns and in the book's; candidates without one see everything.
     """
-    both = candidates.select("ticker", "d", F.col("r").alias("c")).join(F.broadcast(book.select("d", F.col("r").alias("p"))), "d")
+    far = F.lit(FAR).cast("date")
+    own = candidates.withColumn("cut", far) if cuts is None else candidates.join(cuts, "ticker", "left").withColumn("cut", F.coalesce("cut", far)).where("d <= cut")
+    returns, walk = book_context(book, own.select("cut").distinct())
+    both = own.select("ticker", "cut", "d", F.col("r").alias("c")).join(returns, ["cut", "d"])
     whole = correlation(both, "ticker")
     red = correlation(both.where("p < 0"), "ticker").where(F.col("n") >= LEAST_RED).select("ticker", F.col("rho").alias("red_rho"))
-    through = both.join(F.broadcast(book_walk), F.col("d").between(F.col("peak_date"), F.col("trough_date"))).groupBy("ticker").agg((F.product(1 + F.col("c")) - 1).alias("dd_return"))
+    through = both.join(F.broadcast(walk), "cut").where("d between peak_date and trough_date").groupBy("ticker").agg((F.product(1 + F.col("c")) - 1).alias("dd_return"))
     out = whole.join(red, "ticker", "left").join(through, "ticker", "left")
     rho = F.col("rho")
     status = F.when((F.col("n") < LEAST_COMMON) | rho.isNull(), "n/a").when(rho > RHO[1], "fail").when((rho > RHO[0]) | F.coalesce(F.col("red_rho") - rho > RHO_RISE, F.lit(False)), "warn").otherwise("pass")
@@ -101,17 +119,62 @@ def own_drawdown(levels: DataFrame, held_worst: Column) -> DataFrame:
     return deep.withColumn("status", status)
 
 
-def overlaps(candidates: DataFrame, held: DataFrame) -> DataFrame:
-    """ticker, held_ticker, overlap and status: the most that look-through holdings (ticker, symbol, w) share with a held fund.
+def overlaps(candidates: DataFrame, held: DataFrame, look_through: DataFrame) -> DataFrame:
+    """ticker, held_ticker, overlap and status: the most that a candidate's holdings share with those of a held fund.
+
+    candidates and held: ticker, category; look_through: ticker, symbol, w. The shared weight is the sum of the smaller
+    weights of common symbols, 0 if both sides are known and share nothing; of equal ones the first ticker counts. Where
+    a side has no look-through holdings overlap is NULL: then a held fund of the same category is a warning, and without
+    one nothing can be said.
+    """
+    own = candidates.select("ticker").distinct().join(look_through, "ticker").select("ticker", "symbol", F.col("w").alias("a"))
+    theirs = held.select("ticker").distinct().join(look_through, "ticker").select(F.col("ticker").alias("held_ticker"), "symbol", F.col("w").alias("b"))
+    sums = own.join(theirs, "symbol").groupBy("ticker", "held_ticker").agg(F.sum(F.least("a", "b")).alias("overlap"))
+    best = sums.groupBy("ticker").agg(F.max(F.round("overlap", 12)).alias("overlap"), F.min_by("held_ticker", F.struct(-F.round("overlap", 12), F.col("held_ticker"))).alias("best_ticker"))
+    known = own.select("ticker").distinct().withColumn("known", F.lit(True))
+    comparable = theirs.agg((F.count(F.lit(1)) > 0).alias("comparable"))
+    same = held.where("trim(category) <> ''").groupBy("category").agg(F.min("ticker").alias("same_ticker"))
+    out = candidates.select("ticker", "category").dropDuplicates(["ticker"]).join(known, "ticker", "left").join(best, "ticker", "left").join(same, "category", "left").crossJoin(F.broadcast(comparable))  # one row
+    out = out.withColumn("overlap", F.when(F.col("known") & F.col("comparable"), F.coalesce("overlap", F.lit(0.0))))
+    shared = F.when(F.col("overlap") >= OVERLAP[1], "fail").when(F.col("overlap") >= OVERLAP[0], "warn").otherwise("pass")
+    status = F.when(F.col("overlap").isNotNull(), shared).when(F.col("same_ticker").isNotNull(), "warn").otherwise("n/a")
+    return out.select("ticker", F.when(F.col("overlap").isNotNull(), F.col("best_ticker")).otherwise(F.col("same_ticker")).alias("held_ticker"), "overlap", status.alias("status"))
+
+
+def novelty(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """ticker, check, status: a failure for every candidate that is held already, nothing for the others."""
+    return candidates.select("ticker").distinct().join(held.select("ticker").distinct(), "ticker", "left_semi").select("ticker", F.lit("novelty").alias("check"), F.lit("fail").alias("status"))
+
+
+def cutoffs(candidates: DataFrame, book_end: DataFrame, judged: DataFrame) -> DataFrame:
+    """ticker, cut: the last day that may be looked at when candidates are chosen, so that choosing never sees held-out days.
+
+    The earlier of the book's own in-sample end (book_end: one row, in_sample_end) and that of the candidate's role check
+    (judged: ticker, in_sample_end); NULL where there is neither.
+    """
+    return candidates.select("ticker").distinct().join(judged.select("ticker", F.col("in_sample_end").alias("own_end")), "ticker", "left").crossJoin(F.broadcast(book_end.select("in_sample_end"))).select("ticker", F.least("own_end", "in_sample_end").alias("cut"))  # one row
+
+
+def screen(candidates: DataFrame, facts: DataFrame, held: DataFrame, look_through: DataFrame, closes: DataFrame, book: DataFrame, today: Column, held_worst: Column, role: DataFrame | None = None, book_end: DataFrame | None = None) -> DataFrame:
+    """ticker, check, status of every check of every candidate.
 
-    The shared weight is the sum of the smaller weights of common symbols; candidates that share nothing have 0. Of
-    equal overlaps the first ticker counts.
+    candidates: ticker; facts: as in fact_checks, for candidates and held funds; held: ticker; closes: ticker, d, close;
+    book: d, r. With role (ticker, verdict, in_sample_end) the screen stands before a held-out verdict: checks of returns
+    then end at the cut-off of cutoffs(), and the verdict is a check itself. Without, everything is looked at. A candidate
+    without facts or prices gets n/a where they are needed.
     """
-    pairs = candidates.select("ticker", "symbol", F.col("w").alias("a")).join(held.select(F.col("ticker").alias("held_ticker"), "symbol", F.col("w").alias("b")), "symbol")
-    sums = pairs.groupBy("ticker", "held_ticker").agg(F.sum(F.least("a", "b")).alias("overlap"))
-    best = sums.groupBy("ticker").agg(F.max(F.round("overlap", 12)).alias("overlap"), F.min_by("held_ticker", F.struct(-F.round("overlap", 12), F.col("held_ticker"))).alias("held_ticker"))
-    out = candidates.select("ticker").distinct().join(best, "ticker", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    return out.withColumn("status", F.when(F.col("overlap") >= OVERLAP[1], "fail").when(F.col("overlap") >= OVERLAP[0], "warn").otherwise("pass"))
+    asked = candidates.select("ticker").distinct()
+    known = asked.join(facts, "ticker", "left")
+    cuts = None if role is None else cutoffs(asked, book_end, role).where("cut is not null")
+    own = closes.join(asked, "ticker", "left_semi")
+    if cuts is not None:
+        own = own.join(cuts, "ticker", "left").where("cut is null or d <= cut").select("ticker", "d", "close")
+    moves = diversifier(drawdown.pct_change(own, "ticker"), book, cuts)
+    deep = own_drawdown(own.withColumnRenamed("close", "x"), held_worst)
+    shared = overlaps(known.select("ticker", "category"), held.join(facts, "ticker", "left").select("ticker", "category"), look_through)
+    row = lambda df, name: asked.join(df.select("ticker", "status"), "ticker", "left").select("ticker", F.lit(name).alias("check"), F.coalesce("status", F.lit("n/a")).alias("status"))
+    out = fact_checks(known, today).unionByName(novelty(asked, held)).unionByName(row(moves, "diversifier")).unionByName(row(deep, "own_drawdown")).unionByName(row(shared, "overlap"))
+    return out if role is None else out.unionByName(row(role.withColumn("status", role_row(F.col("verdict"))), "role"))
 
 
 def role_row(verdict: Column) -> Column:

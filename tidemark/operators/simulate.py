@@ -13,6 +13,7 @@ from tidemark.functions.scalar import ratio, usable_price
 from tidemark.operators import drawdown
 from tidemark.operators.align import asof_fill
 from tidemark.operators.bootstrap import paired_ulcer_gain
+from tidemark.sources.shared import keep
 
 INITIAL, OOS_SHARE, LEAST_WINDOW = 10_000.0, 0.30, 60
 ULCER_MARGIN, CDAR_SLACK = 0.0025, 0.005
@@ -49,11 +50,11 @@ def simulate(prices: DataFrame, legs: DataFrame, schedule: str, spans: DataFrame
     Prices that are not finite and positive are left out. Tickers without a price at the start are dropped and the
     other weights scaled up. Pass total-return prices. spans (leg, lo, hi) narrows the window.
     """
-    px = usable(prices)
+    px = keep(usable(prices).select("ticker", "d", "close"), "closes")
     own = windows(px, legs)
     if spans is not None:
         own = own.join(spans.toDF("leg", "lo2", "hi2"), "leg").select("leg", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"))
-    days = leg_days(px, legs, own)
+    days = keep(leg_days(px, legs, own), "leg-days")
     marks = rebalance_days(days, schedule).withColumn("reb", F.lit(1))
     run = Window.partitionBy("leg").orderBy("d")
     # a rebalancing day is the last day of its old segment and the base of the next
@@ -61,6 +62,7 @@ def simulate(prices: DataFrame, legs: DataFrame, schedule: str, spans: DataFrame
     base = seg.withColumn("is_base", F.row_number().over(run) == 1).where("is_base or reb = 1").withColumn("base_g", F.when(F.col("is_base"), F.lit(0)).otherwise(F.col("g") + 1))
     member = legs.where("w > 0")
     filled = asof_fill(px.join(member.select("leg", "ticker"), "ticker"), days.join(member.select("leg", "ticker"), "leg"), ("leg", "ticker"))
+    filled = keep(filled, "filled")
     at_base = filled.join(base.select("leg", "d", "base_g"), ["leg", "d"]).select("leg", "ticker", F.col("base_g").alias("g"), F.col("close").alias("p0"))
     weights = at_base.where("g = 0 and p0 > 0").join(member, ["leg", "ticker"]).withColumn("w", ratio(F.col("w"), F.sum("w").over(Window.partitionBy("leg")))).select("leg", "ticker", "w")
     grown = seg.join(filled, ["leg", "d"]).join(weights, ["leg", "ticker"]).join(at_base, ["leg", "ticker", "g"])
@@ -68,7 +70,7 @@ def simulate(prices: DataFrame, legs: DataFrame, schedule: str, spans: DataFrame
     ends = Window.partitionBy("leg", "g").orderBy("d")
     last = F.when(F.lead("d").over(ends).isNull(), F.col("f")).otherwise(1.0)
     before = factor.withColumn("e", last).withColumn("done", F.coalesce(F.product("e").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
-    return before.select("leg", "d", (F.lit(initial) * F.col("done") * F.col("f")).alias("v"))
+    return keep(before.select("leg", "d", (F.lit(initial) * F.col("done") * F.col("f")).alias("v")), "curves")
 
 
 def split_days(days: DataFrame, key: str = "leg") -> DataFrame:
@@ -83,34 +85,35 @@ def split_days(days: DataFrame, key: str = "leg") -> DataFrame:
     return out.where((F.col("n_is") >= LEAST_WINDOW) & (F.col("n") - F.col("n_is") >= LEAST_WINDOW)).select(key, "lo", "in_sample_end", "oos_start", "hi")
 
 
-def aligned_returns(curves: DataFrame, without: str, tested: str) -> DataFrame:
-    """d, r_without, r_with: levels of both legs joined by day first, then the changes."""
-    a = curves.where(F.col("leg") == without).select("d", F.col("v").alias("a"))
-    b = curves.where(F.col("leg") == tested).select("d", F.col("v").alias("b"))
+def aligned_returns(curves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, d, r_without, r_with: levels of both legs (pairs: pair, without, tested) joined by day first, then the changes."""
+    a = curves.select(F.col("leg").alias("without"), "d", F.col("v").alias("a")).join(F.broadcast(pairs), "without")
+    b = curves.select(F.col("leg").alias("tested"), "d", F.col("v").alias("b"))
     order = Window.partitionBy("pair").orderBy("d")
-    both = a.join(b, "d").withColumn("pair", F.lit(0))
+    both = a.join(b, ["tested", "d"])
     change = lambda c: ratio(F.col(c), F.lag(c).over(order)) - 1
-    return both.select("d", change("a").alias("r_without"), change("b").alias("r_with")).where("r_without is not null and r_with is not null")
+    return both.select("pair", "d", change("a").alias("r_without"), change("b").alias("r_with")).where("r_without is not null and r_with is not null")
 
 
 def window_stats(returns: DataFrame) -> DataFrame:
-    """leg, n, depth, ulcer, cdar and vol of aligned returns; levels without a base row for ulcer and cdar."""
-    long = returns.select("d", F.explode(F.create_map(F.lit("without"), F.col("r_without"), F.lit("with"), F.col("r_with"))).alias("leg", "r"))
-    level = long.withColumn("x", F.product(1 + F.col("r")).over(Window.partitionBy("leg").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    drops = drawdown.curve(level, "leg")
-    path = drops.groupBy("leg").agg(F.count(F.lit(1)).alias("n"), drawdown.ulcer(F.col("dd")).alias("ulcer"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"))
-    deep = drawdown.curve(drawdown.with_base(long, "leg"), "leg").groupBy("leg").agg(F.min("dd").alias("depth"))
-    return path.join(drawdown.cdar(drops, "leg"), "leg").join(deep, "leg").select("leg", "n", "depth", "ulcer", "cdar", "vol")
+    """pair, leg, n, depth, ulcer, cdar, vol and ret (a year's return) of aligned returns; levels without a base row for ulcer and cdar."""
+    long = returns.select("pair", "d", F.explode(F.create_map(F.lit("without"), F.col("r_without"), F.lit("with"), F.col("r_with"))).alias("leg", "r")).withColumn("key", F.struct("pair", "leg"))
+    level = long.withColumn("x", F.product(1 + F.col("r")).over(Window.partitionBy("key").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    drops = drawdown.curve(level, "key")
+    grown = F.product(1 + F.col("r"))
+    path = drops.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawdown.ulcer(F.col("dd")).alias("ulcer"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), F.when(grown > 0, F.pow(grown, F.lit(252.0) / F.count(F.lit(1))) - 1).alias("ret"))
+    deep = drawdown.curve(drawdown.with_base(long, "key"), "key").groupBy("key").agg(F.min("dd").alias("depth"))
+    return path.join(drawdown.cdar(drops, "key"), "key").join(deep, "key").select("key.pair", "key.leg", "n", "depth", "ulcer", "cdar", "vol", "ret")
 
 
-def verdict(stats: DataFrame, returns: DataFrame, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: ulcer_gain, cdar_gain, low, high, verdict and cause of the tested leg against the other.
+def verdict(stats: DataFrame, returns: DataFrame, reps: int = 1000, seed: int = 42, draws: str = "seeded") -> DataFrame:
+    """pair, ulcer_gain, cdar_gain, low, high, verdict and cause of each pair's tested leg against the other.
 
     Gates in order: the gain must clear the margin, the tail must not contradict it, and a paired bootstrap must confirm.
     """
     pick = lambda leg, c: F.max(F.when(F.col("leg") == leg, -F.col(c) if c == "cdar" else F.col(c)))
-    gains = stats.agg((pick("without", "ulcer") - pick("with", "ulcer")).alias("ulcer_gain"), (pick("without", "cdar") - pick("with", "cdar")).alias("cdar_gain"))
-    g = gains.crossJoin(paired_ulcer_gain(returns, reps, seed))  # one row each
+    gains = stats.groupBy("pair").agg((pick("without", "ulcer") - pick("with", "ulcer")).alias("ulcer_gain"), (pick("without", "cdar") - pick("with", "cdar")).alias("cdar_gain"))
+    g = gains.join(paired_ulcer_gain(returns, "pair", reps, seed, draws), "pair", "left")
     up, c = F.col("ulcer_gain") > 0, F.col("cdar_gain")
     noise = F.abs("ulcer_gain") < ULCER_MARGIN
     against = (up & (c < -CDAR_SLACK)) | (~up & (c > CDAR_SLACK))
@@ -119,5 +122,79 @@ def verdict(stats: DataFrame, returns: DataFrame, reps: int = 1000, seed: int =
     return named.withColumn("verdict", verdict_of(F.col("cause"), up))
 
 
+def figure_clause(stats: DataFrame, baseline: str = "without") -> DataFrame:
+    """pair, clause: the held-out figures of both legs in one line of text, the tested leg first."""
+    both = stats.groupBy("pair").agg(*[F.max(F.when(F.col("leg") == leg, F.col(c))).alias(f"{c}_{leg}") for leg in ("with", "without") for c in ("ulcer", "cdar", "depth", "ret")])
+    pct = lambda c, digits, sign="": F.format_string(f"%{sign}.{digits}f%%", F.col(c) * 100)
+    text = F.concat(
+        F.lit("Ulcer "), pct("ulcer_with", 2), F.lit(" vs "), pct("ulcer_without", 2), F.lit(f" {baseline}; CDaR "), pct("cdar_with", 2), F.lit(" vs "), pct("cdar_without", 2),
+        F.lit("; max DD "), pct("depth_with", 1), F.lit(" vs "), pct("depth_without", 1), F.lit(" (context)"),
+    )
+    cost = F.concat(F.lit("; return "), pct("ret_with", 1, "+"), F.lit(" vs "), pct("ret_without", 1, "+"), F.lit("/yr ("), F.format_string("%+.1f", (F.col("ret_with") - F.col("ret_without")) * 100), F.lit("pp, context)"))
+    return both.select("pair", F.concat(text, F.coalesce(cost, F.lit(""))).alias("clause"))
+
+
+def role_checks(prices: DataFrame, target: DataFrame, candidates: DataFrame, schedule: str = "quarterly", sleeve: float = 0.05, reps: int = 1000, seed: int = 42, draws: str = "seeded") -> DataFrame:
+    """pair (the candidate), verdict, reason, in_sample_end, oos_start, hi, ulcer_gain, cdar_gain, low, high, cause, validated: all candidates at once.
+
+    Each candidate joins the target (ticker, w) with a sleeve, and the mix is judged against the target on the last 30 %
+    of their common days. Where that cannot be done the verdict is 'insufficient' and reason tells why: already in the
+    target, no prices, target tickers without prices, too few days on a side.
+    """
+    if not 0 < sleeve < 1:
+        return candidates.select(F.col("ticker").alias("pair")).distinct().select("pair", F.lit("insufficient").alias("verdict"), F.lit(f"the sleeve {sleeve} is no share between 0 and 1").alias("reason"), *[F.lit(None).cast(t).alias(c) for c, t in (("in_sample_end", "date"), ("oos_start", "date"), ("hi", "date"), ("ulcer_gain", "double"), ("cdar_gain", "double"), ("low", "double"), ("high", "double"), ("cause", "string"))], F.lit(False).alias("validated"))
+    px = usable(prices)
+    px = keep(px.select("ticker", "d", "close"), "closes")
+    asked = candidates.select("ticker").distinct()
+    span = px.groupBy("ticker").agg(F.min("d").alias("a"), F.max("d").alias("z"))
+    wanted = target.join(span, "ticker", "left").agg(F.max("a").alias("lo"), F.max("z").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("a").isNull(), F.col("ticker")))).alias("unpriced"))
+    own = asked.join(span, "ticker", "left").join(target.select("ticker", F.lit(True).alias("inside")).distinct(), "ticker", "left").crossJoin(F.broadcast(wanted))  # one row
+    own = own.select(F.col("ticker").alias("pair"), F.coalesce("inside", F.lit(False)).alias("inside"), F.col("a").isNull().alias("priceless"), "unpriced", F.greatest("a", "lo").alias("lo"), F.least("z", "hi").alias("hi"))
+    days = px.join(own.where("not inside").select(F.col("pair").alias("ticker"), "lo", "hi"), "ticker").where("d between lo and hi").select(F.col("ticker").alias("leg"), "d").distinct()
+    counted = own.join(days.groupBy(F.col("leg").alias("pair")).agg(F.count(F.lit(1)).alias("n")), "pair", "left")
+    split = split_days(days).select(F.col("leg").alias("pair"), "in_sample_end", "oos_start")
+    plan = counted.join(split, "pair", "left")
+    reason = (
+        F.when(F.col("inside"), "already in the target").when(F.col("priceless"), "no usable prices of the candidate")
+        .when(F.size("unpriced") > 0, F.concat(F.lit("target tickers without prices: "), F.array_join("unpriced", ", ")))
+        .when(F.col("oos_start").isNull(), F.concat(F.lit("only "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f" common days: {LEAST_WINDOW} are needed on both sides")))
+    )
+    plan = keep(plan.withColumn("reason", reason), "plan")
+    fit = plan.where("reason is null")
+    with_leg, without_leg = F.concat(F.col("pair"), F.lit("+with")), F.concat(F.col("pair"), F.lit("+without"))
+    base = fit.select("pair").crossJoin(F.broadcast(target))  # as many rows as the target has
+    mixes = base.select(without_leg.alias("leg"), "ticker", "w").unionByName(base.select(with_leg.alias("leg"), "ticker", (F.col("w") * (1 - sleeve)).alias("w"))).unionByName(fit.select(with_leg.alias("leg"), F.col("pair").alias("ticker"), F.lit(sleeve).alias("w")))
+    spans = fit.select(F.explode(F.array(with_leg, without_leg)).alias("leg"), F.col("oos_start").alias("lo"), "hi")
+    pairs = fit.select("pair", without_leg.alias("without"), with_leg.alias("tested"))
+    returns = keep(aligned_returns(simulate(px, mixes, schedule, spans), pairs), "aligned")
+    stats = window_stats(returns)
+    judged = verdict(stats, returns, reps, seed, draws).join(figure_clause(stats), "pair")
+    out = plan.join(judged, "pair", "left").withColumn("verdict", F.coalesce("verdict", F.lit("insufficient")))
+    return out.select("pair", "verdict", F.coalesce("reason", "clause", F.lit("the held-out window has no returns")).alias("reason"), "in_sample_end", "oos_start", "hi", "ulcer_gain", "cdar_gain", "low", "high", "cause", (F.col("verdict") == "improved").alias("validated"))
+
+
+def benchmark_check(prices: DataFrame, legs: DataFrame, reference: str, tested: str, schedule: str = "quarterly", reps: int = 1000, seed: int = 42, draws: str = "seeded") -> DataFrame:
+    """One row: pair (the tested leg), verdict (shallower, deeper, inconclusive or insufficient), reason, missing, gains, interval and cause against a reference leg.
+
+    Both legs run over the days that all their tickers share; the last 30 % of those days are judged. missing names the
+    tickers without usable prices, which both legs go without.
+    """
+    px, own = usable(prices), legs.where(F.col("leg").isin(reference, tested))
+    span = px.groupBy("ticker").agg(F.min("d").alias("a"), F.max("d").alias("z"))
+    members = own.where("w > 0").select("ticker").distinct().join(span, "ticker", "left")
+    bounds = members.agg(F.max("a").alias("lo"), F.min("z").alias("hi"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("a").isNull(), F.col("ticker")))), ",").alias("missing"))
+    days = px.join(members.select("ticker"), "ticker").join(F.broadcast(bounds), F.col("d").between(F.col("lo"), F.col("hi"))).select(F.lit(tested).alias("leg"), "d").distinct()
+    split = split_days(days).select("oos_start", "hi")
+    spans = own.select("leg").distinct().crossJoin(F.broadcast(split)).select("leg", F.col("oos_start").alias("lo"), "hi")  # one window
+    pairs = prices.sparkSession.createDataFrame([(tested, reference, tested)], "pair string, without string, tested string")
+    returns = keep(aligned_returns(simulate(px, own, schedule, spans), pairs), "aligned")
+    stats = window_stats(returns)
+    judged = verdict(stats, returns, reps, seed, draws).join(figure_clause(stats, reference), "pair")
+    named = bounds.select(F.lit(tested).alias("pair"), "missing").crossJoin(days.agg(F.count(F.lit(1)).alias("n"))).join(judged, "pair", "left")  # one row each
+    word = F.when(F.col("verdict") == "improved", "shallower").when(F.col("verdict") == "worsened", "deeper").otherwise(F.coalesce("verdict", F.lit("insufficient")))
+    short = F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" common days: {LEAST_WINDOW} are needed on both sides"))
+    return named.select("pair", word.alias("verdict"), F.coalesce("clause", short).alias("reason"), "missing", "ulcer_gain", "cdar_gain", "low", "high", "cause")
+
+
 def verdict_of(cause: Column, up: Column) -> Column:
     return F.when(cause != "", "inconclusive").when(up, "improved").otherwise("worsened")

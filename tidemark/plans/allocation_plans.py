@@ -13,7 +13,7 @@ from tidemark.sources import adapters
 
 NEW_CASH = 500_000.0
 #: Part types in the place of roles.
-TYPE_ROLES = {"STANDARD": "us-large", "MEDIUM": "intl-developed", "PROMO": "aggregate", "LARGE": "treasury", "SMALL": "gold", "ECONOMY": "reit"}
+TYPE_ROLES = {"STANDARD": "us-large", "MEDIUM": "intl-developed", "PROMO": "bond-aggregate", "LARGE": "treasury", "SMALL": "gold", "ECONOMY": "reit"}
 ROLE_CASE = "CASE role " + " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in TYPE_ROLES.items()) + " END"
 TEMPLATE = [(p, b, bw, r, rw) for p, buckets in allocate.PRESETS.items() for b, bw in buckets.items() for r, rw in allocate.ROLE_WEIGHTS[b].items()]
 TEMPLATE_SQL = "tpl(preset, bucket, bucket_weight, role, role_weight) AS (VALUES " + ", ".join(f"('{p}', '{b}', {bw!r}::DOUBLE, '{r}', {rw!r}::DOUBLE)" for p, b, bw, r, rw in TEMPLATE) + ")"
@@ -87,12 +87,12 @@ def cap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocate.apply_caps(held, 0.201), "w", digits=8)
 
 
-HELD_PARTS = "hp AS (SELECT 'B' || (l_suppkey % 7) AS book, 'P' || l_partkey AS ticker, sum(l_extendedprice) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 4 = l_suppkey % 7 GROUP BY 1, 2)"
+HELD_PARTS = "hp AS (SELECT 'B' || (l_suppkey % 7) AS book, 'P' || l_partkey AS ticker, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)"
 ROLES = f"{sql.UNIVERSE}, {HELD_PARTS}, k AS (SELECT book, role, ticker, row_number() OVER (PARTITION BY book, role ORDER BY value DESC, ticker) AS k FROM hp JOIN uni USING (ticker)), f AS (SELECT role, arg_min(ticker, file_ord) AS dflt FROM uni GROUP BY 1), rr AS (SELECT b.book, f.role, coalesce(k.ticker, dflt) AS ticker FROM (SELECT DISTINCT book FROM hp) b CROSS JOIN f LEFT JOIN k ON k.book = b.book AND k.role = f.role AND k.k = 1)"
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = adapters.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_partkey % 4 = l_suppkey % 7")
+    line = adapters.table(spark, sf_dir, "lineitem")
     held = line.groupBy(F.concat(F.lit("B"), F.col("l_suppkey") % 7).alias("book"), F.concat(F.lit("P"), "l_partkey").alias("ticker")).agg(F.sum("l_extendedprice").alias("value"))
     return allocate.resolve_roles(adapters.universe(spark, sf_dir), held)
 

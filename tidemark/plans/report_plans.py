@@ -15,14 +15,14 @@ from tidemark.sources import adapters, price_tables
 
 
 @query(
-    "WITH r AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, o_totalprice AS raw, CASE WHEN o_orderkey % 40 = 0 THEN 1.07::DOUBLE ELSE 1.0 END AS f, o_orderkey FROM orders WHERE o_custkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_orderkey) = 1),"
-    " c AS (SELECT ticker, d, raw / coalesce(product(f) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS close, o_orderkey FROM r WHERE o_orderkey % 13 <> 0) SELECT ticker, d, round(close, 6) AS close FROM c"
+    "WITH r AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, o_totalprice AS raw, CASE WHEN o_orderkey % 40 = 0 THEN 1.07::DOUBLE ELSE 1.0 END AS f, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_orderkey) = 1),"
+    " c AS (SELECT ticker, d, raw / coalesce(product(f) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS close FROM r) SELECT ticker, d, round(close, 6) AS close FROM c"
 )
 def provider_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    o = adapters.table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").withColumn("d", F.to_date("o_orderdate"))
-    o = o.withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority", "d").orderBy("o_orderkey"))).where("k = 1 and o_orderkey % 13 <> 0")
+    o = adapters.table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    o = o.withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority", "d").orderBy("o_orderkey"))).where("k = 1")
     raw = o.select(F.col("o_orderpriority").alias("ticker"), F.concat(F.col("d").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), F.col("o_totalprice").cast("string").alias("close"), F.lit(None).cast("string").alias("adjClose"), F.when(F.col("o_orderkey") % 40 == 0, "1.07").otherwise("none").alias("splitFactor"))
     return rounded(price_tables.provider_closes(raw, total_return=False), "close")
 
@@ -48,13 +48,13 @@ def panel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {sql.px('month')}, c AS (SELECT ticker, close, d, close / max(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd FROM px), s AS (SELECT ticker, min(dd) AS depth, sqrt(avg(dd * dd)) AS ulcer FROM c WHERE ticker IN ('1-URGENT', '5-LOW') GROUP BY 1),"
-    " l AS (SELECT 'depth' AS metric, ticker, printf('%+.2f%%', depth * 100) AS v FROM s UNION ALL SELECT 'ulcer', ticker, printf('%+.2f%%', ulcer * 100) FROM s) SELECT metric, max(v) FILTER (WHERE ticker = '1-URGENT') AS \"1-URGENT\", max(v) FILTER (WHERE ticker = '5-LOW') AS \"5-LOW\" FROM l GROUP BY 1"
+    f"WITH {sql.px('month')}, c AS (SELECT ticker, close, d, close / max(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd FROM px), s AS (SELECT ticker, min(dd) AS depth, sqrt(avg(dd * dd)) AS ulcer FROM c GROUP BY 1),"
+    " l AS (SELECT 'depth' AS metric, ticker, printf('%+.2f%%', depth * 100) AS v FROM s UNION ALL SELECT 'ulcer', ticker, printf('%+.2f%%', ulcer * 100) FROM s) SELECT metric, " + ", ".join(f"max(v) FILTER (WHERE ticker = '{t}') AS \"{t}\"" for t in adapters.TARGET) + " FROM l GROUP BY 1"
 )
 def panel_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = adapters.prices(spark, sf_dir, "month").where("ticker in ('1-URGENT', '5-LOW')").withColumnRenamed("close", "x")
+    px = adapters.prices(spark, sf_dir, "month").withColumnRenamed("close", "x")
     figures = drawdown.curve(px, "ticker").groupBy(F.col("ticker").alias("leg")).agg(F.min("dd").alias("depth"), drawdown.ulcer(F.col("dd")).alias("ulcer"))
-    return report.leg_table(figures, ["1-URGENT", "5-LOW"])
+    return report.leg_table(figures, list(adapters.TARGET))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cash_flow
-from tidemark.operators import align, drawdown, returns
+from tidemark.operators import align, returns
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import rounded
 from tidemark.plans.registry import query
@@ -76,8 +76,16 @@ def latest_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.SUPPLIER_PX} SELECT ticker FROM spx GROUP BY 1 HAVING date_diff('day', max(d), DATE '2001-11-12') > 10")
 def stale_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = adapters.supplier_prices(spark, sf_dir).groupBy("ticker").agg(F.max("d").alias("last"))
-    return last.where(F.datediff(F.lit("2001-11-12").cast("date"), "last") > 10).select("ticker")
+    return returns.stale_tails(adapters.supplier_prices(spark, sf_dir), F.lit("2001-11-12").cast("date"))
+
+
+@query(
+    f"WITH {sql.LEDGER}, {sql.SUPPLIER_PX}, t AS (SELECT l.ticker, l.price, p.close FROM ledger l ASOF LEFT JOIN spx p ON l.ticker = p.ticker AND l.d >= p.d WHERE l.action IN ('buy', 'sell') AND l.ticker IN (SELECT ticker FROM spx)),"
+    " m AS (SELECT DISTINCT ticker FROM t WHERE close IS NULL OR price / close >= 2.05 OR price / close <= 1 / 2.05::DOUBLE), s AS (SELECT ticker FROM spx GROUP BY 1 HAVING date_diff('day', max(d), DATE '2001-11-12') > 10)"
+    " SELECT coalesce(m.ticker, s.ticker) AS ticker, m.ticker IS NOT NULL AS mismatched, s.ticker IS NOT NULL AS stale FROM m FULL JOIN s USING (ticker)"
+)
+def twr_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.excluded(*_book(spark, sf_dir), F.lit("2001-11-12").cast("date"), factor=2.05)
 
 
 @query(f"WITH {CURVE} SELECT book, d, round(v, 3) AS v FROM val")
@@ -110,10 +118,7 @@ def twr(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT book, any_value(n) AS n, round(any_value(t.g) - 1, 8) AS cumulative, round(any_value(t.g) ** (252.0::DOUBLE / any_value(n)) - 1, 8) AS annualized, round(min(dd), 8) AS depth, round(sqrt(avg(dd * dd)), 8) AS ulcer, round(avg(CASE WHEN dd < 0 THEN 1.0::DOUBLE ELSE 0 END), 8) AS underwater FROM c JOIN t USING (book) GROUP BY book"
 )
 def book_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = returns.daily_returns(*_book(spark, sf_dir))
-    curve = drawdown.curve(returns.growth_index(r).select("book", "d", F.col("g").alias("x")), "book")
-    path = curve.groupBy("book").agg(F.min("dd").alias("depth"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.avg((F.col("dd") < 0).cast("double")).alias("underwater"))
-    return rounded(returns.time_weighted(r).join(path, "book"), "cumulative", "annualized", "depth", "ulcer", "underwater", digits=8)
+    return rounded(returns.performance(returns.daily_returns(*_book(spark, sf_dir))), "cumulative", "annualized", "depth", "ulcer", "underwater", digits=8)
 
 
 FLOWS = f"""{sql.LEDGER}, {sql.SUPPLIER_PX}, cf AS (SELECT book, d, CASE action WHEN 'buy' THEN -(quantity * price + fee) WHEN 'sell' THEN quantity * price - fee WHEN 'dividend' THEN cash - fee ELSE -fee END AS flow FROM ledger),
@@ -158,3 +163,22 @@ def modified_dietz(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def basis_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.basis_mismatches(*_book(spark, sf_dir), factor=2.05)
+
+
+SUMMARY = f"""WITH RECURSIVE {CURVE}, t AS (SELECT book, count(*) AS n, product(1 + r) AS g FROM ret GROUP BY 1),
+{FLOWS.replace(sql.LEDGER + ", " + sql.SUPPLIER_PX + ", ", "")}, x AS (SELECT book, date_diff('day', first_d, d) / 365.25::DOUBLE AS t, flow AS a FROM cf JOIN firsts USING (book) UNION ALL SELECT book, date_diff('day', first_d, DATE '{ASOF}') / 365.25::DOUBLE, value FROM mv JOIN firsts USING (book)),
+xs AS (SELECT book, list(t) AS ts, list(a) AS as_ FROM x GROUP BY 1),
+it AS (SELECT book, 0 AS k, 0.1::DOUBLE AS r, 1.0::DOUBLE AS step, ts, as_ FROM xs UNION ALL SELECT book, k + 1, r - f / g, f / g, ts, as_ FROM (SELECT *,
+ list_sum(list_transform(list_zip(ts, as_), lambda z: z[2] / (1 + r) ** z[1])) AS f, list_sum(list_transform(list_zip(ts, as_), lambda z: -z[1] * z[2] / (1 + r) ** (z[1] + 1))) AS g FROM it WHERE k < 100 AND abs(step) >= 1e-10)),
+dz AS (SELECT book, date_diff('day', any_value(first_d), DATE '{ASOF}') AS days, sum(-flow) AS c, sum(-flow * (date_diff('day', first_d, DATE '{ASOF}') - date_diff('day', first_d, d)) / date_diff('day', first_d, DATE '{ASOF}')) AS wc FROM cf JOIN firsts USING (book) GROUP BY book)
+SELECT t.book, first_d AS period_start, DATE '{ASOF}' AS asof_date, round((SELECT arg_max(r, k) FROM it WHERE it.book = t.book), 7) AS money_weighted, round((1 + (value - c) / wc) ** (365.25::DOUBLE / days) - 1, 7) AS modified_dietz, round(g ** (252.0::DOUBLE / n) - 1, 7) AS twr, round(g - 1, 7) AS twr_cumulative
+FROM t JOIN firsts USING (book) JOIN mv USING (book) JOIN dz USING (book)"""
+
+
+@query(SUMMARY)
+def returns_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, px = _book(spark, sf_dir)
+    _, values = _flows(spark, sf_dir)
+    rates = returns.time_weighted(returns.daily_returns(ledger, px))
+    out = returns.summary(ledger, values.withColumn("fully_priced", F.lit(True)), F.lit(ASOF).cast("date"), rates)
+    return rounded(out, "money_weighted", "modified_dietz", "twr", "twr_cumulative", digits=7)

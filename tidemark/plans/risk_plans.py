@@ -78,7 +78,37 @@ def deepest_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(deep.agg(F.min_by("ticker", F.struct("depth", "ticker")).alias("ticker"), F.min("depth").alias("depth")), "depth", digits=8)
 
 
-@query()
+def _resampled(name: str, block: str) -> str:
+    """Replicates of the returns: a row for each ticker, replicate and position."""
+    return (
+        f"{name}b AS (SELECT ticker, n, {block} AS b FROM cnt), {name}i AS (SELECT ticker, n, rep, pos, {sql.counted_start('rep', '(pos // b)', 'greatest(1, n - b + 1)')} + pos % b AS at FROM {name}b, range(1000) t(rep), range((SELECT max(n) FROM cnt)) u(pos) WHERE pos < n),"
+        f" {name} AS (SELECT i.ticker, i.n, rep, pos, r FROM {name}i i JOIN num x ON x.ticker = i.ticker AND x.k = i.at)"
+    )
+
+
+PATH = "SELECT ticker, rep, least(0, min(x / greatest(1, top) - 1)) AS max_drawdown, sqrt(avg((x / top - 1) ** 2)) AS ulcer, list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * any_value(n)))::BIGINT)) AS cdar, arg_max(x, pos) ** (252.0::DOUBLE / any_value(n)) - 1 AS annual"
+RATIO = "SELECT ticker, rep, sqrt(252) * avg(r) / stddev_samp(r) AS sharpe, sqrt(252) * avg(r) / sqrt(avg(least(r, 0) ** 2)) AS sortino"
+INTERVALS = (
+    f"{RET}, num AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS k FROM r), cnt AS (SELECT ticker, count(*) AS n FROM num GROUP BY 1), {_resampled('q', 'least(n, greatest(2, round(n ** (1 / 3.0::DOUBLE))))::BIGINT')}, {_resampled('p', 'least(n, greatest(2, round(n ** 0.5::DOUBLE)))::BIGINT')},"
+    " own AS (SELECT ticker, n, -1 AS rep, k AS pos, r FROM num JOIN cnt USING (ticker)), lv AS (SELECT *, product(1 + r) OVER (PARTITION BY ticker, rep ORDER BY pos) AS x FROM (SELECT * FROM p UNION ALL SELECT * FROM own)), tp AS (SELECT *, max(x) OVER (PARTITION BY ticker, rep ORDER BY pos) AS top FROM lv),"
+    f" pm AS (SELECT *, CASE WHEN max_drawdown < 0 THEN annual / abs(max_drawdown) END AS calmar FROM ({PATH} FROM tp GROUP BY 1, 2)), rm AS ({RATIO} FROM (SELECT * FROM q UNION ALL SELECT * FROM own) GROUP BY 1, 2),"
+    " long AS (SELECT ticker, rep, unnest(['sharpe', 'sortino']) AS metric, unnest([sharpe, sortino]) AS v FROM rm UNION ALL SELECT ticker, rep, unnest(['calmar', 'max_drawdown', 'ulcer', 'cdar']), unnest([calmar, max_drawdown, ulcer, cdar]) FROM pm),"
+    " iv AS (SELECT ticker, metric, max(v) FILTER (WHERE rep < 0) AS point, quantile_cont(v, 0.025) FILTER (WHERE rep >= 0 AND isfinite(v)) AS low, quantile_cont(v, 0.975) FILTER (WHERE rep >= 0 AND isfinite(v)) AS high FROM long GROUP BY 1, 2)"
+)
+
+
+@query(f"{INTERVALS} SELECT ticker, metric, round(point, 8) AS point, round(low, 8) AS low, round(high, 8) AS high FROM iv")
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the resampling positions come from a seeded generator; tests compare with a loop."""
-    return rounded(bootstrap.intervals(_returns(spark, sf_dir), "ticker"), "point", "low", "high", digits=8)
+    """With counted starts, which SQL can draw as well."""
+    return rounded(bootstrap.intervals(_returns(spark, sf_dir), "ticker", draws="counted"), "point", "low", "high", digits=8)
+
+
+WALKED = f"{_walk('dd').replace(' p AS', ' tops AS').replace('JOIN p ON c.ticker = p.ticker', 'JOIN tops ON c.ticker = tops.ticker').replace('JOIN p USING', 'JOIN tops USING')}, wk AS (SELECT ticker, depth AS level_depth, peak_date, trough_date, recovery_date, date_diff('day', peak_date, coalesce(recovery_date, last_d))::INTEGER AS duration_days FROM t JOIN t2 USING (ticker) JOIN p2 USING (ticker) LEFT JOIN rec USING (ticker))"
+PANEL = f"{INTERVALS}, c AS (SELECT ticker, d, close AS x, close / max(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd FROM px){WALKED}"
+METRIC_COLUMNS = ", ".join(f"round(max({c}) FILTER (WHERE metric = '{m}'), 7) AS {m}{'' if c == 'point' else '_' + c}" for m in bootstrap.METRICS for c in ("point", "low", "high"))
+
+
+@query(f"{PANEL}, w AS (SELECT ticker, {METRIC_COLUMNS} FROM iv GROUP BY 1) SELECT w.*, n AS n_days, n < 504 AS is_noisy, round(level_depth, 7) AS depth, peak_date, trough_date, recovery_date, duration_days FROM w JOIN wk USING (ticker) JOIN cnt USING (ticker)")
+def risk_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drawdown.panel(_levels(spark, sf_dir), bootstrap.intervals(_returns(spark, sf_dir), "ticker", draws="counted"), "ticker")
+    return rounded(out, "depth", *[f"{m}{x}" for m in bootstrap.METRICS for x in ("", "_low", "_high")], digits=7)

@@ -54,8 +54,7 @@ def _book_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def screen_diversifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = _book_curve(spark, sf_dir)
-    walk = drawdown.walk(drawdown.curve(curve.withColumnRenamed("v", "x"), "leg"), "leg").select("peak_date", "trough_date")
-    out = screen.diversifier(drawdown.pct_change(adapters.prices(spark, sf_dir, "week"), "ticker"), drawdown.pct_change(curve, "leg", "v"), walk)
+    out = screen.diversifier(drawdown.pct_change(adapters.prices(spark, sf_dir, "week"), "ticker"), drawdown.pct_change(curve, "leg", "v"))
     return rounded(out, "rho", "red_rho", "dd_return", digits=8)
 
 
@@ -69,26 +68,81 @@ def screen_own_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, symbol, w: the ten parts that each supplier sold most of, as shares of those ten."""
-    sums = adapters.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
+    """ticker, symbol, w: the ten parts that each supplier in credit sold most of, as shares of those ten; the others show no holdings."""
+    line = adapters.table(spark, sf_dir, "lineitem").join(adapters.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+    sums = line.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
     top = sums.withColumn("k", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc(F.round("v", 4)), "l_partkey"))).where("k <= 10")
-    return top.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.col("l_partkey").alias("symbol"), (F.col("v") / F.sum("v").over(Window.partitionBy("l_suppkey"))).alias("w"), "l_suppkey")
+    return top.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.col("l_partkey").alias("symbol"), (F.col("v") / F.sum("v").over(Window.partitionBy("l_suppkey"))).alias("w"))
 
 
-@query(
-    "WITH s AS (SELECT l_suppkey, l_partkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(v, 4) DESC, l_partkey) AS k FROM s),"
-    " h AS (SELECT 'S' || l_suppkey AS ticker, l_partkey AS symbol, l_suppkey, v / sum(v) OVER (PARTITION BY l_suppkey) AS w FROM k WHERE k <= 10), p AS (SELECT a.ticker, b.ticker AS held_ticker, round(sum(least(a.w, b.w)), 12) AS overlap FROM h a JOIN h b USING (symbol) WHERE a.l_suppkey % 2 = 0 AND b.l_suppkey % 2 = 1 GROUP BY 1, 2),"
-    " b AS (SELECT ticker, max(overlap) AS overlap, arg_min(held_ticker, (-overlap, held_ticker)) AS held_ticker FROM p GROUP BY 1) SELECT c.ticker, held_ticker, round(coalesce(overlap, 0), 9) AS overlap, CASE WHEN overlap >= 0.7 THEN 'fail' WHEN overlap >= 0.4 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT DISTINCT ticker FROM h WHERE l_suppkey % 2 = 0) c LEFT JOIN b USING (ticker)"
+def _funds(spark: SparkSession, sf_dir: str, odd: bool) -> DataFrame:
+    """ticker, category: the suppliers with odd keys are held, the others are candidates; nations are categories."""
+    return adapters.table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 2 == int(odd)).select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.concat(F.lit("N"), "s_nationkey").alias("category"))
+
+
+OVERLAP_SQL = (
+    "s AS (SELECT l_suppkey, l_partkey, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(v, 4) DESC, l_partkey) AS k FROM s),"
+    " h AS (SELECT 'S' || l_suppkey AS ticker, l_partkey AS symbol, l_suppkey, v / sum(v) OVER (PARTITION BY l_suppkey) AS w FROM k WHERE k <= 10), pp AS (SELECT a.ticker, b.ticker AS held_ticker, round(sum(least(a.w, b.w)), 12) AS overlap FROM h a JOIN h b USING (symbol) WHERE a.l_suppkey % 2 = 0 AND b.l_suppkey % 2 = 1 GROUP BY 1, 2),"
+    " b AS (SELECT ticker, max(overlap) AS overlap, arg_min(held_ticker, (-overlap, held_ticker)) AS held_ticker FROM pp GROUP BY 1), same AS (SELECT s_nationkey, min('S' || s_suppkey) AS t FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1),"
+    " ov AS (SELECT 'S' || s_suppkey AS ticker, CASE WHEN s_acctbal > 0 AND c.known AND EXISTS (SELECT 1 FROM h WHERE l_suppkey % 2 = 1) THEN coalesce(overlap, 0) END AS overlap, held_ticker, t FROM supplier LEFT JOIN b ON b.ticker = 'S' || s_suppkey LEFT JOIN same USING (s_nationkey) LEFT JOIN (SELECT DISTINCT ticker, TRUE AS known FROM h) c ON c.ticker = 'S' || s_suppkey WHERE s_suppkey % 2 = 0),"
+    " lap AS (SELECT ticker, CASE WHEN overlap IS NULL THEN t ELSE held_ticker END AS held_ticker, overlap, CASE WHEN overlap >= 0.7 THEN 'fail' WHEN overlap >= 0.4 THEN 'warn' WHEN overlap IS NOT NULL THEN 'pass' WHEN t IS NOT NULL THEN 'warn' ELSE 'n/a' END AS status FROM ov)"
 )
+
+
+@query(f"WITH {OVERLAP_SQL} SELECT ticker, held_ticker, round(overlap, 9) AS overlap, status FROM lap")
 def screen_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _holdings(spark, sf_dir)
-    out = screen.overlaps(held.where("l_suppkey % 2 = 0").drop("l_suppkey"), held.where("l_suppkey % 2 = 1").drop("l_suppkey"))
+    out = screen.overlaps(_funds(spark, sf_dir, False), _funds(spark, sf_dir, True), _holdings(spark, sf_dir))
     return rounded(out, "overlap", digits=9)
 
 
-#: Roles under this share count as gaps: with six roles none lies under the default.
-GAP = 0.16
-HP = f"{sql.UNIVERSE}, hp AS (SELECT 'B' || (l_suppkey % 7) AS book, 'P' || l_partkey AS ticker, sum(l_extendedprice) AS value FROM lineitem WHERE l_partkey % 9 = l_suppkey % 7 GROUP BY 1, 2), un AS (SELECT * FROM uni WHERE file_ord % 11 <> 3)"
+#: What each of the suppliers' funds is said to be, from columns of supplier alone.
+FUND_SQL = "fund AS (SELECT 'S' || s_suppkey AS ticker, s_suppkey, abs(s_acctbal) / 1e6 AS expense_ratio, abs(s_acctbal) * 5e4 AS aum, s_nationkey * 2e4 AS avg_volume, 'N' || s_nationkey AS category, (DATE '2001-08-01' - (abs(s_acctbal) / 4)::INTEGER)::DATE AS inception, CASE WHEN s_acctbal > 0 THEN s_nationkey / 30.0::DOUBLE END AS top_share FROM supplier)"
+
+
+def _fund_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bal = F.col("s_acctbal")
+    return adapters.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("ticker"), (F.abs(bal) / 1e6).alias("expense_ratio"), (F.abs(bal) * 5e4).alias("aum"), (F.col("s_nationkey") * 2e4).alias("avg_volume"), F.concat(F.lit("N"), "s_nationkey").alias("category"),
+        F.lit(None).cast("string").alias("legal_type"), F.date_sub(F.lit(TODAY).cast("date"), F.round(F.abs(bal) / 4).cast("int")).alias("inception"), F.when(bal > 0, F.col("s_nationkey") / 30.0).alias("top_share"),
+    )
+
+
+#: The role verdicts that the screen is given: a nation's word for each candidate, with an in-sample end of its own.
+ROLE_SQL = "rl AS (SELECT 'S' || s_suppkey AS ticker, ['improved', 'worsened', 'inconclusive', 'insufficient'][1 + s_nationkey % 4] AS verdict, CASE WHEN s_nationkey % 4 < 3 THEN (DATE '1999-01-04' + s_nationkey * 7)::DATE END AS own_end FROM supplier WHERE s_nationkey <> 3)"
+
+
+@query(
+    f"{simulated('quarter')}, {BOOK}, {sql.SUPPLIER_PX}, {OVERLAP_SQL}, {FUND_SQL}, {ROLE_SQL}, be AS (SELECT max(d) FILTER (WHERE k = n - floor(n * 0.3::DOUBLE)) AS e FROM (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM book WHERE p IS NOT NULL)),"
+    " ask AS (SELECT 'S' || s_suppkey AS ticker FROM supplier), ct AS (SELECT ask.ticker, least(coalesce(own_end, e), e) AS cut FROM ask LEFT JOIN rl USING (ticker), be),"
+    " cl AS (SELECT s.* FROM spx s JOIN ct USING (ticker) WHERE s.d <= cut), cr AS (SELECT ticker, d, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS c FROM cl),"
+    " j AS (SELECT ticker, d, c, p FROM cr JOIN book USING (d) WHERE c IS NOT NULL AND p IS NOT NULL), a AS (SELECT ticker, count(*) AS n, corr(c, p) AS rho FROM j GROUP BY 1), rd AS (SELECT ticker, corr(c, p) AS red_rho FROM j WHERE p < 0 GROUP BY 1 HAVING count(*) >= 20),"
+    " dv AS (SELECT ticker, CASE WHEN n < 60 OR rho IS NULL THEN 'n/a' WHEN rho > 0.85 THEN 'fail' WHEN rho > 0.6 OR coalesce(red_rho - rho > 0.15, FALSE) THEN 'warn' ELSE 'pass' END AS status FROM a LEFT JOIN rd USING (ticker)),"
+    " dp AS (SELECT ticker, date_diff('day', min(d), max(d)) / 365.25::DOUBLE AS years, min(dd) AS depth FROM (SELECT ticker, d, close / max(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd FROM cl) GROUP BY 1),"
+    " od AS (SELECT ticker, CASE WHEN years < 2 THEN 'n/a' WHEN depth >= 0 THEN 'pass' WHEN depth < -0.35::DOUBLE THEN 'warn' WHEN depth <= -0.3::DOUBLE THEN 'warn' ELSE 'pass' END AS status FROM dp),"
+    " same2 AS (SELECT s_nationkey, min('S' || s_suppkey) AS t FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1), p2 AS (SELECT a.ticker, round(sum(least(a.w, b.w)), 12) AS o, b.ticker AS ht FROM h a JOIN h b USING (symbol) WHERE b.l_suppkey % 2 = 1 GROUP BY a.ticker, b.ticker), b2 AS (SELECT ticker, max(o) AS o FROM p2 GROUP BY 1),"
+    " lp AS (SELECT 'S' || s_suppkey AS ticker, CASE WHEN hk.ticker IS NULL THEN CASE WHEN t IS NOT NULL THEN 'warn' ELSE 'n/a' END WHEN coalesce(o, 0) >= 0.7 THEN 'fail' WHEN coalesce(o, 0) >= 0.4 THEN 'warn' ELSE 'pass' END AS status FROM supplier LEFT JOIN (SELECT DISTINCT ticker FROM h) hk ON hk.ticker = 'S' || s_suppkey LEFT JOIN b2 ON b2.ticker = 'S' || s_suppkey LEFT JOIN same2 USING (s_nationkey)),"
+    f" fy AS (SELECT *, greatest(date_diff('day', inception, DATE '{TODAY}'), 0) / 365.25::DOUBLE AS y FROM fund),"
+    " res AS (SELECT ticker, 'structure' AS \"check\", 'pass' AS status FROM fy UNION ALL SELECT ticker, 'cost', CASE WHEN expense_ratio <= 0.002::DOUBLE THEN 'pass' WHEN expense_ratio <= 0.005::DOUBLE THEN 'warn' ELSE 'fail' END FROM fy UNION ALL SELECT ticker, 'liquidity', CASE WHEN aum < 1e8 AND avg_volume < 1e5 THEN 'fail' WHEN aum < 1e8 OR avg_volume < 1e5 THEN 'warn' ELSE 'pass' END FROM fy"
+    " UNION ALL SELECT ticker, 'age', CASE WHEN y < 1 THEN 'fail' WHEN y < 3 THEN 'warn' ELSE 'pass' END FROM fy UNION ALL SELECT ticker, 'concentration', CASE WHEN top_share IS NULL THEN 'n/a' WHEN top_share > 0.5::DOUBLE THEN 'warn' ELSE 'pass' END FROM fy"
+    " UNION ALL SELECT ticker, 'novelty', 'fail' FROM fy WHERE s_suppkey % 2 = 1 UNION ALL SELECT ticker, 'diversifier', coalesce(status, 'n/a') FROM ask LEFT JOIN dv USING (ticker) UNION ALL SELECT ticker, 'own_drawdown', coalesce(status, 'n/a') FROM ask LEFT JOIN od USING (ticker)"
+    " UNION ALL SELECT ticker, 'overlap', status FROM lp UNION ALL SELECT ticker, 'role', CASE verdict WHEN 'improved' THEN 'pass' WHEN 'worsened' THEN 'fail' ELSE 'n/a' END FROM ask LEFT JOIN rl USING (ticker)) SELECT * FROM res"
+)
+def screen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every supplier's fund, before a held-out verdict: returns are looked at up to each candidate's own cut-off."""
+    from tidemark.operators import simulate
+
+    supplier = adapters.table(spark, sf_dir, "supplier")
+    ticker, nation = F.concat(F.lit("S"), "s_suppkey"), F.col("s_nationkey")
+    words = F.array(*[F.lit(w) for w in ("improved", "worsened", "inconclusive", "insufficient")])
+    role = supplier.where("s_nationkey <> 3").select(ticker.alias("ticker"), F.get(words, nation % 4).alias("verdict"), F.when(nation % 4 < 3, F.date_add(F.lit("1999-01-04").cast("date"), nation * 7)).alias("in_sample_end"))
+    book = drawdown.pct_change(_book_curve(spark, sf_dir), "leg", "v")
+    end = simulate.split_days(book.select("leg", "d")).select("in_sample_end")
+    return screen.screen(supplier.select(ticker.alias("ticker")), _fund_facts(spark, sf_dir), _funds(spark, sf_dir, True).select("ticker"), _holdings(spark, sf_dir), adapters.supplier_prices(spark, sf_dir), book.select("d", "r"), F.lit(TODAY).cast("date"), F.lit(-0.35), role, end)
+
+
+#: Roles under this share count as gaps: with six roles of about equal size none lies under the default.
+GAP = 0.17
+HP = f"{sql.UNIVERSE}, hp AS (SELECT 'B' || (l_suppkey % 7) AS book, 'P' || l_partkey AS ticker, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2), un AS (SELECT * FROM uni)"
 EXPO = f"{HP}, ex AS (SELECT book, role, sum(value) / any_value(total) AS exposure FROM hp JOIN un USING (ticker) JOIN (SELECT book, sum(value) AS total FROM hp GROUP BY 1) USING (book) GROUP BY 1, 2)"
 GAPS = f"{EXPO}, gap AS (SELECT b.book, r.role, coalesce(exposure, 0) AS exposure FROM (SELECT DISTINCT book FROM hp) b CROSS JOIN (SELECT DISTINCT role FROM un) r LEFT JOIN ex ON ex.book = b.book AND ex.role = r.role WHERE coalesce(exposure, 0) <= {GAP}::DOUBLE)"
 MENU = f"""{GAPS}, pool AS (SELECT g.book, u.* FROM gap g JOIN un u USING (role) WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.book = g.book AND hp.ticker = u.ticker)),
@@ -98,9 +152,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY book, role ORDER BY core DESC,
 
 
 def _discovery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    line = adapters.table(spark, sf_dir, "lineitem").where("l_partkey % 9 = l_suppkey % 7")
+    line = adapters.table(spark, sf_dir, "lineitem")
     held = line.groupBy(F.concat(F.lit("B"), F.col("l_suppkey") % 7).alias("book"), F.concat(F.lit("P"), "l_partkey").alias("ticker")).agg(F.sum("l_extendedprice").alias("value"))
-    return held, adapters.universe(spark, sf_dir).where("file_ord % 11 <> 3")
+    return held, adapters.universe(spark, sf_dir)
 
 
 @query(f"WITH {EXPO} SELECT book, role, round(exposure, 8) AS exposure FROM ex")
@@ -125,6 +179,34 @@ def shelf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.more_shelves(held, universe, discover.gaps(held, universe, GAP))
 
 
-@query(f"WITH {sql.UNIVERSE}, k AS (SELECT ticker, flavor, core, row_number() OVER (PARTITION BY flavor ORDER BY file_ord) AS place FROM uni WHERE role = 'PROMO' AND core) SELECT * FROM k WHERE place <= 3")
+#: Roles that are taken for satellites here, and a shelf that is asked for by name.
+BETS, SHELF = ("PROMO",), "Brand#13"
+NAMED = f"""{GAPS}, pl AS (SELECT g.book, u.*, CASE WHEN u.role = 'LARGE' THEN '{SHELF}' WHEN u.role = 'SMALL' THEN 'no such shelf' END AS wanted FROM gap g JOIN un u USING (role) WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.book = g.book AND hp.ticker = u.ticker)),
+pm AS (SELECT *, min(file_ord) OVER (PARTITION BY book, role, flavor) AS shelf_ord, bool_or(core) OVER (PARTITION BY book, role) AS any_core, (SELECT count(DISTINCT flavor) FROM pl x WHERE x.book = pl.book AND x.role = pl.role) AS shelves FROM pl),
+pw AS (SELECT * REPLACE (coalesce(wanted, CASE WHEN role = 'PROMO' AND shelves = 1 THEN flavor END) AS wanted) FROM pm),
+dr AS (SELECT *, row_number() OVER (PARTITION BY book, role ORDER BY core DESC, file_ord) AS k FROM pw WHERE flavor = wanted), fu AS (SELECT *, row_number() OVER (PARTITION BY book, role, flavor ORDER BY file_ord) AS k FROM pw WHERE wanted IS NULL AND role <> 'PROMO' AND core),
+ti AS (SELECT *, row_number() OVER (PARTITION BY book, role ORDER BY file_ord) AS k FROM pw WHERE wanted IS NULL AND role <> 'PROMO' AND NOT any_core),
+mn AS (SELECT * FROM dr WHERE k <= 6 UNION ALL SELECT * FROM fu WHERE k <= 3 UNION ALL SELECT * FROM ti WHERE k <= 3),
+mp AS (SELECT book, role, row_number() OVER (PARTITION BY book, role ORDER BY CASE WHEN wanted IS NULL THEN shelf_ord END, core DESC, file_ord) AS place, ticker, flavor, core FROM mn)"""
+
+
+def _menus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each book is shown of its gaps: all of them are named, one with a shelf, one with a shelf that does not exist."""
+    held, universe = _discovery(spark, sf_dir)
+    asked = discover.gaps(held, universe, GAP).select("book", "role", F.when(F.col("role") == "LARGE", SHELF).when(F.col("role") == "SMALL", "no such shelf").alias("flavor"))
+    return discover.role_menus(asked, held, universe, BETS)
+
+
+@query(f"WITH {NAMED} SELECT * FROM mp")
 def role_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.role_menu(adapters.universe(spark, sf_dir), "PROMO").select("ticker", "flavor", "core", "place")
+    return _menus(spark, sf_dir)[0]
+
+
+@query(f"WITH {NAMED}, has AS (SELECT book, role, bool_or(flavor = wanted) AS known FROM pw GROUP BY 1, 2) SELECT book, role, flavor, count(*) AS n FROM pw JOIN has USING (book, role) WHERE (wanted IS NULL OR known) AND NOT EXISTS (SELECT 1 FROM mp WHERE mp.book = pw.book AND mp.role = pw.role AND mp.flavor = pw.flavor) GROUP BY 1, 2, 3")
+def role_menu_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _menus(spark, sf_dir)[1]
+
+
+@query(f"WITH {NAMED} SELECT book, role, any_value(wanted) AS flavor, list_aggregate(list_sort(list(DISTINCT flavor)), 'string_agg', ',') AS shelves FROM pw WHERE wanted IS NOT NULL GROUP BY book, role HAVING NOT bool_or(flavor = wanted)")
+def role_menu_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _menus(spark, sf_dir)[2].withColumn("shelves", F.array_join("shelves", ","))

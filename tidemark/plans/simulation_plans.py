@@ -36,10 +36,10 @@ SIM = f"""{sql.px("week")}, {LEGS}, sp AS (SELECT ticker, min(d) AS a, max(d) AS
 days AS (SELECT DISTINCT leg, d FROM px JOIN legs USING (ticker) JOIN win USING (leg) WHERE d BETWEEN lo AND hi)"""
 
 
-def simulated(period: str | None) -> str:
+def simulated(period: str | None, sim: str = SIM) -> str:
     """A chain of steps, a day each: the recursion that the closed form replaces."""
     mark = f"row_number() OVER (PARTITION BY leg, date_trunc('{period}', d) ORDER BY d) = 1 AND row_number() OVER (PARTITION BY leg ORDER BY d) > 1" if period else "FALSE"
-    return f"""WITH RECURSIVE {SIM}, m AS (SELECT leg, d, row_number() OVER (PARTITION BY leg ORDER BY d) AS k, {mark} AS reb FROM days),
+    return f"""WITH RECURSIVE {sim}, m AS (SELECT leg, d, row_number() OVER (PARTITION BY leg ORDER BY d) AS k, {mark} AS reb FROM days),
     f AS (SELECT m.leg, m.k, m.d, m.reb, l.ticker, l.w, p.close FROM m JOIN legs l USING (leg) ASOF JOIN px p ON l.ticker = p.ticker AND m.d >= p.d),
     day AS (SELECT leg, k, any_value(d) AS d, any_value(reb) AS reb, list(w ORDER BY ticker) AS ws, list(close ORDER BY ticker) AS ps FROM f GROUP BY 1, 2),
     sim AS (SELECT leg, k, d, 10000.0::DOUBLE AS v, list_transform(list_zip(ws, ps), lambda z: z[1] * 10000 / z[2]) AS sh FROM day WHERE k = 1
@@ -93,32 +93,64 @@ def backtest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(drawdown.ratios(r, "leg").join(final, "leg").select("leg", "n", "final_value", "sharpe", "depth"), "final_value", digits=4), "sharpe", digits=7).withColumn("depth", F.round("depth", 8))
 
 
-def _held_out(spark: SparkSession, sf_dir: str, mix: DataFrame, without: str, tested: str, days: DataFrame) -> DataFrame:
-    """Statistics and verdict of the held-out window of a calendar."""
-    px = adapters.prices(spark, sf_dir, "week")
-    split = simulate.split_days(days.select(F.lit("both").alias("leg"), "d"))
-    spans = mix.select("leg").distinct().crossJoin(F.broadcast(split.select(F.col("oos_start").alias("lo"), "hi")))  # one window
-    returns = simulate.aligned_returns(simulate.simulate(px, mix, "quarterly", spans), without, tested).persist()
-    judged = simulate.verdict(simulate.window_stats(returns), returns)
-    return rounded(judged, "ulcer_gain", "cdar_gain", "low", "high", digits=8)
+#: Two legs over held-out windows, from sim on: their aligned returns, statistics, bootstrap interval and verdict.
+JUDGED = f"""pr AS (SELECT pair, a.d, a.v / lag(a.v) OVER (PARTITION BY pair ORDER BY a.d) - 1 AS r_without, b.v / lag(b.v) OVER (PARTITION BY pair ORDER BY a.d) - 1 AS r_with FROM pairs JOIN sim a ON a.leg = pairs.without JOIN sim b ON b.leg = pairs.tested AND a.d = b.d),
+pq AS (SELECT pair, d, unnest(['without', 'with']) AS leg, unnest([r_without, r_with]) AS r FROM pr WHERE r_without IS NOT NULL AND r_with IS NOT NULL),
+nm AS (SELECT *, row_number() OVER (PARTITION BY pair, leg ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY pair, leg) AS n FROM pq), sz AS (SELECT DISTINCT pair, leg, n, least(n, greatest(2, round(n ** 0.5::DOUBLE)))::BIGINT AS b FROM nm),
+ix AS (SELECT pair, leg, n, rep, pos, {sql.counted_start('rep', '(pos // b)', 'greatest(1, n - b + 1)')} + pos % b AS at FROM sz, range(1000) t(rep), range((SELECT max(n) FROM sz)) u(pos) WHERE pos < n),
+rs AS (SELECT i.pair, i.leg, rep, pos, r FROM ix i JOIN nm x ON x.pair = i.pair AND x.leg = i.leg AND x.k = i.at UNION ALL SELECT pair, leg, -1, k, r FROM nm),
+lv AS (SELECT *, product(1 + r) OVER (PARTITION BY pair, leg, rep ORDER BY pos) AS x FROM rs), tp AS (SELECT *, max(x) OVER (PARTITION BY pair, leg, rep ORDER BY pos) AS top FROM lv),
+ul AS (SELECT pair, leg, rep, sqrt(avg((x / top - 1) ** 2)) AS ulcer FROM tp GROUP BY 1, 2, 3), gn AS (SELECT a.pair, a.rep, a.ulcer - b.ulcer AS g FROM ul a JOIN ul b ON a.pair = b.pair AND a.rep = b.rep WHERE a.leg = 'without' AND b.leg = 'with'),
+ci AS (SELECT pair, quantile_cont(g, 0.025) FILTER (WHERE rep >= 0) AS low, quantile_cont(g, 0.975) FILTER (WHERE rep >= 0) AS high, max(g) FILTER (WHERE rep < 0) AS ulcer_gain FROM gn GROUP BY 1),
+st AS (SELECT pair, leg, count(*) AS n, least(0, min(x / greatest(1, top) - 1)) AS depth, sqrt(avg((x / top - 1) ** 2)) AS ulcer, list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * count(*)))::BIGINT)) AS cdar, arg_max(x, pos) ** (252.0::DOUBLE / count(*)) - 1 AS ret FROM tp WHERE rep < 0 GROUP BY 1, 2),
+w AS (SELECT a.pair, a.cdar AS c1, b.cdar AS c0, a.ulcer AS u1, b.ulcer AS u0, a.depth AS d1, b.depth AS d0, a.ret AS r1, b.ret AS r0, b.cdar * -1 - a.cdar * -1 AS cdar_gain FROM st a JOIN st b ON a.pair = b.pair WHERE a.leg = 'with' AND b.leg = 'without'),
+vd AS (SELECT w.*, low, high, ulcer_gain, CASE WHEN abs(ulcer_gain) < 0.0025::DOUBLE THEN 'noise_margin' WHEN (ulcer_gain > 0 AND cdar_gain < -0.005::DOUBLE) OR (ulcer_gain <= 0 AND cdar_gain > 0.005::DOUBLE) THEN 'cdar_contradicts' WHEN (ulcer_gain > 0 AND low > 0) OR (ulcer_gain <= 0 AND high < 0) THEN '' ELSE 'bootstrap_unconfirmed' END AS cause FROM w JOIN ci USING (pair)),
+vv AS (SELECT *, CASE WHEN cause <> '' THEN 'inconclusive' WHEN ulcer_gain > 0 THEN 'improved' ELSE 'worsened' END AS verdict,
+ printf('Ulcer %.2f%% vs %.2f%% ', u1 * 100, u0 * 100) || baseline || printf('; CDaR %.2f%% vs %.2f%%; max DD %.1f%% vs %.1f%% (context); return %+.1f%% vs %+.1f%%/yr (%+.1fpp, context)', c1 * 100, c0 * 100, d1 * 100, d0 * 100, r1 * 100, r0 * 100, (r1 - r0) * 100) AS clause FROM vd, (SELECT any_value(baseline) AS baseline FROM pairs))"""
+_ALL = [*TARGET, *REFERENCE, CANDIDATE]
+ASKED = sorted(set(_ALL))
+ROLE_LEGS = [r for c in ASKED if c not in TARGET for r in [*[(f"{c}+without", t, w) for t, w in TARGET.items()], *[(f"{c}+with", t, w * (1 - SLEEVE)) for t, w in TARGET.items()], (f"{c}+with", c, SLEEVE)]]
+ROLE_SIM = f"""{sql.px("week")}, legs(leg, ticker, w) AS (VALUES {_values(ROLE_LEGS)}), pairs AS (SELECT c AS pair, c || '+without' AS without, c || '+with' AS tested, 'without' AS baseline FROM (VALUES {", ".join(f"('{c}')" for c in ASKED if c not in TARGET)}) v(c)),
+sp AS (SELECT ticker, min(d) AS a, max(d) AS z FROM px GROUP BY 1), tg AS (SELECT max(a) AS lo, max(z) AS hi FROM sp WHERE ticker IN ({", ".join(f"'{t}'" for t in TARGET)})),
+cd AS (SELECT p.ticker AS pair, d, row_number() OVER (PARTITION BY p.ticker ORDER BY d) AS k, count(*) OVER (PARTITION BY p.ticker) AS n, least(z, hi) AS hi FROM px p JOIN sp USING (ticker), tg WHERE d BETWEEN greatest(a, lo) AND least(z, hi)),
+sl AS (SELECT pair, any_value(hi) AS hi, any_value(n) AS n, max(d) FILTER (WHERE k = n - floor(n * 0.30::DOUBLE)) AS in_sample_end, max(d) FILTER (WHERE k = n - floor(n * 0.30::DOUBLE) + 1) AS oos_start FROM cd GROUP BY 1),
+ok AS (SELECT * FROM sl WHERE n - floor(n * 0.30::DOUBLE) >= 60 AND floor(n * 0.30::DOUBLE) >= 60),
+win AS (SELECT leg, greatest(max(a), any_value(oos_start)) AS lo, least(max(z), any_value(ok.hi)) AS hi FROM legs JOIN sp USING (ticker) JOIN ok ON leg LIKE ok.pair || '+%' GROUP BY 1),
+days AS (SELECT DISTINCT leg, d FROM px JOIN legs USING (ticker) JOIN win USING (leg) WHERE d BETWEEN lo AND hi)"""
 
 
-@query()
-def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target against the reference on the union calendar; no SQL for the bootstrap gate."""
+@query(
+    f"{simulated('quarter', ROLE_SIM)}, {JUDGED}, ask(pair) AS (VALUES {', '.join(f'(' + chr(39) + c + chr(39) + ')' for c in ASKED)})"
+    f" SELECT ask.pair, coalesce(verdict, 'insufficient') AS verdict, CASE WHEN ask.pair IN ({', '.join(chr(39) + t + chr(39) for t in TARGET)}) THEN 'already in the target' WHEN ok.pair IS NULL THEN 'only ' || coalesce(sl.n, 0) || ' common days: 60 are needed on both sides' ELSE clause END AS reason,"
+    f" ok.in_sample_end, ok.oos_start, CASE WHEN ask.pair NOT IN ({', '.join(chr(39) + t + chr(39) for t in TARGET)}) THEN sl.hi END AS hi, round(ulcer_gain, 8) AS ulcer_gain, round(cdar_gain, 8) AS cdar_gain, round(low, 8) AS low, round(high, 8) AS high, cause, coalesce(verdict = 'improved', FALSE) AS validated"
+    " FROM ask LEFT JOIN sl ON sl.pair = ask.pair LEFT JOIN ok ON ok.pair = ask.pair AND ask.pair IN (SELECT pair FROM pairs) LEFT JOIN vv ON vv.pair = ask.pair"
+)
+def role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tickers as candidates of the target at once, each on its own calendar; starts of the bootstrap are counted."""
     px = adapters.prices(spark, sf_dir, "week")
-    span = px.join(legs(spark).select("ticker").distinct(), "ticker").groupBy("ticker").agg(F.min("d").alias("a"), F.max("d").alias("z")).agg(F.max("a").alias("lo"), F.min("z").alias("hi"))
-    days = px.join(legs(spark).select("ticker").distinct(), "ticker").select("d").distinct().join(F.broadcast(span), F.col("d").between(F.col("lo"), F.col("hi"))).select("d")
-    out = _held_out(spark, sf_dir, legs(spark), "reference", "target", days)
-    return out.withColumn("verdict", F.when(F.col("verdict") == "improved", "shallower").when(F.col("verdict") == "worsened", "deeper").otherwise("inconclusive"))
+    target = spark.createDataFrame(list(TARGET.items()), "ticker string, w double")
+    out = simulate.role_checks(px, target, px.select("ticker").distinct(), sleeve=SLEEVE, draws="counted")
+    out = out.withColumn("hi", F.when(F.col("reason") != "already in the target", F.col("hi")))
+    return rounded(out, "ulcer_gain", "cdar_gain", "low", "high", digits=8)
+
+
+BENCH_SIM = f"""{sql.px("week")}, {LEGS}, pairs AS (SELECT 'target' AS pair, 'reference' AS without, 'target' AS tested, 'reference' AS baseline),
+sp AS (SELECT ticker, min(d) AS a, max(d) AS z FROM px WHERE ticker IN (SELECT ticker FROM legs) GROUP BY 1), bd AS (SELECT max(a) AS lo, min(z) AS hi FROM sp),
+cd AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM px, bd WHERE ticker IN (SELECT ticker FROM legs) AND d BETWEEN lo AND hi)),
+sl AS (SELECT any_value(n) AS n, max(d) FILTER (WHERE k = n - floor(n * 0.30::DOUBLE) + 1) AS oos_start FROM cd),
+ok AS (SELECT * FROM sl WHERE n - floor(n * 0.30::DOUBLE) >= 60 AND floor(n * 0.30::DOUBLE) >= 60),
+win AS (SELECT leg, greatest(max(a), any_value(oos_start)) AS lo, least(max(z), any_value(bd.hi)) AS hi FROM legs JOIN sp USING (ticker), bd, ok GROUP BY 1),
+days AS (SELECT DISTINCT leg, d FROM px JOIN legs USING (ticker) JOIN win USING (leg) WHERE d BETWEEN lo AND hi)"""
 
 
-@query()
-def role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target with a sleeve of the candidate against the target alone, on the candidate's own calendar."""
-    px = adapters.prices(spark, sf_dir, "week")
-    days = px.where(F.col("ticker") == CANDIDATE).select("d")
-    return _held_out(spark, sf_dir, sleeve_legs(spark), "without", "with", days).withColumn("validated", F.col("verdict") == "improved")
+@query(
+    f"{simulated('quarter', BENCH_SIM)}, {JUDGED} SELECT 'target' AS pair, CASE verdict WHEN 'improved' THEN 'shallower' WHEN 'worsened' THEN 'deeper' WHEN 'inconclusive' THEN 'inconclusive' ELSE 'insufficient' END AS verdict, coalesce(clause, 'only ' || sl.n || ' common days: 60 are needed on both sides') AS reason,"
+    " ''::VARCHAR AS missing, round(ulcer_gain, 8) AS ulcer_gain, round(cdar_gain, 8) AS cdar_gain, round(low, 8) AS low, round(high, 8) AS high, cause FROM sl LEFT JOIN vv ON TRUE"
+)
+def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target against the reference on the union calendar; starts of the bootstrap are counted."""
+    out = simulate.benchmark_check(adapters.prices(spark, sf_dir, "week"), legs(spark), "reference", "target", draws="counted")
+    return rounded(out, "ulcer_gain", "cdar_gain", "low", "high", digits=8)
 
 
 STATS = f"""{simulated('quarter')}, p AS (SELECT a.d, a.v / lag(a.v) OVER (ORDER BY a.d) - 1 AS r_without, b.v / lag(b.v) OVER (ORDER BY a.d) - 1 AS r_with FROM sim a JOIN sim b ON a.d = b.d WHERE a.leg = 'reference' AND b.leg = 'target'),
@@ -128,8 +160,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY dd, d) AS k, count(
 
 
 @query(
-    f"{STATS} SELECT leg, count(*) AS n, round(min(dd1), 8) AS depth, round(sqrt(avg(dd * dd)), 8) AS ulcer, round(avg(dd) FILTER (WHERE k <= greatest(1, ceil(0.05::DOUBLE * n))), 8) AS cdar, round(stddev_samp(r) * sqrt(252), 8) AS vol FROM k GROUP BY leg"
+    f"{STATS} SELECT 'pair' AS pair, leg, count(*) AS n, round(product(1 + r) ** (252.0::DOUBLE / count(*)) - 1, 8) AS ret, round(min(dd1), 8) AS depth, round(sqrt(avg(dd * dd)), 8) AS ulcer, round(avg(dd) FILTER (WHERE k <= greatest(1, ceil(0.05::DOUBLE * n))), 8) AS cdar, round(stddev_samp(r) * sqrt(252), 8) AS vol FROM k GROUP BY leg"
 )
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    returns = simulate.aligned_returns(_sim(spark, sf_dir, "quarterly"), "reference", "target")
-    return rounded(simulate.window_stats(returns), "depth", "ulcer", "cdar", "vol", digits=8)
+    pairs = spark.createDataFrame([("pair", "reference", "target")], "pair string, without string, tested string")
+    returns = simulate.aligned_returns(_sim(spark, sf_dir, "quarterly"), pairs)
+    return rounded(simulate.window_stats(returns), "depth", "ulcer", "cdar", "vol", "ret", digits=8)

@@ -37,3 +37,11 @@ UNIVERSE = """uni AS (SELECT 'P' || p_partkey AS ticker, p_name AS name, p_type
 
 FACTS = """facts AS (SELECT 'P' || p_partkey AS ticker, p_retailprice / 400000 AS expense_ratio, p_size * 1e7 AS aum, p_partkey % 200 * 1000.0::DOUBLE AS avg_volume,
   p_type AS category, (DATE '2001-08-01' - p_size * 60)::DATE AS inception, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 90) / 100.0::DOUBLE END AS top_share FROM part)"""
+
+
+def counted_start(rep: str, piece: str, most: str, seed: int = 42) -> str:
+    """A bootstrap block's start: the same three congruential steps as bootstrap.counted_starts."""
+    x = f"(({seed} * 1000003 + {rep} * 8191 + {piece} * 131071 + 12345) % 2147483647)::BIGINT"
+    for _ in range(3):
+        x = f"(({x}) * 48271 + 11) % 2147483647"
+    return f"({x}) % {most}"

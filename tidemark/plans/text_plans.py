@@ -23,7 +23,7 @@ def fence_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", fence.has_bare_numeral(F.col("text")).alias("bare"))
 
 
-PROSE_SQL = "CASE doc_id % 6 WHEN 0 THEN left(source, 3) || ' fell {{ Depth }} and {{ulcer}}' WHEN 1 THEN 'worth {{VALUE}} or {{nope}}' WHEN 2 THEN 'broken {{ulcer' WHEN 3 THEN '{{value}} as of {{depth}}' WHEN 4 THEN 'about 十 percent {{depth}}' ELSE '  ' END"
+PROSE_SQL = "CASE doc_id % 6 WHEN 0 THEN text || ' fell {{ Depth }} and {{ulcer}}' WHEN 1 THEN text || ' worth {{VALUE}} or {{nope}}' WHEN 2 THEN text || ' broken {{ulcer' WHEN 3 THEN '{{value}} as of {{depth}} ' || text WHEN 4 THEN 'about 十 percent {{depth}}' ELSE '  ' END"
 
 
 def _nested(text: str) -> str:
@@ -39,8 +39,8 @@ def _nested(text: str) -> str:
 def fence_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 6
     prose = (
-        F.when(k == 0, F.concat(F.substring("source", 1, 3), F.lit(" fell {{ Depth }} and {{ulcer}}"))).when(k == 1, "worth {{VALUE}} or {{nope}}").when(k == 2, "broken {{ulcer")
-        .when(k == 3, "{{value}} as of {{depth}}").when(k == 4, "about 十 percent {{depth}}").otherwise("  ")
+        F.when(k == 0, F.concat("text", F.lit(" fell {{ Depth }} and {{ulcer}}"))).when(k == 1, F.concat("text", F.lit(" worth {{VALUE}} or {{nope}}"))).when(k == 2, F.concat("text", F.lit(" broken {{ulcer")))
+        .when(k == 3, F.concat(F.lit("{{value}} as of {{depth}} "), "text")).when(k == 4, "about 十 percent {{depth}}").otherwise("  ")
     )
     claims = F.create_map(*[F.lit(x) for kv in CLAIMS.items() for x in kv])
     return adapters.table(spark, sf_dir, "documents").select("doc_id", fence.render(prose, claims).alias("rendered"))
@@ -52,10 +52,9 @@ def band_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "part").select("p_partkey", scalar.band(x, [0.05, 0.15, 0.30], ["mild", "moderate", "deep", "severe"], magnitude=True).alias("band"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || left(text, 20) ELSE left(text, 20) END AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || text ELSE text END AS t FROM documents)")
 def csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 20)
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), head)).otherwise(head)
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text"))
     return adapters.table(spark, sf_dir, "documents").select("doc_id", scalar.csv_safe(t).alias("safe"))
 
 
