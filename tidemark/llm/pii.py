@@ -1,14 +1,18 @@
 """Personal data: exact identifiers, and disguised ones found through offset-preserving normalisation.
 
-A transducer rewrites homoglyphs, invisible characters, spelled digits and at/dot disguises and remembers for every
-character it emits which source characters it came from. Identifiers are detected in the rewritten text and mapped
-back to spans of the source. Texts without any trigger are dismissed by a few vectorised searches.
+Three transducers run one after the other: the first folds look-alikes and drops invisible characters, the second writes
+spelled digits as digits, the third turns at/dot disguises into signs. Each is a state table over characters, which gives
+the longest phrase at each place and what it stands for, and a decision on the context of each phrase found; each hands
+on a text of which every character knows the source characters that it came from. Identifiers are detected in the last
+text and mapped back to spans of the source. Texts without any trigger are dismissed by a few vectorised searches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,51 +32,218 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
-# Characters that look like ASCII ones.
-HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSoavpABEZHIKMNOPTYX", strict=True))
-HOMOGLYPHS |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}  # full width
-HOMOGLYPHS |= {chr(zero + k): str(k) for zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
-HOMOGLYPHS |= {chr(0x2460 + k): str(k + 1) for k in range(9)} | {"⓪": "0", "‐": "-", "‑": "-", "–": "-", "−": "-", "․": ".", "。": ".", "@": "@", "﹫": "@", "\xa0": " ", "\u202f": " "}
-INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\xad"
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-_LOOKALIKE = "[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]"
-_OPEN, _CLOSE = r"[\[({<*_\"'-]", r"[\])}>*_\"'-]"
-_LETTER_DIGIT = {"o": "0", "O": "0", "l": "1", "I": "1"}
+# Letters of other scripts that look like ASCII ones, number words of four languages, and words for the signs.
+HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοανρικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSoavpikABEZHIKMNOPTYX", strict=True))
+HOMOGLYPHS |= {"。": ".", "．": ".", "−": "-", "⓪": "0"}
+NUMBERS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Number words that are other words as well: they count in runs of three or more only.
+DOUBTFUL = ("un", "uno", "neuf", "dos", "null", "oh")
+AT_WORDS, SURE_AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at",), ("arobase", "arroba", "klammeraffe"), ("dot", "punkt", "point", "punto"), ("plus", "más")
+OPEN, CLOSE = "[({<*_\"'-", "])}>*_\"'-"
+LETTER_DIGITS = {"o": "0", "O": "0", "l": "1", "I": "1"}
+
+
+def fold(c: str) -> str | None:
+    """The ASCII character that a character looks like or is a form of, nothing for an invisible one; None if it stays."""
+    if c in HOMOGLYPHS:
+        return HOMOGLYPHS[c]
+    kind = unicodedata.category(c)
+    if kind == "Cf":
+        return ""
+    if kind == "Pd":
+        return "-"
+    if kind == "Zs":
+        return " "
+    digit = unicodedata.digit(c, None)
+    if digit is not None:
+        return str(digit)
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and " " < plain <= "~" else None
+
+
+FOLDED = {c: x for k in (range(0x80, 0x3100), range(0xFE00, 0x20000)) for c in map(chr, k) if not 0xD800 <= ord(c) < 0xE000 and (x := fold(c)) is not None}
+
+
+def _ranges(characters) -> str:
+    """The inside of a class of characters, by ranges."""
+    out, codes = [], sorted(map(ord, characters))
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in out)
+
+
+_LOOKALIKE = f"[{_ranges(FOLDED)}]"
+_NUMBER = "(?:" + "|".join(sorted(NUMBERS, key=len, reverse=True)) + ")"
+_OPEN, _CLOSE = f"[{re.escape(OPEN)}]", f"[{re.escape(CLOSE)}]"
+_AT, _DOT = "(?:" + "|".join(AT_WORDS + SURE_AT_WORDS) + ")", "(?:" + "|".join(DOT_WORDS) + ")"
+_PLUS = "(?:" + "|".join(PLUS_WORDS) + ")"
 #: What Python takes for white space; the gate's engine knows only the ASCII part.
 _SPACE = "[\\t-\\r\\x1c-\\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _BESIDE = _SPACE[:-1] + ",.-]"
-_AFTER_AT = rf"{_SPACE}*[a-z0-9-]+{_SPACE}*(?:\.|dot\b)"
+#: A letter, digit or none of both on the other side: number words of some languages have letters that the engine's word boundary does not know.
+_EDGE = r"(?:^|[^\p{L}\p{N}_])"
+_ENDS = r"(?:$|[^\p{L}\p{N}_])"
 #: What a disguise needs: otherwise a text is not rewritten. Each rule has its part here, with its surroundings and without limits of length.
 TRIGGER = (
-    rf"(?s){_LOOKALIKE}|(?i:{_OPEN}{_SPACE}*(?:at|dot|@|\.){_SPACE}*{_CLOSE})|[0-9][oOlI]+[0-9]"
-    rf"|(?i:[a-z0-9_](?:{_SPACE}*@{_SPACE}|{_SPACE}+@){_AFTER_AT})"
-    rf"|(?i:[a-z0-9_]{_SPACE}+at{_SPACE}+[a-z0-9-]+(?:{_SPACE}+dot{_SPACE}|{_SPACE}*{_OPEN}{_SPACE}*(?:dot|\.)))"
+    rf"(?s){_LOOKALIKE}|(?i:{_OPEN}{_SPACE}*(?:{_AT}|{_DOT}|@|\.){_SPACE}*{_CLOSE})|[0-9][oOlI]+[0-9]"
+    rf"|(?i:[a-z0-9_](?:{_SPACE}*@{_SPACE}|{_SPACE}+@){_SPACE}*[a-z0-9-]+{_SPACE}*(?:\.|{_DOT}\b))|(?i:{_SPACE}(?:{'|'.join(SURE_AT_WORDS)}){_SPACE})"
+    rf"|(?i:[a-z0-9_]{_SPACE}+at{_SPACE}+[a-z0-9-]+(?:{_SPACE}+{_DOT}{_SPACE}|{_SPACE}*{_OPEN}{_SPACE}*(?:{_DOT}|\.)))"
     rf"|(?i:[._0-9][a-z0-9._%+-]*{_SPACE}+at{_SPACE}+(?:[a-z0-9-]+\.)+[a-z]{{2}})"
-    rf"|(?i:[a-z0-9]{_SPACE}+dot{_SPACE}+[a-z0-9])|(?i:\bplus{_SPACE}+(?:{_DIGIT_WORD}\b|[0-9]))"
-    rf"|(?i:\b{_DIGIT_WORD}\b(?:{_BESIDE}+\b{_DIGIT_WORD}\b){{2}})"
-    rf"|(?i:\b{_DIGIT_WORD}\b{_BESIDE}*[0-9]|[0-9]{_BESIDE}*\b{_DIGIT_WORD}\b|\+{_SPACE}*{_DIGIT_WORD}\b|\bdot{_SPACE}+{_DIGIT_WORD}\b|\b{_DIGIT_WORD}{_SPACE}+dot\b)"
-)
-_RULES = re.compile(
-    rf"(?P<look>{_LOOKALIKE})"
-    rf"|(?P<at>\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|(?<=[a-z0-9_])\s*@\s+(?=[a-z0-9-]+\s*(?:\.|dot\b))|(?<=[a-z0-9_])\s+@\s*(?=[a-z0-9-]+\s*(?:\.|dot\b)))"
-    rf"|(?P<dot>\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*)"
-    rf"|(?P<atword>(?<=[a-z0-9_])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{_OPEN}\s*(?:dot|\.))))"
-    r"|(?P<atplain>(?<=[a-z0-9_])\s+at\s+(?=(?:[a-z0-9-]+\.)+[a-z]{2,63}\b))"
-    r"|(?P<dotword>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
-    r"|(?P<letter>(?<=[0-9])(?-i:[oOlI])+(?=[0-9]))"
-    rf"|(?P<plus>\bplus\s+(?=(?:{_DIGIT_WORD}\b|[0-9])))"
-    rf"|(?P<digits>\b{_DIGIT_WORD}\b(?:[\s,-]+\b{_DIGIT_WORD}\b)*)",
-    re.IGNORECASE,
+    rf"|(?i:@[a-z0-9.-]*[a-z0-9]{_SPACE}+{_DOT}{_SPACE}+[a-z0-9])|(?i:[0-9]{_SPACE}+{_DOT}{_SPACE}+[0-9])|(?i:\b{_PLUS}{_SPACE}+(?:{_NUMBER}{_ENDS}|[0-9]))"
+    rf"|(?i:{_EDGE}{_NUMBER}(?:{_BESIDE}+{_NUMBER}){{2}}{_ENDS})"
+    rf"|(?i:{_EDGE}{_NUMBER}{_BESIDE}*[0-9]|[0-9]{_BESIDE}*{_NUMBER}{_ENDS}|\+{_SPACE}*{_NUMBER}{_ENDS}|{_DOT}{_SPACE}+{_NUMBER}{_ENDS}|{_EDGE}{_NUMBER}{_SPACE}+{_DOT}{_ENDS})"
 )
+
+
+class Trail:
+    """A text of which each character knows the source characters it stands for: from start to before end."""
+
+    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
+        self.text = text
+        self.start = list(range(len(text))) if start is None else start
+        self.end = list(range(1, len(text) + 1)) if end is None else end
+
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> Trail:
+        """The text with every (from, to, instead) done, in order; what is written instead stands for all that it replaces."""
+        if not edits:
+            return self
+        out, start, end, at = [], [], [], 0
+        for a, b, instead in edits:
+            out += [self.text[at:a], instead]
+            start += self.start[at:a] + [self.start[a]] * len(instead)
+            end += self.end[at:a] + [self.end[b - 1]] * len(instead)
+            at = b
+        return Trail("".join([*out, self.text[at:]]), start + self.start[at:], end + self.end[at:])
+
+
+class StateTable:
+    """Phrases as a table of states: from each state the next one for a character, and what the phrase that ends there stands for.
+
+    In a phrase a space is one or more white characters, and a tilde any number of them. Letters match in either case.
+    """
+
+    def __init__(self, phrases: dict[str, str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.out: list[str | None] = [None]
+        for phrase, out in phrases.items():
+            at = 0
+            for c in phrase:
+                if c == "~":
+                    self.next[at][" "] = at
+                    continue
+                if c not in self.next[at]:
+                    self.next.append({" ": len(self.next)} if c == " " else {})
+                    self.out.append(None)
+                    self.next[at][c] = len(self.next) - 1
+                at = self.next[at][c]
+            self.out[at] = out
+        first = "".join(c for c in self.next[0] if c != " ")
+        self.starts = re.compile(f"[{re.escape(first)}{r'\s' if ' ' in self.next[0] else ''}]", re.IGNORECASE)
+
+    def find(self, text: str):
+        """(from, to, what it stands for) of the longest phrases, from left to right."""
+        table, outs, at, n = self.next, self.out, 0, len(text)
+        while m := self.starts.search(text, at):
+            k, state, found = m.start(), 0, None
+            at = k
+            while k < n:
+                c = text[k]
+                state = table[state].get(" " if c.isspace() else c.lower())
+                if state is None:
+                    break
+                k += 1
+                if outs[state] is not None:
+                    found = k
+                    out = outs[state]
+            if found is None:
+                at += 1
+            else:
+                yield at, found, out
+                at = found
+
+
+_DIGITS = StateTable(NUMBERS | {f"{w} ": "+" for w in PLUS_WORDS} | {c: d for c, d in LETTER_DIGITS.items() if c.islower()})
+_SIGNS = StateTable(
+    {f"{lead}{o}~{w}~{c}{tail}": sign for sign, names in (("@", (*AT_WORDS, *SURE_AT_WORDS, "@")), (".", (*DOT_WORDS, "."))) for w in names for o in OPEN for c in CLOSE for lead in ("", " ") for tail in ("", " ")}
+    | {f" {w} ": "at" for w in AT_WORDS} | {f" {w} ": "@" for w in SURE_AT_WORDS} | {f" {w} ": "dot" for w in DOT_WORDS} | {" @ ": "sign", "@ ": "sign", " @": "sign"}
+)
+_BETWEEN, _LOOSE = re.compile(r"[\s,-]+"), re.compile(r"[\s,.-]*")
+_DOT_BEFORE = re.compile(rf"\b{_DOT}\s*{_CLOSE}?\s*\Z", re.IGNORECASE)
+_DIGITS_AFTER = re.compile(rf"\s*{_OPEN}?\s*{_DOT}\b|[\s,.-]*[0-9]", re.IGNORECASE)
+_DIGITS_BEFORE = re.compile(rf"(?:[0-9][\s,.-]*|\+\s*|\b{_PLUS}\s+)\Z", re.IGNORECASE)
+_NUMBER_AFTER = re.compile(rf"(?:{_NUMBER}\b|[0-9])", re.IGNORECASE)
+_LETTERS_IN_DIGITS = re.compile(r"(?<=[0-9])[oOlI]+(?=[0-9])")
+_NAME_AFTER = re.compile(rf"[a-z0-9-]+(?:\s+{_DOT}\s+|\s*{_OPEN}\s*(?:{_DOT}|\.))", re.IGNORECASE)
+_HOST_AFTER = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,63}\b", re.IGNORECASE)
+_SPACED_AFTER = re.compile(rf"[a-z0-9-]+\s*(?:\.|{_DOT}\b)", re.IGNORECASE)
 #: A name that " at " before a plain domain may stand for an address with: prose has none like it.
 _NAME_LIKE = re.compile(r"[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*$")
-_WORDS = re.compile("[a-z]+", re.IGNORECASE)
-#: What makes digits of one or two number words: in the source before and after them, and in the rewritten text before them.
-_DOT_BEFORE = re.compile(rf"\bdot\s*{_CLOSE}?\s*\Z", re.IGNORECASE)
-_DIGITS_AFTER = re.compile(rf"\s*{_OPEN}?\s*dot\b|[\s,.-]*[0-9]", re.IGNORECASE)
-_DIGITS_BEFORE = re.compile(r"(?:[0-9][\s,.-]*|\+\s*)\Z")
+_FOLDABLE = re.compile(_LOOKALIKE)
+
+
+def fold_lookalikes(trail: Trail) -> Trail:
+    """Every look-alike as the character it looks like, without invisible ones: a table of one state."""
+    return trail.rewrite([(m.start(), m.end(), FOLDED[m[0]]) for m in _FOLDABLE.finditer(trail.text)])
+
+
+def write_digits(trail: Trail) -> Trail:
+    """Number words as digits, plus as a sign, and letters among digits as the digits that they look like.
+
+    Number words are taken in runs. A run of three or more is written as digits; a shorter one only beside a word for a
+    dot, a plus sign or digits, since prose has number words too.
+    """
+    text = trail.text
+    whole = lambda a, b: (a == 0 or not (text[a - 1].isalnum() or text[a - 1] == "_")) and (b == len(text) or not (text[b].isalnum() or text[b] == "_"))
+    runs: list[list[tuple[int, int, str]]] = []
+    edits = [(a, b, "".join(LETTER_DIGITS[c] for c in text[a:b])) for a, b in (m.span() for m in _LETTERS_IN_DIGITS.finditer(text))]
+    for a, b, out in _DIGITS.find(text):
+        if out == "+":
+            if (a == 0 or not text[a - 1].isalnum()) and _NUMBER_AFTER.match(text, b):
+                edits.append((a, b, "+"))
+        elif b - a > 1 and whole(a, b):
+            if runs and _BETWEEN.fullmatch(text, runs[-1][-1][1], a):
+                runs[-1].append((a, b, out))
+            else:
+                runs.append([(a, b, out)])
+    last = -1
+    for run in runs:
+        a, b = run[0][0], run[-1][1]
+        sure = all(text[x:y].lower() not in DOUBTFUL for x, y, _ in run)
+        if len(run) > 2 or sure and (last >= 0 and _LOOSE.fullmatch(text, last, a) or _DIGITS_AFTER.match(text, b) or _DOT_BEFORE.search(text[max(0, a - 16) : a]) or _DIGITS_BEFORE.search(text[max(0, a - 16) : a])):
+            # what stands between two words of a run goes with the first
+            last = b
+            edits += [(x, run[k + 1][0] if k + 1 < len(run) else y, d) for k, (x, y, d) in enumerate(run)]
+    out = trail.rewrite(sorted(edits))
+    # a word's own end is where its digit ends
+    ends = {trail.start[x]: trail.end[y - 1] for run in runs for x, y, _ in run}
+    return Trail(out.text, out.start, [ends.get(a, b) if b - a > 1 else b for a, b in zip(out.start, out.end, strict=True)]) if edits else out
+
+
+def write_signs(trail: Trail) -> Trail:
+    """Words and signs in brackets, and words and spaced signs that stand where an address has them, as @ and dots."""
+    text, edits = trail.text, []
+    word = lambda k: 0 <= k < len(text) and (text[k].isascii() and text[k].isalnum() or text[k] == "_")
+    for a, b, out in _SIGNS.find(text):
+        if out == "at":
+            if word(a - 1) and (_NAME_AFTER.match(text, b) or (_HOST_AFTER.match(text, b) and _NAME_LIKE.search(text, max(0, a - 64), a))):
+                edits.append((a, b, "@"))
+        elif out == "dot":
+            if word(a - 1) and word(b):
+                edits.append((a, b, "."))
+        elif out == "sign":
+            if word(a - 1) and _SPACED_AFTER.match(text, b):
+                edits.append((a, b, "@"))
+        else:
+            edits.append((a, b, out))
+    return trail.rewrite(edits)
 
 
 def luhn(digits: str) -> bool:
@@ -122,66 +293,25 @@ def plain_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails(text) if "@" in text else [], ips(text) if digit else [], cards(text) if digit else [], phones(text) if digit and "+" in text else []]
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int]]:
-    """The rewritten text, and the source start and end of each of its characters."""
-    out: list[str] = []
-    start: list[int] = []
-    end: list[int] = []
-    at = 0
-
-    def emit(s: str, a: int, b: int) -> None:
-        out.append(s)
-        start.extend([a] * len(s))
-        end.extend([b] * len(s))
-
-    def copy(a: int, b: int) -> None:
-        out.append(text[a:b])
-        start.extend(range(a, b))
-        end.extend(range(a + 1, b + 1))
-
-    for m in _RULES.finditer(text):
-        copy(at, m.start())
-        at = m.end()
-        if m.lastgroup == "look":
-            emit(HOMOGLYPHS.get(m[0], ""), *m.span())
-        elif m.lastgroup in ("at", "atword"):
-            emit("@", *m.span())
-        elif m.lastgroup == "atplain":
-            if _NAME_LIKE.search(text, max(0, m.start() - 64), m.start()):
-                emit("@", *m.span())
-            else:
-                copy(*m.span())
-        elif m.lastgroup == "letter":
-            for k in range(*m.span()):
-                emit(_LETTER_DIGIT[text[k]], k, k + 1)
-        elif m.lastgroup in ("dot", "dotword"):
-            emit(".", *m.span())
-        elif m.lastgroup == "plus":
-            emit("+", *m.span())
-        else:
-            words = list(_WORDS.finditer(m[0]))
-            if len(words) < 3 and not (_DIGITS_AFTER.match(text, at) or _DOT_BEFORE.search(text[max(0, m.start() - 16) : m.start()]) or _DIGITS_BEFORE.search("".join(out[-4:])[-16:])):  # a number word in prose
-                copy(*m.span())
-            else:
-                for w in words:
-                    emit(SPELLED[w[0].lower()], m.start() + w.start(), m.start() + w.end())
-    copy(at, len(text))
-    return "".join(out), start, end
+def normalise(text: str) -> Trail:
+    """The text without disguises."""
+    return write_signs(write_digits(fold_lookalikes(Trail(text))))
 
 
 def disguised_spans(text: str, plain: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Spans, of each kind, that only show in the rewritten text and touch no plain span of that kind."""
-    clean, start, end = normalise(text)
-    if clean == text:
+    """Spans, of each kind, that only show in the rewritten text; a plain span of that kind lies inside or apart, as where a look-alike had cut it short."""
+    clean = normalise(text)
+    if clean.text == text:
         return [[] for _ in KINDS]
-    if any(c in HOMOGLYPHS or c in INVISIBLE for c in text):  # words that look-alikes had broken up
-        again, s2, e2 = normalise(clean)
-        start, end, clean = [start[k] for k in s2], [end[k - 1] for k in e2], again
-    out = []
-    for found, known in zip(plain_spans(clean), plain, strict=True):
-        spans = [(start[a], end[b - 1]) for a, b in found]
-        spans = [(a, b) for (a, b), (x, y) in zip(spans, found, strict=True) if text[a:b] != clean[x:y]]
-        out.append([s for s in spans if not any(s[0] < k[1] and k[0] < s[1] for k in known)])
+    out: list[list[tuple[int, int]]] = []
+    for found, known in zip(plain_spans(clean.text), plain, strict=True):
+        out.append([])
+        spans = [(clean.start[a], clean.end[b - 1]) for a, b in found if text[clean.start[a] : clean.end[b - 1]] != clean.text[a:b]]
+        starts, ends = [k[0] for k in known], [k[1] for k in known]
+        for a, b in spans:  # of plain spans, those that end behind a and start before b must lie inside
+            first, last = bisect_right(ends, a), bisect_left(starts, b)
+            if first >= last or (a <= starts[first] and ends[last - 1] <= b and _FOLDABLE.search(text, a, b)):
+                out[-1].append((a, b))
     return out
 
 
