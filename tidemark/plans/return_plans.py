@@ -166,7 +166,7 @@ def basis_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMMARY = f"""WITH RECURSIVE {CURVE}, t AS (SELECT book, count(*) AS n, product(1 + r) AS g FROM ret GROUP BY 1),
-{FLOWS.replace(sql.LEDGER + ", " + sql.SUPPLIER_PX + ", ", "")}, x AS (SELECT book, date_diff('day', first_d, d) / 365.25::DOUBLE AS t, flow AS a FROM cf JOIN firsts USING (book) UNION ALL SELECT book, date_diff('day', first_d, DATE '{ASOF}') / 365.25::DOUBLE, value FROM mv JOIN firsts USING (book)),
+{FLOWS.replace(sql.LEDGER + ", " + sql.SUPPLIER_PX + ", ", "").replace(" sh AS (", " hs AS (").replace("FROM sh JOIN", "FROM hs JOIN")}, x AS (SELECT book, date_diff('day', first_d, d) / 365.25::DOUBLE AS t, flow AS a FROM cf JOIN firsts USING (book) UNION ALL SELECT book, date_diff('day', first_d, DATE '{ASOF}') / 365.25::DOUBLE, value FROM mv JOIN firsts USING (book)),
 xs AS (SELECT book, list(t) AS ts, list(a) AS as_ FROM x GROUP BY 1),
 it AS (SELECT book, 0 AS k, 0.1::DOUBLE AS r, 1.0::DOUBLE AS step, ts, as_ FROM xs UNION ALL SELECT book, k + 1, r - f / g, f / g, ts, as_ FROM (SELECT *,
  list_sum(list_transform(list_zip(ts, as_), lambda z: z[2] / (1 + r) ** z[1])) AS f, list_sum(list_transform(list_zip(ts, as_), lambda z: -z[1] * z[2] / (1 + r) ** (z[1] + 1))) AS g FROM it WHERE k < 100 AND abs(step) >= 1e-10)),
