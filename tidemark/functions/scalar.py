@@ -44,7 +44,7 @@ def csv_safe(text: Column) -> Column:
 
 
 def is_ticker(text: Column) -> Column:
-    """Whether the text, trimmed and in upper case, has the shape of a ticker."""
+    """Whether the text, trimmed and in upper case, has the shape of a ticker (a fixed value)."""
     return F.upper(F.trim(text)).rlike("^[A-Z0-9.\\-]{1,15}$")
 
 

@@ -112,6 +112,11 @@ def preset_target(roles: DataFrame, template: DataFrame, key: str = "book") -> D
     return sums.withColumn("w", ratio(F.col("w"), F.sum("w").over(Window.partitionBy(key))))
 
 
+def held_weights(held: DataFrame, key: str = "book") -> DataFrame:
+    """key, ticker, value and w, its share of the key's whole value."""
+    return held.select(key, "ticker", "value").withColumn("w", ratio(F.col("value"), F.sum("value").over(Window.partitionBy(key))))
+
+
 def _universe(held: DataFrame, prices: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """key, ticker, held, w, price, total, cur_w of all held or targeted tickers with a usable price."""
     books = held.groupBy(key).agg(F.sum("value").alias("total"))

@@ -8,9 +8,90 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import band, finite
+
+#: Fixed value: the shape of a token.
 TOKEN = r"\{\{\s*([A-Za-z][A-Za-z0-9_]*)\s*\}\}"
 
 
+# The words for a figure's size, by token or by the token's beginning (cuts, words, of the magnitude or not).
+_RATIO = ([0.0, 1.0, 2.0], ["negative", "weak", "solid", "strong"], False)
+_RETURN = ([0.0, 0.10, 0.20], ["negative", "modest", "healthy", "strong"], False)
+_ULCER = ([0.02, 0.05, 0.10], ["mild", "moderate", "significant", "severe"], False)
+_DEPTH = ([0.05, 0.15, 0.30], ["mild", "moderate", "significant", "severe"], True)
+BANDS = {
+    "max_drawdown": _DEPTH, "cdar": (_DEPTH[0], _DEPTH[1], False), "ulcer": _ULCER, "sharpe": _RATIO, "sortino": _RATIO, "calmar": _RATIO,
+    "twr_annual": _RETURN, "mwr_annual": _RETURN, "dietz_annual": _RETURN,
+}
+PREFIX_BANDS = {"gap_": ([0.005, 0.03, 0.10], ["none", "very little", "some", "a fair amount"], False), "bench_dd_": _DEPTH, "bench_ulcer_": _ULCER}
+# What a check's status says of a fund.
+FIT_WORDS = {
+    "cost": {"pass": "cheap", "warn": "a bit pricey", "fail": "expensive"},
+    "liquidity": {"pass": "liquid", "warn": "thinly traded", "fail": "illiquid"},
+    "overlap": {"pass": "little overlap with what you hold", "warn": "some overlap with what you hold", "fail": "heavy overlap with what you hold"},
+    "diversifier": {"pass": "diversified your past drawdowns", "warn": "a weak diversifier for your book", "fail": "moved with your book"},
+}
+
+
+def band_of(token: Column, value: Column) -> Column:
+    """The word for a figure's size that its token has, by name or else by its beginning; NULL without one or a figure."""
+    x = finite(value)
+    out = F.lit(None).cast("string")
+    for prefix, (cuts, words, magnitude) in reversed(PREFIX_BANDS.items()):
+        out = F.when(token.startswith(prefix), band(x, cuts, words, magnitude)).otherwise(out)
+    for name, (cuts, words, magnitude) in BANDS.items():
+        out = F.when(token == name, band(x, cuts, words, magnitude)).otherwise(out)
+    return out
+
+
+def slug(text: Column) -> Column:
+    """A name as part of a token: lower case, all else than letters and digits as low lines."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
+
+
+def fit_phrases(checks: DataFrame) -> DataFrame:
+    """ticker, fit: what the headline checks (ticker, check, status) say of a fund in words, without figures; empty without any."""
+    places = {(c, s): k for k, (c, s) in enumerate((c, s) for c, words in FIT_WORDS.items() for s in words)}
+    word = F.lit(None).cast("struct<place:int,word:string>")
+    for (c, s), k in places.items():
+        word = F.when((F.col("check") == c) & (F.col("status") == s), F.struct(F.lit(k).alias("place"), F.lit(FIT_WORDS[c][s]).alias("word"))).otherwise(word)
+    return checks.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), ", ").alias("fit"))
+
+
+def claim_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, token, value, rendered, label, band of rows (key, token, value, rendered, label) whose figure is finite or is none."""
+    kept = rows.where(F.col("value").isNull() | finite(F.col("value")).isNotNull())
+    return kept.select(key, "token", "value", "rendered", "label", band_of(F.col("token"), F.col("value")).alias("band"))
+
+
+def discovery_claims(gaps: DataFrame, menu: DataFrame, verdicts: DataFrame, checks: DataFrame, key: str = "book") -> DataFrame:
+    """The figures that prose on gaps may name: the exposure to each gap role, and each candidate on a menu that was screened.
+
+    gaps: key, role, exposure; menu: key, role, ticker, name; verdicts: ticker, verdict; checks as in fit_phrases.
+    """
+    none = F.lit(None).cast("double")
+    roles = gaps.select(key, F.concat(F.lit("gap_"), slug(F.col("role"))).alias("token"), F.col("exposure").alias("value"), F.format_string("%.0f%%", F.col("exposure") * 100).alias("rendered"), F.concat(F.lit("the book's exposure to "), "role").alias("label"))
+    judged = menu.join(verdicts, "ticker").join(fit_phrases(checks), "ticker", "left")
+    name = F.array_join(F.filter(F.split(F.col("name"), r"\s+"), lambda w: w != ""), " ")
+    said = F.concat(name, F.lit(", "), F.col("role"), F.lit(": the screen says "), F.upper("verdict"), F.when(F.coalesce("fit", F.lit("")) != "", F.concat(F.lit(" ("), "fit", F.lit(")"))).otherwise(""))
+    funds = judged.select(key, F.concat(F.lit("cand_"), slug(F.col("ticker"))).alias("token"), none.alias("value"), F.col("ticker").alias("rendered"), said.alias("label"))
+    return claim_rows(roles.unionByName(funds), key)
+
+
+def benchmark_claims(stats: DataFrame, reference: str, key: str = "pair") -> DataFrame:
+    """The figures that prose on a benchmark may name: both held-out Ulcer indices (stats: key, leg, ulcer) and the reference's name."""
+    ulcers = stats.select(key, F.when(F.col("leg") == "with", "bench_ulcer_preset").otherwise("bench_ulcer_reference").alias("token"), F.col("ulcer").alias("value"), F.format_string("%.2f%%", F.col("ulcer") * 100).alias("rendered"), F.when(F.col("leg") == "with", "the posture's Ulcer index, held out").otherwise("the reference's Ulcer index, held out").alias("label"))
+    names = stats.select(key).distinct().select(key, F.lit("bench_reference").alias("token"), F.lit(None).cast("double").alias("value"), F.lit(reference).alias("rendered"), F.lit("the reference's name").alias("label"))
+    return claim_rows(ulcers.unionByName(names), key)
+
+
+def prompt_listing(claims: DataFrame, key: str, exact: bool) -> DataFrame:
+    """key, listing: a line for each claim in the order of tokens; with its exact text, or only with the word for its size."""
+    hint = F.coalesce(F.col("rendered") if exact else F.col("band"), F.lit(""))
+    line = F.concat(F.lit("{{"), "token", F.lit("}}  — "), "label", F.when(hint != "", F.concat(F.lit(" ("), hint, F.lit(")"))).otherwise(""))
+    return claims.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token", line.alias("line")))), lambda x: x["line"]), "\n").alias("listing"))
+
+
 @lru_cache(maxsize=1)
 def letter_numerals() -> str:
     """All letters that stand for numbers, as the ideographs of ten or ten thousand: number categories do not cover them."""
@@ -39,5 +120,4 @@ def render(prose: Column, claims: Column) -> Column:
 def claims_of(rows: DataFrame, key: str) -> DataFrame:
     """key and claims, a map, of rows (key, token, value, rendered); figures that are missing or not finite make no claim."""
     usable = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    slug = F.regexp_replace(F.lower("token"), "[^a-z0-9]+", "_")
-    return usable.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(slug.alias("t"), F.col("rendered"))))).alias("claims"))
+    return usable.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(slug(F.col("token")).alias("t"), F.col("rendered"))))).alias("claims"))

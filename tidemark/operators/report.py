@@ -7,7 +7,8 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio, signed_percent
+from tidemark.functions.scalar import human, ratio, signed_percent
+from tidemark.operators.screen import age_years
 
 LAG_FLAG_DAYS, LAG_ALARM_DAYS = 4, 10
 
@@ -32,6 +33,68 @@ def leg_table(legs: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("metric").pivot("leg", names).agg(F.first("v"))
 
 
+def securities(facts: DataFrame, today: Column) -> DataFrame:
+    """ticker, expense, aum, volume, age, kind: fund facts as texts, n/a where a fact is not published."""
+    text = lambda shown, c: F.when(F.col(c).isNull(), "n/a").otherwise(shown)
+    parts = F.array(*[F.nullif(F.trim(F.col(c) if c in facts.columns else F.lit(None).cast("string")), F.lit("")) for c in ("quote_type", "category", "family")])
+    kind = F.array_join(F.array_compact(parts), " — ")
+    return facts.select(
+        "ticker", text(F.format_string("%.2f%%", F.col("expense_ratio") * 100), "expense_ratio").alias("expense"), text(F.concat(F.lit("$"), human(F.col("aum"))), "aum").alias("aum"),
+        text(human(F.col("avg_volume")), "avg_volume").alias("volume"), text(F.format_string("%.1fy", age_years(F.col("inception"), today)), "inception").alias("age"), F.when(kind == "", "n/a").otherwise(kind).alias("kind"),
+    )
+
+
+def candidates(checks: DataFrame, only_found: bool = False) -> DataFrame:
+    """ticker, verdict, counts, lines: the screen's result as texts, the checks in the order of their names.
+
+    only_found: just what a check found, warnings, failures, and a held-out role that passed.
+    """
+    from tidemark.operators.screen import roll_up
+
+    found = F.col("status").isin("warn", "fail") | ((F.col("check") == "role") & (F.col("status") == "pass"))
+    line = F.when(found | F.lit(not only_found), F.concat(F.lit("["), "status", F.lit("] "), "check"))
+    lines = checks.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("check", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    n = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(f" {word}"))
+    counts = F.concat_ws(" / ", n("n_fail", "fail"), n("n_warn", "warn"), n("n_pass", "pass"), n("n_na", "n-a"))
+    return roll_up(checks).join(lines, "ticker").select("ticker", F.upper("verdict").alias("verdict"), counts.alias("counts"), F.array_join(F.array_compact("lines"), "\n").alias("lines"))
+
+
+def discoveries(gaps: DataFrame, menu: DataFrame, shelves: DataFrame, screened: DataFrame) -> DataFrame:
+    """book, role, held, shown, also: a line for each gap role, with its funds and their verdicts, and the shelves not shown.
+
+    gaps: book, role, exposure; menu: book, role, place, ticker, flavor; shelves: book, role, flavor, n; screened: ticker, verdict.
+    Roles with neither funds nor shelves are left out.
+    """
+    fund = F.struct("place", F.concat_ws(" ", "ticker", F.coalesce("verdict", F.lit("N/A"))).alias("text"))
+    listed = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["text"]), " · ")
+    shown = menu.join(screened.select("ticker", "verdict"), "ticker", "left").groupBy("book", "role").agg(listed(fund).alias("shown"))
+    shelf = F.struct(F.col("flavor").alias("place"), F.concat(F.when(F.col("flavor") == "", "(unnamed)").otherwise(F.col("flavor")), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
+    also = shelves.groupBy("book", "role").agg(listed(shelf).alias("also"))
+    out = gaps.join(shown, ["book", "role"], "left").join(also, ["book", "role"], "left").where("shown is not null or also is not null")
+    return out.select("book", "role", F.format_string("%.0f%%", F.col("exposure") * 100).alias("held"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("also", F.lit("")).alias("also"))
+
+
+def leg_panel(panels: DataFrame, finals: DataFrame) -> DataFrame:
+    """leg, place, metric, v: the rows that describe a leg, as texts: each risk metric and its interval, the year's return and the final value.
+
+    panels: drawdown.panel with key leg; finals: leg, annualized, final_value.
+    """
+    pct = lambda c, digits, sign="": F.format_string(f"%{sign}.{digits}f%%", F.col(c) * 100)
+    both = lambda a, shown, b: F.concat(shown(a), F.lit(" .. "), shown(b))
+    number = lambda c: F.format_string("%+.2f", F.col(c))
+    rows = []
+    for name, m in (("Max drawdown", "max_drawdown"), ("Ulcer index", "ulcer"), ("CDaR (worst 5%)", "cdar")):
+        size = (lambda c: pct(c, 2, "+")) if m == "max_drawdown" else (lambda c: F.format_string("%.2f%%", F.abs(F.col(c)) * 100))
+        edge = (lambda c: pct(c, 1)) if m != "cdar" else (lambda c: F.format_string("%.1f%%", F.abs(F.col(c)) * 100))
+        low, high = (f"{m}_high", f"{m}_low") if m == "cdar" else (f"{m}_low", f"{m}_high")
+        rows += [(name, m, size(m)), (f"{name} 95% CI", m, both(low, edge, high))]
+    for name, m in (("Sharpe", "sharpe"), ("Sortino", "sortino"), ("Calmar", "calmar")):
+        rows += [(name, m, number(m)), (f"{name} 95% CI", m, both(f"{m}_low", number, f"{m}_high"))]
+    rows += [("Annualized return", "annualized", pct("annualized", 2, "+")), ("Final value", "final_value", F.concat(F.lit("$"), F.format_number("final_value", 0)))]
+    texts = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("metric"), F.when(F.col(c).isNull(), "n/a").otherwise(v).alias("v")) for k, (name, c, v) in enumerate(rows)]
+    return panels.join(finals, "leg").select("leg", F.explode(F.array(*texts)).alias("e")).select("leg", "e.*")
+
+
 def provenance(latest: DataFrame, today: Column) -> DataFrame:
     """One row: prices by source, first and last close day, oldest fetch, and whether the newest close lags."""
     by = F.count_if

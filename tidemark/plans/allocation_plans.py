@@ -29,7 +29,7 @@ def _out(trade: str) -> str:
 
 def _suggest(spark: SparkSession, sf_dir: str, mode: str, **more) -> DataFrame:
     held = adapters.held_values(spark, sf_dir)
-    out = allocate.suggest(mode, held, held.select("ticker", "price").distinct(), adapters.target(spark), **more)
+    out = allocate.suggest(mode, held, held.select("ticker", "price").distinct(), adapters.target(spark), **more).drop("rule", "reason")
     return rounded(rounded(rounded(out, "dollars", digits=0), "shares"), "cur_w", digits=8)
 
 
@@ -87,6 +87,25 @@ def cap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocate.apply_caps(held, 0.201), "w", digits=8)
 
 
+@query(
+    f"WITH {sql.HELD}, v AS (SELECT ticker, stddev_samp(r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS k FROM (SELECT ticker, d, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS r FROM pm) WHERE r IS NOT NULL) WHERE k <= 252 GROUP BY 1)"
+    " SELECT 'equal_weight' AS rule, book, ticker, round(1.0::DOUBLE / count(*) OVER (PARTITION BY book), 8) AS w FROM (SELECT DISTINCT book, ticker FROM hv) UNION ALL SELECT 'inverse_vol', book, ticker, round(1 / s / sum(1 / s) OVER (PARTITION BY book), 8) FROM (SELECT DISTINCT book, ticker FROM hv) JOIN v USING (ticker)"
+)
+def allocate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, px = adapters.held_values(spark, sf_dir), adapters.prices(spark, sf_dir, "month")
+    members = held.select("book", "ticker").unionByName(held.select("book", F.lit("CASH").alias("ticker")))  # cash gets no weight
+    parts = [allocate.allocate(rule, members, px if allocate.needs_series(rule) else None).withColumn("rule", F.lit(rule)) for rule in ("equal_weight", "inverse_vol")]
+    return rounded(parts[0].unionByName(parts[1]), "w", digits=8)
+
+
+@query(
+    f"WITH {UNI} SELECT book, ticker, CASE WHEN abs(w * total - held) < 1 THEN 'on target' WHEN w = 0 THEN 'target 0%: the position is sold off' ELSE printf('%.1f%% held, %.1f%% wanted', cur_w * 100, w * 100) END AS reason FROM u"
+)
+def rebalance_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = adapters.held_values(spark, sf_dir)
+    return allocate.suggest("to_total", held, held.select("ticker", "price").distinct(), adapters.target(spark)).select("book", "ticker", "reason")
+
+
 HELD_PARTS = "hp AS (SELECT 'B' || (l_suppkey % 7) AS book, 'P' || l_partkey AS ticker, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)"
 ROLES = f"{sql.UNIVERSE}, {HELD_PARTS}, k AS (SELECT book, role, ticker, row_number() OVER (PARTITION BY book, role ORDER BY value DESC, ticker) AS k FROM hp JOIN uni USING (ticker)), f AS (SELECT role, arg_min(ticker, file_ord) AS dflt FROM uni GROUP BY 1), rr AS (SELECT b.book, f.role, coalesce(k.ticker, dflt) AS ticker FROM (SELECT DISTINCT book FROM hp) b CROSS JOIN f LEFT JOIN k ON k.book = b.book AND k.role = f.role AND k.k = 1)"
 
@@ -128,9 +147,7 @@ def onboarding_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.HELD} SELECT book, ticker, round(value, 3) AS value, round(value / sum(value) OVER (PARTITION BY book), 8) AS w FROM hv")
 def held_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    out = adapters.held_values(spark, sf_dir).select("book", "ticker", "value").withColumn("w", F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy("book"))))
+    out = allocate.held_weights(adapters.held_values(spark, sf_dir))
     return rounded(rounded(out, "value", digits=3), "w", digits=8)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drawdown, report
+from tidemark.operators import allocate, bootstrap, drawdown, report
 from tidemark.operators import ledger as ledger_ops
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import FOLD, rounded
@@ -62,8 +62,38 @@ def panel_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT coalesce(t.book, w.book) AS book, coalesce(t.ticker, w.ticker) AS ticker, coalesce(w, 0) AS w, round(coalesce(cur_w, 0), 8) AS cur_w, round(coalesce(w, 0) - coalesce(cur_w, 0), 8) AS delta, w IS NULL AS omitted FROM t FULL JOIN w ON t.book = w.book AND t.ticker = w.ticker"
 )
 def panel_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    held = adapters.held_values(spark, sf_dir).where("ticker <> '2-HIGH'").select("book", "ticker", F.try_divide("value", F.sum("value").over(Window.partitionBy("book"))).alias("w"))
+    held = allocate.held_weights(adapters.held_values(spark, sf_dir).where("ticker <> '2-HIGH'")).drop("value")
     target = held.select("book").distinct().crossJoin(F.broadcast(adapters.target(spark).where("w > 0")))  # four tickers
     return rounded(report.proposal(target, held), "cur_w", "delta", digits=8)
+
+
+@query(
+    f"WITH {sql.FACTS} SELECT ticker, printf('%.2f%%', expense_ratio * 100) AS expense, '$' || CASE WHEN aum >= 1e9 THEN CASE WHEN aum / 1e9 < 10 THEN printf('%.2fB', aum / 1e9) ELSE printf('%.1fB', aum / 1e9) END ELSE CASE WHEN aum / 1e6 < 10 THEN printf('%.2fM', aum / 1e6) ELSE printf('%.1fM', aum / 1e6) END END AS aum,"
+    " CASE WHEN avg_volume = 0 THEN '0' WHEN avg_volume / 1e3 < 10 THEN printf('%.2fK', avg_volume / 1e3) ELSE printf('%.1fK', avg_volume / 1e3) END AS volume, printf('%.1fy', greatest(date_diff('day', inception, DATE '2001-08-01'), 0) / 365.25::DOUBLE) AS age, category AS kind FROM facts"
+)
+def panel_securities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.securities(adapters.facts(spark, sf_dir), F.lit("2001-08-01").cast("date"))
+
+
+@query(
+    "SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS n_cache, list_aggregate(list_sort(list(DISTINCT event_type)), 'string_agg', ',') AS sources, min(ts::DATE) AS first_close, max(ts::DATE) AS last_close, date_diff('day', max(ts::DATE), DATE '2024-02-05')::INTEGER AS lag_days, date_diff('day', max(ts::DATE), DATE '2024-02-05') > 4 AS flagged, date_diff('day', max(ts::DATE), DATE '2024-02-05') > 10 AS alarm FROM events"
+)
+def panel_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("event_type") == "view", "cache").otherwise(F.col("event_type"))
+    rows = adapters.table(spark, sf_dir, "events").select(source.alias("source"), F.to_date("ts").alias("asof_date"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    out = report.provenance(rows, F.lit("2024-02-05").cast("date"))
+    named = F.array_sort(F.transform("sources", lambda s: F.when(s == "cache", "view").otherwise(s)))
+    return out.select("n", "n_cache", F.array_join(named, ",").alias("sources"), "first_close", "last_close", "lag_days", "flagged", "alarm")
+
+
+@query(
+    "WITH c AS (SELECT 'P' || p_partkey AS ticker, p_name AS name, p_type AS category, p_retailprice * 1e6 AS size, CASE WHEN p_size % 7 = 0 THEN 'EQUITY' ELSE 'ETF' END AS quote_type, p_partkey FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY size DESC, ticker) AS k FROM c WHERE quote_type = 'ETF' AND size > 9.2e8 AND NOT regexp_matches(lower(name), 'leveraged|inverse|ultra|[23]x')),"
+    " b AS (SELECT ticker, name, lower(category) AS role, category || ' ETF.' AS summary, category <> 'PROMO' AS core, '' AS flavor, NULL AS place, size FROM f WHERE k <= 40), u AS (SELECT 'P1' AS ticker, 'Chosen' AS name, 'promo' AS role, 'By hand.' AS summary, TRUE AS core, 'x' AS flavor, 1 AS place, NULL AS size UNION ALL SELECT * FROM b WHERE ticker <> 'P1')"
+    " SELECT ticker, name, role, summary, core, flavor, row_number() OVER (ORDER BY role, place ASC NULLS LAST, size DESC, ticker)::INTEGER AS file_ord FROM u"
+)
+def universe_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = adapters.table(spark, sf_dir, "part")
+    listed = part.select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 7 == 0, "EQUITY").otherwise("ETF").alias("quote_type"), F.col("p_type").alias("category"), (F.col("p_retailprice") * 1e6).alias("size"))
+    categories = part.select(F.col("p_type").alias("category"), F.lower("p_type").alias("role"), (F.col("p_type") != "PROMO").alias("core"), F.lit("").alias("flavor")).distinct()
+    curated = spark.createDataFrame([("P1", "Chosen", "promo", "By hand.", "x", 1)], "ticker string, name string, role string, summary string, flavor string, place int")
+    return price_tables.build_universe(listed, categories, curated, least_size=9.2e8, most=40)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import fence
+from tidemark.operators import fence, report
 from tidemark.operators import ledger as ledger_ops
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import FOLD, rounded
 from tidemark.plans.registry import query
-from tidemark.sources import adapters
+from tidemark.sources import adapters, price_tables
 
 TOKEN_SQL = r"\{\{\s*([A-Za-z][A-Za-z0-9_]*)\s*\}\}"
 #: Claims that the prose may name.
@@ -67,15 +67,19 @@ def ticker_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS total FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:05:00' AND ts >= TIMESTAMP '2024-01-13 00:00:00' GROUP BY 1")
 def freshness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows fetched at most a week before a fixed now, and not more than five minutes after it."""
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    ts = F.col("ts").cast("timestamp_ntz")
-    fresh = (ts <= now + F.expr("interval 5 minutes")) & (ts >= now - F.expr("interval 7 days"))
-    return adapters.table(spark, sf_dir, "events").where(fresh).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+    now, ts = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")
+    return adapters.table(spark, sf_dir, "events").where(price_tables.fresh(ts, now, "7 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+
+
+@query("SELECT event_id, round(greatest(date_diff('microsecond', ts, TIMESTAMP '2024-01-20 00:00:00') / 3.6e9, 0), 4) AS hours FROM events")
+def cache_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, ts = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")
+    return rounded(adapters.table(spark, sf_dir, "events").select("event_id", price_tables.age_hours(ts, now).alias("hours")), "hours", digits=4)
 
 
 @query(f"WITH {sql.UNIVERSE}, {sql.FACTS} SELECT ticker FROM uni WHERE ticker NOT IN (SELECT ticker FROM facts WHERE top_share IS NOT NULL)")
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.universe(spark, sf_dir).select("ticker").join(adapters.facts(spark, sf_dir).where("top_share is not null"), "ticker", "left_anti")
+    return price_tables.without_facts(adapters.universe(spark, sf_dir).select("ticker"), adapters.facts(spark, sf_dir).where("top_share is not null"))
 
 
 @query(
@@ -83,11 +87,9 @@ def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT book, ticker, round(shares, 6) AS shares, round(cost_basis / shares, 6) AS avg_cost, round(shares * close, 3) AS value, round(shares * close - cost_basis, 3) AS unrealized, round(realized, 3) AS realized, l.close IS NOT NULL AS priced FROM pos LEFT JOIN l USING (ticker) WHERE shares > 1e-9"
 )
 def panel_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = ledger_ops.positions(adapters.ledger(spark, sf_dir)).where(F.col("shares") > ledger_ops.DUST)
     last = adapters.supplier_prices(spark, sf_dir).where("ticker not like '%7'").groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
-    value = F.col("shares") * F.col("close")
-    out = held.join(last, "ticker", "left").select("book", "ticker", F.round("shares", 6).alias("shares"), F.round(F.col("cost_basis") / F.col("shares"), 6).alias("avg_cost"), value.alias("value"), (value - F.col("cost_basis")).alias("unrealized"), "realized", F.col("close").isNotNull().alias("priced"))
-    return rounded(out, "value", "unrealized", "realized", digits=3)
+    out = report.holdings(ledger_ops.positions(adapters.ledger(spark, sf_dir)), last).drop("cost_basis", "fees")
+    return rounded(rounded(out, "shares", "avg_cost", digits=6), "value", "unrealized", "realized", digits=3)
 
 
 @query("SELECT o_orderstatus, '{\"status\":\"' || o_orderstatus || '\",\"orders\":' || count(*) || ',\"customers\":' || count(DISTINCT o_custkey) || '}' AS summary FROM orders GROUP BY 1")
@@ -100,3 +102,32 @@ def run_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("s_acctbal") + 0.001234
     return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", scalar.human(x).alias("human"), scalar.signed_percent(x / 12345).alias("pct"))
+
+
+def _band_sql(spec, x: str) -> str:
+    cuts, words, magnitude = spec
+    v = f"abs({x})" if magnitude else x
+    return "CASE " + " ".join(f"WHEN {v} < {c!r}::DOUBLE THEN '{w}'" for c, w in zip(cuts, words[:-1], strict=True)) + f" ELSE '{words[-1]}' END"
+
+
+TOKENS = ["max_drawdown", "cdar", "ulcer", "sharpe", "twr_annual", "gap_gold", "bench_dd_preset", "bench_ulcer_reference", "n_holdings"]
+_SPECS = {t: fence.BANDS.get(t) or next((s for p, s in fence.PREFIX_BANDS.items() if t.startswith(p)), None) for t in TOKENS}
+
+
+@query("SELECT p_partkey, t AS token, CASE t " + " ".join(f"WHEN '{t}' THEN {_band_sql(s, 'x')}" for t, s in _SPECS.items() if s) + " END AS band FROM (SELECT p_partkey, (p_size - 10) / 50.0::DOUBLE AS x, unnest([" + ", ".join(f"'{t}'" for t in TOKENS) + "]) AS t FROM part)")
+def claim_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") - 10) / 50.0).alias("x"), F.explode(F.array(*[F.lit(t) for t in TOKENS])).alias("token"))
+    return rows.select("p_partkey", "token", fence.band_of(F.col("token"), F.col("x")).alias("band"))
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey AS k, n_name, s.v FROM nation JOIN (SELECT s_nationkey, avg(s_acctbal) / 1e4 AS v FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey), r AS (SELECT k, 'gap_' || regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') AS token, v, n_name FROM n UNION ALL SELECT k, 'sharpe', v * 3, n_name FROM n),"
+    f" b AS (SELECT *, CASE WHEN token = 'sharpe' THEN {_band_sql(fence.BANDS['sharpe'], 'v')} ELSE {_band_sql(fence.PREFIX_BANDS['gap_'], 'v')} END AS band FROM r)"
+    " SELECT k, string_agg('{{' || token || '}}  — about ' || n_name || ' (' || band || ')', chr(10) ORDER BY token) AS coarse, string_agg('{{' || token || '}}  — about ' || n_name || printf(' (%.3f)', v), chr(10) ORDER BY token) AS exact FROM b GROUP BY k"
+)
+def prompt_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = adapters.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg((F.avg("s_acctbal") / 1e4).alias("v"))
+    rows = means.join(adapters.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("k"))
+    made = rows.select("k", "n_name", F.explode(F.array(F.struct(F.concat(F.lit("gap_"), fence.slug(F.col("n_name"))).alias("token"), F.col("v").alias("value")), F.struct(F.lit("sharpe").alias("token"), (F.col("v") * 3).alias("value")))).alias("c"))
+    claims = fence.claim_rows(made.select("k", "c.token", "c.value", F.format_string("%.3f", "c.value").alias("rendered"), F.concat(F.lit("about "), "n_name").alias("label")), "k")
+    return fence.prompt_listing(claims, "k", False).withColumnRenamed("listing", "coarse").join(fence.prompt_listing(claims, "k", True).withColumnRenamed("listing", "exact"), "k")

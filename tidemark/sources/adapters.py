@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import action_rank
+from tidemark.sources.shared import plain_unions
 
 #: Books that the suppliers are dealt to.
 BOOKS = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

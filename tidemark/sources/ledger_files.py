@@ -47,9 +47,17 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """row_no from 1 in file order: ids rise with the place in the files, a window for each file."""
+    """row_no from 1 in file order, without a window over a whole file.
+
+    Ids rise with the place in the files: their upper part is the task, the lower one the row in it. So a row's number is
+    its number in its file's part of the task, and the rows that earlier tasks had of the file: a few numbers for each.
+    """
     placed = df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
-    return placed.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("place"))).drop("place")
+    placed = placed.withColumn("task", F.shiftright("place", 33))
+    parts = placed.groupBy("file", "task").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("file", "task", "first", F.coalesce(before, F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), ["file", "task"]).withColumn("row_no", (F.col("start") + F.col("place") - F.col("first") + 1).cast("int")).drop("place", "task", "first", "start")
 
 
 def read_csv_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -103,8 +111,23 @@ def read_json_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """CSV or JSON, told by the first character that is not blank."""
-    head = "".join(r[0] for r in spark.read.text(path).limit(3).collect()).lstrip("﻿ \t\r\n")
-    return read_json_report(spark, path) if head[:1] in ("{", "[") else read_csv_report(spark, path)
+    blank = F.regexp_replace("value", "^[\\uFEFF\\s]+", "")
+    first = spark.read.text(path).select(F.substring(blank, 1, 1).alias("c")).where("c <> ''").first()
+    return read_json_report(spark, path) if first and first["c"] in ("{", "[") else read_csv_report(spark, path)
+
+
+# A small book that shows every action.
+DEMO = (
+    ("2023-01-02", "CASH", "deposit", 0.0, 4000.0, 0.0), ("2023-01-09", "AAA", "buy", 8.0, 250.0, 1.0), ("2023-02-01", "BBB", "buy", 20.0, 60.0, 1.0), ("2023-04-03", "AAA", "buy", 4.0, 262.0, 1.0),
+    ("2023-06-15", "AAA", "dividend", 0.0, 18.0, 0.0), ("2023-09-29", "CASH", "interest", 0.0, 9.5, 0.0), ("2023-11-20", "AAA", "sell", 3.0, 280.0, 1.0), ("2023-12-29", "CASH", "fee", 0.0, 0.0, 15.0), ("2024-01-31", "CASH", "withdraw", 0.0, 200.0, 0.0),
+)
+
+
+def demo_ledger(spark: SparkSession) -> DataFrame:
+    """The rows of the example book, as read_csv gives them."""
+    rows = [(k, d, t, a, str(q), str(p), str(f)) for k, (d, t, a, q, p, f) in enumerate(DEMO, 1)]
+    text = spark.createDataFrame(rows, "row_no int, Date string, Code string, Action string, Quantity string, Price string, Fee string")
+    return _split(_checked(text.withColumns({"Currency": F.lit("USD"), "DataSource": F.lit("DEMO"), "Note": F.lit("")})))[0]
 
 
 def normalise_target(rows: DataFrame, key: str) -> DataFrame:

@@ -92,6 +92,63 @@ def normalise_facts(raw: DataFrame) -> DataFrame:
     )
 
 
+FACTS = "ticker string, expense_ratio double, aum double, avg_volume double, category string, family string, legal_type string, quote_type string, inception date, top_holdings map<string,double>, fetched_at timestamp"
+
+
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Adds fund facts to the cache, one JSON object each; what was read before stays until its own rows are newer."""
+    facts.select(*[f.split(" ")[0] for f in FACTS.split(", ")]).write.mode("append").json(path)
+
+
+def read_facts(spark: SparkSession, path: str, now: Column, allow_stale: bool = False) -> DataFrame:
+    """The fund facts fetched last for each ticker, if fresh; rows that are no JSON objects or have no time are left out.
+
+    Figures that are not finite become NULL, and holdings with such a weight are dropped.
+    """
+    rows = spark.read.schema(FACTS + ", broken string").option("columnNameOfCorruptRecord", "broken").option("allowNonNumericNumbers", True).json(path)
+    rows = rows.where(F.col("broken").isNull() & F.col("ticker").isNotNull() & fresh(F.col("fetched_at"), now, FACT_TTL, allow_stale)).drop("broken")
+    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fetched_at")))).where("k = 1").drop("k")
+    held = F.map_filter("top_holdings", lambda _, w: finite(w).isNotNull())
+    return last.withColumns({c: finite(F.col(c)) for c in ("expense_ratio", "aum", "avg_volume")} | {"top_holdings": held})
+
+
+def without_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """The tickers asked for that have no facts."""
+    return asked.select("ticker").distinct().join(facts, "ticker", "left_anti")
+
+
+def append_latest(rows: DataFrame, path: str) -> None:
+    """Adds latest closes (ticker, asof_date, close, source, fetched_at) to their table; readers take the row fetched last."""
+    rows.select("ticker", "asof_date", "close", "source", "fetched_at").write.mode("append").parquet(path)
+
+
+def age_hours(fetched_at: Column, now: Column) -> Column:
+    """Hours since a row was fetched; 0 if that lies in the future."""
+    return F.greatest((now.cast("timestamp").cast("double") - fetched_at.cast("timestamp").cast("double")) / 3600, F.lit(0.0))
+
+
+def build_universe(listed: DataFrame, categories: DataFrame, curated: DataFrame, least_size: float = 1e9, most: int = 100) -> DataFrame:
+    """ticker, name, role, summary, core, flavor, file_ord: a universe from what is listed and what is chosen by hand.
+
+    listed: ticker, name, quote_type, category, size; categories: category, role, core, flavor; curated: ticker, name, role,
+    summary, flavor and place. Of each category the most largest funds above least_size are taken; not those listed abroad
+    (a dot in the ticker), of other kinds, or leveraged or inverse by name. Of a ticker that comes twice the curated row
+    counts, else the larger. In a role curated rows stand first, then the larger ones; file_ord counts over all roles.
+    """
+    name = F.lower("name")
+    odd = name.contains("leveraged") | name.contains("inverse") | name.contains("ultra") | name.rlike("[23]x")
+    fit = listed.where((F.col("quote_type") == "ETF") & ~F.col("ticker").contains(".") & ~odd & (F.col("size") > least_size)).join(F.broadcast(categories), "category")  # a vocabulary
+    ranked = fit.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("size"), "ticker"))).where(F.col("k") <= most)
+    pulled = ranked.select(F.upper("ticker").alias("ticker"), "name", "role", F.concat("category", F.lit(" ETF.")).alias("summary"), "core", "flavor", F.lit(None).cast("int").alias("place"), "size")
+    chosen = curated.select(F.upper("ticker").alias("ticker"), "name", "role", "summary", F.lit(True).alias("core"), "flavor", "place", F.lit(None).cast("double").alias("size"))
+    both = chosen.unionByName(pulled).withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("place").asc_nulls_last(), F.desc("size"), "role"))).where("k = 1")
+    # places within a role first; roles are few, and their sizes place them one after another
+    own = both.withColumn("own", F.row_number().over(Window.partitionBy("role").orderBy(F.col("place").asc_nulls_last(), F.desc("size"), "ticker")))
+    sizes = both.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("role", F.coalesce(F.sum("n").over(Window.orderBy("role").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return own.join(F.broadcast(before), "role").select("ticker", "name", "role", "summary", "core", "flavor", (F.col("start") + F.col("own")).cast("int").alias("file_ord"))
+
+
 def export_ledger(ledger: DataFrame, path: str) -> None:
     """The ledger as a CSV in another tool's columns, texts made safe for spreadsheets."""
     from tidemark.functions.scalar import csv_safe

@@ -7,15 +7,25 @@ import re
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a session of one process that names no shared folder, as in tests.
 OWN_DIR = "/tmp/checkpoints/tidemark-tables"
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Has unions forget how their inputs were dealt out.
+
+    Spark 4.1 otherwise plans no exchange between a union of inputs that are dealt out alike and a window or aggregate on
+    the same key; when adaptive execution then merges the inputs' partitions differently, groups come in pieces.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df below spark.checkpoint.dir and returns that table: it is worked out once, and survives lost executors."""
     spark = df.sparkSession
+    plain_unions(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
