@@ -210,12 +210,13 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     slim = keep(signed.select("id", "tie", "n", "node"), "rows")
     drop(signed)
 
-    def checked(pairs: DataFrame, before: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-        """The pairs not tried before that bitmaps allow, and those of them that link."""
+    sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def checked(pairs: DataFrame, name: str, *before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs not tried before, and those of them that link."""
         for b in before:
             pairs = pairs.join(b, ["a", "b"], "left_anti")
-        sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        fit = keep(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_bitmaps_fit(percent)).select("a", "b"), name)
+        fit = keep(pairs, name)
         return fit, verify(fields, nodes, fit, size, percent)
 
     # first round: a partner for each shingle, and the first member for each other member of a group
@@ -224,26 +225,26 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     met = shared.where("partner is not null").select(F.col("partner").alias("g1"), F.col("grp").alias("g2")).distinct()
     outer = met.join(head.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("n_a")), "g1").join(head.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("n_b")), "g2")
     first = inner.unionByName(outer.where(_sizes_fit(percent)).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried, edges = checked(first, [], "tried")
+    tried, edges = checked(first.join(sketch("a"), "a").join(sketch("b"), "b").where(_bitmaps_fit(percent)).select("a", "b"), "tried")
     comps = components(edges)
     drop(head, edges)
 
     # second round: of the nodes that share a prefix shingle and still lie apart, each meets those close before it
     spots = spots_apart(shared, nodes, comps)
-    here, order = F.struct("node", "n", "pos", "comp"), Window.partitionBy("token", "part").orderBy("node")
+    here, order = F.struct("node", "n", "pos", "comp", "bits"), Window.partitionBy("token", "part").orderBy("node")
     before = F.array(*[F.lag(here, k).over(order) for k in range(1, NEIGHBOURS + 1)])
     ahead = spots.select(here.alias("y"), before.alias("before")).select("y", F.explode("before").alias("x")).where("x is not null")
-    ahead = ahead.select(*[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos", "comp")])
-    again, edges = checked(_new_pairs(ahead.where(F.col("comp_a") != F.col("comp_b")), percent), [tried], "again")
+    ahead = ahead.select(*[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos", "comp", "bits")])
+    again, edges = checked(_new_pairs(ahead.where(F.col("comp_a") != F.col("comp_b")), percent), "again", tried)
     last = comps
     comps = contract(comps, edges)
     drop(spots, edges, last)
 
     # third round: all pairs that may link and still lie apart
-    spots = spots_apart(shared, nodes, comps, with_bits=True)
+    spots = spots_apart(shared, nodes, comps)
     left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp", "bits")]) for x in "ab")
     both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b") & _sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent))
-    late, edges = checked(_new_pairs(both, percent), [tried, again], "late")
+    late, edges = checked(_new_pairs(both, percent), "late", tried, again)
     last = comps
     comps = contract(comps, edges)
     drop(spots, edges, last, tried, again, late, shared)
@@ -275,14 +276,14 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
     return found.where(~(hot & F.col("first"))).unionByName(tops.select(*found.columns)).drop("first")
 
 
-def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame, with_bits: bool = False) -> DataFrame:
-    """token, part, pos, node, n, comp and if asked for bits of the nodes at those prefix shingles whose nodes lie in more than one component."""
+def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, part, pos, node, n, comp and bits of the nodes at those prefix shingles whose nodes lie in more than one component."""
     placed = keep(nodes.select("grp", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     at = shared.select("token", "part", "grp", "pos")
     ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    found = at.join(apart, "token").join(placed, "grp").select("token", "part", "pos", "node", "n", "comp")
-    spots = keep(found.join(nodes.select("node", "bits"), "node") if with_bits else found, "spots")
+    found = at.join(apart, "token").join(placed, "grp").join(nodes.select("node", "bits"), "node")
+    spots = keep(found.select("token", "part", "pos", "node", "n", "comp", "bits"), "spots")
     drop(placed)
     return spots
 
@@ -293,8 +294,8 @@ def _places_fit(percent: int):
 
 
 def _new_pairs(both: DataFrame, percent: int) -> DataFrame:
-    """a < b of the pairs that sizes and places allow to link."""
-    return both.where(_sizes_fit(percent) & _places_fit(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    """a < b of the pairs that sizes, places and bitmaps allow to link."""
+    return both.where(_sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def contract(comps: DataFrame, edges: DataFrame) -> DataFrame:
