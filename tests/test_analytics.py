@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import align, allocate, bootstrap, discover, drawdown, fence, ledger, returns, screen, simulate
-from tidemark.sources import ledger_files
+from tidemark.operators import align, allocate, bootstrap, discover, drawdown, fence, ledger, report, returns, screen, simulate
+from tidemark.sources import ledger_files, price_tables
 from tidemark.streaming import ledger_stream
 
 LEDGER = ledger_stream.LEDGER_SCHEMA
@@ -156,11 +156,12 @@ def test_hedge_improves(spark):
     split = simulate.split_days(prices.where("ticker = 'A'").select(F.lit("all").alias("leg"), "d")).first()
     assert split["in_sample_end"] == days[209] and split["oos_start"] == days[210]
     spans = spark.createDataFrame([("without", split["oos_start"], split["hi"]), ("with", split["oos_start"], split["hi"])], "leg string, lo date, hi date")
-    r = simulate.aligned_returns(simulate.simulate(prices, legs, "quarterly", spans), "without", "with")
+    pair = spark.createDataFrame([("p", "without", "with")], "pair string, without string, tested string")
+    r = simulate.aligned_returns(simulate.simulate(prices, legs, "quarterly", spans), pair)
     got = simulate.verdict(simulate.window_stats(r), r).first()
     assert got["verdict"] == "improved" and got["cause"] == "" and got["low"] > 0
     same = legs.where("leg = 'without'").unionByName(legs.where("leg = 'without'").withColumn("leg", F.lit("with")))
-    r = simulate.aligned_returns(simulate.simulate(prices, same, "quarterly", spans), "without", "with")
+    r = simulate.aligned_returns(simulate.simulate(prices, same, "quarterly", spans), pair)
     assert simulate.verdict(simulate.window_stats(r), r).first()["cause"] == "noise_margin"
 
 
@@ -315,3 +316,222 @@ def test_money_weighted_takes_one_entry_a_day(spark):
     worth = sum(-100 * (1 + got["x"]) ** -t for t in (0, 181 / 365.25, 365 / 365.25)) + 350 * (1 + got["x"]) ** (-730 / 365.25)
     assert abs(worth) < 1e-6
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [book") == 2  # by day, then the list
+
+
+def test_four_violations_of_the_ledger_contract(spark):
+    rows = [("A", 1, "sell", 1, 1, 0, 0), ("B", 1, "buy", 1, 1, 0, 0), ("B", 3, "sell", 2, 1, 0, 0), ("VOO", 2, "deposit", 0, 0, 0, 100), ("CASH", 4, "buy", 1, 1, 0, 0), ("CASH", 5, "deposit", 0, 0, 0, 9), ("CASH", 5, "interest", 0, 0, 0, 2)]
+    out = {r["ticker"]: r for r in ledger.positions(book(spark, rows)).collect()}
+    assert {t: r["error"] for t, r in out.items()} == {
+        "A": "nothing is held to sell on 2024-01-01", "B": "more is sold than is held on 2024-01-03", "VOO": "transfer on 2024-01-02: only cash is paid in or out", "CASH": "cash trade on 2024-01-04: cash is not bought or sold",
+    }
+    assert out["VOO"]["shares"] == 0 and out["CASH"]["shares"] == 0
+    assert ledger.cash_totals(book(spark, [*rows, ("CASH", 6, "fee", 0, 0, 0.5, 0), ("CASH", 7, "dividend", 0, 0, 0.25, 1)])).first()["cash_realized"] == 2 - 0.5 + 0.75
+
+
+def test_presets_of_the_thirteen_roles(spark):
+    funds = {"us-large": "VTI", "us-small-mid": "VO", "us-dividend": "VIG", "intl-developed": "VXUS", "em-equity": "VWO", "sector-equity": "SEC", "bond-aggregate": "BND", "treasury": "IEF", "tips": "SCHP", "corporate-bond": "VCIT", "gold": "IAU", "commodity-broad": "CMD", "reit": "VNQ"}
+    golden = {
+        "conservative": {"BND": 0.25, "IAU": 0.09, "IEF": 0.1, "SCHP": 0.06, "VCIT": 0.09, "VIG": 0.035, "VNQ": 0.06, "VO": 0.028, "VTI": 0.1925, "VWO": 0.0175, "VXUS": 0.077},
+        "moderate": {"BND": 0.15, "IAU": 0.09, "IEF": 0.06, "SCHP": 0.036, "VCIT": 0.054, "VIG": 0.055, "VNQ": 0.06, "VO": 0.044, "VTI": 0.3025, "VWO": 0.0275, "VXUS": 0.121},
+        "aggressive": {"BND": 0.06, "IAU": 0.078, "IEF": 0.024, "SCHP": 0.0144, "VCIT": 0.0216, "VIG": 0.075, "VNQ": 0.052, "VO": 0.06, "VTI": 0.4125, "VWO": 0.0375, "VXUS": 0.165},
+    }
+    assert {r for roles in allocate.ROLE_WEIGHTS.values() for r in roles} == set(funds)
+    roles = spark.createDataFrame([("b", r, t) for r, t in funds.items()], "book string, role string, ticker string")
+    for preset, want in golden.items():
+        template = spark.createDataFrame([(b, w, r, x) for b, w in allocate.PRESETS[preset].items() for r, x in allocate.ROLE_WEIGHTS[b].items()], "bucket string, bucket_weight double, role string, role_weight double")
+        assert {r["ticker"]: round(r["w"], 6) for r in allocate.preset_target(roles, template).collect()} == want
+    assert all(math.isclose(sum(m.values()), 1) for m in allocate.REFERENCE_MIXES.values())
+
+
+def test_allocation_rules(spark):
+    members = spark.createDataFrame([("b", t) for t in ("A", "B", "C", "CASH")], "book string, ticker string")
+    px = closes(spark, {"A": [10, 11, 10, 12], "B": [10, 10.5, 10, 10.6], "C": [5, 5, 5, 5]})
+    assert {r["ticker"]: round(r["w"], 9) for r in allocate.allocate("equal_weight", members).collect()} == {t: round(1 / 3, 9) for t in "ABC"}
+    vol = {t: 1 / np.std(np.diff(x) / x[:-1], ddof=1) for t, x in (("A", np.array([10, 11, 10, 12.0])), ("B", np.array([10, 10.5, 10, 10.6])))}
+    got = {r["ticker"]: r["w"] for r in allocate.allocate("inverse_vol", members, px).collect()}
+    assert got == pytest.approx({t: v / sum(vol.values()) for t, v in vol.items()})
+    assert max(r["w"] for r in allocate.allocate("inverse_vol", members, px, cap=0.6).collect()) <= 0.6 + 1e-12
+    for rule, error in (("moderate", ValueError), ("momentum", ValueError)):
+        with pytest.raises(error):
+            allocate.allocate(rule, members)
+    assert allocate.needs_series("inverse_vol") and not allocate.needs_series("equal_weight")
+
+
+def test_overlap_falls_back_to_the_category(spark):
+    own = spark.createDataFrame([("A", "x"), ("B", "gold"), ("C", None), ("D", "x"), ("E", "y")], "ticker string, category string")
+    held = spark.createDataFrame([("H", "gold"), ("K", "z")], "ticker string, category string")
+    look = spark.createDataFrame([("A", "s", 0.5), ("A", "t", 0.5), ("D", "u", 1.0), ("H", "s", 0.9), ("K", "t", 0.3)], "ticker string, symbol string, w double")
+    got = {r["ticker"]: (r["held_ticker"], r["overlap"], r["status"]) for r in screen.overlaps(own, held, look).collect()}
+    assert got == {"A": ("H", 0.5, "warn"), "B": ("H", None, "warn"), "C": (None, None, "n/a"), "D": (None, 0.0, "pass"), "E": (None, None, "n/a")}
+    nothing = {r["ticker"]: r["status"] for r in screen.overlaps(own, held, look.where("ticker in ('A', 'D')")).collect()}
+    assert nothing == {"A": "n/a", "B": "warn", "C": "n/a", "D": "n/a", "E": "n/a"}
+
+
+def test_role_menus(spark):
+    uni = spark.createDataFrame(
+        [("T1", "treasury", "long", True, 1), ("T2", "treasury", "long", True, 2), ("T3", "treasury", "long", False, 3), ("T4", "treasury", "short", True, 4), ("T5", "treasury", "tilt", False, 5), ("S1", "sector-equity", "tech", True, 6), ("S2", "sector-equity", "energy", True, 7), ("G1", "gold", "", False, 8)],
+        "ticker string, role string, flavor string, core boolean, file_ord int",
+    )
+    held = spark.createDataFrame([("b", "T2", 1.0)], "book string, ticker string, value double")
+    ask = lambda *rows: discover.role_menus(spark.createDataFrame([("b", *r) for r in rows], "book string, role string, flavor string"), held, uni)
+    menu, index, errors = ask(("treasury", None), ("sector-equity", None), ("gold", None))
+    assert [(r["role"], r["ticker"]) for r in menu.orderBy("role", "place").collect()] == [("gold", "G1"), ("treasury", "T1"), ("treasury", "T4")]
+    assert {(r["role"], r["flavor"], r["n"]) for r in index.collect()} == {("sector-equity", "tech", 1), ("sector-equity", "energy", 1), ("treasury", "tilt", 1)} and errors.count() == 0
+    menu, index, errors = ask(("treasury", "long"), ("gold", "none"))
+    assert [r["ticker"] for r in menu.orderBy("place").collect()] == ["T1", "T3"] and {(r["flavor"], r["n"]) for r in index.collect()} == {("short", 1), ("tilt", 1)}
+    assert [(r["role"], r["flavor"], r["shelves"]) for r in errors.collect()] == [("gold", "none", [""])]
+    menu, _, _ = discover.role_menus(spark.createDataFrame([("b", "sector-equity", None)], "book string, role string, flavor string"), held, uni.where("ticker <> 'S2'"))
+    assert [r["ticker"] for r in menu.collect()] == ["S1"]  # a satellite role with one shelf
+    assert {r["role"] for r in discover.gaps(held, uni).collect()} == {"gold"} and {r["role"] for r in discover.gaps(held, uni, with_satellites=True).collect()} == {"gold", "sector-equity"}
+    assert discover.parse_request("gold, treasury:long,,x,gold:a", {"gold", "treasury"}) == ([("gold", None), ("treasury", "long")], ["x", "gold:a"])
+    both = discover.merge_menus(menu.limit(1), menu.unionByName(menu))
+    assert both.count() == 1
+
+
+def test_role_checks_say_why_they_cannot_judge(spark):
+    days = 300
+    r = np.random.default_rng(3)
+    falls = np.concatenate([np.full(220, 0.002), np.full(20, -0.03), np.full(60, 0.001)]) + r.normal(0, 0.001, days)
+    hedge = -falls
+    px = closes(spark, {"A": (100 * np.cumprod(1 + falls)).tolist(), "H": (100 * np.cumprod(1 + hedge)).tolist(), "S": [None] * 250 + [10.0 + 0.01 * k for k in range(50)]})
+    target = spark.createDataFrame([("A", 1.0)], "ticker string, w double")
+    asked = spark.createDataFrame([("A",), ("H",), ("S",), ("none",)], "ticker string")
+    got = {x["pair"]: x for x in simulate.role_checks(px, target, asked, sleeve=0.5, reps=200).collect()}
+    assert got["H"]["verdict"] == "improved" and got["H"]["validated"] and got["H"]["reason"].startswith("Ulcer ")
+    assert got["A"]["reason"] == "already in the target" and got["none"]["reason"] == "no usable prices of the candidate" and got["S"]["reason"].startswith("only 50 common days")
+    assert {got[t]["verdict"] for t in ("A", "S", "none")} == {"insufficient"}
+    unpriced = spark.createDataFrame([("A", 0.5), ("X", 0.5)], "ticker string, w double")
+    assert simulate.role_checks(px, unpriced, asked.where("ticker = 'H'"), reps=50).first()["reason"] == "target tickers without prices: X"
+    assert simulate.role_checks(px, target, asked, sleeve=1.0).where("verdict = 'insufficient'").count() == 4
+    legs = spark.createDataFrame([("t", "A", 0.5), ("t", "H", 0.5), ("r", "A", 1.0), ("r", "X", 0.2)], "leg string, ticker string, w double")
+    bench = simulate.benchmark_check(px, legs, "r", "t", reps=200).first()
+    assert bench["verdict"] == "shallower" and bench["missing"] == "X" and "vs" in bench["reason"]
+    assert simulate.benchmark_check(px.where("d < '2024-02-01'"), legs, "r", "t", reps=50).first()["verdict"] == "insufficient"
+
+
+def test_counted_starts_stay_in_range():
+    at = bootstrap.block_indices(100, 7, 300, 42, "counted")
+    assert at.shape == (300, 100) and at.min() >= 0 and at.max() < 100 and (np.diff(at[:, :7]) == 1).all()
+    assert abs(bootstrap.counted_starts(50, 2000, 10, 1).mean() - 24.5) < 1
+
+
+def test_choice_never_sees_held_out_days(spark):
+    asked = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    end = spark.createDataFrame([(D(2024, 6, 1),)], "in_sample_end date")
+    judged = spark.createDataFrame([("A", D(2024, 5, 1)), ("B", D(2024, 7, 1))], "ticker string, in_sample_end date")
+    assert {r["ticker"]: r["cut"] for r in screen.cutoffs(asked, end, judged).collect()} == {"A": D(2024, 5, 1), "B": D(2024, 6, 1), "C": D(2024, 6, 1)}
+    day = lambda k: D(2024, 1, 1) + dt.timedelta(days=k)
+    r = np.random.default_rng(1).normal(0, 0.01, 200)
+    book_rows = spark.createDataFrame([(day(k), float(x)) for k, x in enumerate(r)], "d date, r double")
+    mine = spark.createDataFrame([("A", day(k), float(x)) for k, x in enumerate(np.concatenate([r[:100], -r[100:]]))], "ticker string, d date, r double")
+    cuts = spark.createDataFrame([("A", day(99))], "ticker string, cut date")
+    assert math.isclose(screen.diversifier(mine, book_rows, cuts).first()["rho"], 1.0) and abs(screen.diversifier(mine, book_rows).first()["rho"]) < 0.5
+    assert [r["status"] for r in asked.select(screen.role_row(F.lit("improved")).alias("status")).limit(1).collect()] == ["pass"]
+
+
+def test_price_tables(spark, tmp_path):
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    t = lambda s: dt.datetime.fromisoformat(s)
+    rows = [("A", D(2024, 1, 8), 5.0, "raw", "x", t("2024-01-09T20:00:00")), ("A", D(2024, 1, 8), 6.0, "raw", "x", t("2024-01-09T23:00:00")), ("A", D(2024, 1, 9), -1.0, "raw", "x", t("2024-01-09T23:00:00")), ("B", D(2024, 1, 1), 7.0, "raw", "x", t("2024-01-01T00:00:00")), ("A", D(2024, 1, 8), 9.0, "total_return", "x", t("2024-01-09T23:00:00"))]
+    price_tables.write_series(spark.createDataFrame(rows, price_tables.SERIES), str(tmp_path / "s"))
+    got = price_tables.read_series(spark, str(tmp_path / "s"), "raw", now)
+    assert [(r["ticker"], r["close"]) for r in got.collect()] == [("A", 6.0)]
+    assert price_tables.read_series(spark, str(tmp_path / "s"), "raw", now, allow_stale=True).count() == 2
+    price_tables.write_series(spark.createDataFrame([("C", D(2024, 1, 9), 1.0, "raw", "y", t("2024-01-09T23:00:00"))], price_tables.SERIES), str(tmp_path / "s"))
+    assert [r["ticker"] for r in price_tables.read_series(spark, str(tmp_path / "s"), "raw", now).collect()] == ["C"] and price_tables.read_series(spark, str(tmp_path / "s"), "total_return", now).count() == 1
+    assert [r["ticker"] for r in price_tables.covers(spark.createDataFrame(rows, price_tables.SERIES), F.lit("2024-01-12").cast("date")).collect()] == ["A"]
+    first = price_tables.first_provider(spark.createDataFrame([("A", 1.0)], "ticker string, close double"), spark.createDataFrame([("A", 2.0), ("B", 3.0)], "ticker string, close double"))
+    assert sorted(tuple(r) for r in first.collect()) == [("A", 1.0), ("B", 3.0)]
+    raw = spark.createDataFrame([("A", "2024-01-01T00:00:00Z", "10", "9", "1"), ("A", "2024-01-02", "5", "9.5", "2.0"), ("A", "2024-01-03", "nan", "x", None), ("A", "bad", "1", "1", "1")], "ticker string, date string, close string, adjClose string, splitFactor string")
+    assert [r["close"] for r in price_tables.provider_closes(raw, False).orderBy("d").collect()] == [5.0, 5.0] and [r["close"] for r in price_tables.provider_closes(raw, True).orderBy("d").collect()] == [9.0, 9.5]
+    splits = spark.createDataFrame([("A", D(2024, 1, 1), 2.0), ("A", D(2024, 1, 2), 1.0), ("B", D(2024, 1, 3), 0.0), ("C", None, 3.0), ("D", D(2024, 1, 3), float("nan"))], "ticker string, d date, ratio double")
+    clean = price_tables.clean_splits(splits)
+    assert [tuple(r) for r in clean.collect()] == [("A", D(2024, 1, 1), 2.0)]
+    kept = price_tables.split_rows_to_keep(clean, spark.createDataFrame([("A",), ("Z",)], "ticker string"), now)
+    assert {(r["ticker"], r["ratio"]) for r in kept.collect()} == {("A", 2.0), ("Z", 1.0)}
+    latest = spark.createDataFrame([("A", D(2024, 1, 9), 3.0, "p", t("2024-01-09T12:00:00"))], "ticker string, asof_date date, close double, source string, fetched_at timestamp")
+    price_tables.append_latest(latest, str(tmp_path / "l"))
+    price_tables.append_latest(latest.withColumns({"close": F.lit(4.0), "fetched_at": F.col("fetched_at") + F.expr("interval 1 hour")}), str(tmp_path / "l"))
+    assert price_tables.latest_cached(spark.read.parquet(str(tmp_path / "l")), F.lit("2024-01-10").cast("date"), now).first()["close"] == 4.0
+
+
+def test_fund_facts(spark, tmp_path):
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    raw = spark.createDataFrame(
+        [("A", "0.001", "nan", "5", " Large ", "", None, "ETF", "86400", [("x ", 0.5), (None, 0.1), ("y", float("nan"))]), ("B", "oops", "1e9", None, None, "f", "t", "q", None, None)],
+        "ticker string, expense_ratio string, aum string, avg_volume string, category string, family string, legal_type string, quote_type string, inception_epoch string, holdings array<struct<symbol:string,weight:double>>",
+    )
+    facts = {r["ticker"]: r for r in price_tables.normalise_facts(raw).collect()}
+    assert (facts["A"]["expense_ratio"], facts["A"]["aum"], facts["A"]["category"], facts["A"]["family"], facts["A"]["inception"], facts["A"]["top_holdings"]) == (0.001, None, "Large", None, D(1970, 1, 2), {"X": 0.5})
+    assert (facts["B"]["expense_ratio"], facts["B"]["aum"], facts["B"]["inception"], facts["B"]["top_holdings"]) == (None, 1e9, None, {})
+    stored = price_tables.normalise_facts(raw).withColumn("fetched_at", F.lit("2024-01-08 00:00:00").cast("timestamp"))
+    price_tables.write_facts(stored, str(tmp_path / "f"))
+    price_tables.write_facts(stored.where("ticker = 'A'").withColumns({"category": F.lit("New"), "fetched_at": F.lit("2024-01-09 00:00:00").cast("timestamp")}), str(tmp_path / "f"))
+    (tmp_path / "f" / "part-broken.json").write_text('not json\n{"ticker": "C", "fetched_at": "2020-01-01T00:00:00.000Z"}\n{"ticker": "D", "aum": 1.0}\n')
+    got = {r["ticker"]: r for r in price_tables.read_facts(spark, str(tmp_path / "f"), now).collect()}
+    assert set(got) == {"A", "B"} and got["A"]["category"] == "New" and got["A"]["top_holdings"] == {"X": 0.5} and got["A"]["inception"] == D(1970, 1, 2)
+    panel = {r["ticker"]: r for r in report.securities(price_tables.normalise_facts(raw), F.lit("2024-01-01").cast("date")).collect()}
+    assert (panel["A"]["expense"], panel["A"]["aum"], panel["A"]["kind"]) == ("0.10%", "n/a", "ETF — Large") and panel["B"]["aum"] == "$1.00B"
+
+
+def test_exports(spark, tmp_path):
+    ledger_files_rows = ledger_files.demo_ledger(spark)
+    assert {r["action"] for r in ledger_files_rows.collect()} == {"deposit", "buy", "dividend", "interest", "sell", "fee", "withdraw"}
+    price_tables.export_ledger(ledger_files_rows.withColumn("note", F.lit("=x")), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == ["Date", "Code", "DataSource", "Currency", "Price", "Quantity", "Action", "Fee", "Note"] and {r["Note"] for r in back.collect()} == {"'=x"} and back.count() == len(ledger_files.DEMO)
+    rows = price_tables.target_rows(spark.createDataFrame([("A", 0.6), ("B", 0.39999), ("C", 0.00001), ("D", 0.0)], "ticker string, w double"))
+    assert [tuple(r) for r in rows.collect()] == [("A", "60.00"), ("B", "40.00"), ("C", "0.01"), ("D", "0.00")]
+
+
+def test_claims_and_panels(spark):
+    gaps = spark.createDataFrame([("b", "us-large", 0.02), ("b", "gold", float("nan"))], "book string, role string, exposure double")
+    menu = spark.createDataFrame([("b", "us-large", 1, "V.1", "Fund  of \n funds", "f"), ("b", "us-large", 2, "W", "Other", "f")], "book string, role string, place int, ticker string, name string, flavor string")
+    checks = spark.createDataFrame([("V.1", "cost", "pass"), ("V.1", "overlap", "fail"), ("V.1", "age", "warn"), ("V.1", "role", "pass")], "ticker string, check string, status string")
+    verdicts = screen.roll_up(checks).select("ticker", "verdict")
+    claims = fence.discovery_claims(gaps, menu, verdicts, checks)
+    got = {r["token"]: (r["rendered"], r["label"], r["band"]) for r in claims.collect()}
+    assert got == {"gap_us_large": ("2%", "the book's exposure to us-large", "very little"), "cand_v_1": ("V.1", "Fund of funds, us-large: the screen says FAIL (cheap, heavy overlap with what you hold)", None)}
+    assert fence.prompt_listing(claims, "book", False).first()["listing"] == "{{cand_v_1}}  — Fund of funds, us-large: the screen says FAIL (cheap, heavy overlap with what you hold)\n{{gap_us_large}}  — the book's exposure to us-large (very little)"
+    assert "(2%)" in fence.prompt_listing(claims, "book", True).first()["listing"]
+    stats = spark.createDataFrame([("p", "with", 0.03), ("p", "without", 0.12)], "pair string, leg string, ulcer double")
+    assert {r["token"]: r["band"] for r in fence.benchmark_claims(stats, "60-40").collect()} == {"bench_ulcer_preset": "moderate", "bench_ulcer_reference": "severe", "bench_reference": None}
+    shown = {r["ticker"]: r for r in report.candidates(checks).collect()}["V.1"]
+    assert shown["counts"] == "1 fail / 1 warn / 2 pass / 0 n-a" and shown["lines"] == "[warn] age\n[pass] cost\n[fail] overlap\n[pass] role"
+    assert report.candidates(checks, only_found=True).first()["lines"] == "[warn] age\n[fail] overlap\n[pass] role"
+    shelves = spark.createDataFrame([("b", "us-large", "", 2)], "book string, role string, flavor string, n int")
+    found = report.discoveries(gaps, menu, shelves, report.candidates(checks)).collect()
+    assert [(r["role"], r["held"], r["shown"], r["also"]) for r in found] == [("us-large", "2%", "V.1 FAIL · W N/A", "(unnamed) (2)")]
+    closes_ = spark.createDataFrame([("L", D(2024, 1, 1) + dt.timedelta(days=k), float(x)) for k, x in enumerate(100 * np.cumprod(1 + np.random.default_rng(5).normal(0, 0.01, 60)))], "leg string, d date, x double")
+    moves = drawdown.pct_change(closes_, "leg", "x")
+    panel = drawdown.panel(closes_, bootstrap.intervals(moves, "leg", reps=100), "leg")
+    rows = report.leg_panel(panel, spark.createDataFrame([("L", 0.05, 12345.6)], "leg string, annualized double, final_value double")).orderBy("place").collect()
+    assert len(rows) == 14 and rows[-1]["v"] == "$12,346" and rows[-2]["v"] == "+5.00%" and " .. " in rows[1]["v"] and rows[0]["metric"] == "Max drawdown"
+    assert "<td>a &amp; b</td>" in report.render("t", [{"x": "a & b"}], "html") and report.render("t", [{"x": "a|b"}], "markdown").endswith("| a\\|b |")
+
+
+def test_returns_summary(spark):
+    rows = book(spark, [("CASH", 1, "deposit", 0, 0, 0, 50), ("A", 3, "buy", 1, 100, 0, 0)])
+    values = spark.createDataFrame([("b", 110.0, True)], "book string, value double, fully_priced boolean")
+    rates = spark.createDataFrame([("b", 0.1, 0.2)], "book string, cumulative double, annualized double")
+    got = returns.summary(rows, values, F.lit("2025-01-03").cast("date"), rates).first()
+    assert got["period_start"] == D(2024, 1, 3) and got["twr"] == 0.2 and math.isclose(got["money_weighted"], 1.1 ** (365.25 / 366) - 1, rel_tol=1e-9) and math.isclose(got["modified_dietz"], 1.1 ** (365.25 / 366) - 1, rel_tol=1e-9)
+    part = returns.summary(rows, values.withColumn("fully_priced", F.lit(False)), F.lit("2025-01-03").cast("date"), rates).first()
+    assert part["money_weighted"] is None and part["modified_dietz"] is None and part["twr_cumulative"] == 0.1
+
+
+def test_format_is_told_by_the_first_character(spark, tmp_path):
+    path = tmp_path / "late.json"
+    path.write_text("\n \n\n\n  [" + '{"symbol": "A", "unitPrice": 2, "quantity": 3, "type": "BUY", "date": "2024-01-01"}]')
+    assert ledger_files.read_ledger(spark, str(path))[0].count() == 1
+
+
+def test_rows_are_numbered_over_several_tasks(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text("Date,Code,Action,Quantity,Price,Fee\n" + "".join(f"2024-01-01,A,buy,{k},1,0\n" for k in range(1, 4001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = ledger_files.read_csv(spark, str(path)).select("row_no", "quantity").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r["row_no"] == r["quantity"] for r in rows) and len(rows) == 4000
