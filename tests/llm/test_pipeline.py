@@ -1,24 +1,109 @@
-"""The pipeline's stages against brute force on a small part of the fixture tables."""
+"""The pipeline's stages against plain versions of each, one after the other, on small tables."""
+
+import hashlib
+import re
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 from tidemark.llm import pii
 
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def plain_near_duplicates(rows, size=5, percent=80):
+    """The ids that stay: of each group of linked texts the smallest, and all without words."""
+    sets = {}
+    for r in rows:
+        w = (r["text"] or "").encode().translate(LOWER).split()
+        sets[r["doc_id"]] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    ids, lead = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                lead[y] = x
+    return {i for i in ids if root(i) == i}
+
+
+def plain_contamination(rows, items, window=13):
+    """The ids of documents of whose words at least one in twenty lies in a window of an item."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
+    wanted = {}
+    for t in items:
+        w = split(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            wanted.setdefault(n, set()).add(tuple(w[k : k + n]))
+    out = set()
+    for r in rows:
+        w, hit = split(r["text"]), set()
+        for n, grams in wanted.items():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+        if hit and 20 * len(hit) >= len(w):
+            out.add(r["doc_id"])
+    return out
+
+
+def plain_redaction(text):
+    if text is None:
+        return None
+    base = pii.plain_spans(text)
+    spans = sorted((a, -b, k) for found in (base, pii.disguised_spans(text, base)) for k, x in enumerate(found) for a, b in x)
+    out, at, open_ = [], 0, None
+    for a, b, k in spans:
+        if open_ and a < open_[1]:
+            open_[1] = max(open_[1], -b)
+            continue
+        if open_:
+            out += [text[at : open_[0]], f"[{pii.KINDS[open_[2]].upper()}]"]
+            at = open_[1]
+        open_ = [a, -b, k]
+    if open_:
+        out += [text[at : open_[0]], f"[{pii.KINDS[open_[2]].upper()}]"]
+        at = open_[1]
+    return "".join([*out, text[at:]])
+
 
 def test_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs.count()
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {r["doc_id"]: r["text"] for r in docs.collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = docs.collect()
         out = stage(spark, docs, sf)
+        if name == "language ID":
+            expected = {i: t for i, t in expected.items() if t and re.search(r"[^\W\d_]", t)}
+        elif name == "n-gram Jaccard join":
+            stay = plain_near_duplicates(rows)
+            expected = {i: t for i, t in expected.items() if i in stay}
+        elif name == "benchmark decontamination":
+            gone = plain_contamination(rows, items)
+            assert gone
+            expected = {i: t for i, t in expected.items() if i not in gone}
+        elif name == "PII":
+            expected = {i: plain_redaction(t) for i, t in expected.items()}
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
             out.write.parquet(str(tmp_path / str(k)))
             docs = spark.read.parquet(str(tmp_path / str(k)))
-        if name == "PII":
-            assert all(not any(pii.plain_spans(r["text"])) or r["text"] is None for r in docs.collect())
-    assert 0 < out.count() == docs.count() < before
-    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+            assert {r["doc_id"]: r["text"] for r in docs.collect()} == expected, name
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in expected.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect()} == {
+        i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in ids.items()
+    }
 
 
 def test_stages_with_nulls(spark, docs):
