@@ -125,6 +125,27 @@ def test_media(docs, rows, empty):
     assert media.media_digest(empty).count() == 0
 
 
+def test_media_features_equal_plain_means(docs, rows):
+    import io
+
+    found = {(r["n_bytes"], r["payload_sha256"]): r for r in media.tiles(media.store_texts(docs)).collect()}
+    for _, t, *_ in rows:
+        pixels = media.payload(t)
+        h, w = pixels.shape
+
+        def means(rows_, columns, pixels=pixels, h=h, w=w):
+            wide = np.repeat(np.repeat(pixels.astype(float), rows_, axis=0), columns, axis=1)
+            return wide.reshape(rows_, h, columns, w).mean(axis=(1, 3))
+
+        if h > 2000:
+            continue
+        got = found[len((t or "").encode()), hashlib.sha256(pixels.tobytes()).hexdigest()]
+        small = np.round(means(8, 9), 6)
+        bits = "".join("1" if a < b else "0" for line in small for a, b in zip(line, line[1:], strict=False))
+        assert got["feature"] == f"{int(bits, 2):016x}"
+        assert np.abs(np.load(io.BytesIO(bytes(got["tile"]))).astype(float) - means(16, 16)).max() <= 0.5 + 1e-6
+
+
 def test_images():
     r = np.random.default_rng(1)
     grey = r.integers(0, 256, (37, 51), dtype=np.uint8)
