@@ -482,6 +482,10 @@ def test_exports(spark, tmp_path):
     assert back.columns == ["Date", "Code", "DataSource", "Currency", "Price", "Quantity", "Action", "Fee", "Note"] and {r["Note"] for r in back.collect()} == {"'=x"} and back.count() == len(ledger_files.DEMO)
     rows = price_tables.target_rows(spark.createDataFrame([("A", 0.6), ("B", 0.39999), ("C", 0.00001), ("D", 0.0)], "ticker string, w double"))
     assert [tuple(r) for r in rows.collect()] == [("A", "60.00"), ("B", "40.00"), ("C", "0.01"), ("D", "0.00")]
+    price_tables.write_target(spark.createDataFrame([("A", 0.6), ("B", 0.4)], "ticker string, w double"), str(tmp_path / "target"))
+    assert {r["ticker"]: r["w"] for r in ledger_files.read_target(spark, str(tmp_path / "target")).collect()} == {"A": 0.6, "B": 0.4}
+    figures = spark.createDataFrame([("b", "Max DD", -0.1, "-10%"), ("b", "odd", float("nan"), "nan%")], "book string, token string, value double, rendered string")
+    assert fence.claims_of(figures, "book").first()["claims"] == {"max_dd": "-10%"}
 
 
 def test_claims_and_panels(spark):
@@ -535,3 +539,10 @@ def test_rows_are_numbered_over_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(r["row_no"] == r["quantity"] for r in rows) and len(rows) == 4000
+
+
+def test_backtest_names_what_has_no_prices(spark):
+    legs = spark.createDataFrame([("x", "A", 0.5), ("x", "B", 0.3), ("x", "Z", 0.2)], "leg string, ticker string, w double")
+    px = closes(spark, {"A": [10 + k % 7 for k in range(80)], "B": [20 - k % 5 for k in range(80)]})
+    got = {r["schedule"]: r for r in simulate.backtest(px, legs, "monthly").collect()}
+    assert set(got) == {"monthly", "never"} and {r["missing"] for r in got.values()} == {"Z"} and got["monthly"]["final_value"] != got["never"]["final_value"] and got["never"]["n"] == 79

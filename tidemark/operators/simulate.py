@@ -73,6 +73,29 @@ def simulate(prices: DataFrame, legs: DataFrame, schedule: str, spans: DataFrame
     return keep(before.select("leg", "d", (F.lit(initial) * F.col("done") * F.col("f")).alias("v")), "curves")
 
 
+def score(curves: DataFrame) -> DataFrame:
+    """leg, n, final_value, annualized, vol, sharpe, sortino, calmar and depth of simulated curves (leg, d, v)."""
+    moves = drawdown.pct_change(curves, "leg", "v")
+    final = curves.groupBy("leg").agg(F.max_by("v", "d").alias("final_value"))
+    grown = moves.groupBy("leg").agg(F.product(1 + F.col("r")).alias("g"), F.count(F.lit(1)).alias("m"))
+    annual = grown.select("leg", F.when(F.col("g") > 0, F.pow("g", F.lit(252.0) / F.col("m")) - 1).alias("annualized"))
+    return drawdown.ratios(moves, "leg").drop("is_noisy").join(final, "leg").join(annual, "leg")
+
+
+def backtest(prices: DataFrame, legs: DataFrame, schedule: str, initial: float = INITIAL) -> DataFrame:
+    """score() of each leg twice, rebalanced by the schedule and never, with missing: its tickers without usable prices, comma-joined."""
+    own = legs.select(F.explode(F.array(F.lit(schedule), F.lit("never"))).alias("schedule"), "leg", "ticker", "w")
+    px = keep(usable(prices).select("ticker", "d", "close"), "closes")
+    name = F.concat_ws("|", "leg", "schedule")
+    mix = own.select(name.alias("leg"), "ticker", "w")
+    moved = simulate(px, mix.where(F.col("leg").endswith(f"|{schedule}")), schedule, initial=initial)
+    curves = keep(moved if schedule == "never" else moved.unionByName(simulate(px, mix.where(F.col("leg").endswith("|never")), "never", initial=initial)), "backtest")
+    lacking = legs.where("w > 0").join(px.select("ticker").distinct(), "ticker", "left_anti").groupBy("leg").agg(F.array_join(F.array_sort(F.collect_set("ticker")), ",").alias("missing"))
+    parts = F.split("leg", "[|]")
+    named = score(curves).withColumns({"schedule": F.element_at(parts, -1)}).withColumn("leg", F.expr("substring(leg, 1, length(leg) - length(schedule) - 1)"))
+    return named.join(lacking, "leg", "left").withColumn("missing", F.coalesce("missing", F.lit("")))
+
+
 def split_days(days: DataFrame, key: str = "leg") -> DataFrame:
     """key, lo, in_sample_end, oos_start, hi of a calendar whose last 30 % are held out; keys without LEAST_WINDOW days on either side are left out."""
     order = Window.partitionBy(key).orderBy("d")

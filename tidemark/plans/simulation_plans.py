@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drawdown, simulate
+from tidemark.operators import simulate
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import rounded
 from tidemark.plans.registry import query
@@ -87,10 +87,21 @@ def in_sample_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT a.leg, a.n, round(a.final_value, 4) AS final_value, round(a.sharpe, 7) AS sharpe, round(b.depth, 8) AS depth FROM (SELECT leg, count(r) AS n, arg_max(v, d) AS final_value, sqrt(252) * avg(r) / stddev_samp(r) AS sharpe FROM r GROUP BY 1) a JOIN (SELECT leg, min(dd) AS depth FROM x GROUP BY 1) b USING (leg)"
 )
 def backtest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = _sim(spark, sf_dir, "quarterly")
-    r = drawdown.pct_change(curve, "leg", "v")
-    final = curve.groupBy("leg").agg(F.max_by("v", "d").alias("final_value"))
-    return rounded(rounded(drawdown.ratios(r, "leg").join(final, "leg").select("leg", "n", "final_value", "sharpe", "depth"), "final_value", digits=4), "sharpe", digits=7).withColumn("depth", F.round("depth", 8))
+    out = simulate.score(_sim(spark, sf_dir, "quarterly")).select("leg", "n", "final_value", "sharpe", "depth")
+    return rounded(rounded(out, "final_value", digits=4), "sharpe", digits=7).withColumn("depth", F.round("depth", 8))
+
+
+SCORED = (
+    ", r AS (SELECT leg, d, v, v / lag(v) OVER (PARTITION BY leg ORDER BY d) - 1 AS r FROM sim), x AS (SELECT leg, v / max(v) OVER (PARTITION BY leg ORDER BY d) - 1 AS dd FROM sim)"
+    " SELECT a.leg, a.n, round(a.final_value, 4) AS final_value, round(g ** (252.0::DOUBLE / n) - 1, 8) AS annualized, round(depth, 8) AS depth, '' AS missing FROM (SELECT leg, count(r) AS n, arg_max(v, d) AS final_value, product(1 + r) AS g FROM r GROUP BY 1) a JOIN (SELECT leg, min(dd) AS depth FROM x GROUP BY 1) b USING (leg)"
+)
+
+
+@query(f"SELECT 'quarterly' AS schedule, * FROM ({simulated('quarter')}{SCORED}) UNION ALL SELECT 'never', * FROM ({simulated(None)}{SCORED})")
+def backtest_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both mixes, rebalanced and left alone."""
+    out = simulate.backtest(adapters.prices(spark, sf_dir, "week"), legs(spark), "quarterly").select("schedule", "leg", "n", "final_value", "annualized", "depth", "missing")
+    return rounded(rounded(out, "final_value", digits=4), "annualized", "depth", digits=8)
 
 
 #: Two legs over held-out windows, from sim on: their aligned returns, statistics, bootstrap interval and verdict.

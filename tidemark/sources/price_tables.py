@@ -156,6 +156,11 @@ def export_ledger(ledger: DataFrame, path: str) -> None:
     ledger.select(F.col("d").alias("Date"), F.col("ticker").alias("Code"), F.lit("YAHOO").alias("DataSource"), F.lit("USD").alias("Currency"), F.col("price").alias("Price"), F.col("quantity").alias("Quantity"), F.col("action").alias("Action"), F.col("fee").alias("Fee"), csv_safe(F.col("note") if "note" in ledger.columns else F.lit("")).alias("Note")).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_target(target: DataFrame, path: str) -> None:
+    """The rows of target_rows as one CSV file in a folder: a target has a row for each fund."""
+    target_rows(target).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def target_rows(target: DataFrame) -> DataFrame:
     """Ticker and Weight in percent with two decimals, largest first; a positive weight never prints as 0.00."""
     pct = F.col("w") * 100
