@@ -36,7 +36,7 @@ from tidemark.llm.common import WordHasher, batches_of, drop, keep, mix, shingle
 CELLS_LOG, MOST_CELLS_LOG, SLICE_LOG = 16, 26, 16
 #: UTF-8 bytes of text for which there is a cell.
 CELL_BYTES = 5
-#: Counts at which the level of a cell grows by one; a cell that reaches the last is full.
+#: Counts at which the level of a cell grows by one, in units of what a cell holds on average if that is more than one.
 LEVELS = (1, 2, 3, 4, 6, 9, 14, 22, 36, 60, 100, 250, 800, 2500, 10_000)
 #: From this level on a shingle's groups are dealt out over several tasks.
 HOT = 12
@@ -75,7 +75,7 @@ def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """
     text = body.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     log = min(MOST_CELLS_LOG, max(CELLS_LOG, (text // CELL_BYTES).bit_length() - 1))
-    width, bounds = 1 << SLICE_LOG, np.array(LEVELS)
+    width, bounds = 1 << SLICE_LOG, np.array(LEVELS) * max(1, (text // CELL_BYTES) >> log)
 
     def count(batches):
         hasher, held, waiting = WordHasher(), [], 0
@@ -222,7 +222,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # first round: a partner for each shingle, and the first member for each other member of a group
     head = keep(nodes.groupBy("grp").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("members")).select("grp", "members", "h.*"), "heads")
     inner = nodes.select("grp", F.col("node").alias("b")).join(head.where("members > 1").select("grp", F.col("node").alias("a")), "grp").where("a <> b").select("a", "b")
-    met = shared.where("partner is not null").select(F.col("partner").alias("g1"), F.col("grp").alias("g2")).distinct()
+    met = shared.select(F.explode("partners").alias("g1"), F.col("grp").alias("g2")).where("g1 is not null and g1 <> g2").distinct()
     outer = met.join(head.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("n_a")), "g1").join(head.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("n_b")), "g2")
     first = inner.unionByName(outer.where(_sizes_fit(percent)).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried, edges = checked(first.join(sketch("a"), "a").join(sketch("b"), "b").where(_bitmaps_fit(percent)).select("a", "b"), "tried")
@@ -256,10 +256,11 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 
 def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
-    """token, part, grp, n, pos and partner: the prefix shingles that several groups have, or several nodes of a group.
+    """token, part, grp, n, pos and partners: the prefix shingles that several groups have, or several nodes of a group.
 
-    partner is a group of the same shingle that a group may link with: the first in the order of sizes, or the one
-    before. A frequent shingle's groups are dealt out over parts; the first groups of its parts are partners as well.
+    partners are groups of the same shingle that a group may link with: the first in the order of sizes, or else the one
+    before. A frequent shingle's groups are dealt out over parts, so that no task holds all of them: there a group has the
+    first of all as a partner and the first of its part or the one before in it, and the first of a part the one before.
     """
     postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
     hot = F.shiftrightunsigned("token", 60) >= HOT
@@ -270,10 +271,14 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
     partner = F.when(F.col("prev").isNotNull(), F.when(near("lead"), F.col("lead")["grp"]).when(near("prev"), F.col("prev")["grp"]))
     # a group of several nodes keeps its first shingle also where no other group has it: there its members meet each other
     found = led.where((F.col("shared") > 1) | hot | (F.col("several") & (F.col("pos") == 0)))
-    found = found.select("token", "part", "grp", "n", "pos", partner.alias("partner"), F.col("prev").isNull().alias("first"))
-    tops = found.where(hot & F.col("first")).withColumn("prev", F.lag(F.struct("n", "grp")).over(Window.partitionBy("token").orderBy("n", "grp")))
-    tops = tops.withColumn("partner", F.when(near("prev"), F.col("prev")["grp"]))
-    return found.where(~(hot & F.col("first"))).unionByName(tops.select(*found.columns)).drop("first")
+    found = keep(found.select("token", "part", "grp", "n", "pos", partner.alias("partner"), F.col("prev").isNull().alias("first")), "postings")
+    dealt = found.where(hot)
+    tops = dealt.where("first").withColumn("prev", F.lag(F.struct("n", "grp")).over(Window.partitionBy("token").orderBy("n", "grp")))
+    tops = tops.select("token", "grp", F.when(near("prev"), F.col("prev")["grp"]).alias("top"))
+    leads = dealt.groupBy("token").agg(F.min(F.struct("n", "grp")).alias("lead"))
+    met = dealt.join(leads, "token").join(tops, ["token", "grp"], "left").withColumn("partners", F.array("partner", "top", F.when(near("lead"), F.col("lead")["grp"])))
+    columns = ["token", "part", "grp", "n", "pos", "partners"]
+    return found.where(~hot).withColumn("partners", F.array("partner")).select(*columns).unionByName(met.select(*columns))
 
 
 def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
