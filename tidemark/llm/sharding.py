@@ -99,12 +99,19 @@ def _in_order(rows: DataFrame, ranges: int, bytes_: int, seed: int) -> DataFrame
     full = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"), (F.min("key") == F.max("key")).alias("one"))
     parts = full.select("range", "one", F.greatest(F.lit(1), F.ceil(F.col("b") * ranges / F.lit(2.0 * max(bytes_, 1))), F.ceil(F.col("r") * ranges / F.lit(4.0 * max(n, 1)))).cast("int").alias("parts"))
     placed = placed.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.when(F.col("one"), F.xxhash64("row")).otherwise(F.xxhash64("key", F.lit(1))), F.col("parts")).cast("int")).drop("parts", "one")
-    # exact totals before each part; as many rows as ranges and parts, whatever the input
-    held = placed.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("range", "part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
-    inside = Window.partitionBy("range", "part").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.join(F.broadcast(base), ["range", "part"])
+    # a part that is still overfull holds a key of very many short rows: those are cut out and subdivided by row
+    most = max(4.0 * n / ranges, 1.0)
+    full = placed.groupBy("range", "part").agg(F.count(F.lit(1)).alias("r")).where(F.col("r") > 2 * most).select("range", "part")
+    heavy = placed.join(F.broadcast(full), ["range", "part"]).groupBy("range", "part", "key").agg(F.count(F.lit(1)).alias("r")).where(F.col("r") > most)
+    heavy = heavy.select("range", "part", "key", F.ceil(F.col("r") / most).cast("int").alias("cuts"))
+    placed = placed.join(F.broadcast(heavy), ["range", "part", "key"], "left").withColumns({"own": F.when(F.col("cuts").isNotNull(), F.col("key")).otherwise(F.lit(-(1 << 63))), "cut": F.coalesce(F.pmod(F.xxhash64("row"), F.col("cuts")), F.lit(-1)).cast("int")}).drop("cuts")
+    # exact totals before each piece; as many rows as ranges, parts and cuts, whatever the input
+    piece = ["range", "part", "own", "cut"]
+    held = placed.groupBy(*piece).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
+    before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select(*piece, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
+    inside = Window.partitionBy(*piece).orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.join(F.broadcast(base), piece)
     return at.withColumn("bytes_before", F.col("b0") + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("row_before", F.col("r0") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
 
 
