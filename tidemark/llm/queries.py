@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pii, seekstore, sharding, warc
+from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pii, seekstore, sharding, spelling, warc
 
 #: Name of the public vocabulary file of the automaton; its folder is a parameter of the operator.
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -67,7 +67,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(warc.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc, op13_spelling_variants)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
