@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pii, seekstore, sharding, spelling, warc
+from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pieces, pii, prefixtrie, seekstore, sharding, spelling, warc
 
 #: Name of the public vocabulary file of the automaton; its folder is a parameter of the operator.
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 #: Name of the tokenizer whose ids are stored, and the id that ends a document.
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: Name of the public model file of merge type.
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(warc.read(spark, files))
 
 
+def op11_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc, op11_piece_prefix_table, op12_prefix_trie, op13_spelling_variants)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
