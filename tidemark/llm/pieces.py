@@ -17,6 +17,7 @@ import hashlib
 import re
 from array import array
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -207,20 +208,29 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """The text that ids spell: without the blank put in front, and bytes that are no UTF-8 replaced one by one."""
         numbers = np.frombuffer(ids, "<u4").tolist()
-        spelled = b"".join(map(self.spelled.__getitem__, numbers))
-        first = next((i for i in numbers if self.spelled[i]), None)
-        if first is not None and self.is_piece[first] and spelled[:1] == b" ":
-            spelled = spelled[1:]
-        try:
-            return spelled.decode("utf-8")
-        except UnicodeDecodeError:
-            return spelled.decode("utf-8", "surrogateescape").translate(_LOST)
+        if numbers and numbers[-1] == self.end_id:
+            numbers.pop()
+        parts = [self.spelled[i] for i in numbers]
+        first = next((k for k, p in enumerate(parts) if p), None)
+        if first is not None and self.is_piece[numbers[first]] and parts[first][:1] == b" ":
+            parts[first] = parts[first][1:]
+        if b"" not in parts[(first or 0) + 1 :]:
+            return _text(b"".join(parts))
+        # pieces without text end a character's bytes
+        return "".join(_text(b"".join(parts[k] for k in run)) for _, run in groupby(range(len(parts)), key=lambda k: parts[k] != b""))
 
 
 #: Bytes that were no part of UTF-8.
 _LOST = {0xDC00 + b: "�" for b in range(128, 256)}
 
 
+def _text(spelled: bytes) -> str:
+    try:
+        return spelled.decode("utf-8")
+    except UnicodeDecodeError:
+        return spelled.decode("utf-8", "surrogateescape").translate(_LOST)
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     """A worker reads a model once."""

@@ -86,6 +86,12 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_id_store, op2_sampled_sharding, op3_media_columns, op4_lm_scoring, op5_ngram_jaccard, op6_benchmark_decontamination, op7_bpe_automaton, op8_language_id, op9_pii, op10_warc, op11_piece_prefix_table, op12_prefix_trie, op13_spelling_variants)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def _crc32(s: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    h=f"hex(encode({s}))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({h}) // 2 + 1), lambda i: ('0x' || substr({h}, 2 * i - 1, 2))::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
@@ -108,4 +114,29 @@ FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op10_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (payload_digest)""",
+    "op12_prefix_trie": rf"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, count(*) AS own, {_crc32("c::VARCHAR")} % 6 AS h FROM t GROUP BY 1),
+k AS (SELECT l.c, l.h, l.c - l.c % 100 AS base, least(l.h, coalesce(b.own, 0)) AS taken FROM l LEFT JOIN l b ON b.c = l.c - l.c % 100),
+r AS (SELECT k.c, pos AS depth, role, text FROM k JOIN t ON t.c = k.base AND pos <= taken UNION ALL SELECT k.c, taken + pos - h, role, text FROM k JOIN t ON t.c = k.c AND pos > h),
+p AS (SELECT c, depth, length(text) AS size, sha256(string_agg(length(role)::VARCHAR || ':' || role || length(text)::VARCHAR || ':' || text, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth)) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+ends AS (SELECT c, max(depth) AS last FROM p GROUP BY 1),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, first(size) AS size, coalesce(string_agg(CASE WHEN last = depth THEN c::VARCHAR END, ',' ORDER BY c), '') AS ids FROM p JOIN ends USING (c) GROUP BY 1, 2),
+up AS (SELECT DISTINCT a.path, b.path AS parent FROM p a JOIN p b ON a.c = b.c AND b.depth = a.depth - 1),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM up GROUP BY 1),
+below AS (SELECT DISTINCT a.path AS top, b.path FROM p a JOIN p b ON a.c = b.c AND b.depth >= a.depth),
+sums AS (SELECT top AS path, count(*) FILTER (WHERE kids.path IS NULL) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM below JOIN nodes USING (path) LEFT JOIN kids USING (path) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN kids USING (path) LEFT JOIN up USING (path) LEFT JOIN nodes m ON m.path = up.parent""",
+    "op13_spelling_variants": rf"""WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_crc32("doc || ':' || run")} AS h FROM runs),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pairs AS (SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.rest = v.word UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY 1),
+named AS (SELECT word, n_near, top, min(other) AS other FROM best JOIN pairs USING (word) WHERE other_n = top GROUP BY 1, 2, 3),
+found AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN other END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN named USING (word)),
+up AS (SELECT word, word AS root, 0 AS steps FROM found UNION ALL SELECT up.word, found.form, steps + 1 FROM up JOIN found ON found.word = up.root WHERE found.form IS NOT NULL)
+SELECT found.word, form, arg_max(root, steps) AS root, n, n_near, form_n FROM found JOIN up USING (word) GROUP BY found.word, form, n, n_near, form_n""",
 }
