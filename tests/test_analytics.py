@@ -546,3 +546,54 @@ def test_backtest_names_what_has_no_prices(spark):
     px = closes(spark, {"A": [10 + k % 7 for k in range(80)], "B": [20 - k % 5 for k in range(80)]})
     got = {r["schedule"]: r for r in simulate.backtest(px, legs, "monthly").collect()}
     assert set(got) == {"monthly", "never"} and {r["missing"] for r in got.values()} == {"Z"} and got["monthly"]["final_value"] != got["never"]["final_value"] and got["never"]["n"] == 79
+
+
+def test_fixed_rounds_the_binary_number(spark):
+    import random
+
+    from tidemark.functions.scalar import fixed
+
+    r = random.Random(5)
+    xs = [0.245, 1.005, 2.675, 0.125, 0.375, 2.5, 3.5, 0.5, -0.5, -0.001, 1e-9, 123456789.125, 0.0, 0.0005, 0.00049999, 999.9995, 9.995, 1e15 + 0.5]
+    xs += [r.choice([1, -1]) * r.random() * 10 ** r.randrange(-5, 9) for _ in range(300)] + [r.randrange(-(10**6), 10**6) / 2 ** r.randrange(1, 12) for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[fixed(F.col("x"), k).alias(f"d{k}") for k in range(4)], fixed(F.col("x"), 1, plus=True).alias("plus"), fixed(F.col("x"), 0, commas=True).alias("commas")).collect()
+    for row in rows:
+        x = row["x"]
+        assert tuple(row)[1:] == (f"{x:.0f}", f"{x:.1f}", f"{x:.2f}", f"{x:.3f}", f"{x:+.1f}", f"{x:,.0f}")
+    missing = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(fixed(F.col("x"), 2).alias("v")).collect()
+    assert [m["v"] for m in missing] == [None] * 3
+
+
+def test_cdar_is_a_magnitude(spark):
+    from datetime import date, timedelta
+
+    from tidemark.operators import bootstrap, drawdown, fence
+
+    levels = [100.0, 110.0, 99.0, 104.5, 110.0, 88.0, 121.0] + [121.0 + k for k in range(33)]
+    df = spark.createDataFrame([("a", date(2020, 1, 1) + timedelta(days=k), x) for k, x in enumerate(levels)], "ticker string, d date, x double")
+    # the two deepest of 40 days: 88 and 99 of 110
+    assert drawdown.cdar(drawdown.curve(df, "ticker"), "ticker").first()["cdar"] == pytest.approx((0.2 + 0.1) / 2)
+    steps = np.diff(levels) / np.array(levels[:-1])
+    assert bootstrap.metric(steps[None, :], "cdar")[0] > 0
+    words = spark.createDataFrame([("cdar", 0.02), ("cdar", 0.40)], "t string, v double").select(fence.band_of(F.col("t"), F.col("v")).alias("w")).collect()
+    assert [w["w"] for w in words] == ["mild", "severe"]
+
+
+@pytest.mark.parametrize(("n", "told"), [(125, False), (126, True)])
+def test_held_out_clause_tells_a_years_return_from_126_returns_on(spark, n, told):
+    from datetime import date, timedelta
+
+    from tidemark.operators import simulate
+
+    rows = [("p", date(2020, 1, 1) + timedelta(days=k), 0.01 if k % 2 else -0.008, 0.008 if k % 2 else -0.004) for k in range(n)]
+    stats = simulate.window_stats(spark.createDataFrame(rows, "pair string, d date, r_without double, r_with double"))
+    clause = simulate.figure_clause(stats).first()["clause"]
+    plain = {}
+    for leg, at in (("without", 2), ("with", 3)):
+        g = np.cumprod([1 + r[at] for r in rows])
+        dd = g / np.maximum.accumulate(g) - 1
+        deep = (np.append(1.0, g) / np.maximum.accumulate(np.append(1.0, g)) - 1).min()
+        plain[leg] = ((dd**2).mean() ** 0.5 * 100, -np.sort(dd)[: int(np.ceil(0.05 * n))].mean() * 100, deep * 100, (g[-1] ** (252 / n) - 1) * 100)
+    w, o = plain["with"], plain["without"]
+    expected = f"Ulcer {w[0]:.2f}% vs {o[0]:.2f}% without; CDaR {w[1]:.2f}% vs {o[1]:.2f}%; max DD {w[2]:.1f}% vs {o[2]:.1f}% (context)"
+    assert clause == expected + (f"; return {w[3]:+.1f}% vs {o[3]:+.1f}%/yr ({w[3] - o[3]:+.1f}pp, context)" if told else "")

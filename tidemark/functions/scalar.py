@@ -48,22 +48,63 @@ def is_ticker(text: Column) -> Column:
     return F.upper(F.trim(text)).rlike("^[A-Z0-9.\\-]{1,15}$")
 
 
+def fixed(x: Column, digits: int = 2, plus: bool = False, commas: bool = False) -> Column:
+    """A number with so many decimals (at most three), rounded as the binary number that it is, halves to even.
+
+    Formatting functions round the shortest decimal spelling, so that 2.675, which is less, would become 2.68. Here the
+    fraction is taken as 60 binary places and what lies behind them, multiplied by the power of ten in two halves of 30
+    bits, and compared with a half in whole numbers. A negative number keeps its sign where nothing else is left of it.
+    NULL for what is missing or not finite.
+    """
+    ten, low30 = 10**digits, (1 << 30) - 1
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  worked out once
+
+    def split(v: Column) -> Column:
+        size = F.abs(v)
+        fraction = size % F.lit(1.0)
+        scaled = fraction * float(1 << 60)
+        places = scaled.try_cast("long")
+        return F.struct(v.alias("v"), (size - fraction).try_cast("long").alias("whole"), places.alias("places"), (scaled - places.cast("double")).alias("behind"))
+
+    def times_ten(p: Column) -> Column:
+        lower = p["places"].bitwiseAND(F.lit(low30)) * ten
+        return F.struct(p["v"].alias("v"), p["whole"].alias("whole"), p["behind"].alias("behind"), lower.alias("lower"), (F.shiftright(p["places"], 30) * ten + F.shiftright(lower, 30)).alias("upper"))
+
+    def rounded(p: Column) -> Column:
+        number = F.shiftright(p["upper"], 30)
+        rest = F.shiftleft(p["upper"].bitwiseAND(F.lit(low30)), 30) + p["lower"].bitwiseAND(F.lit(low30))
+        odd = (p["whole"] if digits == 0 else number) % 2 == 1
+        more = let((rest - (1 << 59)).cast("double") + p["behind"] * ten, lambda over: ((over > 0) | ((over == 0) & odd)).cast("long"))
+        return F.struct(p["v"].alias("v"), p["whole"].alias("whole"), (number + more).alias("number"))
+
+    def spelled(p: Column) -> Column:
+        whole = p["whole"] + (p["number"] == ten).cast("long")
+        sign = F.when(p["v"] < 0, "-").otherwise("+" if plus else "")
+        parts = [sign, F.format_number(whole, 0) if commas else whole.cast("string")]
+        return F.concat(*(parts if digits == 0 else [*parts, F.lit("."), F.lpad((p["number"] % ten).cast("string"), digits, "0")]))
+
+    exact = let(x.cast("double"), lambda v: let(split(v), lambda p: let(times_ten(p), lambda q: let(rounded(q), spelled))))
+    # beyond whole numbers of 63 bits there is nothing to round
+    large = F.format_string(f"%{'+' if plus else ''}{',' if commas else ''}.{digits}f", x.cast("double"))
+    return F.when(finite(x.cast("double")).isNull(), None).when(F.abs(x) < float(1 << 62), exact).otherwise(large)
+
+
 def signed_percent(x: Column) -> Column:
     """A share as a signed percentage with two decimals, n/a where missing."""
-    return F.when(finite(x).isNull(), "n/a").otherwise(F.format_string("%+.2f%%", x * 100))
+    return F.coalesce(F.concat(fixed(x * 100, 2, plus=True), F.lit("%")), F.lit("n/a"))
 
 
 def dollars(x: Column) -> Column:
-    """An amount in whole dollars with separators."""
-    return F.when(finite(x).isNull(), "n/a").otherwise(F.concat(F.when(F.round(x) < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(x), 0)))
+    """An amount in whole dollars with separators, the sign before the unit, n/a where missing."""
+    return F.coalesce(F.concat(F.when(x < 0, "-").otherwise(""), F.lit("$"), fixed(F.abs(x), 0, commas=True)), F.lit("n/a"))
 
 
 def human(x: Column) -> Column:
     """A count with a unit of thousands, millions, billions or trillions: two decimals under ten, else one."""
-    out = F.format_string("%.0f", x)
+    out = fixed(x, 0)
     for unit, size in (("K", 1e3), ("M", 1e6), ("B", 1e9), ("T", 1e12)):
         scaled = x / size
-        out = F.when(F.abs(x) >= size, F.concat(F.when(F.abs(scaled) < 10, F.format_string("%.2f", scaled)).otherwise(F.format_string("%.1f", scaled)), F.lit(unit))).otherwise(out)
+        out = F.when(F.abs(x) >= size, F.concat(F.when(F.abs(scaled) < 10, fixed(scaled, 2)).otherwise(fixed(scaled, 1)), F.lit(unit))).otherwise(out)
     return F.when(finite(x).isNull(), "n/a").otherwise(out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio
+from tidemark.functions.scalar import fixed, ratio
 from tidemark.operators.drawdown import pct_change
 
 # Days of returns for volatilities, dollars of the smallest trade, slack of bands.
@@ -126,7 +126,7 @@ def _universe(held: DataFrame, prices: DataFrame, target: DataFrame, key: str) -
 
 
 def _percent(x, digits: int = 1):
-    return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, digits), F.lit("%"))
 
 
 def _suggestion(df: DataFrame, key: str, dollars, rule: str, held_back, reason) -> DataFrame:
@@ -158,8 +158,8 @@ def suggest(mode: str, held: DataFrame, prices: DataFrame, target: DataFrame, ne
     if mode == "bands":
         width = F.least(F.lit(band), F.lit(band_rel) * F.col("w"))
         out = F.abs(F.col("cur_w") - F.col("w")) > width + BAND_EPS
-        beyond = F.concat(F.format_string("%+.1f", (F.col("cur_w") - F.col("w")) * 100), F.lit(" points off, the band is "), F.format_string("%.2f", width * 100))
-        inside = F.concat(F.lit("within its band of "), F.format_string("%.2f", width * 100), F.lit(" points"))
+        beyond = F.concat(fixed((F.col("cur_w") - F.col("w")) * 100, 1, plus=True), F.lit(" points off, the band is "), fixed(width * 100, 2))
+        inside = F.concat(F.lit("within its band of "), fixed(width * 100, 2), F.lit(" points"))
         reason = F.when(F.col("w") == 0, exit_).when(out, beyond).otherwise(F.concat(against, F.lit("; another left its band")))
         return _suggestion(u.withColumn("breach", F.max(out).over(book)), key, F.when(F.col("breach"), whole), mode, F.when(F.col("breach"), "on target").otherwise(inside), reason)
     if mode == "cash_flow_only":

@@ -60,7 +60,7 @@ def metric(r: np.ndarray, name: str) -> np.ndarray:
         if name == "ulcer":
             return np.sqrt((dd**2).mean(axis=1))
         k = max(1, int(np.ceil(0.05 * r.shape[1])))
-        return np.partition(dd, k - 1, axis=1)[:, :k].mean(axis=1)
+        return -np.partition(dd, k - 1, axis=1)[:, :k].mean(axis=1)
 
 
 def intervals(returns: DataFrame, key: str, reps: int = 1000, ci: float = 0.95, seed: int = 42, draws: str = "seeded") -> DataFrame:

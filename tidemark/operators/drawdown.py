@@ -60,10 +60,10 @@ def ulcer(dd: Column) -> Column:
 
 
 def cdar(drops: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
-    """key, cdar: the mean of the deepest ceil(alpha n) drawdowns, at least one."""
+    """key, cdar: how deep the deepest ceil(alpha n) drawdowns are on average, at least one; a magnitude."""
     order = Window.partitionBy(key).orderBy("dd", "d")
     ranked = drops.withColumns({"k": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    return ranked.where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.col("n")))).groupBy(key).agg(F.avg("dd").alias("cdar"))
+    return ranked.where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.col("n")))).groupBy(key).agg((-F.avg("dd")).alias("cdar"))
 
 
 def with_base(returns: DataFrame, key: str) -> DataFrame:

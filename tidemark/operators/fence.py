@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import band, finite
+from tidemark.functions.scalar import band, finite, fixed
 
 #: Fixed value: the shape of a token.
 TOKEN = r"\{\{\s*([A-Za-z][A-Za-z0-9_]*)\s*\}\}"
@@ -20,7 +20,7 @@ _RETURN = ([0.0, 0.10, 0.20], ["negative", "modest", "healthy", "strong"], False
 _ULCER = ([0.02, 0.05, 0.10], ["mild", "moderate", "significant", "severe"], False)
 _DEPTH = ([0.05, 0.15, 0.30], ["mild", "moderate", "significant", "severe"], True)
 BANDS = {
-    "max_drawdown": _DEPTH, "cdar": (_DEPTH[0], _DEPTH[1], False), "ulcer": _ULCER, "sharpe": _RATIO, "sortino": _RATIO, "calmar": _RATIO,
+    "max_drawdown": _DEPTH, "cdar": _DEPTH, "ulcer": _ULCER, "sharpe": _RATIO, "sortino": _RATIO, "calmar": _RATIO,
     "twr_annual": _RETURN, "mwr_annual": _RETURN, "dietz_annual": _RETURN,
 }
 PREFIX_BANDS = {"gap_": ([0.005, 0.03, 0.10], ["none", "very little", "some", "a fair amount"], False), "bench_dd_": _DEPTH, "bench_ulcer_": _ULCER}
@@ -70,7 +70,7 @@ def discovery_claims(gaps: DataFrame, menu: DataFrame, verdicts: DataFrame, chec
     gaps: key, role, exposure; menu: key, role, ticker, name; verdicts: ticker, verdict; checks as in fit_phrases.
     """
     none = F.lit(None).cast("double")
-    roles = gaps.select(key, F.concat(F.lit("gap_"), slug(F.col("role"))).alias("token"), F.col("exposure").alias("value"), F.format_string("%.0f%%", F.col("exposure") * 100).alias("rendered"), F.concat(F.lit("the book's exposure to "), "role").alias("label"))
+    roles = gaps.select(key, F.concat(F.lit("gap_"), slug(F.col("role"))).alias("token"), F.col("exposure").alias("value"), F.concat(fixed(F.col("exposure") * 100, 0), F.lit("%")).alias("rendered"), F.concat(F.lit("the book's exposure to "), "role").alias("label"))
     judged = menu.join(verdicts, "ticker").join(fit_phrases(checks), "ticker", "left")
     name = F.array_join(F.filter(F.split(F.col("name"), r"\s+"), lambda w: w != ""), " ")
     said = F.concat(name, F.lit(", "), F.col("role"), F.lit(": the screen says "), F.upper("verdict"), F.when(F.coalesce("fit", F.lit("")) != "", F.concat(F.lit(" ("), "fit", F.lit(")"))).otherwise(""))
@@ -80,7 +80,7 @@ def discovery_claims(gaps: DataFrame, menu: DataFrame, verdicts: DataFrame, chec
 
 def benchmark_claims(stats: DataFrame, reference: str, key: str = "pair") -> DataFrame:
     """The figures that prose on a benchmark may name: both held-out Ulcer indices (stats: key, leg, ulcer) and the reference's name."""
-    ulcers = stats.select(key, F.when(F.col("leg") == "with", "bench_ulcer_preset").otherwise("bench_ulcer_reference").alias("token"), F.col("ulcer").alias("value"), F.format_string("%.2f%%", F.col("ulcer") * 100).alias("rendered"), F.when(F.col("leg") == "with", "the posture's Ulcer index, held out").otherwise("the reference's Ulcer index, held out").alias("label"))
+    ulcers = stats.select(key, F.when(F.col("leg") == "with", "bench_ulcer_preset").otherwise("bench_ulcer_reference").alias("token"), F.col("ulcer").alias("value"), F.concat(fixed(F.col("ulcer") * 100, 2), F.lit("%")).alias("rendered"), F.when(F.col("leg") == "with", "the posture's Ulcer index, held out").otherwise("the reference's Ulcer index, held out").alias("label"))
     names = stats.select(key).distinct().select(key, F.lit("bench_reference").alias("token"), F.lit(None).cast("double").alias("value"), F.lit(reference).alias("rendered"), F.lit("the reference's name").alias("label"))
     return claim_rows(ulcers.unionByName(names), key)
 

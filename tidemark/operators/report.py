@@ -7,7 +7,7 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import human, ratio, signed_percent
+from tidemark.functions.scalar import dollars, fixed, human, ratio, signed_percent
 from tidemark.operators.screen import age_years
 
 LAG_FLAG_DAYS, LAG_ALARM_DAYS = 4, 10
@@ -39,8 +39,8 @@ def securities(facts: DataFrame, today: Column) -> DataFrame:
     parts = F.array(*[F.nullif(F.trim(F.col(c) if c in facts.columns else F.lit(None).cast("string")), F.lit("")) for c in ("quote_type", "category", "family")])
     kind = F.array_join(F.array_compact(parts), " — ")
     return facts.select(
-        "ticker", text(F.format_string("%.2f%%", F.col("expense_ratio") * 100), "expense_ratio").alias("expense"), text(F.concat(F.lit("$"), human(F.col("aum"))), "aum").alias("aum"),
-        text(human(F.col("avg_volume")), "avg_volume").alias("volume"), text(F.format_string("%.1fy", age_years(F.col("inception"), today)), "inception").alias("age"), F.when(kind == "", "n/a").otherwise(kind).alias("kind"),
+        "ticker", text(F.concat(fixed(F.col("expense_ratio") * 100, 2), F.lit("%")), "expense_ratio").alias("expense"), text(F.concat(F.lit("$"), human(F.col("aum"))), "aum").alias("aum"),
+        text(human(F.col("avg_volume")), "avg_volume").alias("volume"), text(F.concat(fixed(age_years(F.col("inception"), today), 1), F.lit("y")), "inception").alias("age"), F.when(kind == "", "n/a").otherwise(kind).alias("kind"),
     )
 
 
@@ -71,7 +71,7 @@ def discoveries(gaps: DataFrame, menu: DataFrame, shelves: DataFrame, screened:
     shelf = F.struct(F.col("flavor").alias("place"), F.concat(F.when(F.col("flavor") == "", "(unnamed)").otherwise(F.col("flavor")), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
     also = shelves.groupBy("book", "role").agg(listed(shelf).alias("also"))
     out = gaps.join(shown, ["book", "role"], "left").join(also, ["book", "role"], "left").where("shown is not null or also is not null")
-    return out.select("book", "role", F.format_string("%.0f%%", F.col("exposure") * 100).alias("held"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("also", F.lit("")).alias("also"))
+    return out.select("book", "role", F.concat(fixed(F.col("exposure") * 100, 0), F.lit("%")).alias("held"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("also", F.lit("")).alias("also"))
 
 
 def leg_panel(panels: DataFrame, finals: DataFrame) -> DataFrame:
@@ -79,18 +79,15 @@ def leg_panel(panels: DataFrame, finals: DataFrame) -> DataFrame:
 
     panels: drawdown.panel with key leg; finals: leg, annualized, final_value.
     """
-    pct = lambda c, digits, sign="": F.format_string(f"%{sign}.{digits}f%%", F.col(c) * 100)
+    pct = lambda c, digits, plus=False: F.concat(fixed(F.col(c) * 100, digits, plus), F.lit("%"))
     both = lambda a, shown, b: F.concat(shown(a), F.lit(" .. "), shown(b))
-    number = lambda c: F.format_string("%+.2f", F.col(c))
+    number = lambda c: fixed(F.col(c), 2, plus=True)
     rows = []
     for name, m in (("Max drawdown", "max_drawdown"), ("Ulcer index", "ulcer"), ("CDaR (worst 5%)", "cdar")):
-        size = (lambda c: pct(c, 2, "+")) if m == "max_drawdown" else (lambda c: F.format_string("%.2f%%", F.abs(F.col(c)) * 100))
-        edge = (lambda c: pct(c, 1)) if m != "cdar" else (lambda c: F.format_string("%.1f%%", F.abs(F.col(c)) * 100))
-        low, high = (f"{m}_high", f"{m}_low") if m == "cdar" else (f"{m}_low", f"{m}_high")
-        rows += [(name, m, size(m)), (f"{name} 95% CI", m, both(low, edge, high))]
+        rows += [(name, m, pct(m, 2, m == "max_drawdown")), (f"{name} 95% CI", m, both(f"{m}_low", lambda c: pct(c, 1), f"{m}_high"))]
     for name, m in (("Sharpe", "sharpe"), ("Sortino", "sortino"), ("Calmar", "calmar")):
         rows += [(name, m, number(m)), (f"{name} 95% CI", m, both(f"{m}_low", number, f"{m}_high"))]
-    rows += [("Annualized return", "annualized", pct("annualized", 2, "+")), ("Final value", "final_value", F.concat(F.lit("$"), F.format_number("final_value", 0)))]
+    rows += [("Annualized return", "annualized", pct("annualized", 2, True)), ("Final value", "final_value", dollars(F.col("final_value")))]
     texts = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("metric"), F.when(F.col(c).isNull(), "n/a").otherwise(v).alias("v")) for k, (name, c, v) in enumerate(rows)]
     return panels.join(finals, "leg").select("leg", F.explode(F.array(*texts)).alias("e")).select("leg", "e.*")
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio, usable_price
+from tidemark.functions.scalar import fixed, ratio, usable_price
 from tidemark.operators import drawdown
 from tidemark.operators.align import asof_fill
 from tidemark.operators.bootstrap import paired_ulcer_gain
 from tidemark.sources.shared import keep
 
 INITIAL, OOS_SHARE, LEAST_WINDOW = 10_000.0, 0.30, 60
+#: Returns of which a year's return can be told.
+LEAST_OBS = 126
 ULCER_MARGIN, CDAR_SLACK = 0.0025, 0.005
 PERIODS = {"monthly": "MM", "quarterly": "QUARTER", "annual": "YEAR"}
 
@@ -78,7 +80,7 @@ def score(curves: DataFrame) -> DataFrame:
     moves = drawdown.pct_change(curves, "leg", "v")
     final = curves.groupBy("leg").agg(F.max_by("v", "d").alias("final_value"))
     grown = moves.groupBy("leg").agg(F.product(1 + F.col("r")).alias("g"), F.count(F.lit(1)).alias("m"))
-    annual = grown.select("leg", F.when(F.col("g") > 0, F.pow("g", F.lit(252.0) / F.col("m")) - 1).alias("annualized"))
+    annual = grown.select("leg", F.when((F.col("g") > 0) & (F.col("m") >= LEAST_OBS), F.pow("g", F.lit(252.0) / F.col("m")) - 1).alias("annualized"))
     return drawdown.ratios(moves, "leg").drop("is_noisy").join(final, "leg").join(annual, "leg")
 
 
@@ -119,12 +121,15 @@ def aligned_returns(curves: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def window_stats(returns: DataFrame) -> DataFrame:
-    """pair, leg, n, depth, ulcer, cdar, vol and ret (a year's return) of aligned returns; levels without a base row for ulcer and cdar."""
+    """pair, leg, n, depth, ulcer, cdar, vol and ret of aligned returns; levels without a base row for ulcer and cdar.
+
+    ret is a year's return, NULL under LEAST_OBS returns.
+    """
     long = returns.select("pair", "d", F.explode(F.create_map(F.lit("without"), F.col("r_without"), F.lit("with"), F.col("r_with"))).alias("leg", "r")).withColumn("key", F.struct("pair", "leg"))
     level = long.withColumn("x", F.product(1 + F.col("r")).over(Window.partitionBy("key").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     drops = drawdown.curve(level, "key")
     grown = F.product(1 + F.col("r"))
-    path = drops.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawdown.ulcer(F.col("dd")).alias("ulcer"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), F.when(grown > 0, F.pow(grown, F.lit(252.0) / F.count(F.lit(1))) - 1).alias("ret"))
+    path = drops.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawdown.ulcer(F.col("dd")).alias("ulcer"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), F.when((grown > 0) & (F.count(F.lit(1)) >= LEAST_OBS), F.pow(grown, F.lit(252.0) / F.count(F.lit(1))) - 1).alias("ret"))
     deep = drawdown.curve(drawdown.with_base(long, "key"), "key").groupBy("key").agg(F.min("dd").alias("depth"))
     return path.join(drawdown.cdar(drops, "key"), "key").join(deep, "key").select("key.pair", "key.leg", "n", "depth", "ulcer", "cdar", "vol", "ret")
 
@@ -134,7 +139,7 @@ def verdict(stats: DataFrame, returns: DataFrame, reps: int = 1000, seed: int =
 
     Gates in order: the gain must clear the margin, the tail must not contradict it, and a paired bootstrap must confirm.
     """
-    pick = lambda leg, c: F.max(F.when(F.col("leg") == leg, -F.col(c) if c == "cdar" else F.col(c)))
+    pick = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
     gains = stats.groupBy("pair").agg((pick("without", "ulcer") - pick("with", "ulcer")).alias("ulcer_gain"), (pick("without", "cdar") - pick("with", "cdar")).alias("cdar_gain"))
     g = gains.join(paired_ulcer_gain(returns, "pair", reps, seed, draws), "pair", "left")
     up, c = F.col("ulcer_gain") > 0, F.col("cdar_gain")
@@ -148,12 +153,13 @@ def verdict(stats: DataFrame, returns: DataFrame, reps: int = 1000, seed: int =
 def figure_clause(stats: DataFrame, baseline: str = "without") -> DataFrame:
     """pair, clause: the held-out figures of both legs in one line of text, the tested leg first."""
     both = stats.groupBy("pair").agg(*[F.max(F.when(F.col("leg") == leg, F.col(c))).alias(f"{c}_{leg}") for leg in ("with", "without") for c in ("ulcer", "cdar", "depth", "ret")])
-    pct = lambda c, digits, sign="": F.format_string(f"%{sign}.{digits}f%%", F.col(c) * 100)
+    pct = lambda c, digits, plus=False: F.concat(fixed(F.col(c) * 100, digits, plus), F.lit("%"))
+    # fixed value: the order and the words of the figures
     text = F.concat(
         F.lit("Ulcer "), pct("ulcer_with", 2), F.lit(" vs "), pct("ulcer_without", 2), F.lit(f" {baseline}; CDaR "), pct("cdar_with", 2), F.lit(" vs "), pct("cdar_without", 2),
         F.lit("; max DD "), pct("depth_with", 1), F.lit(" vs "), pct("depth_without", 1), F.lit(" (context)"),
     )
-    cost = F.concat(F.lit("; return "), pct("ret_with", 1, "+"), F.lit(" vs "), pct("ret_without", 1, "+"), F.lit("/yr ("), F.format_string("%+.1f", (F.col("ret_with") - F.col("ret_without")) * 100), F.lit("pp, context)"))
+    cost = F.concat(F.lit("; return "), pct("ret_with", 1, True), F.lit(" vs "), pct("ret_without", 1, True), F.lit("/yr ("), fixed((F.col("ret_with") - F.col("ret_without")) * 100, 1, True), F.lit("pp, context)"))
     return both.select("pair", F.concat(text, F.coalesce(cost, F.lit(""))).alias("clause"))
 
 

@@ -58,7 +58,7 @@ def ulcer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drops.groupBy("ticker").agg(F.round(drawdown.ulcer(F.col("dd")), 8).alias("ulcer"))
 
 
-@query(f"{DD}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dd, d) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM c) SELECT ticker, round(avg(dd), 8) AS cdar FROM k WHERE k <= greatest(1, ceil(0.05::DOUBLE * n)) GROUP BY 1")
+@query(f"{DD}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dd, d) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM c) SELECT ticker, round(-avg(dd), 8) AS cdar FROM k WHERE k <= greatest(1, ceil(0.05::DOUBLE * n)) GROUP BY 1")
 def cdar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drawdown.cdar(drawdown.curve(_levels(spark, sf_dir), "ticker"), "ticker"), "cdar", digits=8)
 
@@ -86,7 +86,7 @@ def _resampled(name: str, block: str) -> str:
     )
 
 
-PATH = "SELECT ticker, rep, least(0, min(x / greatest(1, top) - 1)) AS max_drawdown, sqrt(avg((x / top - 1) ** 2)) AS ulcer, list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * any_value(n)))::BIGINT)) AS cdar, arg_max(x, pos) ** (252.0::DOUBLE / any_value(n)) - 1 AS annual"
+PATH = "SELECT ticker, rep, least(0, min(x / greatest(1, top) - 1)) AS max_drawdown, sqrt(avg((x / top - 1) ** 2)) AS ulcer, -list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * any_value(n)))::BIGINT)) AS cdar, arg_max(x, pos) ** (252.0::DOUBLE / any_value(n)) - 1 AS annual"
 RATIO = "SELECT ticker, rep, sqrt(252) * avg(r) / stddev_samp(r) AS sharpe, sqrt(252) * avg(r) / sqrt(avg(least(r, 0) ** 2)) AS sortino"
 INTERVALS = (
     f"{RET}, num AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS k FROM r), cnt AS (SELECT ticker, count(*) AS n FROM num GROUP BY 1), {_resampled('q', 'least(n, greatest(2, round(n ** (1 / 3.0::DOUBLE))))::BIGINT')}, {_resampled('p', 'least(n, greatest(2, round(n ** 0.5::DOUBLE)))::BIGINT')},"

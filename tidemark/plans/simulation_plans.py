@@ -93,7 +93,7 @@ def backtest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED = (
     ", r AS (SELECT leg, d, v, v / lag(v) OVER (PARTITION BY leg ORDER BY d) - 1 AS r FROM sim), x AS (SELECT leg, v / max(v) OVER (PARTITION BY leg ORDER BY d) - 1 AS dd FROM sim)"
-    " SELECT a.leg, a.n, round(a.final_value, 4) AS final_value, round(g ** (252.0::DOUBLE / n) - 1, 8) AS annualized, round(depth, 8) AS depth, '' AS missing FROM (SELECT leg, count(r) AS n, arg_max(v, d) AS final_value, product(1 + r) AS g FROM r GROUP BY 1) a JOIN (SELECT leg, min(dd) AS depth FROM x GROUP BY 1) b USING (leg)"
+    " SELECT a.leg, a.n, round(a.final_value, 4) AS final_value, round(CASE WHEN n >= 126 THEN g ** (252.0::DOUBLE / n) - 1 END, 8) AS annualized, round(depth, 8) AS depth, '' AS missing FROM (SELECT leg, count(r) AS n, arg_max(v, d) AS final_value, product(1 + r) AS g FROM r GROUP BY 1) a JOIN (SELECT leg, min(dd) AS depth FROM x GROUP BY 1) b USING (leg)"
 )
 
 
@@ -113,11 +113,11 @@ rs AS (SELECT i.pair, i.leg, rep, pos, r FROM ix i JOIN nm x ON x.pair = i.pair
 lv AS (SELECT *, product(1 + r) OVER (PARTITION BY pair, leg, rep ORDER BY pos) AS x FROM rs), tp AS (SELECT *, max(x) OVER (PARTITION BY pair, leg, rep ORDER BY pos) AS top FROM lv),
 ul AS (SELECT pair, leg, rep, sqrt(avg((x / top - 1) ** 2)) AS ulcer FROM tp GROUP BY 1, 2, 3), gn AS (SELECT a.pair, a.rep, a.ulcer - b.ulcer AS g FROM ul a JOIN ul b ON a.pair = b.pair AND a.rep = b.rep WHERE a.leg = 'without' AND b.leg = 'with'),
 ci AS (SELECT pair, quantile_cont(g, 0.025) FILTER (WHERE rep >= 0) AS low, quantile_cont(g, 0.975) FILTER (WHERE rep >= 0) AS high, max(g) FILTER (WHERE rep < 0) AS ulcer_gain FROM gn GROUP BY 1),
-st AS (SELECT pair, leg, count(*) AS n, least(0, min(x / greatest(1, top) - 1)) AS depth, sqrt(avg((x / top - 1) ** 2)) AS ulcer, list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * count(*)))::BIGINT)) AS cdar, arg_max(x, pos) ** (252.0::DOUBLE / count(*)) - 1 AS ret FROM tp WHERE rep < 0 GROUP BY 1, 2),
-w AS (SELECT a.pair, a.cdar AS c1, b.cdar AS c0, a.ulcer AS u1, b.ulcer AS u0, a.depth AS d1, b.depth AS d0, a.ret AS r1, b.ret AS r0, b.cdar * -1 - a.cdar * -1 AS cdar_gain FROM st a JOIN st b ON a.pair = b.pair WHERE a.leg = 'with' AND b.leg = 'without'),
+st AS (SELECT pair, leg, count(*) AS n, least(0, min(x / greatest(1, top) - 1)) AS depth, sqrt(avg((x / top - 1) ** 2)) AS ulcer, -list_avg(list_slice(list_sort(list(x / top - 1)), 1, greatest(1, ceil(0.05::DOUBLE * count(*)))::BIGINT)) AS cdar, CASE WHEN count(*) >= 126 THEN arg_max(x, pos) ** (252.0::DOUBLE / count(*)) - 1 END AS ret FROM tp WHERE rep < 0 GROUP BY 1, 2),
+w AS (SELECT a.pair, a.cdar AS c1, b.cdar AS c0, a.ulcer AS u1, b.ulcer AS u0, a.depth AS d1, b.depth AS d0, a.ret AS r1, b.ret AS r0, b.cdar - a.cdar AS cdar_gain FROM st a JOIN st b ON a.pair = b.pair WHERE a.leg = 'with' AND b.leg = 'without'),
 vd AS (SELECT w.*, low, high, ulcer_gain, CASE WHEN abs(ulcer_gain) < 0.0025::DOUBLE THEN 'noise_margin' WHEN (ulcer_gain > 0 AND cdar_gain < -0.005::DOUBLE) OR (ulcer_gain <= 0 AND cdar_gain > 0.005::DOUBLE) THEN 'cdar_contradicts' WHEN (ulcer_gain > 0 AND low > 0) OR (ulcer_gain <= 0 AND high < 0) THEN '' ELSE 'bootstrap_unconfirmed' END AS cause FROM w JOIN ci USING (pair)),
 vv AS (SELECT *, CASE WHEN cause <> '' THEN 'inconclusive' WHEN ulcer_gain > 0 THEN 'improved' ELSE 'worsened' END AS verdict,
- printf('Ulcer %.2f%% vs %.2f%% ', u1 * 100, u0 * 100) || baseline || printf('; CDaR %.2f%% vs %.2f%%; max DD %.1f%% vs %.1f%% (context); return %+.1f%% vs %+.1f%%/yr (%+.1fpp, context)', c1 * 100, c0 * 100, d1 * 100, d0 * 100, r1 * 100, r0 * 100, (r1 - r0) * 100) AS clause FROM vd, (SELECT any_value(baseline) AS baseline FROM pairs))"""
+ printf('Ulcer %.2f%% vs %.2f%% ', u1 * 100, u0 * 100) || baseline || printf('; CDaR %.2f%% vs %.2f%%; max DD %.1f%% vs %.1f%% (context)', c1 * 100, c0 * 100, d1 * 100, d0 * 100) || coalesce(printf('; return %+.1f%% vs %+.1f%%/yr (%+.1fpp, context)', r1 * 100, r0 * 100, (r1 - r0) * 100), '') AS clause FROM vd, (SELECT any_value(baseline) AS baseline FROM pairs))"""
 _ALL = [*TARGET, *REFERENCE, CANDIDATE]
 ASKED = sorted(set(_ALL))
 ROLE_LEGS = [r for c in ASKED if c not in TARGET for r in [*[(f"{c}+without", t, w) for t, w in TARGET.items()], *[(f"{c}+with", t, w * (1 - SLEEVE)) for t, w in TARGET.items()], (f"{c}+with", c, SLEEVE)]]
@@ -171,7 +171,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY dd, d) AS k, count(
 
 
 @query(
-    f"{STATS} SELECT 'pair' AS pair, leg, count(*) AS n, round(product(1 + r) ** (252.0::DOUBLE / count(*)) - 1, 8) AS ret, round(min(dd1), 8) AS depth, round(sqrt(avg(dd * dd)), 8) AS ulcer, round(avg(dd) FILTER (WHERE k <= greatest(1, ceil(0.05::DOUBLE * n))), 8) AS cdar, round(stddev_samp(r) * sqrt(252), 8) AS vol FROM k GROUP BY leg"
+    f"{STATS} SELECT 'pair' AS pair, leg, count(*) AS n, round(CASE WHEN count(*) >= 126 THEN product(1 + r) ** (252.0::DOUBLE / count(*)) - 1 END, 8) AS ret, round(min(dd1), 8) AS depth, round(sqrt(avg(dd * dd)), 8) AS ulcer, round(-avg(dd) FILTER (WHERE k <= greatest(1, ceil(0.05::DOUBLE * n))), 8) AS cdar, round(stddev_samp(r) * sqrt(252), 8) AS vol FROM k GROUP BY leg"
 )
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame([("pair", "reference", "target")], "pair string, without string, tested string")

@@ -98,10 +98,11 @@ def run_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderstatus", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "orders", "customers")).alias("summary"))
 
 
-@query("SELECT s_suppkey, CASE WHEN abs(x) >= 1e3 THEN CASE WHEN abs(x / 1e3) < 10 THEN printf('%.2f', x / 1e3) ELSE printf('%.1f', x / 1e3) END || 'K' ELSE printf('%.0f', x) END AS human, printf('%+.2f%%', x / 12345 * 100) AS pct FROM (SELECT s_suppkey, s_acctbal + 0.001234::DOUBLE AS x FROM supplier)")
+@query("SELECT s_suppkey, CASE WHEN abs(x) >= 1e3 THEN CASE WHEN abs(x / 1e3) < 10 THEN printf('%.2f', x / 1e3) ELSE printf('%.1f', x / 1e3) END || 'K' ELSE printf('%.0f', x) END AS human, printf('%+.2f%%', x / 12345 * 100) AS pct, printf('%.1f', x / 8) AS eighths, printf('%.2f', x / 16) AS sixteenths, CASE WHEN x < 0 THEN '-$' ELSE '$' END || format('{:,}', round_even(abs(x / 2), 0)::BIGINT) AS dollars FROM (SELECT s_suppkey, s_acctbal::DOUBLE AS x FROM supplier)")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("s_acctbal") + 0.001234
-    return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", scalar.human(x).alias("human"), scalar.signed_percent(x / 12345).alias("pct"))
+    """Whole tables of balances, also as parts of two, where ties occur."""
+    x = F.col("s_acctbal").cast("double")
+    return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", scalar.human(x).alias("human"), scalar.signed_percent(x / 12345).alias("pct"), scalar.fixed(x / 8, 1).alias("eighths"), scalar.fixed(x / 16, 2).alias("sixteenths"), scalar.dollars(x / 2).alias("dollars"))
 
 
 def _band_sql(spec, x: str) -> str:
@@ -129,5 +130,5 @@ def prompt_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = adapters.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg((F.avg("s_acctbal") / 1e4).alias("v"))
     rows = means.join(adapters.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("k"))
     made = rows.select("k", "n_name", F.explode(F.array(F.struct(F.concat(F.lit("gap_"), fence.slug(F.col("n_name"))).alias("token"), F.col("v").alias("value")), F.struct(F.lit("sharpe").alias("token"), (F.col("v") * 3).alias("value")))).alias("c"))
-    claims = fence.claim_rows(made.select("k", "c.token", "c.value", F.format_string("%.3f", "c.value").alias("rendered"), F.concat(F.lit("about "), "n_name").alias("label")), "k")
+    claims = fence.claim_rows(made.select("k", "c.token", "c.value", scalar.fixed(F.col("c.value"), 3).alias("rendered"), F.concat(F.lit("about "), "n_name").alias("label")), "k")
     return fence.prompt_listing(claims, "k", False).withColumnRenamed("listing", "coarse").join(fence.prompt_listing(claims, "k", True).withColumnRenamed("listing", "exact"), "k")

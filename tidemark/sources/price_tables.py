@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import finite, usable_price
+from tidemark.functions.scalar import finite, fixed, usable_price
 
 STALE_DAYS, GRACE_DAYS, LAG_FLAG_DAYS = 10, 4, 4
 PRICE_TTL, SPLIT_TTL, FACT_TTL, WARM_TTL = "20 hours", "7 days", "7 days", "6 hours"
@@ -164,5 +164,5 @@ def write_target(target: DataFrame, path: str) -> None:
 def target_rows(target: DataFrame) -> DataFrame:
     """Ticker and Weight in percent with two decimals, largest first; a positive weight never prints as 0.00."""
     pct = F.col("w") * 100
-    shown = F.when((F.col("w") > 0) & (F.round(pct, 2) == 0), "0.01").otherwise(F.format_string("%.2f", pct))
+    shown = F.when((F.col("w") > 0) & (fixed(pct, 2) == "0.00"), "0.01").otherwise(fixed(pct, 2))
     return target.orderBy(F.desc("w"), "ticker").select(F.col("ticker").alias("Ticker"), shown.alias("Weight"))
