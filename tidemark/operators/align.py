@@ -1,40 +1,42 @@
-"""Time-series alignment: calendars, as-of fills and snaps, all by windows within a key; no inequality joins."""
+"""Time-series alignment: calendars, as-of fills and snaps, all by runs within a key; no inequality joins.
+
+Days are one run for each key, finer times and what is given a width are run in blocks: see scan.running.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import running
+
 
 def calendar(prices: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The distinct days of all series, for each key."""
     return prices.select(*keys, "d").distinct()
 
 
-def asof_fill(prices: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("ticker",), value: str = "close") -> DataFrame:
+def asof_fill(prices: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("ticker",), value: str = "close", width: int | None = None) -> DataFrame:
     """grid (keys and d) with the last value at or before each day, also from before the grid's first; NULL before the first value."""
-    back = Window.partitionBy(*keys).orderBy("d", "on_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = prices.select(*keys, "d", value, F.lit(0).alias("on_grid")).unionByName(grid.select(*keys, "d", F.lit(None).cast("double").alias(value), F.lit(1).alias("on_grid")))
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(back)).where("on_grid = 1").drop("on_grid")
+    filled = running(both, keys, {"last_": ("last", F.col(value))}, ties=("on_grid",), width=width)
+    return filled.where("on_grid = 1").select(*keys, "d", F.col("last_").alias(value))
 
 
-def snap_forward(events: DataFrame, days: DataFrame, keys: tuple[str, ...], clamp: bool = False, into: str = "day", last_into: str | None = None, last=None) -> DataFrame:
+def snap_forward(events: DataFrame, days: DataFrame, keys: tuple[str, ...], clamp: bool = False, into: str = "day", width: int | None = None) -> DataFrame:
     """events with the first calendar day at or after their d; later ones get the last day if clamp, else NULL.
 
-    Only the distinct days of the events are put in order with the calendar, and joined back to the events. For events
-    that are distinct days themselves, last (an expression over is_event and d) can be had as last_into.
+    Only the distinct days of the events are put in order with the calendar, and joined back to the events.
     """
-    if last_into is None and events.columns != [*keys, "d"]:
-        placed = snap_forward(events.select(*keys, "d").distinct(), days, keys, clamp, into)
+    if events.columns != [*keys, "d"]:
+        placed = snap_forward(events.select(*keys, "d").distinct(), days, keys, clamp, into, width)
         return events.join(placed, [*keys, "d"], "left").select(*events.columns, into)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("d"), "is_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = events.withColumns({"is_event": F.lit(1), into: F.lit(None).cast("date")}).unionByName(days.select(*keys, "d").withColumns({"is_event": F.lit(0), into: F.col("d")}), allowMissingColumns=True)
-    out = both.withColumn(into, F.last(into, ignorenulls=True).over(ahead))
+    both = events.withColumn("on_calendar", F.lit(0)).unionByName(days.select(*keys, "d").withColumn("on_calendar", F.lit(1)))
+    # read backwards, the calendar's day comes before an event of the same day
+    out = running(both, keys, {into: ("last", F.when(F.col("on_calendar") == 1, F.col("d")))}, ties=("on_calendar",), backward=True, width=width)
     if clamp:
-        out = out.withColumn(into, F.coalesce(into, F.max(F.when(F.col("is_event") == 0, F.col("d"))).over(Window.partitionBy(*keys))))
-    if last_into is not None:
-        out = out.withColumn(last_into, last)
-    return out.where("is_event = 1").drop("is_event")
+        out = out.join(days.groupBy(*keys).agg(F.max("d").alias("last_day_")), [*keys], "left").withColumn(into, F.coalesce(into, "last_day_"))
+    return out.where("on_calendar = 0").select(*keys, "d", into)
 
 
 def latest(prices: DataFrame, asof, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:

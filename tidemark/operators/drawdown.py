@@ -1,4 +1,7 @@
-"""Drawdown and risk aggregates of level and return series, for every key at once."""
+"""Drawdown and risk aggregates of level and return series, for every key at once.
+
+Series of days are one run for each key, finer ones are run in blocks: see scan.running.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.operators.scan import running
 
 TRADING_DAYS = 252.0
 NOISY = 504
 
 
-def _running(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def curve(levels: DataFrame, key: str) -> DataFrame:
+def curve(levels: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """levels (key, d, x) with dd: how far x lies below its highest value so far, as a share of that."""
-    return levels.withColumn("dd", ratio(F.col("x"), F.max("x").over(_running(key))) - 1)
+    return _below_top(levels, key, width).select(*levels.columns, (ratio(F.col("x"), F.col("top_")) - 1).alias("dd"))
 
 
-def dollar_curve(levels: DataFrame, key: str) -> DataFrame:
+def dollar_curve(levels: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """The same as an amount."""
-    return levels.withColumn("dd", F.col("x") - F.max("x").over(_running(key)))
+    return _below_top(levels, key, width).select(*levels.columns, (F.col("x") - F.col("top_")).alias("dd"))
+
+
+def _below_top(levels: DataFrame, key: str, width: int | None) -> DataFrame:
+    return running(levels, (key,), {"top_": ("max", F.col("x"))}, width=width)
 
 
 def walk(drops: DataFrame, key: str) -> DataFrame:
@@ -31,6 +35,8 @@ def walk(drops: DataFrame, key: str) -> DataFrame:
     The trough is the first day of the lowest dd, the peak the first day of the highest level up to it, recovery the first
     day from the trough on that is back at the peak's level; without one, the duration runs to the last day.
     """
+    if drops.schema["d"].dataType.simpleString() != "date":
+        return _walk_of_long_series(drops, key)
     low = Window.partitionBy(key)
     marked = drops.withColumn("trough", F.min(F.struct("dd", "d")).over(low))
     before = marked.withColumn("top", F.max(F.when(F.col("d") <= F.col("trough.d"), F.struct(F.col("x"), (-F.unix_date("d")).alias("back")))).over(low))
@@ -43,9 +49,24 @@ def walk(drops: DataFrame, key: str) -> DataFrame:
     ).select(key, "depth", "peak_date", "trough_date", "recovery_date", F.datediff(F.coalesce("recovery_date", "last_d"), "peak_date").alias("duration_days"))
 
 
-def max_drawdown(levels: DataFrame, key: str) -> DataFrame:
+def _walk_of_long_series(drops: DataFrame, key: str) -> DataFrame:
+    """walk() by aggregates that are joined back, so that no task holds a series."""
+    day = F.col("d").cast("timestamp") if drops.schema["d"].dataType.simpleString().startswith("timestamp") else F.col("d")
+    trough = drops.groupBy(key).agg(F.min(F.struct("dd", "d")).alias("trough"), F.max("d").alias("last_d"))
+    marked = drops.join(trough, key)
+    top = marked.where(F.col("d") <= F.col("trough.d")).groupBy(key).agg(F.max("x").alias("top"))
+    there = marked.join(top, key).where(F.col("x") >= F.col("top"))
+    back = F.min(F.when(F.col("d") >= F.col("trough.d"), day)).alias("recovery_date")
+    ends = there.groupBy(key).agg(F.min(F.when(F.col("d") <= F.col("trough.d"), day)).alias("peak_date"), back)
+    out = trough.join(ends, key).select(key, F.col("trough.dd").alias("depth"), "peak_date", F.col("trough.d").alias("trough_date"), "recovery_date", "last_d")
+    lasted = F.coalesce("recovery_date", "last_d")
+    days = F.datediff(lasted, "peak_date") if "timestamp" in drops.schema["d"].dataType.simpleString() else lasted - F.col("peak_date")
+    return out.select(key, "depth", "peak_date", "trough_date", "recovery_date", days.alias("duration_days"))
+
+
+def max_drawdown(levels: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """walk() of the drawdown curve, with the share of days under water."""
-    drops = curve(levels, key)
+    drops = curve(levels, key, width)
     return walk(drops, key).join(drops.groupBy(key).agg(F.avg((F.col("dd") < 0).cast("double")).alias("underwater")), key)
 
 
@@ -68,7 +89,7 @@ def cdar(drops: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
 
 def with_base(returns: DataFrame, key: str) -> DataFrame:
     """Levels (key, d, x) of returns (key, d, r), with the level 1 on the day before the first."""
-    grown = returns.select(key, "d", F.product(1 + F.col("r")).over(_running(key)).alias("x"))
+    grown = running(returns.select(key, "d", "r"), (key,), {"x": ("product", 1 + F.col("r"))}).select(key, "d", "x")
     return grown.unionByName(returns.groupBy(key).agg(F.date_sub(F.min("d"), 1).alias("d")).withColumn("x", F.lit(1.0)))
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidemark.operators.scan import running
+
 DUST = 1e-9
 CASH = "CASH"
 
@@ -86,16 +88,17 @@ def cash_totals(ledger: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFra
     return rows.groupBy(*keys).agg(F.sum(F.when(F.col("action") == "fee", -F.col("fee")).otherwise(F.col("cash") - F.col("fee"))).alias("cash_realized"))
 
 
-def later_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
+def later_splits(rows: DataFrame, splits: DataFrame, width: int | None = None) -> DataFrame:
     """rows (with ticker and d) and factor: the product of the ratios of the ticker's splits after that day; 1 without any.
 
-    A running product from each split to the last, then the next split after each row: no inequality join.
+    A running product of the ratios, read backwards over the splits and the distinct days of the rows, which then take
+    what their day has: no inequality join, and no task holds a ticker's rows.
     """
-    on = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marks = splits.where("ratio > 0").groupBy("ticker", "d").agg(F.product("ratio").alias("ratio")).withColumn("product", F.product("ratio").over(on)).select("ticker", "d", "product")
-    after = Window.partitionBy("ticker").orderBy(F.desc("d"), F.desc("is_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = rows.withColumns({"is_row": F.lit(1), "product": F.lit(None).cast("double")}).unionByName(marks.withColumns({"is_row": F.lit(0)}), allowMissingColumns=True)
-    return both.withColumn("factor", F.coalesce(F.last("product", ignorenulls=True).over(after), F.lit(1.0))).where("is_row = 1").drop("is_row", "product")
+    marks = splits.where("ratio > 0").select("ticker", "d", F.col("ratio").alias("ratio_"), F.lit(0).alias("is_row_"))
+    days = rows.select("ticker", "d").distinct().select("ticker", "d", F.lit(None).cast("double").alias("ratio_"), F.lit(1).alias("is_row_"))
+    after = running(marks.unionByName(days), ("ticker",), {"factor": ("product", F.col("ratio_"))}, ties=("is_row_",), backward=True, width=width)
+    placed = after.where("is_row_ = 1").select("ticker", "d", "factor")
+    return rows.join(placed, ["ticker", "d"], "left").select(*rows.columns, F.coalesce("factor", F.lit(1.0)).alias("factor"))
 
 
 def adjust_for_splits(ledger: DataFrame, splits: DataFrame) -> DataFrame:
@@ -104,10 +107,10 @@ def adjust_for_splits(ledger: DataFrame, splits: DataFrame) -> DataFrame:
     return later_splits(ledger, splits).withColumns({"quantity": F.when(trade, F.col("quantity") * F.col("factor")).otherwise(F.col("quantity")), "price": F.when(trade, F.col("price") / F.col("factor")).otherwise(F.col("price"))})
 
 
-def reverse_adjusted(rows: DataFrame) -> DataFrame:
+def reverse_adjusted(rows: DataFrame, width: int | None = None) -> DataFrame:
     """rows (ticker, d, close, split_factor) and adjusted: the close divided by the factors of all later days."""
-    later = Window.partitionBy("ticker").orderBy("d").rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("adjusted", F.col("close") / F.coalesce(F.product("split_factor").over(later), F.lit(1.0)))
+    later = running(rows, ("ticker",), {"later_": ("product", F.col("split_factor"))}, backward=True, before_only=True, width=width)
+    return later.select(*rows.columns, (F.col("close") / F.coalesce("later_", F.lit(1.0))).alias("adjusted"))
 
 
 def doubled_costs(ledger: DataFrame) -> DataFrame:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cash_delta, cash_flow, ratio
 from tidemark.operators.align import snap_forward
+from tidemark.operators.scan import running
 from tidemark.sources.shared import keep
 
 YEAR_DAYS, TRADING_DAYS = 365.25, 252
 LEAST_DAYS, LEAST_OBS = 183, 126
 VALUE_DUST = 1e-6
-
-
-def _running(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Values of holdings, exact to add up.
+WORTH = "decimal(30,8)"
 
 
 def priced_rows(ledger: DataFrame, prices: DataFrame) -> DataFrame:
@@ -23,15 +22,17 @@ def priced_rows(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     return ledger.join(prices.select("ticker").distinct(), "ticker", "left_semi")
 
 
-def book_days(ledger: DataFrame, prices: DataFrame) -> DataFrame:
+def book_days(ledger: DataFrame, prices: DataFrame, width: int | None = None) -> DataFrame:
     """book, d, v, flow, income, delta: one row for each day on which any ticker of the book has a price, from its first row on.
 
     v is shares times the last close; a ticker without a price yet counts as zero. flow is the money into trades less the
     money out of them, delta the effect on the cash balance. Rows count from the first such day at or after theirs; later
     ones count on the last day if they are income or costs, and not yet if they are trades. Transfers are left out.
 
-    The ledger is read once and summed up by holding and day; only days, not ledger rows, are placed on the calendar. The
-    holdings' values are one row for each day of the book and each of its tickers.
+    The ledger is read once and summed up by holding and day; only days, not ledger rows, are placed on the calendar. A
+    holding has a row where it is traded and where its price changes hands, not for every day of the book: what each such
+    row changes in the holding's value is summed by day over all tickers, and a running sum of that is the book's value.
+    Values are kept in whole hundred-millionths, so that changes add up to what they are changes of.
     """
     px = keep(prices.select("ticker", "d", "close"), "closes")
     kind, c = F.col("action"), [F.col(x) for x in ("action", "quantity", "price", "fee", "cash")]
@@ -40,21 +41,23 @@ def book_days(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     signed = F.when(kind == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
     sums = {"q": part(trade, signed), "trade_flow": part(trade, cash_flow(*c)), "other_flow": part(other, cash_flow(*c)), "trade_delta": part(trade, cash_delta(*c)), "other_delta": part(other, cash_delta(*c))}
     moves = keep(priced_rows(ledger, px).groupBy("book", "ticker", "d").agg(*[x.alias(n) for n, x in sums.items()]), "moves")
-    owned = moves.groupBy("book", "ticker").agg(F.min("d").alias("start")).withColumn("start", F.min("start").over(Window.partitionBy("book")))
-    closes = keep(px.join(owned, "ticker"), "owned-closes")
-    days = closes.where("d >= start").select("book", "d").distinct()
-    last = F.max(F.when(F.col("is_event") == 0, F.col("d"))).over(Window.partitionBy("book"))
-    asked = moves.select("book", "d").distinct()
-    placed = keep(snap_forward(asked, days, ("book",), into="day", last_into="last_day", last=last), "placed-days")
-    at = moves.join(placed, ["book", "d"])
-    traded = at.where("day is not null").select("book", "ticker", F.col("day").alias("d"), "q")
-    # closes, trades and the days that a value is wanted for, in one order for each holding
+    owned = moves.select("book", "ticker").distinct()
+    starts = moves.groupBy("book").agg(F.min("d").alias("start"))
+    closes = px.join(owned, "ticker")
+    days = closes.select("book", "d").distinct().join(starts, "book").where("d >= start").select("book", "d")
+    days = keep(days, "book-days")
+    last = days.groupBy("book").agg(F.max("d").alias("last_day"))
+    placed = snap_forward(moves.select("book", "d").distinct(), days, ("book",), into="day", width=width)
+    at = moves.join(placed, ["book", "d"]).join(last, "book", "left")
     none = F.lit(None).cast("double")
-    grid = days.join(owned.select("book", "ticker"), "book").select("book", "ticker", "d", none.alias("close"), none.alias("q"), F.lit(1).alias("wanted"))
-    marks = closes.select("book", "ticker", "d", "close", none.alias("q"), F.lit(0).alias("wanted")).unionByName(traded.select("book", "ticker", "d", none.alias("close"), "q", F.lit(0).alias("wanted"))).unionByName(grid)
-    run = Window.partitionBy("book", "ticker").orderBy("d", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    value = F.coalesce(F.sum("q").over(run), F.lit(0.0)) * F.last("close", ignorenulls=True).over(run)
-    values = marks.withColumn("v", F.coalesce(value, F.lit(0.0))).where("wanted = 1").groupBy("book", "d").agg(F.sum("v").alias("v"))
+    traded = at.where("day is not null and q <> 0").select("book", "ticker", F.col("day").alias("d"), none.alias("close"), "q", F.lit(1).alias("traded"))
+    marks = closes.select("book", "ticker", "d", "close", none.alias("q"), F.lit(0).alias("traded")).unionByName(traded)
+    held = running(marks, ("book", "ticker"), {"shares_": ("sum", F.col("q")), "close_": ("last", F.col("close"))}, ties=("traded", "q", "close"), before_only=True, width=width)
+    worth = lambda shares, close: F.coalesce((shares * close).try_cast(WORTH), F.lit(0).cast(WORTH))
+    after = worth(F.coalesce("shares_", F.lit(0.0)) + F.coalesce("q", F.lit(0.0)), F.coalesce("close", "close_"))
+    changes = held.select("book", "d", (after - worth(F.col("shares_"), F.col("close_"))).alias("change_"))
+    by_day = changes.groupBy("book", "d").agg(F.sum("change_").alias("change_"))
+    values = running(by_day, ("book",), {"v_": ("sum", F.col("change_"))}, width=width).join(starts, "book").where("d >= start").select("book", "d", F.col("v_").cast("double").alias("v"))
     flows = at.select("book", F.explode(F.array(
         F.struct(F.col("day").alias("d"), (-F.col("trade_flow")).alias("flow"), F.lit(0.0).alias("income"), F.col("trade_delta").alias("delta")),
         F.struct(F.coalesce("day", "last_day").alias("d"), F.lit(0.0).alias("flow"), F.col("other_flow").alias("income"), F.col("other_delta").alias("delta")),
@@ -69,7 +72,8 @@ def value_curve(ledger: DataFrame, prices: DataFrame) -> DataFrame:
 
 def pnl_curve(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """book, d, pnl: value plus all flows so far, transfers left out."""
-    return book_days(ledger, prices).select("book", "d", (F.col("v") + F.sum("delta").over(_running("book"))).alias("pnl"))
+    so_far = running(book_days(ledger, prices), ("book",), {"flows_": ("sum", F.col("delta"))})
+    return so_far.select("book", "d", (F.col("v") + F.col("flows_")).alias("pnl"))
 
 
 def daily_returns(ledger: DataFrame, prices: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def daily_returns(ledger: DataFrame, prices: DataFrame) -> DataFrame:
 def performance(returns: DataFrame, key: str = "book") -> DataFrame:
     """key, n, cumulative and annualized as in time_weighted, and depth, ulcer and underwater of the growth index, in one pass."""
     grown = growth_index(returns, key)
-    drops = grown.withColumn("dd", ratio(F.col("g"), F.max("g").over(_running(key))) - 1)
+    drops = running(grown, (key,), {"top_": ("max", F.col("g"))}).withColumn("dd", ratio(F.col("g"), F.col("top_")) - 1)
     out = drops.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("g", "d").alias("g"), F.min("dd").alias("depth"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.avg((F.col("dd") < 0).cast("double")).alias("underwater")
     )
@@ -126,9 +130,9 @@ def summary(ledger: DataFrame, values: DataFrame, asof: Column, time_weighted_ro
     return out.select(key, "period_start", asof.alias("asof_date"), F.when(whole, F.col("irr")).alias("money_weighted"), F.when(whole, F.col("annualized_dietz")).alias("modified_dietz"), F.col("annualized").alias("twr"), F.col("cumulative").alias("twr_cumulative"))
 
 
-def growth_index(returns: DataFrame, key: str = "book") -> DataFrame:
+def growth_index(returns: DataFrame, key: str = "book", width: int | None = None) -> DataFrame:
     """The running product of 1 + r; the first value is that of the first return."""
-    return returns.withColumn("g", F.product(1 + F.col("r")).over(_running(key)))
+    return running(returns, (key,), {"g": ("product", 1 + F.col("r"))}, width=width)
 
 
 def time_weighted(returns: DataFrame, key: str = "book") -> DataFrame:

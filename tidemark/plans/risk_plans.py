@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, drawdown
+from tidemark.operators import align, bootstrap, drawdown, returns
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import rounded
 from tidemark.plans.registry import query
@@ -52,6 +52,44 @@ def dollar_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drawdown.dollar_drawdown(_levels(spark, sf_dir), "ticker"), "depth", digits=4)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five series of one point every few minutes or less: values by kind of event, those of one moment as their mean."""
+    e = adapters.table(spark, sf_dir, "events")
+    return e.groupBy("event_type", F.col("ts").cast("timestamp").alias("d")).agg(F.avg("value").alias("x")).where("x > 0")
+
+
+EVENTS = "e AS (SELECT event_type, ts AS d, avg(value) AS x FROM events GROUP BY 1, 2 HAVING avg(value) > 0)"
+EVENT_DD = f"WITH {EVENTS}, c AS (SELECT event_type, d, x, x / max(x) OVER (PARTITION BY event_type ORDER BY d) - 1 AS dd FROM e)"
+
+
+@query(
+    f"{EVENT_DD}, t AS (SELECT event_type, min(dd) AS depth, max(d) AS last_d, avg(CASE WHEN dd < 0 THEN 1.0::DOUBLE ELSE 0 END) AS underwater FROM c GROUP BY 1), t2 AS (SELECT c.event_type, min(d) AS trough_date FROM c JOIN t ON c.event_type = t.event_type AND c.dd = t.depth GROUP BY 1),"
+    " tops AS (SELECT c.event_type, max(x) AS top FROM c JOIN t2 USING (event_type) WHERE d <= trough_date GROUP BY 1),"
+    " b AS (SELECT c.event_type, min(d) FILTER (WHERE d <= trough_date) AS peak_date, min(d) FILTER (WHERE d >= trough_date) AS recovery_date FROM c JOIN t2 USING (event_type) JOIN tops USING (event_type) WHERE x >= top GROUP BY 1)"
+    " SELECT event_type, round(depth, 8) AS depth, epoch_us(peak_date) AS peak_us, epoch_us(trough_date) AS trough_us, epoch_us(recovery_date) AS recovery_us, date_diff('day', peak_date::DATE, coalesce(recovery_date, last_d)::DATE)::INTEGER AS duration_days, round(underwater, 8) AS underwater FROM t JOIN t2 USING (event_type) JOIN b USING (event_type)"
+)
+def event_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest fall of each of five long series, run in blocks of an hour."""
+    out = rounded(drawdown.max_drawdown(_events(spark, sf_dir), "event_type"), "depth", "underwater", digits=8)
+    us = lambda c: F.unix_micros(c).alias(c.replace("_date", "_us"))
+    return out.select("event_type", "depth", us("peak_date"), us("trough_date"), us("recovery_date"), "duration_days", "underwater")
+
+
+@query(f"WITH {EVENTS}, r AS (SELECT event_type, d, (x - 20) / 1e5 AS r FROM e) SELECT event_type, epoch_us(d) AS us, round(product(1 + r) OVER (PARTITION BY event_type ORDER BY d), 8) AS g FROM r")
+def event_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growth index of the same series, whose values count as small returns."""
+    moves = _events(spark, sf_dir).select("event_type", "d", ((F.col("x") - 20) / 1e5).alias("r"))
+    return rounded(returns.growth_index(moves, "event_type").select("event_type", F.unix_micros("d").alias("us"), "g"), "g", digits=8)
+
+
+@query(f"WITH {EVENTS}, g AS (SELECT DISTINCT event_type, date_trunc('minute', d) AS d FROM e) SELECT g.event_type, epoch_us(g.d) AS us, x FROM g ASOF LEFT JOIN e ON g.event_type = e.event_type AND g.d >= e.d")
+def event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value that held at the start of each minute in which something happened."""
+    e = _events(spark, sf_dir)
+    grid = e.select("event_type", F.date_trunc("minute", "d").alias("d")).distinct()
+    return align.asof_fill(e, grid, ("event_type",), "x").select("event_type", F.unix_micros("d").alias("us"), "x")
+
+
 @query(f"{DD} SELECT ticker, round(sqrt(avg(dd * dd)), 8) AS ulcer FROM c GROUP BY 1")
 def ulcer(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops = drawdown.curve(_levels(spark, sf_dir), "ticker")
