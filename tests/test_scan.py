@@ -124,3 +124,84 @@ def test_values_are_exactly_nothing_when_all_is_sold(spark):
     assert got[D + dt.timedelta(days=7)] == 0.0 and got[D] == 100.0
     plan = returns.book_days(df, px)._jdf.queryExecution().optimizedPlan().toString()
     assert "wanted" not in plan
+
+
+def folded(rows):
+    """shares, cost, profit, fees and whether a row was left out, of rows (action, quantity, price, fee, cash) in order."""
+    s = c = r = f = 0.0
+    broken = False
+    for action, q, price, fee, cash in rows:
+        if action == "buy":
+            s, c = s + q, c + q * price + fee
+        elif action == "sell":
+            if s <= 0 or q > s + 1e-9:
+                broken = True
+                continue
+            cost = q * c / s
+            r += q * price - cost - fee
+            s, c = (0.0, 0.0) if s - q < 1e-9 else (s - q, c - cost)
+        elif action == "fee":
+            r -= fee
+        else:
+            r += cash - fee
+        f += fee
+    return s, c, r, f, broken
+
+
+LEDGER = "book string, ticker string, ord long, d date, action string, quantity double, price double, fee double, cash double"
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_holdings_in_stretches(spark, width):
+    r = random.Random(width)
+    rows, expected = [], {}
+    for h in range(40):
+        own, have = [], 0.0
+        for _ in range(r.randrange(1, 60)):
+            action = r.choice(["buy", "sell", "sell", "dividend", "fee", "interest"])
+            q = round(r.random() * 10, 2)
+            if action == "sell" and h % 4 and have > 0:  # one holding in four breaks the contract now and then
+                q = have if r.random() < 0.2 else min(q, have)
+            elif action == "sell" and h % 4:
+                action = "buy"
+            have += q if action == "buy" else -q if action == "sell" else 0
+            own.append((action, q, round(r.random() * 100, 2), round(r.random(), 2), round(r.random() * 5, 2)))
+        key = ("b" if h % 3 else None, f"T{h}")
+        expected[key] = folded(own)
+        rows += [(*key, 1000 * h + k, D + dt.timedelta(days=k), *x) for k, x in enumerate(own)]
+    r.shuffle(rows)
+    got = ledger.positions(spark.createDataFrame(rows, LEDGER).repartition(3), width=width).collect()
+    assert len(got) == len(expected)
+    for x in got:
+        *figures, broken = expected[x["book"], x["ticker"]]
+        assert [x[c] for c in ("shares", "cost_basis", "realized", "fees")] == pytest.approx(figures, rel=1e-9, abs=1e-7)
+        assert (x["error"] is not None) == broken
+
+
+@pytest.mark.parametrize("width", [2, 4096])
+def test_stretches_name_the_first_broken_row_and_take_missing_figures_as_before(spark, width):
+    day = lambda k: D + dt.timedelta(days=k)
+    rows = [("b", "A", k, day(k), "buy", 1.0, 10.0, 0.0, 0.0) for k in range(6)]
+    rows += [("b", "A", 6, day(6), "sell", 7.0, 10.0, 1.0, 0.0), ("b", "A", 7, day(7), "sell", 6.0, 12.0, 1.0, 0.0), ("b", "A", 8, day(8), "sell", 1.0, 1.0, 0.0, 0.0), ("b", "A", 9, day(9), "buy", 2.0, 5.0, 0.0, 0.0)]
+    rows += [("b", "N", 1, day(1), "buy", 1.0, 10.0, 0.0, 0.0), ("b", "N", 2, day(2), "buy", None, 10.0, 0.5, 0.0), ("b", "N", 3, day(3), "fee", None, None, 0.25, None), (None, "N", 4, day(3), "dividend", None, None, None, 1.0)]
+    rows += [("b", "D", 1, day(1), "deposit", 0.0, 0.0, 0.0, 5.0), ("b", "CASH", 2, day(2), "buy", 1.0, 1.0, 0.0, 0.0), ("b", "A", None, day(0), "dividend", 0.0, 0.0, 0.0, 3.0)]
+    got = {(x["book"], x["ticker"]): x for x in ledger.positions(spark.createDataFrame(rows, LEDGER), width=width).collect()}
+    a = got["b", "A"]
+    assert (a["shares"], a["cost_basis"], a["fees"]) == (2.0, 10.0, 1.0) and a["realized"] == pytest.approx(3 + 72 - 60 - 1)
+    assert a["error"] == f"more is sold than is held on {day(6)}"
+    n = got["b", "N"]
+    assert n["shares"] is None and n["cost_basis"] is None and n["realized"] == -0.25 and n["fees"] == 0.75
+    assert got[None, "N"]["realized"] is None
+    assert got["b", "D"]["error"].startswith("transfer on") and got["b", "CASH"]["error"].startswith("cash trade on")
+
+
+def test_a_holding_with_most_rows_is_folded_in_many_tasks(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit("b").alias("book"), F.lit("A").alias("ticker"), F.col("id").alias("ord"), F.date_add(F.lit(D), (F.col("id") / 100).cast("int")).alias("d"), F.when(F.col("id") % 3 == 2, "sell").otherwise("buy").alias("action"), F.lit(1.0).alias("quantity"), (10 + F.col("id") % 7).cast("double").alias("price"), F.lit(0.01).alias("fee"), F.lit(0.0).alias("cash"))
+    out = ledger.positions(rows).first()
+    plain = folded([("sell" if k % 3 == 2 else "buy", 1.0, 10.0 + k % 7, 0.01, 0.0) for k in range(n)])
+    assert [out[c] for c in ("shares", "cost_basis", "realized", "fees")] == pytest.approx(plain[:4], rel=1e-9)
+    parts, held = ledger._holding_rows(rows, ("book", "ticker"))
+    parts = parts.withColumn("stretch", F.floor(F.col("ord") / ledger.BLOCK_ROWS))
+    starts = ledger._starts(parts.groupBy(*held, "stretch").agg(F.sum(F.lit(1.0)).alias("moved")), held)
+    assert ledger._fold_stretches(parts, starts, held).count() == n // ledger.BLOCK_ROWS + 1
