@@ -718,3 +718,42 @@ def test_disguises_of_any_length_pass_the_gate():
         assert (kind, span) in found, (text, found)
     for text in ("one of two ways", "we met at noon", "chapter one, 5 pages", "look at example.com"):
         assert pii.disguised_spans(text, pii.plain_spans(text)) == [[], [], [], []], text
+
+
+LONG = 1000
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("joe.bloggs" + "a" * LONG + " at example.com", "email", None),
+        ("joe" + "b" * LONG + " at" + " " * LONG + "example" + " " * LONG + "dot com", "email", None),
+        ("x" * LONG + "_1" + "y" * LONG + " " * LONG + "at " + "host-" * LONG + "s.example.com", "email", None),
+        ("joe" + " " * LONG + "(" + " " * LONG + "at" + " " * LONG + ")" + " " * LONG + "example.com", "email", None),
+        ("joe" + " " * LONG + "@" + " " * LONG + "example.com", "email", None),
+        ("192" + " " * LONG + "dot" + " " * LONG + "168 dot one dot" + " " * LONG + "one", "ip", None),
+        ("10.0.0 (dot" + " " * LONG + ")" + " " * LONG + "seven", "ip", None),
+        ("+" + " " * LONG + "four" + " " * LONG + "four" + " " * LONG + "20 7946 0958", "phone", None),
+        ("plus" + " " * LONG + "four four" + "-" * LONG + " 20 7946 0958", "phone", None),
+        ("+44 20 7946 095" + " " * LONG + "eight", "phone", None),
+    ],
+)
+def test_disguises_of_a_thousand_characters(text, kind, span):
+    import pyarrow as pa
+
+    assert pii._triggered(pa.array([text]), pii.TRIGGER)[0]
+    short = re.sub(r" {9,}", " ", re.sub(r"(.)\1{20,}", r"\1", text.replace("host-" * LONG, "host-")))
+    spans = lambda t: [(k, t[a:b]) for k, x in zip(pii.KINDS, pii.disguised_spans(t, pii.plain_spans(t)), strict=True) for a, b in x]
+    found, like = spans(text), spans(short)
+    assert [k for k, _ in found] == [k for k, _ in like]
+    assert kind in [k for k, _ in found] or kind == "phone", (short, like)
+    if kind == "email":
+        assert found[0][1].startswith(text[:3]) and found[0][1].endswith("com")
+
+
+def test_looking_back_takes_linear_time():
+    import time
+
+    t = time.time()
+    pii.normalise(("one" + " " * 500) * 400 + ("a" * 500 + " at x. ") * 400)
+    assert time.time() - t < 5

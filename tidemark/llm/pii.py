@@ -44,6 +44,8 @@ NUMBERS = {
 #: Number words that are other words as well: they count in runs of three or more only.
 DOUBTFUL = ("un", "uno", "neuf", "dos", "null", "oh")
 AT_WORDS, SURE_AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at",), ("arobase", "arroba", "klammeraffe"), ("dot", "punkt", "point", "punto"), ("plus", "más")
+#: Letters of the longest word for a sign.
+LONGEST_WORD = max(map(len, AT_WORDS + SURE_AT_WORDS + DOT_WORDS + PLUS_WORDS))
 OPEN, CLOSE = "[({<*_\"'-", "])}>*_\"'-"
 LETTER_DIGITS = {"o": "0", "O": "0", "l": "1", "I": "1"}
 
@@ -176,19 +178,54 @@ _SIGNS = StateTable(
     | {f" {w} ": "at" for w in AT_WORDS} | {f" {w} ": "@" for w in SURE_AT_WORDS} | {f" {w} ": "dot" for w in DOT_WORDS} | {" @ ": "sign", "@ ": "sign", " @": "sign"}
 )
 _BETWEEN, _LOOSE = re.compile(r"[\s,-]+"), re.compile(r"[\s,.-]*")
-_DOT_BEFORE = re.compile(rf"\b{_DOT}\s*{_CLOSE}?\s*\Z", re.IGNORECASE)
+_DOT_WORD, _PLUS_WORD = re.compile(rf"\b{_DOT}\Z", re.IGNORECASE), re.compile(rf"\b{_PLUS}\Z", re.IGNORECASE)
 _DIGITS_AFTER = re.compile(rf"\s*{_OPEN}?\s*{_DOT}\b|[\s,.-]*[0-9]", re.IGNORECASE)
-_DIGITS_BEFORE = re.compile(rf"(?:[0-9][\s,.-]*|\+\s*|\b{_PLUS}\s+)\Z", re.IGNORECASE)
 _NUMBER_AFTER = re.compile(rf"(?:{_NUMBER}\b|[0-9])", re.IGNORECASE)
 _LETTERS_IN_DIGITS = re.compile(r"(?<=[0-9])[oOlI]+(?=[0-9])")
 _NAME_AFTER = re.compile(rf"[a-z0-9-]+(?:\s+{_DOT}\s+|\s*{_OPEN}\s*(?:{_DOT}|\.))", re.IGNORECASE)
 _HOST_AFTER = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,63}\b", re.IGNORECASE)
 _SPACED_AFTER = re.compile(rf"[a-z0-9-]+\s*(?:\.|{_DOT}\b)", re.IGNORECASE)
-#: A name that " at " before a plain domain may stand for an address with: prose has none like it.
-_NAME_LIKE = re.compile(r"[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*$")
+#: What a name has of which " at " before a plain domain makes an address: prose has none like it.
+_NAME_SIGNS = frozenset("._0123456789")
 _FOLDABLE = re.compile(_LOOKALIKE)
 
 
+def _back(text: str, at: int, also: str = "") -> int:
+    """Where the white space and other characters before a place begin, however many they are."""
+    while at and (text[at - 1].isspace() or text[at - 1] in also):
+        at -= 1
+    return at
+
+
+def _word_before(text: str, at: int, word: re.Pattern) -> bool:
+    """Whether one of a pattern's words ends there; one character before it tells whether it is whole."""
+    return word.search(text[max(0, at - LONGEST_WORD - 1) : at]) is not None
+
+
+def _dot_before(text: str, at: int) -> bool:
+    """Whether a word for a dot stands before a place, with white space and a closing sign between or none."""
+    at = _back(text, at)
+    return _word_before(text, at, _DOT_WORD) or (at > 0 and text[at - 1] in CLOSE and _word_before(text, _back(text, at - 1), _DOT_WORD))
+
+
+def _digits_before(text: str, at: int) -> bool:
+    """Whether digits, a plus sign or a word for it stand before a place."""
+    near = _back(text, at)
+    if near and text[near - 1] == "+" or near < at and _word_before(text, near, _PLUS_WORD):
+        return True
+    far = _back(text, near, ",.-")
+    return far > 0 and text[far - 1] in "0123456789"
+
+
+def _is_name(text: str, at: int) -> bool:
+    """Whether the run of a mailbox's characters before a place has a sign that prose has not."""
+    while at and text[at - 1] in _LOCAL:
+        at -= 1
+        if text[at] in _NAME_SIGNS:
+            return True
+    return False
+
+
 def fold_lookalikes(trail: Trail) -> Trail:
     """Every look-alike as the character it looks like, without invisible ones: a table of one state."""
     return trail.rewrite([(m.start(), m.end(), FOLDED[m[0]]) for m in _FOLDABLE.finditer(trail.text)])
@@ -217,7 +254,7 @@ def write_digits(trail: Trail) -> Trail:
     for run in runs:
         a, b = run[0][0], run[-1][1]
         sure = all(text[x:y].lower() not in DOUBTFUL for x, y, _ in run)
-        if len(run) > 2 or sure and (last >= 0 and _LOOSE.fullmatch(text, last, a) or _DIGITS_AFTER.match(text, b) or _DOT_BEFORE.search(text[max(0, a - 16) : a]) or _DIGITS_BEFORE.search(text[max(0, a - 16) : a])):
+        if len(run) > 2 or sure and (last >= 0 and _LOOSE.fullmatch(text, last, a) or _DIGITS_AFTER.match(text, b) or _dot_before(text, a) or _digits_before(text, a)):
             # what stands between two words of a run goes with the first
             last = b
             edits += [(x, run[k + 1][0] if k + 1 < len(run) else y, d) for k, (x, y, d) in enumerate(run)]
@@ -233,7 +270,7 @@ def write_signs(trail: Trail) -> Trail:
     word = lambda k: 0 <= k < len(text) and (text[k].isascii() and text[k].isalnum() or text[k] == "_")
     for a, b, out in _SIGNS.find(text):
         if out == "at":
-            if word(a - 1) and (_NAME_AFTER.match(text, b) or (_HOST_AFTER.match(text, b) and _NAME_LIKE.search(text, max(0, a - 64), a))):
+            if word(a - 1) and (_NAME_AFTER.match(text, b) or (_HOST_AFTER.match(text, b) and _is_name(text, a))):
                 edits.append((a, b, "@"))
         elif out == "dot":
             if word(a - 1) and word(b):
