@@ -205,3 +205,24 @@ def test_a_holding_with_most_rows_is_folded_in_many_tasks(spark):
     parts = parts.withColumn("stretch", F.floor(F.col("ord") / ledger.BLOCK_ROWS))
     starts = ledger._starts(parts.groupBy(*held, "stretch").agg(F.sum(F.lit(1.0)).alias("moved")), held)
     assert ledger._fold_stretches(parts, starts, held).count() == n // ledger.BLOCK_ROWS + 1
+
+
+@pytest.mark.parametrize("draws", ["seeded", "counted"])
+def test_replicates_in_many_tasks_give_the_same_intervals(spark, monkeypatch, draws):
+    import numpy as np
+
+    from tidemark.operators import bootstrap
+
+    r = np.random.default_rng(6)
+    rows = [(k, D + dt.timedelta(days=i), float(x), float(x / 2)) for k, n in (("a", 150), ("b", 40), ("c", 1), ("d", 9)) for i, x in enumerate(r.normal(0.0004, 0.02, n))]
+    df = spark.createDataFrame(rows, "k string, d date, r double, half double").repartition(3)
+    pairs = df.select("k", "d", F.col("r").alias("r_without"), F.col("half").alias("r_with"))
+    taken = lambda: (sorted(map(tuple, bootstrap.intervals(df, "k", reps=60, draws=draws).collect())), sorted(map(tuple, bootstrap.paired_ulcer_gain(pairs, "k", reps=60, draws=draws).collect())))
+    whole = taken()
+    for name, value in (("WORK", 900), ("PIECE", 400), ("SHIPPED", 13)):
+        monkeypatch.setattr(bootstrap, name, value)
+    assert taken() == whole
+    assert [x[0] for x in whole[1] if x[1] is not None] == ["a", "b"]
+    at = np.concatenate(list(bootstrap.drawn(40, 7, 0, 60, 42, draws)))
+    assert (at == bootstrap.block_indices(40, 7, 60, 42, draws)).all()
+    assert (np.concatenate(list(bootstrap.drawn(40, 7, 23, 41, 42, draws))) == at[23:41]).all()
