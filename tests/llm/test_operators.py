@@ -262,15 +262,46 @@ def test_ngram_join_of_near_copies(spark):
         assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == brute_links(rows, size, percent)
 
 
+def test_ngram_join_crowd_by_crowd(spark, monkeypatch):
+    import random
+
+    for name, value in (("CROWDS", (2, 5)), ("LAST_CROWD", 4), ("HOT", 3)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    r = random.Random(7)
+    pool = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    base = r.sample(pool, 40)
+    rows = []
+    for k in range(90):  # many around the threshold, linked in chains or not at all
+        own = list(base)
+        for _ in range(r.randrange(1, 9)):
+            own[r.randrange(40)] = r.choice(pool)
+        rows.append((k, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        found = ngramjoin.links(table, 1, percent).collect()
+        expected = brute_links(rows, 1, percent)
+        assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == expected
+        assert 3 < len({c for _, _, c in expected})
+
+
+def test_marks_of_many_slices(spark, monkeypatch):
+    for name, value in (("WANTED_LOG", 12), ("MARKED_LOG", 5)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    some = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("key"))
+    marks = ngramjoin.Marks(some, some.count())
+    held = spark.range(3000).select("id", marks.has(F.xxhash64("id")).alias("in")).collect()
+    assert all(x["in"] for x in held if x["id"] % 7 == 0) and sum(x["in"] for x in held) < 1200
+
+
 def test_ngram_join_inside_groups_of_equal_prefixes(spark, monkeypatch):
     import pyarrow as pa
 
-    levels = np.zeros(1 << (ngramjoin.CELLS_LOG - 1), np.uint8), ngramjoin.CELLS_LOG  # the order of shingles is that of their hashes alone
+    levels = np.zeros(1 << (ngramjoin.CELLS_LOG - 1), np.uint8), ngramjoin.CELLS_LOG, 12  # the order of shingles is that of their hashes alone
     monkeypatch.setattr(ngramjoin, "frequency_levels", lambda body, size: levels)
     rows = []
     for g in range(12):
         vocabulary = [f"g{g}w{k}" for k in range(60)]
-        key = {w: int(next(ngramjoin._ordered_sets(pa.RecordBatch.from_pydict({"body": [w]}), WordHasher(), 1, *levels))[0]) for w in vocabulary}
+        key = {w: int(next(ngramjoin._ordered_sets(pa.RecordBatch.from_pydict({"body": [w]}), WordHasher(), 1, *levels[:2]))[0]) for w in vocabulary}
         low, rest = sorted(vocabulary, key=key.get)[:5], sorted(vocabulary, key=key.get)[5:]
         # 20 words each, of which 5 are the prefix: y and z link, x with neither
         texts = [low + rest[:15], low + rest[15:30], low + rest[15:29] + rest[30:31]]

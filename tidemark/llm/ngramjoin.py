@@ -5,12 +5,14 @@ documents that reach the threshold share a shingle in their prefixes. Documents
 with the same prefix and size one group; groups that share a prefix shingle and may be similar by size are candidates,
 which are expanded to their members and verified on the whole sets.
 
-Only components are asked for, so candidates come in three rounds. First each group meets one other group for each
-shingle they share. Then nodes that share a prefix shingle and still lie apart meet a few others each. Last, of pairs
-that share a prefix shingle, those that still lie in different components are verified, all of them: so no link is
-lost, and a large group of near copies takes few verifications, not all pairs. Before a pair is verified it must pass
-bounds that no linked pair fails: sizes, places of the shared shingle, and parity bitmaps of the sets, whose bits differ
-in no more places than the sets differ in shingles.
+Only components are asked for, so candidates come in rounds. First each group meets one other group for each shingle
+they share. Then, at shingles whose nodes still lie in different components, nodes are dealt out into crowds, small ones
+at first, and those of one crowd that lie apart meet; after each round the components grow, and shingles with no more
+nodes than a crowd are done. Last, what is left at the most frequent shingles meets crowd by crowd, every crowd with
+every other: so no link is lost, a large group of near copies takes few verifications, not all pairs, and no task has
+more than two crowds of a shingle. Before a pair is verified it must pass bounds that no linked pair fails: sizes,
+places of the shared shingle, and parity bitmaps of the sets, whose bits differ in no more places than the sets differ
+in shingles.
 
 The sketch grows with the input up to a fixed size, which is what bounds the broadcast. Above that, shingles that are
 rarer than a cell's usual count stand in the order of their hashes: prefixes then hold more shared shingles and more
@@ -38,14 +40,16 @@ CELLS_LOG, MOST_CELLS_LOG, SLICE_LOG = 16, 26, 16
 CELL_BYTES = 5
 #: Counts at which the level of a cell grows by one, in units of what a cell holds on average if that is more than one.
 LEVELS = (1, 2, 3, 4, 6, 9, 14, 22, 36, 60, 100, 250, 800, 2500, 10_000)
-#: From this level on a shingle's groups are dealt out over several tasks.
-HOT = 12
+#: Shingles of a cell from which number on their groups are dealt out over several tasks.
+HOT = 250
 #: Bits of the filter of rows whose texts are wanted, as a power of two, at least and at most.
 WANTED_LOG, MOST_WANTED_LOG = 20, 27
+#: Bytes of that filter that are merged by themselves, as a power of two.
+MARKED_LOG = 16
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP_WORDS = 16
-#: Nodes before it that a node meets at each shingle in the second round.
-NEIGHBOURS = 4
+#: Nodes of a shingle that meet each other in the rounds after the first, and in the last one, crowd by crowd.
+CROWDS, LAST_CROWD = (12, 48, 192), 512
 CHUNK = 4 << 20
 #: Shingles that a task counts before it hands them on.
 COUNTED = 3_000_000
@@ -66,9 +70,9 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum((low | high << 8) + 1) - 1, counts
 
 
-def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int]:
+def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     """A level from 0 to 15 for each cell of the hash range, by the number of shingles in it over all documents; two
-    levels a byte, even cells in the low half. And the number of cells as a power of two.
+    levels a byte, even cells in the low half. The number of cells as a power of two; the lowest level of at least HOT.
 
     Tasks sum up their own counts and send those of each slice to one task, which adds them up as they come. The cells
     follow the bytes of text up to a fixed number.
@@ -122,7 +126,7 @@ def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int]:
     out = np.zeros(1 << (log - 1), np.uint8)
     for r in counted.toLocalIterator():
         out[r["slice"] << (SLICE_LOG - 1) : (r["slice"] + 1) << (SLICE_LOG - 1)] = np.frombuffer(r["levels"], np.uint8)
-    return out, log
+    return out, log, int(np.searchsorted(bounds, HOT)) + 1
 
 
 def _ordered_sets(part: pa.RecordBatch, hasher: WordHasher, size: int, levels: np.ndarray, log: int):
@@ -178,7 +182,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """
     spark = documents.sparkSession
     body = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    table, log = frequency_levels(body, size)
+    table, log, hot_level = frequency_levels(body, size)
     levels = spark.sparkContext.broadcast(table)
     fields = body.withColumn("tie", F.xxhash64("body"))
 
@@ -206,7 +210,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     nodes = full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), one.alias("row"), F.first("bits").alias("bits"))
     nodes = keep(nodes.select("node", "least", "grp", "n", F.xxhash64("row.id", "row.tie").alias("key"), "bits"), "nodes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several"))
-    shared = keep(shared_tokens(groups, percent, parts=int(nodes.count() ** 0.5) + 1), "shared")
+    shared = keep(shared_tokens(groups, percent, int(nodes.count() ** 0.5) + 1, hot_level), "shared")
     slim = keep(signed.select("id", "tie", "n", "node"), "rows")
     drop(signed)
 
@@ -229,25 +233,21 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     comps = components(edges)
     drop(head, edges)
 
-    # second round: of the nodes that share a prefix shingle and still lie apart, each meets those close before it
-    spots = spots_apart(shared, nodes, comps)
-    here, order = F.struct("node", "n", "pos", "comp", "bits"), Window.partitionBy("token", "part").orderBy("node")
-    before = F.array(*[F.lag(here, k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    ahead = spots.select(here.alias("y"), before.alias("before")).select("y", F.explode("before").alias("x")).where("x is not null")
-    ahead = ahead.select(*[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos", "comp", "bits")])
-    again, edges = checked(_new_pairs(ahead.where(F.col("comp_a") != F.col("comp_b")), percent), "again", tried)
-    last = comps
-    comps = contract(comps, edges)
-    drop(spots, edges, last)
-
-    # third round: all pairs that may link and still lie apart
-    spots = spots_apart(shared, nodes, comps)
-    left, right = (spots.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp", "bits")]) for x in "ab")
-    both = left.join(right, (left["token"] == right["token"]) & F.expr("node_a < node_b and comp_a <> comp_b") & _sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent))
-    late, edges = checked(_new_pairs(both, percent), "late", tried, again)
-    last = comps
-    comps = contract(comps, edges)
-    drop(spots, edges, last, tried, again, late, shared)
+    # rounds of growing crowds: those that share a prefix shingle, are in one crowd of it and still lie apart
+    done, before = 1, [tried]
+    for crowd in (*CROWDS, None):
+        spots = spots_apart(shared, nodes, comps, done)
+        if not spots.limit(1).count():
+            drop(spots)
+            break
+        met = _new_pairs(spots, percent, crowd)
+        pairs, edges = checked(met, "pairs", *before)
+        last = comps
+        comps = contract(comps, edges)
+        before.append(pairs)
+        done = crowd
+        drop(spots, met, edges, last)
+    drop(*before, shared)
 
     least = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     lowest = least.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -255,7 +255,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return slim.join(named, "node", "left").select(F.col("id").alias(id_col), "tie", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
-def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
+def shared_tokens(groups: DataFrame, percent: int, parts: int, hot_level: int) -> DataFrame:
     """token, part, grp, n, pos and partners: the prefix shingles that several groups have, or several nodes of a group.
 
     partners are groups of the same shingle that a group may link with: the first in the order of sizes, or else the one
@@ -263,7 +263,7 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
     first of all as a partner and the first of its part or the one before in it, and the first of a part the one before.
     """
     postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
-    hot = F.shiftrightunsigned("token", 60) >= HOT
+    hot = F.shiftrightunsigned("token", 60) >= hot_level
     postings = postings.withColumn("part", F.when(hot, F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int")).otherwise(0))
     own = Window.partitionBy("token", "part")
     same, near = own.orderBy("n", "grp"), lambda s: F.col(s)["n"] * 100 >= F.col("n") * percent
@@ -281,14 +281,14 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int) -> DataFrame:
     return found.where(~hot).withColumn("partners", F.array("partner")).select(*columns).unionByName(met.select(*columns))
 
 
-def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, part, pos, node, n, comp and bits of the nodes at those prefix shingles whose nodes lie in more than one component."""
+def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame, done: int) -> DataFrame:
+    """token, there, pos, node, n, comp and bits of the nodes at those prefix shingles that have more nodes than are done with and whose nodes lie in more than one component; there counts them."""
     placed = keep(nodes.select("grp", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    at = shared.select("token", "part", "grp", "pos")
-    ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
+    at = shared.select("token", "grp", "pos")
+    ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+    apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("there")).where((F.col("low") != F.col("high")) & (F.col("there") > done)).select("token", "there")
     found = at.join(apart, "token").join(placed, "grp").join(nodes.select("node", "bits"), "node")
-    spots = keep(found.select("token", "part", "pos", "node", "n", "comp", "bits"), "spots")
+    spots = keep(found.select("token", "there", "pos", "node", "n", "comp", "bits"), "spots")
     drop(placed)
     return spots
 
@@ -298,9 +298,18 @@ def _places_fit(percent: int):
     return F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _overlap(percent)
 
 
-def _new_pairs(both: DataFrame, percent: int) -> DataFrame:
-    """a < b of the pairs that sizes, places and bitmaps allow to link."""
-    return both.where(_sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+def _new_pairs(spots: DataFrame, percent: int, crowd: int | None) -> DataFrame:
+    """a < b of the pairs of one crowd, or of any two without a crowd, that lie apart and that sizes, places and bitmaps allow to link."""
+    own = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("there") / (crowd or LAST_CROWD)))
+    dealt = spots.withColumn("own", own)
+    if crowd:
+        dealt = dealt.withColumn("meeting", F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
+    else:  # a crowd comes to a meeting with each one
+        others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("there") / LAST_CROWD) - 1)
+        dealt = dealt.withColumn("meeting", F.explode(F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))))
+    left, right = (dealt.select("token", F.col("meeting.i").alias("i"), F.col("meeting.j").alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp", "bits", "own")]) for x in "ab")
+    met = left.join(right, ["token", "i", "j"]).where(F.expr("node_a < node_b and comp_a <> comp_b and (i = j or own_a <> own_b)") & _sizes_fit(percent) & _places_fit(percent) & _bitmaps_fit(percent))
+    return keep(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
 
 
 def contract(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -319,18 +328,35 @@ class Marks:
         self.log = min(MOST_WANTED_LOG, max(WANTED_LOG, (16 * count).bit_length()))
         cells = (1 << self.log) - 1
 
+        width = 1 << min(MARKED_LOG, self.log - 3)
+
         def mark(batches):
             bits = np.zeros(1 << self.log, bool)
             for batch in batches:
                 bits[batch.column(0).to_numpy(zero_copy_only=False) & cells] = True
-            packed = np.packbits(bits, bitorder="little")
-            at = np.flatnonzero(packed)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at].astype(np.int16))], names=["place", "byte"])
+            packed = np.packbits(bits, bitorder="little").reshape(-1, width)
+            at = np.flatnonzero(packed.any(axis=1))
+            for k in at.tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(packed[k].tobytes())], pa.binary())], names=["slice", "bits"])
 
-        marked = names.mapInArrow(mark, "place int, byte short").groupBy("place").agg(F.bit_or("byte").alias("byte")).toPandas()
+        def merge(batches):
+            current, bits = -1, None
+            for batch in batches:
+                for k, packed in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                    own = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+                    if k != current:
+                        if bits is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+                        current, bits = k, own
+                    else:
+                        bits = bits | own
+            if bits is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+        marked = names.mapInArrow(mark, "slice int, bits binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
         bits = np.zeros((1 << self.log) // 8, np.uint8)
-        bits[marked["place"].to_numpy()] = marked["byte"].to_numpy().astype(np.uint8)
+        for row in marked.toLocalIterator():
+            bits[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
         self.bits = names.sparkSession.sparkContext.broadcast(bits)
 
     def has(self, column):
