@@ -226,3 +226,28 @@ def test_replicates_in_many_tasks_give_the_same_intervals(spark, monkeypatch, dr
     at = np.concatenate(list(bootstrap.drawn(40, 7, 0, 60, 42, draws)))
     assert (at == bootstrap.block_indices(40, 7, 60, 42, draws)).all()
     assert (np.concatenate(list(bootstrap.drawn(40, 7, 23, 41, 42, draws))) == at[23:41]).all()
+
+
+@pytest.mark.parametrize("schedule", ["quarterly", "monthly", "never"])
+def test_sleeves_equal_two_simulated_legs(spark, schedule):
+    import numpy as np
+
+    from tidemark.operators import simulate
+
+    r = np.random.default_rng(9)
+    rows = []
+    for t, every, first in (("A", 2, 0), ("B", 3, 5), ("C", 1, 40), ("E", 5, 60), ("F", 7, 1)):
+        level = 50 * np.cumprod(1 + r.normal(0, 0.02, 420))
+        rows += [(t, D + dt.timedelta(days=k), float(level[k])) for k in range(first, 400, every)]
+    px = spark.createDataFrame(rows, "ticker string, d date, close double")
+    target = spark.createDataFrame([("A", 0.9), ("B", 0.6), ("Z", 0.0)], "ticker string, w double")
+    asked = spark.createDataFrame([("C", D + dt.timedelta(days=201), D + dt.timedelta(days=399)), ("E", D + dt.timedelta(days=95), D + dt.timedelta(days=350)), ("F", D + dt.timedelta(days=8), D + dt.timedelta(days=398))], "pair string, oos_start date, hi date")
+    got = {(x["pair"], x["d"]): (x["r_without"], x["r_with"]) for x in simulate.sleeve_returns(px, target, asked, schedule, 0.25).collect()}
+    legs = [(f"{c}+{k}", t, w * (0.75 if k == "with" else 1)) for c in "CEF" for k in ("with", "without") for t, w in (("A", 0.9), ("B", 0.6))] + [(f"{c}+with", c, 0.25) for c in "CEF"]
+    spans = [(f"{x['pair']}+{k}", x["oos_start"], x["hi"]) for x in asked.collect() for k in ("with", "without")]
+    curves = simulate.simulate(px, spark.createDataFrame(legs, "leg string, ticker string, w double"), schedule, spark.createDataFrame(spans, "leg string, lo date, hi date"))
+    pairs = spark.createDataFrame([(c, f"{c}+without", f"{c}+with") for c in "CEF"], "pair string, without string, tested string")
+    expected = {(x["pair"], x["d"]): (x["r_without"], x["r_with"]) for x in simulate.aligned_returns(curves, pairs).collect()}
+    assert got.keys() == expected.keys() and len(got) > 300
+    for k in got:
+        assert got[k] == pytest.approx(expected[k], rel=1e-9, abs=1e-12)

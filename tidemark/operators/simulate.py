@@ -163,11 +163,57 @@ def figure_clause(stats: DataFrame, baseline: str = "without") -> DataFrame:
     return both.select("pair", F.concat(text, F.coalesce(cost, F.lit(""))).alias("clause"))
 
 
+def sleeve_returns(px: DataFrame, target: DataFrame, asked: DataFrame, schedule: str, sleeve: float) -> DataFrame:
+    """pair, d, r_without, r_with: daily returns of a target (ticker, w) alone and with a sleeve of each candidate (asked: pair, oos_start, hi).
+
+    The same as simulating both legs of each candidate from oos_start to hi and joining their days, for a target whose
+    tickers all have prices before. Since the last rebalancing the mix has grown by (1 - sleeve) times what the target has
+    grown by since then and sleeve times what the candidate has. What the target has grown by from one day to another is
+    one table, of the days that any candidate starts or is rebalanced on, and the days until the next: candidates share
+    it, and each has only its own prices and the target's calendar.
+    """
+    mix = target.where("w > 0").groupBy("ticker").agg(F.sum("w").alias("w"))
+    kept = px.join(mix.select("ticker"), "ticker")
+    calendar = kept.agg(F.array_sort(F.collect_set("d")).alias("days"))  # one row
+    on_target = asked.crossJoin(F.broadcast(calendar)).select("pair", "oos_start", F.explode(F.filter("days", lambda d: (d >= F.col("oos_start")) & (d <= F.col("hi")))).alias("d"), F.lit(None).cast("double").alias("close"), F.lit(1).alias("on_target"))
+    own = px.join(asked, F.col("ticker") == F.col("pair")).where("d <= hi").select("pair", "oos_start", "d", "close", F.lit(0).alias("on_target"))
+    days = own.unionByName(on_target).groupBy("pair", "d").agg(F.max("close").alias("close"), F.max("on_target").alias("on_target"), F.first("oos_start").alias("oos_start"))
+    line = Window.partitionBy("pair").orderBy("d")
+    so_far, before = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("p", F.last("close", ignorenulls=True).over(so_far)).where("d >= oos_start")
+    period = F.lit(0) if schedule == "never" else F.trunc("d", PERIODS.get(schedule, "YEAR"))
+    of = Window.partitionBy("pair", "period")
+    on_day = F.when(F.col("on_target") == 1, F.col("d"))
+    marked = days.withColumn("period", period).withColumns({"first_day": F.min("d").over(of), "first_target_day": F.min(on_day).over(of)})
+    is_base, is_target_base = F.col("d") == F.col("first_day"), F.col("d") == F.col("first_target_day")
+    based = marked.select(
+        "pair", "d", "on_target", "p", is_base.alias("is_base"), F.coalesce(F.last(F.when(is_base, F.col("d")), ignorenulls=True).over(before), "d").alias("d0"),
+        F.coalesce(F.last(F.when(is_base, F.col("p")), ignorenulls=True).over(before), "p").alias("p0"), F.coalesce(F.last(F.when(is_target_base, F.col("d")), ignorenulls=True).over(before), "d").alias("t0"),
+    ).where("on_target = 1 or is_base")
+    based = keep(based, "sleeves")
+    spans = based.select("d0", "d").unionByName(based.where("on_target = 1").select(F.col("t0").alias("d0"), "d")).distinct()
+    wanted = spans.select(F.explode(F.array("d0", "d")).alias("d")).distinct().crossJoin(F.broadcast(mix.select("ticker")))  # a row for each of the target's tickers
+    at = keep(asof_fill(kept, wanted).join(mix, "ticker"), "target-closes")
+    grown = spans.join(at.select(F.col("d").alias("d0"), "ticker", F.col("close").alias("c0")), "d0").join(at, ["d", "ticker"]).groupBy("d0", "d").agg((F.sum(F.col("w") * F.col("close") / F.col("c0")) / F.sum("w")).alias("f"))
+    grown = keep(grown, "target-growth")
+    total = mix.agg(F.sum("w").alias("w"))
+    share = F.lit(sleeve) / (F.col("w") * (1 - sleeve) + sleeve)
+    both = based.join(grown, ["d0", "d"]).crossJoin(F.broadcast(total)).withColumn("share", share)
+    both = both.withColumn("f", (1 - F.col("share")) * F.col("f") + F.col("share") * F.col("p") / F.col("p0"))
+    # a day's step is measured from the day before, or from the base if that is it
+    step = F.col("f") / F.when(F.lag("d").over(line) == F.col("d0"), 1.0).otherwise(F.coalesce(F.lag("f").over(line), F.lit(1.0)))
+    level = both.withColumn("step", step).withColumn("v", F.product("step").over(so_far)).where("on_target = 1").select("pair", "d", "t0", "v")
+    alone = level.join(grown.withColumnRenamed("d0", "t0"), ["t0", "d"])
+    r_without = F.col("f") / F.when(F.lag("d").over(line) == F.col("t0"), 1.0).otherwise(F.lag("f").over(line)) - 1
+    r_with = ratio(F.col("v"), F.lag("v").over(line)) - 1
+    return alone.select("pair", "d", r_without.alias("r_without"), r_with.alias("r_with")).where("r_without is not null and r_with is not null")
+
+
 def role_checks(prices: DataFrame, target: DataFrame, candidates: DataFrame, schedule: str = "quarterly", sleeve: float = 0.05, reps: int = 1000, seed: int = 42, draws: str = "seeded") -> DataFrame:
     """pair (the candidate), verdict, reason, in_sample_end, oos_start, hi, ulcer_gain, cdar_gain, low, high, cause, validated: all candidates at once.
 
     Each candidate joins the target (ticker, w) with a sleeve, and the mix is judged against the target on the last 30 %
-    of their common days. Where that cannot be done the verdict is 'insufficient' and reason tells why: already in the
+    of their common days. The target is worked out once for all of them: see sleeve_returns. Where that cannot be done the verdict is 'insufficient' and reason tells why: already in the
     target, no prices, target tickers without prices, too few days on a side.
     """
     if not 0 < sleeve < 1:
@@ -190,12 +236,7 @@ def role_checks(prices: DataFrame, target: DataFrame, candidates: DataFrame, sch
     )
     plan = keep(plan.withColumn("reason", reason), "plan")
     fit = plan.where("reason is null")
-    with_leg, without_leg = F.concat(F.col("pair"), F.lit("+with")), F.concat(F.col("pair"), F.lit("+without"))
-    base = fit.select("pair").crossJoin(F.broadcast(target))  # as many rows as the target has
-    mixes = base.select(without_leg.alias("leg"), "ticker", "w").unionByName(base.select(with_leg.alias("leg"), "ticker", (F.col("w") * (1 - sleeve)).alias("w"))).unionByName(fit.select(with_leg.alias("leg"), F.col("pair").alias("ticker"), F.lit(sleeve).alias("w")))
-    spans = fit.select(F.explode(F.array(with_leg, without_leg)).alias("leg"), F.col("oos_start").alias("lo"), "hi")
-    pairs = fit.select("pair", without_leg.alias("without"), with_leg.alias("tested"))
-    returns = keep(aligned_returns(simulate(px, mixes, schedule, spans), pairs), "aligned")
+    returns = keep(sleeve_returns(px, target, fit.select("pair", "oos_start", "hi"), schedule, sleeve), "aligned")
     stats = window_stats(returns)
     judged = verdict(stats, returns, reps, seed, draws).join(figure_clause(stats), "pair")
     out = plan.join(judged, "pair", "left").withColumn("verdict", F.coalesce("verdict", F.lit("insufficient")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import simulate
+from tidemark.operators.scan import running
 from tidemark.plans import sql
 from tidemark.plans.ledger_plans import rounded
 from tidemark.plans.registry import query
@@ -118,33 +119,62 @@ w AS (SELECT a.pair, a.cdar AS c1, b.cdar AS c0, a.ulcer AS u1, b.ulcer AS u0, a
 vd AS (SELECT w.*, low, high, ulcer_gain, CASE WHEN abs(ulcer_gain) < 0.0025::DOUBLE THEN 'noise_margin' WHEN (ulcer_gain > 0 AND cdar_gain < -0.005::DOUBLE) OR (ulcer_gain <= 0 AND cdar_gain > 0.005::DOUBLE) THEN 'cdar_contradicts' WHEN (ulcer_gain > 0 AND low > 0) OR (ulcer_gain <= 0 AND high < 0) THEN '' ELSE 'bootstrap_unconfirmed' END AS cause FROM w JOIN ci USING (pair)),
 vv AS (SELECT *, CASE WHEN cause <> '' THEN 'inconclusive' WHEN ulcer_gain > 0 THEN 'improved' ELSE 'worsened' END AS verdict,
  printf('Ulcer %.2f%% vs %.2f%% ', u1 * 100, u0 * 100) || baseline || printf('; CDaR %.2f%% vs %.2f%%; max DD %.1f%% vs %.1f%% (context)', c1 * 100, c0 * 100, d1 * 100, d0 * 100) || coalesce(printf('; return %+.1f%% vs %+.1f%%/yr (%+.1fpp, context)', r1 * 100, r0 * 100, (r1 - r0) * 100), '') AS clause FROM vd, (SELECT any_value(baseline) AS baseline FROM pairs))"""
-_ALL = [*TARGET, *REFERENCE, CANDIDATE]
-ASKED = sorted(set(_ALL))
-ROLE_LEGS = [r for c in ASKED if c not in TARGET for r in [*[(f"{c}+without", t, w) for t, w in TARGET.items()], *[(f"{c}+with", t, w * (1 - SLEEVE)) for t, w in TARGET.items()], (f"{c}+with", c, SLEEVE)]]
-ROLE_SIM = f"""{sql.px("week")}, legs(leg, ticker, w) AS (VALUES {_values(ROLE_LEGS)}), pairs AS (SELECT c AS pair, c || '+without' AS without, c || '+with' AS tested, 'without' AS baseline FROM (VALUES {", ".join(f"('{c}')" for c in ASKED if c not in TARGET)}) v(c)),
-sp AS (SELECT ticker, min(d) AS a, max(d) AS z FROM px GROUP BY 1), tg AS (SELECT max(a) AS lo, max(z) AS hi FROM sp WHERE ticker IN ({", ".join(f"'{t}'" for t in TARGET)})),
+ASKED = sorted({*TARGET, *REFERENCE, CANDIDATE})
+
+
+def role_sql(px: str, target: dict[str, float], asked: list[str], sleeve: float) -> str:
+    """Held-out verdicts on candidates, both legs of each simulated day by day."""
+    others = [c for c in asked if c not in target]
+    legs = [r for c in others for r in [*[(f"{c}+without", t, w) for t, w in target.items()], *[(f"{c}+with", t, w * (1 - sleeve)) for t, w in target.items()], (f"{c}+with", c, sleeve)]]
+    named = lambda tickers: ", ".join(f"'{t}'" for t in tickers)
+    rows = lambda tickers: ", ".join(f"('{t}')" for t in tickers)
+    sim = f"""{px}, legs(leg, ticker, w) AS (VALUES {_values(legs)}),
+pairs AS (SELECT c AS pair, c || '+without' AS without, c || '+with' AS tested, 'without' AS baseline FROM (VALUES {rows(others)}) v(c)),
+sp AS (SELECT ticker, min(d) AS a, max(d) AS z FROM px GROUP BY 1), tg AS (SELECT max(a) AS lo, max(z) AS hi FROM sp WHERE ticker IN ({named(target)})),
 cd AS (SELECT p.ticker AS pair, d, row_number() OVER (PARTITION BY p.ticker ORDER BY d) AS k, count(*) OVER (PARTITION BY p.ticker) AS n, least(z, hi) AS hi FROM px p JOIN sp USING (ticker), tg WHERE d BETWEEN greatest(a, lo) AND least(z, hi)),
 sl AS (SELECT pair, any_value(hi) AS hi, any_value(n) AS n, max(d) FILTER (WHERE k = n - floor(n * 0.30::DOUBLE)) AS in_sample_end, max(d) FILTER (WHERE k = n - floor(n * 0.30::DOUBLE) + 1) AS oos_start FROM cd GROUP BY 1),
 ok AS (SELECT * FROM sl WHERE n - floor(n * 0.30::DOUBLE) >= 60 AND floor(n * 0.30::DOUBLE) >= 60),
 win AS (SELECT leg, greatest(max(a), any_value(oos_start)) AS lo, least(max(z), any_value(ok.hi)) AS hi FROM legs JOIN sp USING (ticker) JOIN ok ON leg LIKE ok.pair || '+%' GROUP BY 1),
 days AS (SELECT DISTINCT leg, d FROM px JOIN legs USING (ticker) JOIN win USING (leg) WHERE d BETWEEN lo AND hi)"""
+    return f"""{simulated('quarter', sim)}, {JUDGED}, ask(pair) AS (VALUES {rows(asked)})
+SELECT ask.pair, coalesce(verdict, 'insufficient') AS verdict,
+ CASE WHEN ask.pair IN ({named(target)}) THEN 'already in the target' WHEN ok.pair IS NULL THEN 'only ' || coalesce(sl.n, 0) || ' common days: 60 are needed on both sides' ELSE clause END AS reason,
+ ok.in_sample_end, ok.oos_start, CASE WHEN ask.pair NOT IN ({named(target)}) THEN sl.hi END AS hi,
+ round(ulcer_gain, 8) AS ulcer_gain, round(cdar_gain, 8) AS cdar_gain, round(low, 8) AS low, round(high, 8) AS high, cause, coalesce(verdict = 'improved', FALSE) AS validated
+FROM ask LEFT JOIN sl ON sl.pair = ask.pair LEFT JOIN ok ON ok.pair = ask.pair AND ask.pair IN (SELECT pair FROM pairs) LEFT JOIN vv ON vv.pair = ask.pair"""
 
 
-@query(
-    f"{simulated('quarter', ROLE_SIM)}, {JUDGED}, ask(pair) AS (VALUES {', '.join(f'(' + chr(39) + c + chr(39) + ')' for c in ASKED)})"
-    f" SELECT ask.pair, coalesce(verdict, 'insufficient') AS verdict, CASE WHEN ask.pair IN ({', '.join(chr(39) + t + chr(39) for t in TARGET)}) THEN 'already in the target' WHEN ok.pair IS NULL THEN 'only ' || coalesce(sl.n, 0) || ' common days: 60 are needed on both sides' ELSE clause END AS reason,"
-    f" ok.in_sample_end, ok.oos_start, CASE WHEN ask.pair NOT IN ({', '.join(chr(39) + t + chr(39) for t in TARGET)}) THEN sl.hi END AS hi, round(ulcer_gain, 8) AS ulcer_gain, round(cdar_gain, 8) AS cdar_gain, round(low, 8) AS low, round(high, 8) AS high, cause, coalesce(verdict = 'improved', FALSE) AS validated"
-    " FROM ask LEFT JOIN sl ON sl.pair = ask.pair LEFT JOIN ok ON ok.pair = ask.pair AND ask.pair IN (SELECT pair FROM pairs) LEFT JOIN vv ON vv.pair = ask.pair"
-)
-def role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five tickers as candidates of the target at once, each on its own calendar; starts of the bootstrap are counted."""
-    px = adapters.prices(spark, sf_dir, "week")
-    target = spark.createDataFrame(list(TARGET.items()), "ticker string, w double")
-    out = simulate.role_checks(px, target, px.select("ticker").distinct(), sleeve=SLEEVE, draws="counted")
+def _judged(px: DataFrame, target: dict[str, float], sleeve: float) -> DataFrame:
+    target = px.sparkSession.createDataFrame(list(target.items()), "ticker string, w double")
+    out = simulate.role_checks(px, target, px.select("ticker").distinct(), sleeve=sleeve, draws="counted")
     out = out.withColumn("hi", F.when(F.col("reason") != "already in the target", F.col("hi")))
     return rounded(out, "ulcer_gain", "cdar_gain", "low", "high", digits=8)
 
 
+@query(role_sql(sql.px("week"), TARGET, ASKED, SLEEVE))
+def role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tickers as candidates of the target at once, each on its own calendar; starts of the bootstrap are counted."""
+    return _judged(adapters.prices(spark, sf_dir, "week"), TARGET, SLEEVE)
+
+
+#: One ticker, and beside the others two that follow from all orders so far: one rises with their sum, one falls with it.
+LONE = {"1-URGENT": 1.0}
+TREND_PX = (
+    "opx AS (SELECT o_orderpriority AS ticker, date_trunc('week', o_orderdate)::DATE AS d, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2), wk AS (SELECT date_trunc('week', o_orderdate)::DATE AS d, sum(o_totalprice) AS x FROM orders GROUP BY 1),"
+    " so_far AS (SELECT d, sum(x) OVER (ORDER BY d) / sum(x) OVER () AS part FROM wk), px AS (SELECT * FROM opx UNION ALL SELECT 'UP', d, 100 * part FROM so_far UNION ALL SELECT 'DOWN', d, 100 / part ** 24 FROM so_far)"
+)
+
+
+@query(role_sql(TREND_PX, LONE, sorted({*ASKED, "UP", "DOWN"}), 0.5))
+def role_check_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of which one improves the target, one worsens it, and the others leave it open."""
+    px = adapters.prices(spark, sf_dir, "week").select("ticker", "d", "close")
+    weeks = adapters.table(spark, sf_dir, "orders").groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("d")).agg(F.sum("o_totalprice").alias("x"))
+    part = running(weeks.withColumn("key", F.lit(0)), ("key",), {"so_far": ("sum", F.col("x"))}).crossJoin(F.broadcast(weeks.agg(F.sum("x").alias("whole")))).select("d", (F.col("so_far") / F.col("whole")).alias("part"))
+    trends = part.select(F.explode(F.array(F.struct(F.lit("UP").alias("ticker"), (100 * F.col("part")).alias("close")), F.struct(F.lit("DOWN").alias("ticker"), (100 / F.pow("part", F.lit(24.0))).alias("close")))).alias("t"), "d")
+    return _judged(px.unionByName(trends.select("t.ticker", "d", "t.close")), LONE, 0.5)
+
+
 BENCH_SIM = f"""{sql.px("week")}, {LEGS}, pairs AS (SELECT 'target' AS pair, 'reference' AS without, 'target' AS tested, 'reference' AS baseline),
 sp AS (SELECT ticker, min(d) AS a, max(d) AS z FROM px WHERE ticker IN (SELECT ticker FROM legs) GROUP BY 1), bd AS (SELECT max(a) AS lo, min(z) AS hi FROM sp),
 cd AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM px, bd WHERE ticker IN (SELECT ticker FROM legs) AND d BETWEEN lo AND hi)),
