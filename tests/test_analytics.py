@@ -438,7 +438,7 @@ def test_price_tables(spark, tmp_path):
     assert [(r["ticker"], r["close"]) for r in got.collect()] == [("A", 6.0)]
     assert price_tables.read_series(spark, str(tmp_path / "s"), "raw", now, allow_stale=True).count() == 2
     price_tables.write_series(spark.createDataFrame([("C", D(2024, 1, 9), 1.0, "raw", "y", t("2024-01-09T23:00:00"))], price_tables.SERIES), str(tmp_path / "s"))
-    assert [r["ticker"] for r in price_tables.read_series(spark, str(tmp_path / "s"), "raw", now).collect()] == ["C"] and price_tables.read_series(spark, str(tmp_path / "s"), "total_return", now).count() == 1
+    assert sorted(r["ticker"] for r in price_tables.read_series(spark, str(tmp_path / "s"), "raw", now).collect()) == ["A", "C"] and price_tables.read_series(spark, str(tmp_path / "s"), "total_return", now).count() == 1
     assert [r["ticker"] for r in price_tables.covers(spark.createDataFrame(rows, price_tables.SERIES), F.lit("2024-01-12").cast("date")).collect()] == ["A"]
     first = price_tables.first_provider(spark.createDataFrame([("A", 1.0)], "ticker string, close double"), spark.createDataFrame([("A", 2.0), ("B", 3.0)], "ticker string, close double"))
     assert sorted(tuple(r) for r in first.collect()) == [("A", 1.0), ("B", 3.0)]
@@ -455,6 +455,38 @@ def test_price_tables(spark, tmp_path):
     assert price_tables.latest_cached(spark.read.parquet(str(tmp_path / "l")), F.lit("2024-01-10").cast("date"), now).first()["close"] == 4.0
 
 
+def test_cache_tables_can_be_written_again(spark, tmp_path, monkeypatch):
+    from tidemark.sources import cache
+
+    monkeypatch.setattr(cache, "BUCKETS", 4)
+    now, at = F.lit("2024-02-01 00:00:00").cast("timestamp"), lambda h: dt.datetime(2024, 1, 31, h)
+    day = lambda k: D(2024, 1, 1) + dt.timedelta(days=k)
+    first = spark.createDataFrame([(f"T{k % 9}", day(k // 9), float(k + 1), "raw", "x", at(8)) for k in range(180)], price_tables.SERIES)
+    again = spark.createDataFrame([("T1", day(0), 500.0, "raw", "y", at(9)), ("T1", day(1), 600.0, "raw", "y", at(7)), ("T2", day(40), 700.0, "raw", "y", at(9)), (None, day(1), 1.0, "raw", "y", at(9)), ("T1", day(0), 9.0, "total_return", "y", at(9))], price_tables.SERIES)
+    path = str(tmp_path / "s")
+    read = lambda: sorted(map(tuple, price_tables.read_series(spark, path, "raw", now, True).select("ticker", "d", "close").collect()))
+    files = lambda folder: sorted(p.name for p in (tmp_path / folder).rglob("part-*"))
+    price_tables.write_series(first, path)
+    once, there = read(), len(files("s"))
+    assert len(once) == 180 and there <= 4
+    price_tables.write_series(first, path)
+    assert read() == once and len(files("s")) == there
+    for _ in range(2):
+        price_tables.write_series(again, path)
+        assert read() == sorted([x for x in once if x[:2] != ("T1", day(0))] + [("T1", day(0), 500.0), ("T2", day(40), 700.0)])
+        assert price_tables.read_series(spark, path, "total_return", now, True).count() == 1 and len(files("s")) <= 8
+    latest = first.select("ticker", F.col("d").alias("asof_date"), "close", "source", "fetched_at")
+    for _ in range(3):
+        price_tables.append_latest(latest, str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 180 and len(files("l")) <= 4
+    splits = spark.createDataFrame([("A", day(1), 2.0, at(1)), ("A", day(2), 3.0, at(1)), ("Z", D(1970, 1, 1), 1.0, at(1))], "ticker string, d date, ratio double, fetched_at timestamp")
+    newer = spark.createDataFrame([("A", day(2), 3.0, at(2)), ("A", day(2), 3.0, at(2))], splits.schema)
+    for rows, known in ((splits, [("A", day(1), 2.0), ("A", day(2), 3.0)]), (newer, [("A", day(2), 3.0)]), (newer, [("A", day(2), 3.0)]), (splits.limit(0), [("A", day(2), 3.0)])):
+        price_tables.write_splits(rows, str(tmp_path / "p"))
+        found, asked = price_tables.read_splits(spark, str(tmp_path / "p"), now)
+        assert sorted(map(tuple, found.collect())) == known and sorted(r["ticker"] for r in asked.collect()) == ["A", "Z"]
+
+
 def test_fund_facts(spark, tmp_path):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     raw = spark.createDataFrame(

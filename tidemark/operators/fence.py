@@ -108,12 +108,15 @@ def has_bare_numeral(prose: Column) -> Column:
 
 
 def render(prose: Column, claims: Column) -> Column:
-    """The prose with its tokens replaced from claims (a map of lower-case names to texts); NULL if it is blank, has a bare numeral, an unknown token or left-over braces."""
-    tokens = F.transform(F.regexp_extract_all(prose, F.lit(TOKEN), F.lit(1)), lambda t: F.lower(t))
-    unknown = F.size(F.array_except(tokens, F.map_keys(claims))) > 0
-    plain = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")  # noqa: E731  the replacement is taken literally
-    out = F.aggregate(F.map_entries(claims), prose, lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\{\{\s*"), e["key"], F.lit(r"\s*\}\}")), plain(e["value"])))
-    bad = (F.trim(prose) == "") | has_bare_numeral(prose) | unknown
+    """The prose with its tokens replaced from claims (a map of lower-case names to texts); NULL if it is blank, has a bare numeral, an unknown token or left-over braces.
+
+    The prose is cut at its tokens once, each token is looked up, and the parts are put together again: what a claim says
+    is not read again, and claims that the prose does not name cost nothing.
+    """
+    named = F.transform(F.regexp_extract_all(prose, F.lit(TOKEN), F.lit(1)), lambda t: F.try_element_at(claims, F.lower(t)))
+    parts = F.split(prose, TOKEN, -1)
+    out = F.array_join(F.transform(parts, lambda p, k: F.concat(F.when(k == 0, "").otherwise(F.get(named, k - 1)), p)), "")
+    bad = (F.trim(prose) == "") | has_bare_numeral(prose) | F.exists(named, lambda v: v.isNull())
     return F.when(~bad & ~out.contains("{{") & ~out.contains("}}"), out)
 
 

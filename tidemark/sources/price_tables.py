@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, fixed, usable_price
+from tidemark.sources.cache import merge_into
 
 STALE_DAYS, GRACE_DAYS, LAG_FLAG_DAYS = 10, 4, 4
 PRICE_TTL, SPLIT_TTL, FACT_TTL, WARM_TTL = "20 hours", "7 days", "7 days", "6 hours"
@@ -23,14 +24,14 @@ def fresh(fetched_at: Column, now: Column, ttl: str, allow_stale: bool = False)
 
 def read_series(spark: SparkSession, path: str, basis: str, now: Column, allow_stale: bool = False) -> DataFrame:
     """ticker, d, close, source, fetched_at of one basis: usable closes of fresh rows, the one fetched last for each day."""
-    rows = spark.read.schema(SERIES).parquet(path).where((F.col("basis") == basis) & usable_price(F.col("close")) & fresh(F.col("fetched_at"), now, PRICE_TTL, allow_stale))
+    rows = spark.read.schema(SERIES + ", bucket int").parquet(path).where((F.col("basis") == basis) & usable_price(F.col("close")) & fresh(F.col("fetched_at"), now, PRICE_TTL, allow_stale))
     last = F.row_number().over(Window.partitionBy("ticker", "d").orderBy(F.desc("fetched_at"), "source"))
     return rows.withColumn("k", last).where("k = 1").select("ticker", "d", "close", "source", "fetched_at")
 
 
 def write_series(rows: DataFrame, path: str) -> None:
-    """Replaces the partitions of the bases that the rows have."""
-    rows.repartition("basis", "ticker").sortWithinPartitions("ticker", "d").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("basis").parquet(path)
+    """Merges rows of SERIES into their table, by basis, ticker and day; of a day the close fetched last stays. Writing again changes nothing."""
+    merge_into(rows.select(*[c.split(" ")[0] for c in SERIES.split(", ")]), path, ("ticker", "d"), layout=("basis",))
 
 
 def covers(series: DataFrame, end: Column) -> DataFrame:
@@ -41,7 +42,7 @@ def covers(series: DataFrame, end: Column) -> DataFrame:
 def latest_cached(rows: DataFrame, asof: Column, now: Column, allow_stale: bool = False) -> DataFrame:
     """ticker, asof_date, close, source, fetched_at: of usable fresh rows at or before the day and not over STALE_DAYS old, the newest day, fetched last."""
     ok = rows.where((F.col("asof_date") <= asof) & (F.col("asof_date") >= F.date_sub(asof, STALE_DAYS)) & usable_price(F.col("close")) & fresh(F.col("fetched_at"), now, PRICE_TTL, allow_stale))
-    return ok.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("asof_date"), F.desc("fetched_at")))).where("k = 1").drop("k")
+    return ok.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("asof_date"), F.desc("fetched_at")))).where("k = 1").drop("k", "bucket")
 
 
 def first_provider(*sources: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ FACTS = "ticker string, expense_ratio double, aum double, avg_volume double, cat
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """Adds fund facts to the cache, one JSON object each; what was read before stays until its own rows are newer."""
-    facts.select(*[f.split(" ")[0] for f in FACTS.split(", ")]).write.mode("append").json(path)
+    """Merges fund facts into the cache, one JSON object each; of a ticker the facts fetched last stay. Writing again changes nothing."""
+    merge_into(facts.select(*[f.split(" ")[0] for f in FACTS.split(", ")]), path, ("ticker",), fmt="json")
 
 
 def read_facts(spark: SparkSession, path: str, now: Column, allow_stale: bool = False) -> DataFrame:
@@ -105,7 +106,7 @@ def read_facts(spark: SparkSession, path: str, now: Column, allow_stale: bool =
 
     Figures that are not finite become NULL, and holdings with such a weight are dropped.
     """
-    rows = spark.read.schema(FACTS + ", broken string").option("columnNameOfCorruptRecord", "broken").option("allowNonNumericNumbers", True).json(path)
+    rows = spark.read.schema(FACTS + ", broken string").option("columnNameOfCorruptRecord", "broken").option("allowNonNumericNumbers", True).option("recursiveFileLookup", True).json(path)
     rows = rows.where(F.col("broken").isNull() & F.col("ticker").isNotNull() & fresh(F.col("fetched_at"), now, FACT_TTL, allow_stale)).drop("broken")
     last = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fetched_at")))).where("k = 1").drop("k")
     held = F.map_filter("top_holdings", lambda _, w: finite(w).isNotNull())
@@ -118,8 +119,19 @@ def without_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def append_latest(rows: DataFrame, path: str) -> None:
-    """Adds latest closes (ticker, asof_date, close, source, fetched_at) to their table; readers take the row fetched last."""
-    rows.select("ticker", "asof_date", "close", "source", "fetched_at").write.mode("append").parquet(path)
+    """Merges latest closes (ticker, asof_date, close, source, fetched_at) into their table; of a day the one fetched last stays. Writing again changes nothing."""
+    merge_into(rows.select("ticker", "asof_date", "close", "source", "fetched_at"), path, ("ticker", "asof_date"))
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """Merges split_rows_to_keep into their table: a ticker's splits are those that were fetched last."""
+    merge_into(rows.select("ticker", "d", "ratio", "fetched_at"), path, ("ticker",), whole=True)
+
+
+def read_splits(spark: SparkSession, path: str, now: Column, allow_stale: bool = False) -> tuple[DataFrame, DataFrame]:
+    """ticker, d, ratio of fresh splits; and the tickers of which it is known what splits they have, if any."""
+    rows = spark.read.schema("ticker string, d date, ratio double, fetched_at timestamp, bucket int").parquet(path).where(fresh(F.col("fetched_at"), now, SPLIT_TTL, allow_stale))
+    return clean_splits(rows), rows.select("ticker").distinct()
 
 
 def age_hours(fetched_at: Column, now: Column) -> Column:
