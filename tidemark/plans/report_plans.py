@@ -38,11 +38,11 @@ def latest_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {sql.LEDGER}, {FOLD}, {sql.SUPPLIER_PX}, l AS (SELECT ticker, arg_max(close, d) AS close FROM spx WHERE ticker NOT LIKE '%7' GROUP BY 1), h AS (SELECT *, shares * close AS value FROM pos LEFT JOIN l USING (ticker) WHERE shares > 1e-9)"
+    f"WITH RECURSIVE {sql.LEDGER}, {FOLD}, {sql.SUPPLIER_PX}, l AS (SELECT ticker, arg_max(close, d) AS close FROM spx GROUP BY 1), h AS (SELECT *, shares * close AS value FROM pos LEFT JOIN l USING (ticker) WHERE shares > 1e-9)"
     " SELECT book, round(sum(coalesce(value, 0)), 2) AS value, round(sum(CASE WHEN close IS NULL THEN 0 ELSE cost_basis END), 2) AS priced_cost, round(sum(cost_basis), 2) AS cost_basis, round(sum(coalesce(value - cost_basis, 0)), 2) AS unrealized, round(sum(realized), 2) AS realized, round(sum(fees), 2) AS fees, count(*) FILTER (WHERE close IS NULL) AS unpriced, round(sum(coalesce(value - cost_basis, 0)) + sum(realized), 2) AS net FROM h GROUP BY 1"
 )
 def panel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = adapters.supplier_prices(spark, sf_dir).where("ticker not like '%7'").groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
+    last = adapters.supplier_prices(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
     out = report.totals(report.holdings(ledger_ops.positions(adapters.ledger(spark, sf_dir)), last))
     return rounded(out, "value", "priced_cost", "cost_basis", "unrealized", "realized", "fees", "net", digits=2)
 
@@ -58,11 +58,11 @@ def panel_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {sql.HELD}, {sql.TARGET}, w AS (SELECT book, ticker, value / sum(value) OVER (PARTITION BY book) AS cur_w FROM hv WHERE ticker <> '2-HIGH'), t AS (SELECT book, ticker, w FROM target, (SELECT DISTINCT book FROM hv) WHERE w > 0)"
+    f"WITH {sql.HELD}, {sql.TARGET}, w AS (SELECT book, ticker, value / sum(value) OVER (PARTITION BY book) AS cur_w FROM hv), t AS (SELECT book, ticker, w FROM target, (SELECT DISTINCT book FROM hv) WHERE w > 0)"
     " SELECT coalesce(t.book, w.book) AS book, coalesce(t.ticker, w.ticker) AS ticker, coalesce(w, 0) AS w, round(coalesce(cur_w, 0), 8) AS cur_w, round(coalesce(w, 0) - coalesce(cur_w, 0), 8) AS delta, w IS NULL AS omitted FROM t FULL JOIN w ON t.book = w.book AND t.ticker = w.ticker"
 )
 def panel_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = allocate.held_weights(adapters.held_values(spark, sf_dir).where("ticker <> '2-HIGH'")).drop("value")
+    held = allocate.held_weights(adapters.held_values(spark, sf_dir)).drop("value")
     target = held.select("book").distinct().crossJoin(F.broadcast(adapters.target(spark).where("w > 0")))  # four tickers
     return rounded(report.proposal(target, held), "cur_w", "delta", digits=8)
 

@@ -23,7 +23,7 @@ def fence_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", fence.has_bare_numeral(F.col("text")).alias("bare"))
 
 
-PROSE_SQL = "CASE doc_id % 6 WHEN 0 THEN text || ' fell {{ Depth }} and {{ulcer}}' WHEN 1 THEN text || ' worth {{VALUE}} or {{nope}}' WHEN 2 THEN text || ' broken {{ulcer' WHEN 3 THEN '{{value}} as of {{depth}} ' || text WHEN 4 THEN 'about 十 percent {{depth}}' ELSE '  ' END"
+PROSE_SQL = "CASE doc_id % 6 WHEN 0 THEN text || ' fell {{ Depth }} and {{ulcer}}' WHEN 1 THEN text || ' worth {{VALUE}} or {{nope}}' WHEN 2 THEN text || ' broken {{ulcer' WHEN 3 THEN '{{value}} as of {{depth}} ' || text WHEN 4 THEN text || ' about 十 percent {{depth}}' ELSE '{{ulcer}}' || text END"
 
 
 def _nested(text: str) -> str:
@@ -40,7 +40,7 @@ def fence_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 6
     prose = (
         F.when(k == 0, F.concat("text", F.lit(" fell {{ Depth }} and {{ulcer}}"))).when(k == 1, F.concat("text", F.lit(" worth {{VALUE}} or {{nope}}"))).when(k == 2, F.concat("text", F.lit(" broken {{ulcer")))
-        .when(k == 3, F.concat(F.lit("{{value}} as of {{depth}} "), "text")).when(k == 4, "about 十 percent {{depth}}").otherwise("  ")
+        .when(k == 3, F.concat(F.lit("{{value}} as of {{depth}} "), "text")).when(k == 4, F.concat("text", F.lit(" about 十 percent {{depth}}"))).otherwise(F.concat(F.lit("{{ulcer}}"), "text"))
     )
     claims = F.create_map(*[F.lit(x) for kv in CLAIMS.items() for x in kv])
     return adapters.table(spark, sf_dir, "documents").select("doc_id", fence.render(prose, claims).alias("rendered"))
@@ -83,11 +83,11 @@ def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {sql.LEDGER}, {FOLD}, {sql.SUPPLIER_PX}, l AS (SELECT ticker, arg_max(close, d) AS close FROM spx WHERE ticker NOT LIKE '%7' GROUP BY 1)"
+    f"WITH RECURSIVE {sql.LEDGER}, {FOLD}, {sql.SUPPLIER_PX}, l AS (SELECT ticker, arg_max(close, d) AS close FROM spx GROUP BY 1)"
     " SELECT book, ticker, round(shares, 6) AS shares, round(cost_basis / shares, 6) AS avg_cost, round(shares * close, 3) AS value, round(shares * close - cost_basis, 3) AS unrealized, round(realized, 3) AS realized, l.close IS NOT NULL AS priced FROM pos LEFT JOIN l USING (ticker) WHERE shares > 1e-9"
 )
 def panel_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = adapters.supplier_prices(spark, sf_dir).where("ticker not like '%7'").groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
+    last = adapters.supplier_prices(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
     out = report.holdings(ledger_ops.positions(adapters.ledger(spark, sf_dir)), last).drop("cost_basis", "fees")
     return rounded(rounded(out, "shares", "avg_cost", digits=6), "value", "unrealized", "realized", digits=3)
 
