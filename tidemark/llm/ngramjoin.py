@@ -49,7 +49,7 @@ MARKED_LOG = 16
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP_WORDS = 16
 #: Nodes of a shingle that meet each other in the rounds after the first, and in the last one, crowd by crowd.
-CROWDS, LAST_CROWD = (12, 48, 192), 512
+CROWDS, LAST_CROWD = (16, 256), 512
 CHUNK = 4 << 20
 #: Shingles that a task counts before it hands them on.
 COUNTED = 3_000_000
@@ -417,20 +417,25 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node takes its smallest neighbour's label, if that is smaller, and that one's label in turn;
     then edges are moved to the labels, and those within a label go. Names of nodes are hashes, so few rounds do.
     """
-    links = None
     edges = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
+    steps = []
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "low")
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
         step = keep(low.join(low.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "step")
-        last = links
-        links = step.withColumnRenamed("to", "comp") if last is None else last.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        links = keep(links, "links")
+        steps.append(step)
         moved = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
         over = edges
         edges = keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "graph")
-        drop(over, low, step, *([last] if last is not None else []))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if links is None else links
+        drop(over)
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    links = steps[0].withColumnRenamed("to", "comp")
+    for step in steps[1:]:
+        links = links.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    links = keep(links, "links")
+    drop(edges, *steps)
+    return links
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
