@@ -251,3 +251,32 @@ def test_sleeves_equal_two_simulated_legs(spark, schedule):
     assert got.keys() == expected.keys() and len(got) > 300
     for k in got:
         assert got[k] == pytest.approx(expected[k], rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("cap", [1, 3])
+def test_menus_equal_the_whole_pool(spark, cap):
+    from tidemark.operators import discover
+
+    r = random.Random(cap)
+    universe = [(f"F{k}", r.choice("xyz"), r.choice(["a", "b", "c", "d", "e"]), r.random() < (0.4 if k % 3 else 0.0), k) for k in range(90)]
+    held = [(f"b{b}", f"F{k}", 1.0) for b in range(12) for k in r.sample(range(90), 4 * b)] + [("b12", f"F{k}", 1.0) for k in range(90)] + [("b13", "none", 1.0)]
+    roles = [(f"b{b}", x) for b in range(14) for x in "xyz" if r.random() < 0.9] + [("b1", "no such role")]
+    u = spark.createDataFrame(universe, "ticker string, role string, flavor string, core boolean, file_ord int")
+    h, o = spark.createDataFrame(held, "book string, ticker string, value double"), spark.createDataFrame(roles, "book string, role string")
+    menus, shelves = set(), {}
+    for b, x in roles:
+        own = {t for y, t, _ in held if y == b}
+        pool = [f for f in universe if f[1] == x and f[0] not in own]
+        if not pool:
+            continue
+        core = [f for f in pool if f[3]]
+        lead = min(core or pool, key=lambda f: f[4])[2]
+        first = {s: min(f[4] for f in pool if f[2] == s) for s in {f[2] for f in pool}}
+        order = sorted(pool, key=lambda f: (not f[3], f[2] != lead, first[f[2]], f[4]))
+        menus |= {(b, x, lead, k + 1, f[0], f[2], f[3]) for k, f in enumerate(order[:cap])}
+        for f in order[cap:]:
+            if f[2] != lead:
+                shelves[b, x, f[2]] = shelves.get((b, x, f[2]), 0) + 1
+    assert set(map(tuple, discover.menu(h, u, o, cap).collect())) == menus and len(menus) > 20
+    assert {tuple(x)[:3]: x["n"] for x in discover.more_shelves(h, u, o, cap).collect()} == shelves
+    assert "Broadcast" not in "".join(str(discover.menu(h, u, o, cap)._jdf.queryExecution().logical()))

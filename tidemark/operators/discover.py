@@ -27,26 +27,83 @@ def gaps(held: DataFrame, universe: DataFrame, threshold: float = GAP, with_sate
     return out.where(F.col("exposure") <= threshold)
 
 
-def _pool(held: DataFrame, universe: DataFrame, open_roles: DataFrame) -> DataFrame:
-    """book and fund of all funds of the open roles that the book does not hold, with the lead shelf and the shelves' order."""
-    pool = open_roles.select("book", "role").join(F.broadcast(universe), "role").join(held.select("book", "ticker"), ["book", "ticker"], "left_anti")
-    role, shelf = Window.partitionBy("book", "role"), Window.partitionBy("book", "role", "flavor")
-    first = F.min(F.when(F.col("core"), F.struct("file_ord", "flavor"))).over(role)
-    return pool.withColumn("lead", F.coalesce(first["flavor"], F.min(F.struct("file_ord", "flavor")).over(role)["flavor"])).withColumn("shelf_ord", F.min("file_ord").over(shelf))
+def _listed(universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The universe with each fund's place, and its shelves with theirs; both ranked once for all books.
+
+    Funds: in_role among all of the role and in_core among those that are as much core, in_shelf among all of the shelf
+    and in_half among those of the shelf that are as much core, all in file order. Shelves (role, core, flavor, rank): in
+    the order of their first funds, for the halves of core and other funds by themselves.
+    """
+    u = universe.select("ticker", "role", "flavor", "core", "file_ord")
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("file_ord", "ticker"))
+    funds = u.withColumns({"in_role": place("role"), "in_core": place("role", "core"), "in_shelf": place("role", "flavor"), "in_half": place("role", "flavor", "core")})
+    halves = u.withColumn("first", F.min("file_ord").over(Window.partitionBy("role", "flavor"))).groupBy("role", "core", "flavor").agg(F.first("first").alias("first"))
+    shelves = halves.select("role", "core", "flavor", F.row_number().over(Window.partitionBy("role", "core").orderBy("first", "flavor")).alias("rank"))
+    return funds, shelves
+
+
+def _near(held: DataFrame, universe: DataFrame, open_roles: DataFrame, cap: int) -> DataFrame:
+    """book and fund of the funds of open roles that a menu of cap funds can depend on, with mine: whether the book holds it.
+
+    What a book holds moves funds and shelves up by as many places as it holds of them. So of each role the first
+    cap + (shelves that the book has funds of) shelves count, of each of these the first cap + (own funds of it) core funds
+    and other funds, and the first of each kind that are not its own. All joins are by places.
+    """
+    funds, shelves = _listed(universe)
+    own = held.select("book", "ticker").distinct().join(funds, "ticker")
+    asked = open_roles.select("book", "role").distinct()
+    own = own.join(asked, ["book", "role"])
+    of_role = own.groupBy("book", "role").agg(F.count(F.lit(1)).alias("n_role"), F.countDistinct("flavor").alias("n_shelves"))
+    of_shelf = own.groupBy("book", "role", "flavor").agg(F.count(F.lit(1)).alias("n_shelf"))
+    roles = asked.join(of_role, ["book", "role"], "left").fillna(0, ["n_role", "n_shelves"])
+    upto = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    kinds = roles.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("core"))
+    # shelves in their order, then what each has first; the last place that can matter bounds both
+    some = kinds.select("book", "role", "core", upto(F.lit(cap) + F.col("n_shelves")).alias("rank")).join(shelves, ["role", "core", "rank"])
+    leads = kinds.select("book", "role", "core", upto(F.col("n_role") + 1).alias("in_core")).join(funds.select("role", "core", "in_core", "flavor"), ["role", "core", "in_core"])
+    any_kind = roles.select("book", "role", upto(F.col("n_role") + 1).alias("in_role")).join(funds.select("role", "in_role", "flavor", "core"), ["role", "in_role"])
+    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("core")  # a lead shelf comes first in either half
+    wanted = some.select("book", "role", "core", "flavor")
+    for shelf in (leads, any_kind):
+        wanted = wanted.unionByName(shelf.select("book", "role", both, "flavor"))
+    wanted = wanted.distinct()
+    wanted = wanted.join(of_shelf, ["book", "role", "flavor"], "left").fillna(0, ["n_shelf"])
+    inside = wanted.select("book", "role", "core", "flavor", upto(F.lit(cap) + F.col("n_shelf")).alias("in_half")).join(funds, ["role", "core", "flavor", "in_half"])
+    heads = wanted.select("book", "role", "flavor", upto(F.col("n_shelf") + 1).alias("in_shelf")).distinct().join(funds, ["role", "flavor", "in_shelf"])
+    by_core = leads.select("book", "role", "core", "in_core").join(funds, ["role", "core", "in_core"])
+    by_role = any_kind.select("book", "role", "in_role").join(funds, ["role", "in_role"])
+    columns = ["book", "role", "ticker", "flavor", "core", "file_ord"]
+    near = inside.select(*columns)
+    for more in (heads, by_core, by_role):
+        near = near.unionByName(more.select(*columns))
+    mine = own.select("book", "ticker", F.lit(True).alias("mine"))
+    return near.distinct().join(mine, ["book", "ticker"], "left").where("mine is null").drop("mine")
 
 
 def menu(held: DataFrame, universe: DataFrame, open_roles: DataFrame, cap: int = SHELF_CAP) -> DataFrame:
-    """book, role, lead, place, ticker, flavor, core: up to cap funds of each open role; core funds first, then the lead shelf, then shelves and funds as listed."""
-    order = Window.partitionBy("book", "role").orderBy(F.desc("core"), F.desc(F.col("flavor") == F.col("lead")), "shelf_ord", "file_ord")
-    ranked = _pool(held, universe, open_roles).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    """book, role, lead, place, ticker, flavor, core: up to cap funds of each open role; core funds first, then the lead shelf, then shelves and funds as listed.
+
+    The lead shelf is that of the first core fund that the book does not hold, or of the first fund without one. The
+    universe is ranked once; a book meets only as many of its funds as its menus and its own funds call for.
+    """
+    pool = _near(held, universe, open_roles, cap)
+    role, shelf = Window.partitionBy("book", "role"), Window.partitionBy("book", "role", "flavor")
+    first = F.min(F.when(F.col("core"), F.struct("file_ord", "flavor"))).over(role)
+    pool = pool.withColumn("lead", F.coalesce(first["flavor"], F.min(F.struct("file_ord", "flavor")).over(role)["flavor"])).withColumn("shelf_ord", F.min("file_ord").over(shelf))
+    order = role.orderBy(F.desc("core"), F.desc(F.col("flavor") == F.col("lead")), "shelf_ord", "file_ord")
+    ranked = pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
     return ranked.select("book", "role", "lead", "place", "ticker", "flavor", "core")
 
 
 def more_shelves(held: DataFrame, universe: DataFrame, open_roles: DataFrame, cap: int = SHELF_CAP) -> DataFrame:
-    """book, role, flavor, n: funds of other shelves than the lead that the menu does not show."""
-    shown = menu(held, universe, open_roles, cap).select("book", "ticker")
-    rest = _pool(held, universe, open_roles).where(F.col("flavor") != F.col("lead")).join(shown, ["book", "ticker"], "left_anti")
-    return rest.groupBy("book", "role", "flavor").agg(F.count(F.lit(1)).alias("n"))
+    """book, role, flavor, n: funds of other shelves than the lead that the menu does not show: what the shelves have in all, less the book's own and those shown."""
+    shown = menu(held, universe, open_roles, cap)
+    whole = universe.groupBy("role", "flavor").agg(F.count(F.lit(1)).alias("n"))
+    lead = shown.select("book", "role", "lead").distinct()
+    own = held.select("book", "ticker").distinct().join(universe.select("ticker", "role", "flavor"), "ticker").select("book", "role", "flavor")
+    less = own.unionByName(shown.select("book", "role", "flavor")).groupBy("book", "role", "flavor").agg(F.count(F.lit(1)).alias("less"))
+    rest = lead.join(whole, "role").where("flavor <> lead").join(less, ["book", "role", "flavor"], "left")
+    return rest.select("book", "role", "flavor", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
 
 
 def parse_request(text: str, roles: set[str]) -> tuple[list[tuple[str, str | None]], list[str]]:
@@ -72,7 +129,7 @@ def role_menus(asked: DataFrame, held: DataFrame, universe: DataFrame, satellite
     SHELF_CAP core funds of each shelf, or without core funds the role's first SHELF_CAP. Shelves (book, role, flavor, n)
     are those that no fund is shown of. Errors (book, role, flavor, shelves): a shelf that the role does not have.
     """
-    pool = asked.select("book", "role", F.col("flavor").alias("wanted")).join(F.broadcast(universe), "role").join(held.select("book", "ticker"), ["book", "ticker"], "left_anti")
+    pool = asked.select("book", "role", F.col("flavor").alias("wanted")).join(universe, "role").join(held.select("book", "ticker"), ["book", "ticker"], "left_anti")
     role, shelf = Window.partitionBy("book", "role"), Window.partitionBy("book", "role", "flavor")
     pool = pool.withColumns({"shelves": F.array_sort(F.collect_set("flavor").over(role)), "shelf_ord": F.min("file_ord").over(shelf), "any_core": F.max("core").over(role)})
     is_satellite = F.col("role").isin(*satellites)

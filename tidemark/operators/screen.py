@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio
+from tidemark.functions.scalar import finite, fixed, ratio
 from tidemark.operators import drawdown
+from tidemark.operators.scan import running
+from tidemark.sources.shared import keep
 
 # Thresholds of the checks.
 COST = (0.0020, 0.0050)
@@ -51,14 +53,33 @@ def concentration(top: Column) -> Column:
     return F.when(top.isNull(), "n/a").when(top > MOST_TOP, "warn").otherwise("pass")
 
 
-def fact_checks(facts: DataFrame, today: Column) -> DataFrame:
-    """ticker, check, status of the checks that facts alone decide (one row for each)."""
+def _percent(x: Column, digits: int, plus: bool = False) -> Column:
+    return F.concat(fixed(x * 100, digits, plus), F.lit("%"))
+
+
+def fact_rows(facts: DataFrame, today: Column) -> DataFrame:
+    """ticker, check, status, reason of the checks that facts alone decide (one row for each)."""
+    c, legal, expense, aum, volume, inception, top = (F.col(x) for x in ("category", "legal_type", "expense_ratio", "aum", "avg_volume", "inception", "top_share"))
+    said = lambda x, *parts: F.when(x.isNull(), "not published").otherwise(F.concat(*parts))
+    odd = structure(c, F.lit(None).cast("string")) == "fail"
+    size = F.coalesce(F.concat(F.lit("$"), fixed(aum / 1e6, 0, commas=True), F.lit("M")), F.lit("size unknown"))
+    traded = F.coalesce(F.concat(fixed(volume, 0, commas=True), F.lit(" shares a day")), F.lit("volume unknown"))
+    liquid = liquidity(aum, volume)
+    years = age_years(inception, today)
     made = {
-        "structure": structure(F.col("category"), F.col("legal_type")), "cost": cost(F.col("expense_ratio")), "liquidity": liquidity(F.col("aum"), F.col("avg_volume")),
-        "age": age(F.col("inception"), today), "concentration": concentration(F.col("top_share")),
+        "structure": (structure(c, legal), F.when(c.isNull() & legal.isNull(), "not published").when(F.coalesce(odd, F.lit(False)), F.concat(c, F.lit(": leveraged, inverse or trading"))).when(structure(c, legal) == "fail", F.concat(legal, F.lit(": a note, not a fund"))).otherwise(F.coalesce(legal, c))),
+        "cost": (cost(expense), said(expense, _percent(expense, 2), F.when(expense <= COST[0], " a year").when(expense <= COST[1], " a year, not cheap").otherwise(" a year, expensive"))),
+        "liquidity": (liquid, F.when(liquid == "n/a", "not published").otherwise(F.concat(size, F.lit(", "), traded, F.when(liquid == "fail", ": both too small").when(liquid == "warn", ": one too small").otherwise("")))),
+        "age": (age(inception, today), said(inception, fixed(years, 1), F.when(years < AGE_YEARS[0], " years, too young").when(years < AGE_YEARS[1], " years, young").otherwise(" years"))),
+        "concentration": (concentration(top), said(top, F.lit("largest holdings "), _percent(top, 0), F.when(top > MOST_TOP, ", concentrated").otherwise(""))),
     }
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in made.items()])).alias("c")
-    return facts.select("ticker", rows).select("ticker", "c.check", "c.status")
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status"), r.alias("reason")) for k, (v, r) in made.items()])).alias("c")
+    return facts.select("ticker", rows).select("ticker", "c.check", "c.status", "c.reason")
+
+
+def fact_checks(facts: DataFrame, today: Column) -> DataFrame:
+    """ticker, check, status of fact_rows."""
+    return fact_rows(facts, today).drop("reason")
 
 
 def roll_up(checks: DataFrame) -> DataFrame:
@@ -80,15 +101,56 @@ def correlation(pairs: DataFrame, key: str) -> DataFrame:
 FAR = "9999-12-31"
 
 
-def book_context(book: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For each cut-off day: the book's returns up to it (cut, d, p), and one row of its deepest fall (cut, peak_date, trough_date, book_depth).
+def _as_of_cuts(cuts: DataFrame, context: DataFrame, value: str) -> DataFrame:
+    """cut and the last value at or before it, of distinct cuts and of a context (d, value) of one row a day."""
+    both = context.select(F.lit(0).alias("one"), "d", value, F.lit(0).alias("is_cut")).unionByName(cuts.select("cut").distinct().select(F.lit(0).alias("one"), F.col("cut").alias("d"), F.lit(None).cast(context.schema[value].dataType).alias(value), F.lit(1).alias("is_cut")))
+    found = running(both, ("one",), {"last_": ("last", F.col(value))}, ties=("is_cut",)).where("is_cut = 1")
+    return found.select(F.col("d").alias("cut"), F.col("last_").alias(value))
+
+
+def book_falls(book: DataFrame) -> DataFrame:
+    """d, fall (depth, trough, peak): the book's deepest fall up to each day, of its returns (d, r): one run for any number of cut-offs."""
+    levels = drawdown.with_base(book.select(F.lit(0).alias("one"), "d", "r"), "one")
+    topped = running(levels, ("one",), {"top": ("max", F.struct("x", (-F.unix_date("d")).alias("back")))})
+    drop = F.struct((ratio(F.col("x"), F.col("top.x")) - 1).alias("depth"), F.col("d").alias("trough"), F.date_from_unix_date(-F.col("top.back")).alias("peak"))
+    return running(topped.select("one", "d", drop.alias("drop")), ("one",), {"fall": ("min", F.col("drop"))}).select("d", "fall")
+
+
+def held_falls(series: DataFrame, held: DataFrame) -> DataFrame:
+    """d, worst (depth, peer): the deepest fall of any held fund up to each day (series: ticker, d, dd; held: ticker)."""
+    by_day = series.join(held.select("ticker").distinct(), "ticker", "left_semi").groupBy("d").agg(F.min(F.struct(F.col("dd").alias("depth"), F.col("ticker").alias("peer"))).alias("day"))
+    return running(by_day.withColumn("one", F.lit(0)), ("one",), {"worst": ("min", F.col("day"))}).select("d", "worst")
 
-    book: d, r; cuts: cut, as many rows as there are different days, FAR for no cut-off.
+
+def with_falls(closes: DataFrame) -> DataFrame:
+    """ticker, d, close, r, dd of closes: the change to the close before, and how far a close lies below the highest so far."""
+    line = Window.partitionBy("ticker").orderBy("d")
+    own = running(closes.select("ticker", "d", "close"), ("ticker",), {"top_": ("max", F.col("close"))})
+    return own.select("ticker", "d", "close", (ratio(F.col("close"), F.lag("close").over(line)) - 1).alias("r"), (ratio(F.col("close"), F.col("top_")) - 1).alias("dd"))
+
+
+def series_figures(series: DataFrame, cuts: DataFrame, book: DataFrame) -> DataFrame:
+    """ticker, cut, fall, n, rho, n_red, red_rho, dd_return, years, depth, trough of every candidate, from its days up to its cut.
+
+    series: as with_falls, of candidates; cuts: ticker, cut; book: d, r. Every figure is an aggregate of one pass over the
+    candidates' days beside the book's of the same day; what the book had fallen by then is looked up for each cut.
     """
-    own = book.select("d", F.col("r").alias("p")).join(F.broadcast(cuts.select("cut").distinct()), F.col("d") <= F.col("cut"))
-    levels = drawdown.with_base(own.withColumnRenamed("p", "r"), "cut")
-    walk = drawdown.walk(drawdown.curve(levels, "cut"), "cut").select("cut", "peak_date", "trough_date", F.col("depth").alias("book_depth"))
-    return own, walk
+    falls = _as_of_cuts(cuts, book_falls(book), "fall")
+    asked = cuts.join(falls, "cut", "left")
+    days = series.join(asked, "ticker").where("d <= cut").join(book.select("d", F.col("r").alias("p")), "d", "left")
+    both = F.col("r").isNotNull() & F.col("p").isNotNull()
+    c, p = F.when(both, F.col("r")), F.when(both, F.col("p"))
+    red = p < 0
+    through = both & F.col("d").between(F.col("fall.peak"), F.col("fall.trough"))
+    sums = days.groupBy("ticker").agg(
+        F.max("cut").alias("cut"), F.first("fall", ignorenulls=True).alias("fall"), F.count_if(both).alias("n"), F.corr(c, p).alias("rho"), F.count_if(red).alias("n_red"), F.corr(F.when(red, c), F.when(red, p)).alias("red_rho"),
+        F.product(F.when(through, 1 + c)).alias("through"), F.min("d").alias("from"), F.max("d").alias("to"), F.min(F.struct("dd", "d")).alias("deep"),
+    )
+    return sums.select("ticker", "cut", "fall", "n", finite(F.col("rho")).alias("rho"), "n_red", F.when(F.col("n_red") >= LEAST_RED, finite(F.col("red_rho"))).alias("red_rho"), (F.col("through") - 1).alias("dd_return"), (F.datediff("to", "from") / 365.25).alias("years"), F.col("deep.dd").alias("depth"), F.col("deep.d").alias("trough"))
+
+
+def diversifier_status(n: Column, rho: Column, red_rho: Column) -> Column:
+    return F.when((n < LEAST_COMMON) | rho.isNull(), "n/a").when(rho > RHO[1], "fail").when((rho > RHO[0]) | F.coalesce(red_rho - rho > RHO_RISE, F.lit(False)), "warn").otherwise("pass")
 
 
 def diversifier(candidates: DataFrame, book: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
@@ -96,27 +158,24 @@ def diversifier(candidates: DataFrame, book: DataFrame, cuts: DataFrame | None =
 
     dd_return is the return through the book's deepest fall. The correlation on the book's red days needs LEAST_RED of
     them, and turns a pass into a warning if it lies far above the other. cuts (ticker, cut): the last day that is looked
-    at for a candidate, in its own returns and in the book's; candidates without one see everything.
+    at for a candidate, in its own returns and in the book's; candidates without one see everything. Candidates without
+    a day in common have no row.
     """
     far = F.lit(FAR).cast("date")
-    own = candidates.withColumn("cut", far) if cuts is None else candidates.join(cuts, "ticker", "left").withColumn("cut", F.coalesce("cut", far)).where("d <= cut")
-    returns, walk = book_context(book, own.select("cut").distinct())
-    both = own.select("ticker", "cut", "d", F.col("r").alias("c")).join(returns, ["cut", "d"])
-    whole = correlation(both, "ticker")
-    red = correlation(both.where("p < 0"), "ticker").where(F.col("n") >= LEAST_RED).select("ticker", F.col("rho").alias("red_rho"))
-    through = both.join(F.broadcast(walk), "cut").where("d between peak_date and trough_date").groupBy("ticker").agg((F.product(1 + F.col("c")) - 1).alias("dd_return"))
-    out = whole.join(red, "ticker", "left").join(through, "ticker", "left")
-    rho = F.col("rho")
-    status = F.when((F.col("n") < LEAST_COMMON) | rho.isNull(), "n/a").when(rho > RHO[1], "fail").when((rho > RHO[0]) | F.coalesce(F.col("red_rho") - rho > RHO_RISE, F.lit(False)), "warn").otherwise("pass")
-    return out.withColumn("status", status)
+    asked = candidates.select("ticker").distinct()
+    own = asked.withColumn("cut", far) if cuts is None else asked.join(cuts, "ticker", "left").withColumn("cut", F.coalesce("cut", far))
+    found = series_figures(candidates.withColumn("dd", F.lit(0.0)), own, book).where("n > 0")
+    return found.select("ticker", "n", "rho", "red_rho", "dd_return", diversifier_status(F.col("n"), F.col("rho"), F.col("red_rho")).alias("status"))
+
+
+def own_drawdown_status(years: Column, depth: Column, held_worst: Column) -> Column:
+    return F.when(years < OWN_YEARS, "n/a").when(depth >= 0, "pass").when((held_worst < 0) & (depth < held_worst), "warn").when(depth <= OWN_DEPTH, "warn").otherwise("pass")
 
 
 def own_drawdown(levels: DataFrame, held_worst: Column) -> DataFrame:
     """ticker, years, depth and status: the candidates' own worst falls (levels: ticker, d, x) against the worst of what is held."""
     deep = drawdown.curve(levels, "ticker").groupBy("ticker").agg((F.datediff(F.max("d"), F.min("d")) / 365.25).alias("years"), F.min("dd").alias("depth"))
-    d = F.col("depth")
-    status = F.when(F.col("years") < OWN_YEARS, "n/a").when(d >= 0, "pass").when((held_worst < 0) & (d < held_worst), "warn").when(d <= OWN_DEPTH, "warn").otherwise("pass")
-    return deep.withColumn("status", status)
+    return deep.withColumn("status", own_drawdown_status(F.col("years"), F.col("depth"), held_worst))
 
 
 def overlaps(candidates: DataFrame, held: DataFrame, look_through: DataFrame) -> DataFrame:
@@ -134,7 +193,7 @@ def overlaps(candidates: DataFrame, held: DataFrame, look_through: DataFrame) ->
     known = own.select("ticker").distinct().withColumn("known", F.lit(True))
     comparable = theirs.agg((F.count(F.lit(1)) > 0).alias("comparable"))
     same = held.where("trim(category) <> ''").groupBy("category").agg(F.min("ticker").alias("same_ticker"))
-    out = candidates.select("ticker", "category").dropDuplicates(["ticker"]).join(known, "ticker", "left").join(best, "ticker", "left").join(same, "category", "left").crossJoin(F.broadcast(comparable))  # one row
+    out = candidates.groupBy("ticker").agg(F.min("category").alias("category")).join(known, "ticker", "left").join(best, "ticker", "left").join(same, "category", "left").crossJoin(F.broadcast(comparable))  # one row
     out = out.withColumn("overlap", F.when(F.col("known") & F.col("comparable"), F.coalesce("overlap", F.lit(0.0))))
     shared = F.when(F.col("overlap") >= OVERLAP[1], "fail").when(F.col("overlap") >= OVERLAP[0], "warn").otherwise("pass")
     status = F.when(F.col("overlap").isNotNull(), shared).when(F.col("same_ticker").isNotNull(), "warn").otherwise("n/a")
@@ -155,26 +214,51 @@ def cutoffs(candidates: DataFrame, book_end: DataFrame, judged: DataFrame) -> Da
     return candidates.select("ticker").distinct().join(judged.select("ticker", F.col("in_sample_end").alias("own_end")), "ticker", "left").crossJoin(F.broadcast(book_end.select("in_sample_end"))).select("ticker", F.least("own_end", "in_sample_end").alias("cut"))  # one row
 
 
-def screen(candidates: DataFrame, facts: DataFrame, held: DataFrame, look_through: DataFrame, closes: DataFrame, book: DataFrame, today: Column, held_worst: Column, role: DataFrame | None = None, book_end: DataFrame | None = None) -> DataFrame:
-    """ticker, check, status of every check of every candidate.
+def screen(candidates: DataFrame, facts: DataFrame, held: DataFrame, look_through: DataFrame, closes: DataFrame, book: DataFrame, today: Column, role: DataFrame | None = None, book_end: DataFrame | None = None) -> DataFrame:
+    """ticker, check, status, reason of every check of every candidate.
 
-    candidates: ticker; facts: as in fact_checks, for candidates and held funds; held: ticker; closes: ticker, d, close;
-    book: d, r. With role (ticker, verdict, in_sample_end) the screen stands before a held-out verdict: checks of returns
-    then end at the cut-off of cutoffs(), and the verdict is a check itself. Without, everything is looked at. A candidate
-    without facts or prices gets n/a where they are needed.
+    candidates: ticker; held: ticker; facts: as in fact_rows, and look_through: of candidates and held funds, in one table
+    each; closes: ticker, d, close, of both; book: d, r. A fall is held against the deepest one that any held fund had
+    had by then. With role (ticker, verdict, in_sample_end, and reason if there is one) the screen stands before a
+    held-out verdict: checks of returns then end at the cut-off of cutoffs(), which their reasons name, and the verdict is
+    a check itself. Without, everything is looked at. A candidate without facts or prices gets n/a where they are needed.
+    Closes are read once and run through once; all figures of a candidate come from one aggregation.
     """
     asked = candidates.select("ticker").distinct()
     known = asked.join(facts, "ticker", "left")
-    cuts = None if role is None else cutoffs(asked, book_end, role).where("cut is not null")
-    own = closes.join(asked, "ticker", "left_semi")
-    if cuts is not None:
-        own = own.join(cuts, "ticker", "left").where("cut is null or d <= cut").select("ticker", "d", "close")
-    moves = diversifier(drawdown.pct_change(own, "ticker"), book, cuts)
-    deep = own_drawdown(own.withColumnRenamed("close", "x"), held_worst)
-    shared = overlaps(known.select("ticker", "category"), held.join(facts, "ticker", "left").select("ticker", "category"), look_through)
-    row = lambda df, name: asked.join(df.select("ticker", "status"), "ticker", "left").select("ticker", F.lit(name).alias("check"), F.coalesce("status", F.lit("n/a")).alias("status"))
-    out = fact_checks(known, today).unionByName(novelty(asked, held)).unionByName(row(moves, "diversifier")).unionByName(row(deep, "own_drawdown")).unionByName(row(shared, "overlap"))
-    return out if role is None else out.unionByName(row(role.withColumn("status", role_row(F.col("verdict"))), "role"))
+    far = F.lit(FAR).cast("date")
+    cuts = asked.withColumn("cut", far) if role is None else cutoffs(asked, book_end, role).withColumn("cut", F.coalesce("cut", far))
+    series = keep(with_falls(closes.join(asked.unionByName(held.select("ticker")).distinct(), "ticker", "left_semi")), "series")
+    cuts = keep(cuts, "cuts")
+    figures = series_figures(series, cuts, book).join(_as_of_cuts(cuts, held_falls(series, held), "worst"), "cut", "left")
+    note = F.when(F.col("cut") < far, F.concat(F.lit(" [in-sample through "), F.col("cut").cast("string"), F.lit("]"))).otherwise("")
+    none = F.lit("no usable price history")
+    n, rho, red, depth, peer = F.col("n"), F.col("rho"), F.col("red_rho"), F.col("depth"), F.col("worst.depth")
+    moves = F.concat(
+        F.lit("correlation "), fixed(rho, 2, plus=True), F.lit(" over "), n.cast("string"), F.lit(" days"), F.coalesce(F.concat(F.lit(", "), fixed(red, 2, plus=True), F.lit(" on red ones")), F.lit("")),
+        F.coalesce(F.concat(F.lit("; "), _percent(F.col("dd_return"), 1, True), F.lit(" while the book fell "), _percent(F.col("fall.depth"), 1), F.lit(" from "), F.col("fall.peak").cast("string"), F.lit(" to "), F.col("fall.trough").cast("string")), F.lit("")),
+    )
+    moves = F.when(n < LEAST_COMMON, F.concat(F.lit("only "), n.cast("string"), F.lit(" common days"))).when(rho.isNull(), "nothing varies").otherwise(moves)
+    status = own_drawdown_status(F.col("years"), depth, peer)
+    fell = F.concat(F.lit("fell "), _percent(depth, 1), F.lit(" by "), F.col("trough").cast("string"), F.lit(" in "), fixed(F.col("years"), 1), F.lit(" years"))
+    against = F.when((peer < 0) & (depth < peer), F.concat(F.lit(", deeper than all that is held, "), F.col("worst.peer"), F.lit(" with "), _percent(peer, 1))).when(peer < 0, F.concat(F.lit("; "), F.col("worst.peer"), F.lit(" of what is held fell "), _percent(peer, 1)))
+    falls = F.when(F.col("years") < OWN_YEARS, F.concat(F.lit("only "), fixed(F.col("years"), 1), F.lit(" years of history"))).when(depth >= 0, "no fall").otherwise(F.concat(fell, F.coalesce(against, F.lit(""))))
+    rows = F.explode(F.array(
+        F.struct(F.lit("diversifier").alias("check"), F.coalesce(diversifier_status(n, rho, red), F.lit("n/a")).alias("status"), F.coalesce(F.concat(moves, note), none).alias("reason")),
+        F.struct(F.lit("own_drawdown").alias("check"), F.coalesce(status, F.lit("n/a")).alias("status"), F.coalesce(F.concat(falls, note), none).alias("reason")),
+    )).alias("c")
+    priced = asked.join(figures, "ticker", "left").select("ticker", rows).select("ticker", "c.*")
+    priced = priced.withColumn("status", F.when(F.col("reason") == none, "n/a").otherwise(F.col("status")))
+    lap = overlaps(known.select("ticker", "category"), held.join(facts, "ticker", "left").select("ticker", "category"), look_through)
+    share = F.when(F.col("overlap") == 0, "nothing in common with what is held").otherwise(F.concat(_percent(F.col("overlap"), 0), F.lit(" in common with "), F.col("held_ticker")))
+    shared = F.when(F.col("overlap").isNotNull(), share).when(F.col("held_ticker").isNotNull(), F.concat(F.lit("of the same category as "), F.col("held_ticker"))).otherwise("no holdings to compare")
+    out = fact_rows(known, today).unionByName(novelty(asked, held).withColumn("reason", F.lit("held already"))).unionByName(priced)
+    out = out.unionByName(lap.select("ticker", F.lit("overlap").alias("check"), "status", shared.alias("reason")))
+    if role is None:
+        return out
+    word = F.col("reason") if "reason" in role.columns else F.col("verdict")
+    judged = asked.join(role.select("ticker", role_row(F.col("verdict")).alias("status"), word.alias("reason")), "ticker", "left")
+    return out.unionByName(judged.select("ticker", F.lit("role").alias("check"), F.coalesce("status", F.lit("n/a")).alias("status"), F.coalesce("reason", F.lit("no role check")).alias("reason")))
 
 
 def role_row(verdict: Column) -> Column:

@@ -111,24 +111,47 @@ def _fund_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLE_SQL = "rl AS (SELECT 'S' || s_suppkey AS ticker, ['improved', 'worsened', 'inconclusive', 'insufficient'][1 + s_nationkey % 4] AS verdict, CASE WHEN s_nationkey % 4 < 3 THEN (DATE '1999-01-04' + s_nationkey * 7)::DATE END AS own_end FROM supplier WHERE s_nationkey <> 3)"
 
 
-@query(
-    f"{simulated('quarter')}, {BOOK}, {sql.SUPPLIER_PX}, {OVERLAP_SQL}, {FUND_SQL}, {ROLE_SQL}, be AS (SELECT max(d) FILTER (WHERE k = n - floor(n * 0.3::DOUBLE)) AS e FROM (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM book WHERE p IS NOT NULL)),"
-    " ask AS (SELECT 'S' || s_suppkey AS ticker FROM supplier), ct AS (SELECT ask.ticker, least(coalesce(own_end, e), e) AS cut FROM ask LEFT JOIN rl USING (ticker), be),"
-    " cl AS (SELECT s.* FROM spx s JOIN ct USING (ticker) WHERE s.d <= cut), cr AS (SELECT ticker, d, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS c FROM cl),"
-    " j AS (SELECT ticker, d, c, p FROM cr JOIN book USING (d) WHERE c IS NOT NULL AND p IS NOT NULL), a AS (SELECT ticker, count(*) AS n, corr(c, p) AS rho FROM j GROUP BY 1), rd AS (SELECT ticker, corr(c, p) AS red_rho FROM j WHERE p < 0 GROUP BY 1 HAVING count(*) >= 20),"
-    " dv AS (SELECT ticker, CASE WHEN n < 60 OR rho IS NULL THEN 'n/a' WHEN rho > 0.85 THEN 'fail' WHEN rho > 0.6 OR coalesce(red_rho - rho > 0.15, FALSE) THEN 'warn' ELSE 'pass' END AS status FROM a LEFT JOIN rd USING (ticker)),"
-    " dp AS (SELECT ticker, date_diff('day', min(d), max(d)) / 365.25::DOUBLE AS years, min(dd) AS depth FROM (SELECT ticker, d, close / max(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd FROM cl) GROUP BY 1),"
-    " od AS (SELECT ticker, CASE WHEN years < 2 THEN 'n/a' WHEN depth >= 0 THEN 'pass' WHEN depth < -0.35::DOUBLE THEN 'warn' WHEN depth <= -0.3::DOUBLE THEN 'warn' ELSE 'pass' END AS status FROM dp),"
-    " same2 AS (SELECT s_nationkey, min('S' || s_suppkey) AS t FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1), p2 AS (SELECT a.ticker, round(sum(least(a.w, b.w)), 12) AS o, b.ticker AS ht FROM h a JOIN h b USING (symbol) WHERE b.l_suppkey % 2 = 1 GROUP BY a.ticker, b.ticker), b2 AS (SELECT ticker, max(o) AS o FROM p2 GROUP BY 1),"
-    " lp AS (SELECT 'S' || s_suppkey AS ticker, CASE WHEN hk.ticker IS NULL THEN CASE WHEN t IS NOT NULL THEN 'warn' ELSE 'n/a' END WHEN coalesce(o, 0) >= 0.7 THEN 'fail' WHEN coalesce(o, 0) >= 0.4 THEN 'warn' ELSE 'pass' END AS status FROM supplier LEFT JOIN (SELECT DISTINCT ticker FROM h) hk ON hk.ticker = 'S' || s_suppkey LEFT JOIN b2 ON b2.ticker = 'S' || s_suppkey LEFT JOIN same2 USING (s_nationkey)),"
-    f" fy AS (SELECT *, greatest(date_diff('day', inception, DATE '{TODAY}'), 0) / 365.25::DOUBLE AS y FROM fund),"
-    " res AS (SELECT ticker, 'structure' AS \"check\", 'pass' AS status FROM fy UNION ALL SELECT ticker, 'cost', CASE WHEN expense_ratio <= 0.002::DOUBLE THEN 'pass' WHEN expense_ratio <= 0.005::DOUBLE THEN 'warn' ELSE 'fail' END FROM fy UNION ALL SELECT ticker, 'liquidity', CASE WHEN aum < 1e8 AND avg_volume < 1e5 THEN 'fail' WHEN aum < 1e8 OR avg_volume < 1e5 THEN 'warn' ELSE 'pass' END FROM fy"
-    " UNION ALL SELECT ticker, 'age', CASE WHEN y < 1 THEN 'fail' WHEN y < 3 THEN 'warn' ELSE 'pass' END FROM fy UNION ALL SELECT ticker, 'concentration', CASE WHEN top_share IS NULL THEN 'n/a' WHEN top_share > 0.5::DOUBLE THEN 'warn' ELSE 'pass' END FROM fy"
-    " UNION ALL SELECT ticker, 'novelty', 'fail' FROM fy WHERE s_suppkey % 2 = 1 UNION ALL SELECT ticker, 'diversifier', coalesce(status, 'n/a') FROM ask LEFT JOIN dv USING (ticker) UNION ALL SELECT ticker, 'own_drawdown', coalesce(status, 'n/a') FROM ask LEFT JOIN od USING (ticker)"
-    " UNION ALL SELECT ticker, 'overlap', status FROM lp UNION ALL SELECT ticker, 'role', CASE verdict WHEN 'improved' THEN 'pass' WHEN 'worsened' THEN 'fail' ELSE 'n/a' END FROM ask LEFT JOIN rl USING (ticker)) SELECT * FROM res"
-)
+SCREEN_SQL = f"""{simulated('quarter')}, {BOOK}, {sql.SUPPLIER_PX}, {OVERLAP_SQL}, {FUND_SQL}, {ROLE_SQL},
+be AS (SELECT max(d) FILTER (WHERE k = n - floor(n * 0.3::DOUBLE)) AS e FROM (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM book WHERE p IS NOT NULL)),
+ask AS (SELECT 'S' || s_suppkey AS ticker FROM supplier), ct AS (SELECT ask.ticker, least(coalesce(own_end, e), e) AS cut FROM ask LEFT JOIN rl USING (ticker), be),
+sr AS (SELECT ticker, d, close / lag(close) OVER w - 1 AS c, close / max(close) OVER w - 1 AS dd FROM spx WINDOW w AS (PARTITION BY ticker ORDER BY d)),
+bl AS (SELECT d, product(1 + p) OVER (ORDER BY d) AS x FROM book WHERE p IS NOT NULL UNION ALL SELECT (min(d) - INTERVAL 1 DAY)::DATE, 1.0::DOUBLE FROM book WHERE p IS NOT NULL),
+bd AS (SELECT d, x / max(x) OVER (ORDER BY d) - 1 AS dd, arg_min(d, (-x, d)) OVER (ORDER BY d) AS peak FROM bl),
+wk AS (SELECT cut, arg_min((dd, d, peak), (dd, d)) AS f FROM (SELECT DISTINCT cut FROM ct) JOIN bd ON bd.d <= cut GROUP BY 1),
+hw AS (SELECT cut, min((sr.dd, sr.ticker)) AS worst FROM (SELECT DISTINCT cut FROM ct) JOIN sr ON sr.d <= cut WHERE substr(sr.ticker, 2)::INTEGER % 2 = 1 GROUP BY 1),
+cl AS (SELECT sr.ticker, sr.d, c, dd, p, cut, f FROM sr JOIN ct USING (ticker) LEFT JOIN wk USING (cut) LEFT JOIN book ON book.d = sr.d WHERE sr.d <= cut),
+fig AS (SELECT ticker, any_value(cut) AS cut, any_value(f) AS f, count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL) AS n, corr(c, p) AS rho, CASE WHEN count(*) FILTER (WHERE c IS NOT NULL AND p < 0) >= 20 THEN corr(c, p) FILTER (WHERE p < 0) END AS red,
+ product(1 + c) FILTER (WHERE p IS NOT NULL AND c IS NOT NULL AND d BETWEEN f[3] AND f[2]) - 1 AS thr, date_diff('day', min(d), max(d)) / 365.25::DOUBLE AS y, min((dd, d)) AS deep FROM cl GROUP BY 1),
+fg AS (SELECT fig.*, deep[1] AS depth, worst[1] AS pd, worst[2] AS peer, ' [in-sample through ' || fig.cut || ']' AS note FROM fig LEFT JOIN hw ON hw.cut = fig.cut),
+dv AS (SELECT ticker, CASE WHEN n < 60 OR rho IS NULL THEN 'n/a' WHEN rho > 0.85 THEN 'fail' WHEN rho > 0.6 OR coalesce(red - rho > 0.15, FALSE) THEN 'warn' ELSE 'pass' END AS status,
+ CASE WHEN n < 60 THEN 'only ' || n || ' common days' WHEN rho IS NULL THEN 'nothing varies' ELSE 'correlation ' || printf('%+.2f', rho) || ' over ' || n || ' days' || coalesce(printf(', %+.2f on red ones', red), '')
+  || coalesce(printf('; %+.1f%% while the book fell %.1f%% from ', thr * 100, f[1] * 100) || f[3]::DATE || ' to ' || f[2]::DATE, '') END || note AS reason FROM fg),
+od AS (SELECT ticker, CASE WHEN y < 2 THEN 'n/a' WHEN depth >= 0 THEN 'pass' WHEN depth < pd THEN 'warn' WHEN depth <= -0.3::DOUBLE THEN 'warn' ELSE 'pass' END AS status,
+ CASE WHEN y < 2 THEN printf('only %.1f years of history', y) WHEN depth >= 0 THEN 'no fall' ELSE printf('fell %.1f%% by ', depth * 100) || deep[2]::DATE || printf(' in %.1f years', y)
+  || CASE WHEN pd < 0 AND depth < pd THEN ', deeper than all that is held, ' || peer || printf(' with %.1f%%', pd * 100) WHEN pd < 0 THEN '; ' || peer || printf(' of what is held fell %.1f%%', pd * 100) ELSE '' END END || note AS reason FROM fg),
+same2 AS (SELECT s_nationkey, min('S' || s_suppkey) AS t FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1),
+p2 AS (SELECT a.ticker, round(sum(least(a.w, b.w)), 12) AS o, b.ticker AS ht FROM h a JOIN h b USING (symbol) WHERE b.l_suppkey % 2 = 1 GROUP BY a.ticker, b.ticker), b2 AS (SELECT ticker, max(o) AS o, arg_min(ht, (-o, ht)) AS ht FROM p2 GROUP BY 1),
+lp AS (SELECT 'S' || s_suppkey AS ticker, CASE WHEN hk.ticker IS NULL THEN CASE WHEN t IS NOT NULL THEN 'warn' ELSE 'n/a' END WHEN coalesce(o, 0) >= 0.7 THEN 'fail' WHEN coalesce(o, 0) >= 0.4 THEN 'warn' ELSE 'pass' END AS status,
+ CASE WHEN hk.ticker IS NULL THEN coalesce('of the same category as ' || t, 'no holdings to compare') WHEN coalesce(o, 0) = 0 THEN 'nothing in common with what is held' ELSE printf('%.0f%% in common with ', o * 100) || ht END AS reason
+ FROM supplier LEFT JOIN (SELECT DISTINCT ticker FROM h) hk ON hk.ticker = 'S' || s_suppkey LEFT JOIN b2 ON b2.ticker = 'S' || s_suppkey LEFT JOIN same2 USING (s_nationkey)),
+fy AS (SELECT *, greatest(date_diff('day', inception, DATE '{TODAY}'), 0) / 365.25::DOUBLE AS y FROM fund),
+res AS (SELECT ticker, 'structure' AS "check", 'pass' AS status, category AS reason FROM fy
+ UNION ALL SELECT ticker, 'cost', CASE WHEN expense_ratio <= 0.002::DOUBLE THEN 'pass' WHEN expense_ratio <= 0.005::DOUBLE THEN 'warn' ELSE 'fail' END, printf('%.2f%%', expense_ratio * 100) || CASE WHEN expense_ratio <= 0.002::DOUBLE THEN ' a year' WHEN expense_ratio <= 0.005::DOUBLE THEN ' a year, not cheap' ELSE ' a year, expensive' END FROM fy
+ UNION ALL SELECT ticker, 'liquidity', CASE WHEN aum < 1e8 AND avg_volume < 1e5 THEN 'fail' WHEN aum < 1e8 OR avg_volume < 1e5 THEN 'warn' ELSE 'pass' END,
+  '$' || printf('%.0f', aum / 1e6) || 'M, ' || format('{{:,}}', avg_volume::BIGINT) || ' shares a day' || CASE WHEN aum < 1e8 AND avg_volume < 1e5 THEN ': both too small' WHEN aum < 1e8 OR avg_volume < 1e5 THEN ': one too small' ELSE '' END FROM fy
+ UNION ALL SELECT ticker, 'age', CASE WHEN y < 1 THEN 'fail' WHEN y < 3 THEN 'warn' ELSE 'pass' END, printf('%.1f years', y) || CASE WHEN y < 1 THEN ', too young' WHEN y < 3 THEN ', young' ELSE '' END FROM fy
+ UNION ALL SELECT ticker, 'concentration', CASE WHEN top_share IS NULL THEN 'n/a' WHEN top_share > 0.5::DOUBLE THEN 'warn' ELSE 'pass' END, coalesce(printf('largest holdings %.0f%%', top_share * 100) || CASE WHEN top_share > 0.5::DOUBLE THEN ', concentrated' ELSE '' END, 'not published') FROM fy
+ UNION ALL SELECT ticker, 'novelty', 'fail', 'held already' FROM fy WHERE s_suppkey % 2 = 1
+ UNION ALL SELECT ticker, 'diversifier', coalesce(status, 'n/a'), coalesce(reason, 'no usable price history') FROM ask LEFT JOIN dv USING (ticker)
+ UNION ALL SELECT ticker, 'own_drawdown', coalesce(status, 'n/a'), coalesce(reason, 'no usable price history') FROM ask LEFT JOIN od USING (ticker)
+ UNION ALL SELECT ticker, 'overlap', status, reason FROM lp
+ UNION ALL SELECT ticker, 'role', CASE verdict WHEN 'improved' THEN 'pass' WHEN 'worsened' THEN 'fail' ELSE 'n/a' END, coalesce(verdict, 'no role check') FROM ask LEFT JOIN rl USING (ticker))
+SELECT * FROM res"""
+
+
+@query(SCREEN_SQL)
 def screen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every check of every supplier's fund, before a held-out verdict: returns are looked at up to each candidate's own cut-off."""
+    """Every check of every supplier's fund with its reason, before a held-out verdict: returns are looked at up to each candidate's own cut-off."""
     from tidemark.operators import simulate
 
     supplier = adapters.table(spark, sf_dir, "supplier")
@@ -137,7 +160,7 @@ def screen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = supplier.where("s_nationkey <> 3").select(ticker.alias("ticker"), F.get(words, nation % 4).alias("verdict"), F.when(nation % 4 < 3, F.date_add(F.lit("1999-01-04").cast("date"), nation * 7)).alias("in_sample_end"))
     book = drawdown.pct_change(_book_curve(spark, sf_dir), "leg", "v")
     end = simulate.split_days(book.select("leg", "d")).select("in_sample_end")
-    return screen.screen(supplier.select(ticker.alias("ticker")), _fund_facts(spark, sf_dir), _funds(spark, sf_dir, True).select("ticker"), _holdings(spark, sf_dir), adapters.supplier_prices(spark, sf_dir), book.select("d", "r"), F.lit(TODAY).cast("date"), F.lit(-0.35), role, end)
+    return screen.screen(supplier.select(ticker.alias("ticker")), _fund_facts(spark, sf_dir), _funds(spark, sf_dir, True).select("ticker"), _holdings(spark, sf_dir), adapters.supplier_prices(spark, sf_dir), book.select("d", "r"), F.lit(TODAY).cast("date"), role, end)
 
 
 #: Roles under this share count as gaps: with six roles of about equal size none lies under the default.
