@@ -49,7 +49,7 @@ MARKED_LOG = 16
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP_WORDS = 16
 #: Nodes of a shingle that meet each other in the rounds after the first, and in the last one, crowd by crowd.
-CROWDS, LAST_CROWD = (16, 256), 512
+CROWDS, LAST_CROWD = (64, 4096), 1024
 CHUNK = 4 << 20
 #: Shingles that a task counts before it hands them on.
 COUNTED = 3_000_000
