@@ -629,3 +629,72 @@ def test_held_out_clause_tells_a_years_return_from_126_returns_on(spark, n, told
     w, o = plain["with"], plain["without"]
     expected = f"Ulcer {w[0]:.2f}% vs {o[0]:.2f}% without; CDaR {w[1]:.2f}% vs {o[1]:.2f}%; max DD {w[2]:.1f}% vs {o[2]:.1f}% (context)"
     assert clause == expected + (f"; return {w[3]:+.1f}% vs {o[3]:+.1f}%/yr ({w[3] - o[3]:+.1f}pp, context)" if told else "")
+
+
+def test_brief_claims(spark):
+    day = lambda k: D(2024, 1, k)
+    totals = spark.createDataFrame([("b", 1234.5, 900.0, 950.0, 284.5, -10.0, 274.5, 3), ("c", 0.0, 0.0, 0.0, 0.0, 5.0, 5.0, 0)], "book string, value double, priced_cost double, cost_basis double, unrealized double, realized double, net double, n_priced long")
+    summary = spark.createDataFrame([("b", day(1), D(2025, 1, 1), 0.1, None, 0.12, 0.2), ("c", day(1), day(1), None, float("nan"), None, None)], "book string, period_start date, asof_date date, money_weighted double, modified_dietz double, twr double, twr_cumulative double")
+    risk = spark.createDataFrame([("b", -0.0984, day(2), day(5), None, 40, 0.5, 0.024, 0.0667, 1.55, None, 1.73)], "book string, depth double, peak_date date, trough_date date, recovery_date date, duration_days int, underwater double, ulcer double, cdar double, sharpe double, sortino double, calmar double")
+    given = spark.createDataFrame([("b", -321.4)], "book string, depth double")
+    rows = fence.brief_claims(totals, summary, risk, given).collect()
+    got = {r["token"]: (r["rendered"], r["band"]) for r in rows if r["book"] == "b"}
+    assert got == {
+        "total_market_value": ("$1,234", None), "unrealized_pnl": ("$284", None), "net_pnl": ("$274", None), "n_holdings": ("3", None), "total_cost_basis": ("$950", None), "realized_pnl": ("-$10", None),
+        "twr_annual": ("+12.00%", "healthy"), "mwr_annual": ("+10.00%", "healthy"), "period_start": ("2024-01-01", None), "period_end": ("2025-01-01", None), "period_years": ("1.00y", None),
+        "max_drawdown": ("-9.84%", "moderate"), "drawdown_peak_date": ("2024-01-02", None), "drawdown_trough_date": ("2024-01-05", None), "drawdown_duration_days": ("40 days", None), "time_underwater_pct": ("50%", None),
+        "ulcer": ("2.40%", "moderate"), "cdar": ("6.67%", "moderate"), "sharpe": ("+1.55", "solid"), "calmar": ("+1.73", "solid"), "gains_given_back": ("-$321", None),
+    }
+    assert {r["token"] for r in rows if r["book"] == "c"} == {"realized_pnl"}
+
+
+def test_returns_lines(spark):
+    summary = spark.createDataFrame([("b", D(2024, 1, 1), D(2024, 3, 1), 0.1, None, None, 0.05), ("c", D(2023, 1, 1), D(2024, 3, 1), None, 0.07, 0.2, 0.25)], "book string, period_start date, asof_date date, money_weighted double, modified_dietz double, twr double, twr_cumulative double")
+    left = spark.createDataFrame([("c", "Z"), ("c", "A"), ("c", "A")], "book string, ticker string")
+    got = {}
+    for r in report.returns_lines(summary, left).orderBy("book", "place").collect():
+        got.setdefault(r["book"], []).append((r["metric"], r["v"]))
+    assert got["b"] == [("Period", "2024-01-01 to 2024-03-01 (60 days, 0.16 years)"), ("Time-weighted", "n/a"), ("Time-weighted so far, not for a year", "+5.00%"), ("Money-weighted", "+10.00%"), ("Modified Dietz", "n/a")]
+    assert got["c"][1:] == [("Time-weighted", "+20.00%"), ("Money-weighted", "n/a"), ("Modified Dietz", "+7.00%"), ("Left out of time-weighted returns and risk", "A, Z")]
+
+
+def test_no_rebalancing_over_part_of_a_book(spark):
+    held = spark.createDataFrame([("b", "A", 60.0), ("b", "B", 40.0), ("c", "A", 10.0), ("c", "X", 5.0), ("c", "N", 5.0)], "book string, ticker string, value double")
+    prices = spark.createDataFrame([("A", 2.0), ("B", 4.0), ("N", float("nan"))], "ticker string, price double")
+    target = spark.createDataFrame([("A", 0.5), ("B", 0.5), ("Y", 0.0)], "ticker string, w double")
+    assert [tuple(r) for r in allocate.refusals(held, prices).collect()] == [("c", "N, X")]
+    for mode in ("to_total", "bands", "cash_flow_only", "fixed_dca"):
+        assert {r["book"] for r in allocate.suggest(mode, held, prices, target, 10.0).collect()} == {"b"}
+
+
+def test_screen_gives_reasons_and_looks_no_further_than_the_cut(spark):
+    days = 900
+    at = lambda k: D(2020, 1, 1) + dt.timedelta(days=k)
+    r = np.random.default_rng(12)
+    moves = {t: r.normal(0.0005, 0.01, days) for t in ("C", "H", "G")}
+    moves["H"][600:620] -= 0.04  # the held fund falls behind the cut
+    level = {t: 100 * np.cumprod(1 + m) for t, m in moves.items()}
+    px = spark.createDataFrame([(t, at(k), float(x)) for t, xs in level.items() for k, x in enumerate(xs)], "ticker string, d date, close double")
+    book_rows = spark.createDataFrame([(at(k), float(m)) for k, m in enumerate(moves["G"]) if k], "d date, r double")
+    facts = spark.createDataFrame([("C", "Large", None, 0.004, 2e8, 5e4, D(2018, 1, 1), 0.6), ("H", "Large", None, 0.001, 2e8, 5e5, D(2018, 1, 1), 0.1)], "ticker string, category string, legal_type string, expense_ratio double, aum double, avg_volume double, inception date, top_share double")
+    held, asked = spark.createDataFrame([("H",)], "ticker string"), spark.createDataFrame([("C",), ("none",)], "ticker string")
+    look = spark.createDataFrame([("C", "x", 0.5), ("H", "x", 0.3)], "ticker string, symbol string, w double")
+    role = spark.createDataFrame([("C", "improved", at(800), "Ulcer 1% vs 2%")], "ticker string, verdict string, in_sample_end date, reason string")
+    end = spark.createDataFrame([(at(850),)], "in_sample_end date")
+    today = F.lit("2022-01-01").cast("date")
+    for cut, judged in ((800, role), (400, role.withColumn("in_sample_end", F.lit(at(400)))), (days, None)):
+        got = {(x["ticker"], x["check"]): (x["status"], x["reason"]) for x in screen.screen(asked, facts, held, look, px, book_rows, today, judged, end).collect()}
+        n = min(cut, days - 1)
+        c, g = moves["C"][1 : n + 1], moves["G"][1 : n + 1]
+        seen = {t: x[: n + 1] / np.maximum.accumulate(x[: n + 1]) - 1 for t, x in level.items()}
+        note = f" [in-sample through {at(cut)}]" if judged is not None else ""
+        assert f"correlation {np.corrcoef(c, g)[0, 1]:+.2f} over {n} days, {np.corrcoef(c[g < 0], g[g < 0])[0, 1]:+.2f} on red ones; " in got["C", "diversifier"][1] and got["C", "diversifier"][1].endswith(note)
+        if n / 365.25 < 2:
+            assert got["C", "own_drawdown"] == ("n/a", f"only {n / 365.25:.1f} years of history{note}")
+        else:
+            assert f"fell {seen['C'].min() * 100:.1f}%" in got["C", "own_drawdown"][1] and f"H of what is held fell {seen['H'].min() * 100:.1f}%" in got["C", "own_drawdown"][1]
+        assert got["C", "cost"] == ("warn", "0.40% a year, not cheap") and got["C", "liquidity"] == ("warn", "$200M, 50,000 shares a day: one too small") and got["C", "concentration"][0] == "warn"
+        assert got["C", "overlap"] == ("pass", "30% in common with H") and got["none", "cost"] == ("n/a", "not published") and got["none", "diversifier"] == ("n/a", "no usable price history")
+        assert (("C", "role") in got) == (judged is not None)
+    assert got["C", "structure"] == ("pass", "Large")
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import fixed, ratio
+from tidemark.functions.scalar import fixed, ratio, usable_price
 from tidemark.operators.drawdown import pct_change
 
 # Days of returns for volatilities, dollars of the smallest trade, slack of bands.
@@ -140,15 +140,26 @@ def _suggestion(df: DataFrame, key: str, dollars, rule: str, held_back, reason)
     )
 
 
+def refusals(held: DataFrame, prices: DataFrame, key: str = "book") -> DataFrame:
+    """key, unpriced: the books that no rebalancing can be sized for, and the tickers that they hold without a usable price, comma-joined.
+
+    Weights over a part of a book would understate its total, so that every trade would be wrong.
+    """
+    usable = prices.where(usable_price(F.col("price"))).select("ticker")
+    return held.join(usable, "ticker", "left_anti").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("ticker")), ", ").alias("unpriced"))
+
+
 def suggest(mode: str, held: DataFrame, prices: DataFrame, target: DataFrame, new_cash: float = 0.0, band: float = 0.05, band_rel: float = 0.25, key: str = "book") -> DataFrame:
     """key, ticker, action, dollars, shares, cur_w, target_w, rule and reason by rule.
 
     to_total trades every ticker to its weight of the total with the new cash. bands does the same, but only for books
     in which any ticker lies outside its band (the smaller of band and band_rel of its weight). cash_flow_only spreads
     new cash over shortfalls, or by the target where there are none. fixed_dca spreads it by the target. Trades of less
-    than a dollar are held back. held: key, ticker, value; prices: ticker, price; target: ticker, w.
+    than a dollar are held back. Books that hold a ticker without a usable price get no suggestions: see refusals. held:
+    key, ticker, value; prices: ticker, price; target: ticker, w.
     """
     require_edge(mode)
+    held = held.join(refusals(held, prices, key), key, "left_anti")
     u, book = _universe(held, prices, target, key), Window.partitionBy(key)
     whole = F.col("w") * (F.col("total") + new_cash) - F.col("held")
     exit_ = F.lit("target 0%: the position is sold off")

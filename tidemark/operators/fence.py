@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import band, finite, fixed
+from tidemark.functions.scalar import band, dollars, finite, fixed
 
 #: Fixed value: the shape of a token.
 TOKEN = r"\{\{\s*([A-Za-z][A-Za-z0-9_]*)\s*\}\}"
@@ -64,6 +64,49 @@ def claim_rows(rows: DataFrame, key: str) -> DataFrame:
     return kept.select(key, "token", "value", "rendered", "label", band_of(F.col("token"), F.col("value")).alias("band"))
 
 
+def brief_claims(totals: DataFrame, returns: DataFrame, risk: DataFrame, given_back: DataFrame, key: str = "book") -> DataFrame:
+    """The figures that prose on a book may name: its holdings, returns and risk, as claim_rows.
+
+    totals: as report.totals, with n_priced, the holdings that have a price; returns: as returns.summary; risk: key, depth,
+    peak_date, trough_date, recovery_date, duration_days, underwater, ulcer, cdar, sharpe, sortino, calmar; given_back: key,
+    depth of the fall of the profit in dollars. A figure that is missing or not finite makes no claim, nor does one that
+    says nothing: values without a priced holding, a cost of nothing, a period of no days. Books may lack in any input.
+    """
+    v = F.col
+    percent = lambda c: F.concat(fixed(v(c) * 100, 2, plus=True), F.lit("%"))
+    size = lambda c: F.concat(fixed(v(c) * 100, 2), F.lit("%"))
+    money = lambda c: F.when(v(c).isNotNull(), dollars(v(c)))
+    day = lambda c: v(c).cast("string")
+    days = F.datediff("asof_date", "period_start")
+    # fixed values: the names of the tokens, and how each figure is shown
+    made = {
+        "totals": (totals, [
+            ("total_market_value", "value", money("value"), v("n_priced") > 0, "market value of the holdings that have a price"), ("unrealized_pnl", "unrealized", money("unrealized"), v("n_priced") > 0, "profit not yet realised"),
+            ("net_pnl", "net", money("net"), v("n_priced") > 0, "profit in all"), ("n_holdings", "n_priced", v("n_priced").cast("string"), v("n_priced") > 0, "holdings that have a price"),
+            ("total_cost_basis", "cost_basis", money("cost_basis"), v("cost_basis") > 0, "cost of what is held"), ("realized_pnl", "realized", money("realized"), F.lit(True), "profit realised by sales and income"),
+        ]),
+        "returns": (returns.withColumns({"days_": days, "years_": days / 365.25}), [
+            ("twr_annual", "twr", percent("twr"), F.lit(True), "time-weighted return of a year"), ("mwr_annual", "money_weighted", percent("money_weighted"), F.lit(True), "money-weighted return of a year"), ("dietz_annual", "modified_dietz", percent("modified_dietz"), F.lit(True), "Modified Dietz return of a year"),
+            ("period_start", None, day("period_start"), v("days_") > 0, "first day of the period"), ("period_end", None, day("asof_date"), v("days_") > 0, "last day of the period"), ("period_years", "years_", F.concat(fixed(v("years_"), 2), F.lit("y")), v("days_") > 0, "years of the period"),
+        ]),
+        "risk": (risk, [
+            ("max_drawdown", "depth", percent("depth"), F.lit(True), "deepest fall from a peak"), ("drawdown_peak_date", None, day("peak_date"), F.lit(True), "day of the peak before the deepest fall"), ("drawdown_trough_date", None, day("trough_date"), F.lit(True), "day of the deepest fall"),
+            ("drawdown_recovery_date", None, day("recovery_date"), F.lit(True), "day on which the peak was reached again"), ("drawdown_duration_days", "duration_days", F.concat(v("duration_days").cast("string"), F.lit(" days")), F.lit(True), "days from the peak to the recovery"),
+            ("time_underwater_pct", "underwater", F.concat(fixed(v("underwater") * 100, 0), F.lit("%")), F.lit(True), "share of days below an earlier peak"), ("ulcer", "ulcer", size("ulcer"), F.lit(True), "Ulcer index"), ("cdar", "cdar", size("cdar"), F.lit(True), "mean of the deepest twentieth of falls"),
+            ("sharpe", "sharpe", fixed(v("sharpe"), 2, plus=True), F.lit(True), "Sharpe ratio"), ("sortino", "sortino", fixed(v("sortino"), 2, plus=True), F.lit(True), "Sortino ratio"), ("calmar", "calmar", fixed(v("calmar"), 2, plus=True), F.lit(True), "Calmar ratio"),
+        ]),
+        "given_back": (given_back, [("gains_given_back", "depth", money("depth"), F.lit(True), "largest fall of the profit in dollars")]),
+    }
+    out = None
+    for rows, claims in made.values():
+        each = [F.struct(F.lit(t).alias("token"), (F.lit(None) if c is None else v(c)).cast("double").alias("value"), F.when(when, shown).alias("rendered"), F.lit(label).alias("label")) for t, c, shown, when, label in claims]
+        named = rows.select(key, F.explode(F.array(*each)).alias("c")).select(key, "c.*")
+        # a date has no value, but it is missing where it has no text
+        named = named.where("rendered is not null")
+        out = named if out is None else out.unionByName(named)
+    return claim_rows(out, key)
+
+
 def discovery_claims(gaps: DataFrame, menu: DataFrame, verdicts: DataFrame, checks: DataFrame, key: str = "book") -> DataFrame:
     """The figures that prose on gaps may name: the exposure to each gap role, and each candidate on a menu that was screened.
 

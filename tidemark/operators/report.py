@@ -45,14 +45,15 @@ def securities(facts: DataFrame, today: Column) -> DataFrame:
 
 
 def candidates(checks: DataFrame, only_found: bool = False) -> DataFrame:
-    """ticker, verdict, counts, lines: the screen's result as texts, the checks in the order of their names.
+    """ticker, verdict, counts, lines: the screen's result as texts, the checks in the order of their names, with their reasons if they have any.
 
     only_found: just what a check found, warnings, failures, and a held-out role that passed.
     """
     from tidemark.operators.screen import roll_up
 
     found = F.col("status").isin("warn", "fail") | ((F.col("check") == "role") & (F.col("status") == "pass"))
-    line = F.when(found | F.lit(not only_found), F.concat(F.lit("["), "status", F.lit("] "), "check"))
+    told = F.coalesce(F.concat(F.lit(": "), F.col("reason")), F.lit("")) if "reason" in checks.columns else F.lit("")
+    line = F.when(found | F.lit(not only_found), F.concat(F.lit("["), "status", F.lit("] "), "check", told))
     lines = checks.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("check", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     n = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(f" {word}"))
     counts = F.concat_ws(" / ", n("n_fail", "fail"), n("n_warn", "warn"), n("n_pass", "pass"), n("n_na", "n-a"))
@@ -74,6 +75,22 @@ def discoveries(gaps: DataFrame, menu: DataFrame, shelves: DataFrame, screened:
     return out.select("book", "role", F.concat(fixed(F.col("exposure") * 100, 0), F.lit("%")).alias("held"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("also", F.lit("")).alias("also"))
 
 
+def returns_lines(summary: DataFrame, left_out: DataFrame, key: str = "book") -> DataFrame:
+    """key, place, metric, v: a book's returns as texts, of returns.summary and of the tickers that are left out (key, ticker).
+
+    Where the period is too short for a year's time-weighted return, what it came to so far is told, and only there. The
+    last row names the tickers that time-weighted returns and risk leave out, if there are any.
+    """
+    n_a = lambda c: signed_percent(F.col(c))
+    days = F.datediff("asof_date", "period_start")
+    period = F.concat(F.col("period_start").cast("string"), F.lit(" to "), F.col("asof_date").cast("string"), F.lit(" ("), days.cast("string"), F.lit(" days, "), fixed(days / 365.25, 2), F.lit(" years)"))
+    names = left_out.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("ticker")), ", ").alias("left_out"))
+    short = F.col("twr").isNull() & F.col("twr_cumulative").isNotNull()
+    rows = [("Period", period), ("Time-weighted", n_a("twr")), ("Time-weighted so far, not for a year", F.when(short, n_a("twr_cumulative"))), ("Money-weighted", n_a("money_weighted")), ("Modified Dietz", n_a("modified_dietz")), ("Left out of time-weighted returns and risk", F.col("left_out"))]
+    texts = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("metric"), v.alias("v")) for k, (name, v) in enumerate(rows)])
+    return summary.join(names, key, "left").select(key, F.explode(texts).alias("e")).select(key, "e.*").where("v is not null")
+
+
 def leg_panel(panels: DataFrame, finals: DataFrame) -> DataFrame:
     """leg, place, metric, v: the rows that describe a leg, as texts: each risk metric and its interval, the year's return and the final value.
 

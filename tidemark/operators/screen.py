@@ -238,7 +238,7 @@ def screen(candidates: DataFrame, facts: DataFrame, held: DataFrame, look_throug
         F.lit("correlation "), fixed(rho, 2, plus=True), F.lit(" over "), n.cast("string"), F.lit(" days"), F.coalesce(F.concat(F.lit(", "), fixed(red, 2, plus=True), F.lit(" on red ones")), F.lit("")),
         F.coalesce(F.concat(F.lit("; "), _percent(F.col("dd_return"), 1, True), F.lit(" while the book fell "), _percent(F.col("fall.depth"), 1), F.lit(" from "), F.col("fall.peak").cast("string"), F.lit(" to "), F.col("fall.trough").cast("string")), F.lit("")),
     )
-    moves = F.when(n < LEAST_COMMON, F.concat(F.lit("only "), n.cast("string"), F.lit(" common days"))).when(rho.isNull(), "nothing varies").otherwise(moves)
+    moves = F.when(n.isNull(), None).when(n < LEAST_COMMON, F.concat(F.lit("only "), n.cast("string"), F.lit(" common days"))).when(rho.isNull(), "nothing varies").otherwise(moves)
     status = own_drawdown_status(F.col("years"), depth, peer)
     fell = F.concat(F.lit("fell "), _percent(depth, 1), F.lit(" by "), F.col("trough").cast("string"), F.lit(" in "), fixed(F.col("years"), 1), F.lit(" years"))
     against = F.when((peer < 0) & (depth < peer), F.concat(F.lit(", deeper than all that is held, "), F.col("worst.peer"), F.lit(" with "), _percent(peer, 1))).when(peer < 0, F.concat(F.lit("; "), F.col("worst.peer"), F.lit(" of what is held fell "), _percent(peer, 1)))
