@@ -228,7 +228,7 @@ def test_replicates_in_many_tasks_give_the_same_intervals(spark, monkeypatch, dr
     assert (np.concatenate(list(bootstrap.drawn(40, 7, 23, 41, 42, draws))) == at[23:41]).all()
 
 
-@pytest.mark.parametrize("schedule", ["quarterly", "monthly", "never"])
+@pytest.mark.parametrize("schedule", ["monthly", "never"])
 def test_sleeves_equal_two_simulated_legs(spark, schedule):
     import numpy as np
 
