@@ -280,3 +280,19 @@ def test_menus_equal_the_whole_pool(spark, cap):
     assert set(map(tuple, discover.menu(h, u, o, cap).collect())) == menus and len(menus) > 20
     assert {tuple(x)[:3]: x["n"] for x in discover.more_shelves(h, u, o, cap).collect()} == shelves
     assert "Broadcast" not in "".join(str(discover.menu(h, u, o, cap)._jdf.queryExecution().logical()))
+
+
+def test_menus_are_bounded_by_rows_not_by_sequences_of_places(spark):
+    """A book that holds nearly all of a large universe: no row is made for each place, and neither side of the large joins can be broadcast."""
+    from tidemark.operators import discover
+
+    n = 3000
+    u = spark.range(n).selectExpr("concat('F', id) AS ticker", "concat('r', id % 2) AS role", "concat('s', id % 5) AS flavor", "id % 3 > 0 AS core", "cast(id AS int) AS file_ord")
+    h = spark.range(n).where(f"id not in (2990, 2991, {n - 1})").selectExpr("'b' AS book", "concat('F', id) AS ticker", "1.0D AS value")
+    o = spark.createDataFrame([("b", "r0"), ("b", "r1")], "book string, role string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    menu = discover.menu(h, u, o)
+    assert {(x["role"], x["place"], x["ticker"]) for x in menu.collect()} == {("r0", 1, "F2990"), ("r1", 1, "F2999"), ("r1", 2, "F2991")}
+    assert "sequence(" not in plan(menu)
+    joins = [line for line in plan(discover.exposure(h, u)).splitlines() if "ticker" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

@@ -11,6 +11,7 @@ from tidemark.plans.ledger_plans import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.simulation_plans import _sim, simulated
 from tidemark.sources import adapters
+from tidemark.sources.shared import keep
 
 TODAY = "2001-08-01"
 CHECKS = f"""{sql.FACTS}, f2 AS (SELECT *, CASE WHEN avg_volume = 0 THEN 'Exchange Traded Note' END AS legal_type, CASE WHEN avg_volume = 17000 THEN 'Trading--Leveraged' ELSE category END AS cat, greatest(date_diff('day', inception, DATE '{TODAY}'), 0) / 365.25::DOUBLE AS y FROM facts),
@@ -177,7 +178,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY book, role ORDER BY core DESC,
 def _discovery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     line = adapters.table(spark, sf_dir, "lineitem")
     held = line.groupBy(F.concat(F.lit("B"), F.col("l_suppkey") % 7).alias("book"), F.concat(F.lit("P"), "l_partkey").alias("ticker")).agg(F.sum("l_extendedprice").alias("value"))
-    return held, adapters.universe(spark, sf_dir)
+    return keep(held, "held"), keep(adapters.universe(spark, sf_dir), "universe")
 
 
 @query(f"WITH {EXPO} SELECT book, role, round(exposure, 8) AS exposure FROM ex")
