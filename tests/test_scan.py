@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, drawdown, ledger, returns, scan
@@ -296,3 +297,21 @@ def test_menus_are_bounded_by_rows_not_by_sequences_of_places(spark):
     assert "sequence(" not in plan(menu)
     joins = [line for line in plan(discover.exposure(h, u)).splitlines() if "ticker" in line and "Join" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_holdings_of_one_stretch_are_read_once(spark, monkeypatch):
+    """Rows numbered within a ticker are dealt out once for the number and the fold; none is read again where nothing is to be mended."""
+    rows = spark.range(400).selectExpr("'b' AS book", "concat('T', id % 7) AS ticker", "date_add(date'2020-01-01', cast(id AS int)) AS d", "'buy' AS action", "1.0D AS quantity", "2.0D AS price", "0.5D AS fee", "0.0D AS cash")
+    numbered = rows.withColumn("ord", F.row_number().over(Window.partitionBy("ticker").orderBy("d")))
+    kept, plain = [], ledger.keep
+
+    def seen(df, name):
+        kept.append((name, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+        return plain(df, name)
+
+    monkeypatch.setattr(ledger, "keep", seen)
+    out = {x["ticker"]: x for x in ledger.positions(numbered).collect()}
+    assert out["T0"]["shares"] == 58 and out["T0"]["cost_basis"] == pytest.approx(58 * 2.5) and len(out) == 7
+    plans = dict(kept)
+    assert plans["stretches"].count("Exchange") == 1
+    assert len([n for n, p in kept if n == "stretches"]) == 1 and "PythonUDF" not in plans["wrong-starts"]
