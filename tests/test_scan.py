@@ -315,3 +315,14 @@ def test_holdings_of_one_stretch_are_read_once(spark, monkeypatch):
     plans = dict(kept)
     assert plans["stretches"].count("Exchange") == 1
     assert len([n for n, p in kept if n == "stretches"]) == 1 and "PythonUDF" not in plans["wrong-starts"]
+
+
+def test_dietz_takes_one_row_for_each_day(spark):
+    """A key's flows reach the window over the key by day, however many there are of a day."""
+    flows = spark.range(1000).selectExpr("'b' AS book", "date_add(date'2020-01-01', cast(id % 4 AS int) * 100) AS d", "-1.0D AS flow")
+    values = spark.createDataFrame([("b", 1100.0)], "book string, value double")
+    out = returns.modified_dietz(flows, values, F.lit("2021-01-01").cast("date"))
+    assert out.first()["dietz"] == pytest.approx(100 / sum(250 * (366 - 100 * k) / 366 for k in range(4)))
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(k for k, line in enumerate(lines) if "Window [" in line)
+    assert any("Aggregate [" in line for line in lines[window + 1 :])

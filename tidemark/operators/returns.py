@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import cash_delta, cash_flow, ratio
 from tidemark.operators.align import snap_forward
 from tidemark.operators.scan import running
-from tidemark.sources.shared import keep
+from tidemark.sources.shared import keep, sized
 
 YEAR_DAYS, TRADING_DAYS = 365.25, 252
 LEAST_DAYS, LEAST_OBS = 183, 126
@@ -29,28 +29,28 @@ def book_days(ledger: DataFrame, prices: DataFrame, width: int | None = None) ->
     money out of them, delta the effect on the cash balance. Rows count from the first such day at or after theirs; later
     ones count on the last day if they are income or costs, and not yet if they are trades. Transfers are left out.
 
-    The ledger is read once and summed up by holding and day; only days, not ledger rows, are placed on the calendar. A
+    The ledger is summed up by holding and day, and that by day, once; only days, not ledger rows, are placed on the calendar. A
     holding has a row where it is traded and where its price changes hands, not for every day of the book: what each such
     row changes in the holding's value is summed by day over all tickers, and a running sum of that is the book's value.
     Values are kept in whole hundred-millionths, so that changes add up to what they are changes of.
     """
-    px = keep(prices.select("ticker", "d", "close"), "closes")
     kind, c = F.col("action"), [F.col(x) for x in ("action", "quantity", "price", "fee", "cash")]
     trade, other = kind.isin("buy", "sell"), ~kind.isin("buy", "sell", "deposit", "withdraw")
     part = lambda when, x: F.sum(F.when(when, x).otherwise(0.0))
     signed = F.when(kind == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
     sums = {"q": part(trade, signed), "trade_flow": part(trade, cash_flow(*c)), "other_flow": part(other, cash_flow(*c)), "trade_delta": part(trade, cash_delta(*c)), "other_delta": part(other, cash_delta(*c))}
-    moves = keep(priced_rows(ledger, px).groupBy("book", "ticker", "d").agg(*[x.alias(n) for n, x in sums.items()]), "moves")
-    owned = moves.select("book", "ticker").distinct()
-    starts = moves.groupBy("book").agg(F.min("d").alias("start"))
-    closes = px.join(owned, "ticker")
-    days = closes.select("book", "d").distinct().join(starts, "book").where("d >= start").select("book", "d")
-    days = keep(days, "book-days")
+    owned = keep(ledger.select("book", "ticker").distinct(), "owned")
+    closes = keep(prices.select("ticker", "d", "close").join(sized(owned), "ticker").select("book", "ticker", "d", "close"), "closes")
+    priced = keep(closes.select("ticker").distinct(), "priced")
+    moves = keep(ledger.join(sized(priced), "ticker", "left_semi").groupBy("book", "ticker", "d").agg(*[x.alias(n) for n, x in sums.items()]), "moves")
+    daily = keep(moves.groupBy("book", "d").agg(*[F.sum(n).alias(n) for n in sums if n != "q"]), "daily")
+    starts = daily.groupBy("book").agg(F.min("d").alias("start"))
+    days = keep(closes.select("book", "d").distinct().join(starts, "book").where("d >= start").select("book", "d"), "book-days")
     last = days.groupBy("book").agg(F.max("d").alias("last_day"))
-    placed = snap_forward(moves.select("book", "d").distinct(), days, ("book",), into="day", width=width)
-    at = moves.join(placed, ["book", "d"]).join(last, "book", "left")
+    placed = keep(snap_forward(daily.select("book", "d"), days, ("book",), into="day", width=width), "placed")
+    at = daily.join(placed, ["book", "d"]).join(last, "book", "left")
     none = F.lit(None).cast("double")
-    traded = at.where("day is not null and q <> 0").select("book", "ticker", F.col("day").alias("d"), none.alias("close"), "q", F.lit(1).alias("traded"))
+    traded = moves.where("q <> 0").join(sized(placed.where("day is not null")), ["book", "d"]).select("book", "ticker", F.col("day").alias("d"), none.alias("close"), "q", F.lit(1).alias("traded"))
     marks = closes.select("book", "ticker", "d", "close", none.alias("q"), F.lit(0).alias("traded")).unionByName(traded)
     held = running(marks, ("book", "ticker"), {"shares_": ("sum", F.col("q")), "close_": ("last", F.col("close"))}, ties=("traded", "q", "close"), before_only=True, width=width)
     worth = lambda shares, close: F.coalesce((shares * close).try_cast(WORTH), F.lit(0).cast(WORTH))
@@ -173,7 +173,8 @@ def money_weighted(flows: DataFrame, values: DataFrame, asof: Column, key: str =
 
 def modified_dietz(flows: DataFrame, values: DataFrame, asof: Column, key: str = "book") -> DataFrame:
     """key, days, dietz (the period's return) and annualized: gain over flows weighted by the time they were at work."""
-    dated = flows.withColumn("first_d", F.min("d").over(Window.partitionBy(key)))
+    # a day's flows were at work for the same time: of a key there is one row for each day, not for each flow
+    dated = flows.groupBy(key, "d").agg(F.sum("flow").alias("flow")).withColumn("first_d", F.min("d").over(Window.partitionBy(key)))
     days = F.datediff(asof, "first_d")
     sums = dated.groupBy(key, "first_d").agg(F.sum(-F.col("flow")).alias("c"), F.sum(-F.col("flow") * (days - F.datediff("d", "first_d")) / days).alias("wc"))
     out = values.join(sums, key, "left").withColumn("days", days)
