@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, drawdown, ledger, returns, scan
+from tidemark.operators import align, drawdown, ledger, returns, scan, screen
 
 D = dt.date(2020, 1, 1)
 
@@ -326,3 +326,14 @@ def test_dietz_takes_one_row_for_each_day(spark):
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     window = next(k for k, line in enumerate(lines) if "Window [" in line)
     assert any("Aggregate [" in line for line in lines[window + 1 :])
+
+
+def test_equal_falls_summed_in_other_orders_are_ties(spark):
+    """Falls that differ in the last bits only: the first ticker is named, and neither is deeper than the other."""
+    low = -0.5 - 2**-53
+    assert low < -0.5
+    series = spark.createDataFrame([("A", dt.date(2020, 1, 1), -0.5), ("B", dt.date(2020, 1, 1), low), ("C", dt.date(2020, 1, 1), -0.1)], "ticker string, d date, dd double")
+    worst = screen.held_falls(series, series.select("ticker")).first()["worst"]
+    assert (worst["peer"], worst["depth"]) == ("A", -0.5)
+    status = spark.range(1).select(screen.own_drawdown_status(F.lit(9.0), F.lit(-0.2 - 2**-54), F.lit(-0.2)).alias("tie"), screen.own_drawdown_status(F.lit(9.0), F.lit(-0.21), F.lit(-0.2)).alias("deeper")).first()
+    assert -0.2 - 2**-54 < -0.2 and (status["tie"], status["deeper"]) == ("pass", "warn")

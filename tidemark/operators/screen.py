@@ -18,6 +18,8 @@ MOST_TOP = 0.50
 RHO = (0.60, 0.85)
 RHO_RISE = 0.15
 OVERLAP = (0.40, 0.70)
+#: Digits to which falls and overlaps are compared: sums of equal figures in other orders are ties, which go by name or day.
+DIGITS = 12
 LEAST_COMMON, LEAST_RED = 60, 20
 OWN_DEPTH, OWN_YEARS = -0.30, 2.0
 STATUS_ORDER = ("n/a", "pass", "warn", "fail")
@@ -117,8 +119,8 @@ def book_falls(book: DataFrame) -> DataFrame:
 
 
 def held_falls(series: DataFrame, held: DataFrame) -> DataFrame:
-    """d, worst (depth, peer): the deepest fall of any held fund up to each day (series: ticker, d, dd; held: ticker)."""
-    by_day = series.join(held.select("ticker").distinct(), "ticker", "left_semi").groupBy("d").agg(F.min(F.struct(F.col("dd").alias("depth"), F.col("ticker").alias("peer"))).alias("day"))
+    """d, worst (level, peer, depth): the deepest fall of any held fund up to each day (series: ticker, d, dd; held: ticker); of equal ones the first ticker's."""
+    by_day = series.join(held.select("ticker").distinct(), "ticker", "left_semi").groupBy("d").agg(F.min(F.struct(F.round("dd", DIGITS).alias("level"), F.col("ticker").alias("peer"), F.col("dd").alias("depth"))).alias("day"))
     return running(by_day.withColumn("one", F.lit(0)), ("one",), {"worst": ("min", F.col("day"))}).select("d", "worst")
 
 
@@ -144,7 +146,7 @@ def series_figures(series: DataFrame, cuts: DataFrame, book: DataFrame) -> DataF
     through = both & F.col("d").between(F.col("fall.peak"), F.col("fall.trough"))
     sums = days.groupBy("ticker").agg(
         F.max("cut").alias("cut"), F.first("fall", ignorenulls=True).alias("fall"), F.count_if(both).alias("n"), F.corr(c, p).alias("rho"), F.count_if(red).alias("n_red"), F.corr(F.when(red, c), F.when(red, p)).alias("red_rho"),
-        F.product(F.when(through, 1 + c)).alias("through"), F.min("d").alias("from"), F.max("d").alias("to"), F.min(F.struct("dd", "d")).alias("deep"),
+        F.product(F.when(through, 1 + c)).alias("through"), F.min("d").alias("from"), F.max("d").alias("to"), F.min(F.struct(F.round("dd", DIGITS).alias("level"), "d", "dd")).alias("deep"),
     )
     return sums.select("ticker", "cut", "fall", "n", finite(F.col("rho")).alias("rho"), "n_red", F.when(F.col("n_red") >= LEAST_RED, finite(F.col("red_rho"))).alias("red_rho"), (F.col("through") - 1).alias("dd_return"), (F.datediff("to", "from") / 365.25).alias("years"), F.col("deep.dd").alias("depth"), F.col("deep.d").alias("trough"))
 
@@ -168,8 +170,12 @@ def diversifier(candidates: DataFrame, book: DataFrame, cuts: DataFrame | None =
     return found.select("ticker", "n", "rho", "red_rho", "dd_return", diversifier_status(F.col("n"), F.col("rho"), F.col("red_rho")).alias("status"))
 
 
+def _deeper(depth: Column, held_worst: Column) -> Column:
+    return (held_worst < 0) & (F.round(depth, DIGITS) < F.round(held_worst, DIGITS))
+
+
 def own_drawdown_status(years: Column, depth: Column, held_worst: Column) -> Column:
-    return F.when(years < OWN_YEARS, "n/a").when(depth >= 0, "pass").when((held_worst < 0) & (depth < held_worst), "warn").when(depth <= OWN_DEPTH, "warn").otherwise("pass")
+    return F.when(years < OWN_YEARS, "n/a").when(depth >= 0, "pass").when(_deeper(depth, held_worst), "warn").when(depth <= OWN_DEPTH, "warn").otherwise("pass")
 
 
 def own_drawdown(levels: DataFrame, held_worst: Column) -> DataFrame:
@@ -189,7 +195,7 @@ def overlaps(candidates: DataFrame, held: DataFrame, look_through: DataFrame) ->
     own = candidates.select("ticker").distinct().join(look_through, "ticker").select("ticker", "symbol", F.col("w").alias("a"))
     theirs = held.select("ticker").distinct().join(look_through, "ticker").select(F.col("ticker").alias("held_ticker"), "symbol", F.col("w").alias("b"))
     sums = own.join(theirs, "symbol").groupBy("ticker", "held_ticker").agg(F.sum(F.least("a", "b")).alias("overlap"))
-    best = sums.groupBy("ticker").agg(F.max(F.round("overlap", 12)).alias("overlap"), F.min_by("held_ticker", F.struct(-F.round("overlap", 12), F.col("held_ticker"))).alias("best_ticker"))
+    best = sums.groupBy("ticker").agg(F.max(F.round("overlap", DIGITS)).alias("overlap"), F.min_by("held_ticker", F.struct(-F.round("overlap", DIGITS), F.col("held_ticker"))).alias("best_ticker"))
     known = own.select("ticker").distinct().withColumn("known", F.lit(True))
     comparable = theirs.agg((F.count(F.lit(1)) > 0).alias("comparable"))
     same = held.where("trim(category) <> ''").groupBy("category").agg(F.min("ticker").alias("same_ticker"))
@@ -241,7 +247,7 @@ def screen(candidates: DataFrame, facts: DataFrame, held: DataFrame, look_throug
     moves = F.when(n.isNull(), None).when(n < LEAST_COMMON, F.concat(F.lit("only "), n.cast("string"), F.lit(" common days"))).when(rho.isNull(), "nothing varies").otherwise(moves)
     status = own_drawdown_status(F.col("years"), depth, peer)
     fell = F.concat(F.lit("fell "), _percent(depth, 1), F.lit(" by "), F.col("trough").cast("string"), F.lit(" in "), fixed(F.col("years"), 1), F.lit(" years"))
-    against = F.when((peer < 0) & (depth < peer), F.concat(F.lit(", deeper than all that is held, "), F.col("worst.peer"), F.lit(" with "), _percent(peer, 1))).when(peer < 0, F.concat(F.lit("; "), F.col("worst.peer"), F.lit(" of what is held fell "), _percent(peer, 1)))
+    against = F.when(_deeper(depth, peer), F.concat(F.lit(", deeper than all that is held, "), F.col("worst.peer"), F.lit(" with "), _percent(peer, 1))).when(peer < 0, F.concat(F.lit("; "), F.col("worst.peer"), F.lit(" of what is held fell "), _percent(peer, 1)))
     falls = F.when(F.col("years") < OWN_YEARS, F.concat(F.lit("only "), fixed(F.col("years"), 1), F.lit(" years of history"))).when(depth >= 0, "no fall").otherwise(F.concat(fell, F.coalesce(against, F.lit(""))))
     rows = F.explode(F.array(
         F.struct(F.lit("diversifier").alias("check"), F.coalesce(diversifier_status(n, rho, red), F.lit("n/a")).alias("status"), F.coalesce(F.concat(moves, note), none).alias("reason")),
