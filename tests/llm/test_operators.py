@@ -787,3 +787,15 @@ def test_looking_back_takes_linear_time():
     t = time.time()
     pii.normalise(("one" + " " * 500) * 400 + ("a" * 500 + " at x. ") * 400)
     assert time.time() - t < 5
+
+
+def test_only_shingles_of_several_groups_are_shuffled(spark):
+    """Of ten groups of 500 prefix shingles, two share one: its postings are found, and few others."""
+    r = np.random.Generator(np.random.PCG64(5))
+    prefixes = r.integers(0, 1 << 62, (10, 500)).tolist()
+    prefixes[7][3] = prefixes[2][9]
+    groups = spark.createDataFrame([(g, 2500, p, g == 4) for g, p in enumerate(prefixes)], "grp long, n long, prefix array<long>, several boolean").repartition(3)
+    found = {(x["token"], x["grp"], x["pos"]) for x in ngramjoin.prefixes_again(groups, 5000).collect()}
+    assert {(prefixes[2][9], 2, 9), (prefixes[2][9], 7, 3), (prefixes[4][0], 4, 0)} <= found
+    assert len(found) < 20
+    assert ngramjoin.prefixes_again(groups.limit(0), 0).count() == 0

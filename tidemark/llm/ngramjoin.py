@@ -18,7 +18,11 @@ The sketch grows with the input up to a fixed size, which is what bounds the bro
 rarer than a cell's usual count stand in the order of their hashes: prefixes then hold more shared shingles and more
 pairs are tried, but no link depends on the order. A shingle whose cell is full is dealt out by group as well, over
 about as many parts as the square root of the number of documents, whose first groups then meet; so no task holds all
-groups of a frequent shingle. Sets are compared by 60-bit hashes of shingles and named by 63 bits; two different sets
+groups of a frequent shingle.
+
+Most shingles of prefixes are in one group alone and can link nothing. So that they are not shuffled with all that
+belongs to them, tasks first send sorted gaps of 40 bits of each, about three bytes, and a bitmap says which of these
+occur again; what it marks falsely is found alone later. Sets are compared by 60-bit hashes of shingles and named by 63 bits; two different sets
 share a name with a chance of 1e-9 among 10^5 documents and 1e-3 among 10^8.
 """
 
@@ -50,6 +54,10 @@ MARKED_LOG = 16
 BITMAP_WORDS = 16
 #: Nodes of a shingle that meet each other in the rounds after the first, and in the last one, crowd by crowd.
 CROWDS, LAST_CROWD = (64, 4096), 1024
+#: Bits of a prefix shingle by which it is looked for in other groups, and where they begin.
+PRINT_LOG, PRINT_AT = 40, 20
+#: Cells of the bitmap of those that occur again, and slices in which it is made, as powers of two: at least and at most.
+AGAIN_LOG, MOST_AGAIN_LOG, SLICES_LOG, MOST_SLICES_LOG = 16, 29, 4, 12
 CHUNK = 4 << 20
 #: Shingles that a task counts before it hands them on.
 COUNTED = 3_000_000
@@ -209,8 +217,10 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     one = F.min(F.struct("id", "tie"))
     nodes = full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), one.alias("row"), F.first("bits").alias("bits"))
     nodes = keep(nodes.select("node", "least", "grp", "n", F.xxhash64("row.id", "row.tie").alias("key"), "bits"), "nodes")
-    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several"))
-    shared = keep(shared_tokens(groups, percent, int(nodes.count() ** 0.5) + 1, hot_level), "shared")
+    heads_of, repeated = prefix_groups(full)
+    prefixes = (full.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
+    shared = keep(shared_tokens(prefixes_again(heads_of, prefixes), percent, int(nodes.count() ** 0.5) + 1, hot_level), "shared")
+    drop(repeated)
     slim = keep(signed.select("id", "tie", "n", "node"), "rows")
     drop(signed)
 
@@ -234,20 +244,22 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     drop(head, edges)
 
     # rounds of growing crowds: those that share a prefix shingle, are in one crowd of it and still lie apart
-    done, before = 1, [tried]
+    before = [tried]
+    spots = spots_apart(shared, nodes, comps)
     for crowd in (*CROWDS, None):
-        spots = spots_apart(shared, nodes, comps, done)
         if not spots.limit(1).count():
-            drop(spots)
             break
         met = _new_pairs(spots, percent, crowd)
         pairs, edges = checked(met, "pairs", *before)
         last = comps
         comps = contract(comps, edges)
         before.append(pairs)
-        done = crowd
-        drop(spots, met, edges, last)
-    drop(*before, shared)
+        drop(met, edges, last)
+        if crowd:
+            over = spots
+            spots = still_apart(spots, nodes, comps, crowd)
+            drop(over)
+    drop(*before, shared, spots)
 
     least = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     lowest = least.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -255,14 +267,113 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return slim.join(named, "node", "left").select(F.col("id").alias(id_col), "tie", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
-def shared_tokens(groups: DataFrame, percent: int, parts: int, hot_level: int) -> DataFrame:
+def prefix_groups(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """grp, n, prefix and several (has more than one node) of every group; and the kept table of those that may have several rows.
+
+    Rows that are alone in their group are read from where they are; the others, few, are put together.
+    """
+    names = keep(full.groupBy("grp").count().where("count > 1").select("grp"), "repeated")
+    marks = Marks(names, names.count())
+    again = marks.has(F.col("grp"))
+    repeated = keep(full.where(again).groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several")), "groups")
+    drop(names)
+    alone = full.where(~again).select("grp", "n", "prefix", F.lit(False).alias("several"))
+    return alone.unionByName(repeated), repeated
+
+
+def _prints(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(PRINT_AT)) & np.uint64((1 << PRINT_LOG) - 1)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists, and the place of each list's first (one more at the end)."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+
+
+def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
+    """token, grp, n, pos and several of the prefix shingles that may be in several groups, and of the first one of groups of several nodes.
+
+    prefixes: about how many prefix shingles there are, which sets the sizes of the bitmap and of its slices.
+    """
+    spark = groups.sparkSession
+    log = min(MOST_AGAIN_LOG, max(AGAIN_LOG, prefixes.bit_length() + 1))
+    inner = PRINT_LOG - min(MOST_SLICES_LOG, max(SLICES_LOG, prefixes.bit_length() - 20))
+    width = 1 << (log - PRINT_LOG + inner)
+
+    def send(batches):
+        held, waiting = [], 0
+
+        def out():
+            prints = np.sort(np.concatenate(held))
+            own, first = np.unique(prints >> np.uint64(inner), return_index=True)
+            packer, packed = zstandard.ZstdCompressor(level=1), []
+            for a, z in zip(first.tolist(), np.append(first[1:], len(prints)).tolist(), strict=True):
+                gaps = np.diff(prints[a:z] & np.uint64((1 << inner) - 1), prepend=np.uint64(0))
+                packed.append(packer.compress(np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "prints"])
+
+        for batch in batches:
+            held.append(_prints(_lists(batch.column("prefix"))[0]))
+            waiting += len(held[-1])
+            if waiting > COUNTED:
+                yield out()
+                held, waiting = [], 0
+        if waiting:
+            yield out()
+
+    def find(batches):
+        current, held = -1, []
+
+        def out():
+            prints = np.sort(np.concatenate(held))
+            bits = np.zeros(width, bool)
+            bits[(prints[1:][prints[1:] == prints[:-1]] >> np.uint64(PRINT_LOG - log)).astype(np.int64)] = True
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary())], names=["slice", "bits"])
+
+        for batch in batches:
+            for s, packed in zip(batch.column("slice").to_pylist(), batch.column("prints").to_pylist(), strict=True):
+                if s != current:
+                    if held:
+                        yield out()
+                    current, held = s, []
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(5, -1)
+                wide = np.zeros((planes.shape[1], 8), np.uint8)
+                wide[:, :5] = planes.T
+                held.append(np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64))
+        if held:
+            yield out()
+
+    found = groups.select("prefix").mapInArrow(send, "slice int, prints binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(find, "slice int, bits binary")
+    bits = np.zeros((1 << log) // 8, np.uint8)
+    for r in found.toLocalIterator():
+        bits[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
+    marked = spark.sparkContext.broadcast(bits)
+
+    def pick(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                tokens, first = _lists(batch.column("prefix"))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                pos = np.arange(len(tokens)) - first[:-1][row]
+                cells = (_prints(tokens) >> np.uint64(PRINT_LOG - log)).astype(np.int64)
+                several = batch.column("several").to_numpy(zero_copy_only=False)
+                kept = np.flatnonzero(((marked.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1) | (several[row] & (pos == 0)))
+                for at in range(0, len(kept), 100_000):
+                    k = kept[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[k]), batch.column("grp").take(pa.array(row[k])), batch.column("n").take(pa.array(row[k])), pa.array(pos[k].astype(np.int32)), pa.array(several[row[k]])], names=["token", "grp", "n", "pos", "several"])
+
+    return groups.select("grp", "n", "prefix", "several").mapInArrow(pick, "token long, grp long, n long, pos int, several boolean")
+
+
+def shared_tokens(postings: DataFrame, percent: int, parts: int, hot_level: int) -> DataFrame:
     """token, part, grp, n, pos and partners: the prefix shingles that several groups have, or several nodes of a group.
 
     partners are groups of the same shingle that a group may link with: the first in the order of sizes, or else the one
     before. A frequent shingle's groups are dealt out over parts, so that no task holds all of them: there a group has the
     first of all as a partner and the first of its part or the one before in it, and the first of a part the one before.
     """
-    postings = groups.select("grp", "n", "several", F.posexplode("prefix").alias("pos", "token"))
     hot = F.shiftrightunsigned("token", 60) >= hot_level
     postings = postings.withColumn("part", F.when(hot, F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int")).otherwise(0))
     own = Window.partitionBy("token", "part")
@@ -281,18 +392,32 @@ def shared_tokens(groups: DataFrame, percent: int, parts: int, hot_level: int) -
     return found.where(~hot).withColumn("partners", F.array("partner")).select(*columns).unionByName(met.select(*columns))
 
 
-def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame, done: int) -> DataFrame:
-    """token, there, pos, node, n, comp and bits of the nodes at those prefix shingles that have more nodes than are done with and whose nodes lie in more than one component; there counts them."""
+def spots_apart(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, there, pos, node, n, comp and bits of the nodes at those prefix shingles that have several nodes and whose nodes lie in more than one component; there counts them."""
     placed = keep(nodes.select("grp", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     at = shared.select("token", "grp", "pos")
     ends = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-    apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("there")).where((F.col("low") != F.col("high")) & (F.col("there") > done)).select("token", "there")
+    apart = at.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("there")).where("low <> high").select("token", "there")
     found = at.join(apart, "token").join(placed, "grp").join(nodes.select("node", "bits"), "node")
     spots = keep(found.select("token", "there", "pos", "node", "n", "comp", "bits"), "spots")
     drop(placed)
     return spots
 
 
+def still_apart(spots: DataFrame, nodes: DataFrame, comps: DataFrame, done: int) -> DataFrame:
+    """Those of the spots whose shingle has more nodes than are done with and still lies in more than one component of comps.
+
+    Components only grow, so what is left out of one round need not be looked at in the next.
+    """
+    left = spots.where(F.col("there") > done).select("token", "there", "pos", "node", "n")
+    placed = keep(left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    found = placed.join(apart, "token").join(nodes.select("node", "bits"), "node")
+    again = keep(found.select("token", "there", "pos", "node", "n", "comp", "bits"), "spots")
+    drop(placed)
+    return again
+
+
 def _places_fit(percent: int):
     """Whether the places of a shared shingle in both sets leave room for the overlap."""
     return F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _overlap(percent)
@@ -443,15 +568,19 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str
 
     Documents without shingles all stay. Of rows that repeat id and text one stays.
     """
-    found = keep(links(documents, size, percent, id_col, text_col).select(F.col(id_col).alias("id_"), F.col("tie").alias("tie_"), F.col("group").alias("group_")).where("group_ is not null"), "linked")
+    every = keep(links(documents, size, percent, id_col, text_col).select(F.col(id_col).alias("id_"), F.col("tie").alias("tie_"), F.col("group").alias("group_")), "linked")
+    found = every.where("group_ is not null")
     best = found.groupBy("group_").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("tie_").alias("tie"))).alias("b"))
     is_best = F.col("id_").eqNullSafe(F.col("b.id")) & (F.col("tie_") == F.col("b.tie"))
     gone = keep(found.join(best, "group_").where(~is_best).select("id_", "tie_").distinct(), "gone")
     tie = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     same = lambda df: documents[id_col].eqNullSafe(df["id_"]) & (tie == df["tie_"])
-    # rows without a mark stay where they are; the others, few, are compared exactly
-    marks = Marks(gone.select("tie_"), gone.count())
-    left = documents.where(~marks.has(tie)).unionByName(documents.where(marks.has(tie)).join(gone, same(gone), "left_anti"))
+    # rows without a mark stay where they are, and marked ones go if none like them stays; the others, few, are compared exactly
+    key, key_ = F.xxhash64(F.col(id_col), tie), F.xxhash64("id_", "tie_")
+    marks = Marks(gone.select(key_.alias("key")), 16 * gone.count())
+    alike = keep(every.where(marks.has(key_)).join(gone.toDF("i", "t"), F.expr("id_ <=> i and tie_ = t"), "left_anti").select(key_.alias("key")), "alike")
+    unsure = Marks(alike, 16 * alike.count())
+    left = documents.where(~marks.has(key)).unionByName(documents.where(marks.has(key) & unsure.has(key)).join(gone, same(gone), "left_anti"))
     again = keep(found.groupBy("id_", "tie_").count().where("count > 1").select("id_", "tie_"), "again")
     if again.limit(1).count():
         there = left[id_col].eqNullSafe(again["id_"]) & (F.xxhash64(F.coalesce(left[text_col].cast("string"), F.lit(""))) == again["tie_"])
