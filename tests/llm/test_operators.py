@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, decontam, langid, lmscore, media, ngramjoin, pii, seekstore, sharding, warc
-from tidemark.llm.common import WordHasher
+from tidemark.llm.common import Memory, WordHasher
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 sort_key = lambda x: (x is not None, x or 0)
@@ -384,7 +384,7 @@ def test_decontamination_of_long_repeats_stays_small():
     code = """
 import resource, pyarrow as pa
 from tidemark.llm import decontam
-from tidemark.llm.common import WordHasher
+from tidemark.llm.common import Memory, WordHasher
 decontam._block = lambda path, window: decontam.Block(["1"], pa.array(["the " * 2000]), window, WordHasher(decontam.NOT_WORD))
 shard = pa.RecordBatch.from_pydict({"c_0": [1], "body": ["the " * 100_000]})
 out = decontam._scan_shard(shard, ["c_0"], ["x"], 13, WordHasher(decontam.NOT_WORD), True).to_pylist()[0]
@@ -799,3 +799,14 @@ def test_only_shingles_of_several_groups_are_shuffled(spark):
     assert {(prefixes[2][9], 2, 9), (prefixes[2][9], 7, 3), (prefixes[4][0], 4, 0)} <= found
     assert len(found) < 20
     assert ngramjoin.prefixes_again(groups.limit(0), 0).count() == 0
+
+
+def test_memory_keeps_what_is_used():
+    memory = Memory(4)
+    memory.put("often", b"1")
+    for k in range(20):
+        assert memory.get("often") == b"1"
+        memory.put(str(k), b"2")
+    assert len(memory.young) + len(memory.old) <= 4
+    assert memory.missing({"often", "new"}) == ["new"]
+    assert memory.young["often"] == b"1"

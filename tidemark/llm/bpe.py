@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from tidemark.llm.common import Memory
+
 #: White space as the vocabulary's splitting pattern sees it (it is not what str.split() uses).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A text falls into these units whatever stands around them: words with the space before, and runs of white space.
 _UNITS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The published splitting pattern of byte-level vocabularies.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Units that a worker remembers, and the longest of these.
-REMEMBERED, LONGEST = 250_000, 48
+#: Units and pieces of units that a worker remembers, and the longest of these.
+UNITS, PIECES, LONGEST = 100_000, 150_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,10 +65,10 @@ class Automaton:
         self.state = {i: 0 for i, b in labels.items() if len(b) == 1}
         for rank, (a, b, ab) in enumerate(merges):
             self._gadget(a, b, ab, rank)
-        self.rows: dict[int, array] = {}
+        self.rows: list[array | None] = [None] * len(self.parent)
         self.ends = ahocorasick.Automaton()
-        for i in self.state:
-            self.ends.add_word(labels[i].decode("latin-1"), (len(labels[i]), i))
+        for i, state in self.state.items():
+            self.ends.add_word(labels[i].decode("latin-1"), (len(labels[i]), self.number[i], state, i))
         self.ends.make_automaton()
 
     def _number(self, first_part: dict[int, tuple[int, int]]) -> None:
@@ -133,27 +135,25 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The labels that the automaton accepts for the word."""
-        state, rows, number = self.state, self.rows, self.number
-        n = len(word)
-        at = [-1] * (n + 1)  # the state that each byte's end is reached in, by one arc, and that arc
-        by = [None] * (n + 1)
-        at[0] = 0
+        rows = self.rows
+        last = len(word) - 1
+        at = [-1] * len(word)  # the state that is reached by an arc over each byte, if any, and that arc
+        at.append(0)  # found at -1 as well: the start
+        by = [None] * len(word)
         for end, arc in self.ends.iter(word.decode("latin-1")):
-            end += 1
             if at[end] < 0:
-                size, label = arc
-                here = at[end - size]
+                here = at[end - arc[0]]
                 if here >= 0:
-                    row = rows.get(here)
+                    row = rows[here]
                     if row is None:
                         row = self.row(here)
-                    if not bisect_right(row, number[label]) & 1:
-                        at[end], by[end] = state[label], arc
+                    if not bisect_right(row, arc[1]) & 1:
+                        at[end], by[end] = arc[2], arc
         out = []
-        while n:
-            size, label = by[n]
+        while last >= 0:
+            size, _, _, label = by[last]
             out.append(label)
-            n -= size
+            last -= size
         out.reverse()
         return out
 
@@ -173,28 +173,33 @@ class Vocabulary:
         self.special = special
         self.special_re = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.arc_labels = dict(labels) | {i: s.encode() for s, i in special.items()}
-        self.units: dict[str, bytes] = {}
+        self.units, self.pieces = Memory(UNITS), Memory(PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array("I", self.automaton.encode(piece.encode("utf-8"))).tobytes()
+            if len(piece) <= LONGEST:
+                self.pieces.put(piece, ids)
+        return ids
 
     def _unit(self, unit: str) -> bytes:
         """The ids of a unit as little-endian 32-bit integers; short ones are remembered, up to a bound."""
-        pieces = _PIECES.findall(unit)
-        if len(pieces) == 1:
-            ids = array("I", self.automaton.encode(unit.encode("utf-8"))).tobytes()
-        else:
-            ids = b"".join([self.units.get(p) or self._unit(p) for p in pieces])
-        if len(unit) <= LONGEST:
-            if len(self.units) >= REMEMBERED:
-                self.units.clear()
-            self.units[unit] = ids
+        ids = self.units.get(unit)
+        if ids is None:
+            pieces = _PIECES.findall(unit)
+            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
+            if len(unit) <= LONGEST:
+                self.units.put(unit, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
         units = _UNITS.findall(text)
-        parts = list(map(self.units.get, units))
+        parts = list(map(self.units.young.get, units))
         if None in parts:
             for k, p in enumerate(parts):
                 if p is None:
-                    parts[k] = self.units.get(units[k]) or self._unit(units[k])
+                    parts[k] = self._unit(units[k])
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:

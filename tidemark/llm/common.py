@@ -48,6 +48,39 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Memory:
+    """What a worker remembers by string, up to a bound, in two generations: the younger one becomes the elder when it is full, and what is asked for again moves back. So what occurs often is never forgotten."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are not remembered; the others are all in the younger generation then."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for key in keys.difference(young):
+            found = old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                young[key] = found
+        return out
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a folder's URI and the path in it, for files that tasks write themselves."""
     from pyarrow import fs
