@@ -810,3 +810,14 @@ def test_memory_keeps_what_is_used():
     assert len(memory.young) + len(memory.old) <= 4
     assert memory.missing({"often", "new"}) == ["new"]
     assert memory.young["often"] == b"1"
+
+
+def test_words_are_encoded_once_whatever_stands_behind_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), seekstore.ChunkTokenizer(path)
+    texts = ["Reoned,*** don't I'LL É'x straße STRASSE Ünïte étude café!? <|endoftext|>foo bar<|startoftext|>, a<|endoftext|>b 12ab, 'tis word'' (word) µm ªb ×a ﬁ ,,,, ...", "", " ", "a" * 100 + ",", "Σας ß."]
+    assert [list(memoryview(x).cast("I")) for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    asked, joined = [], own._joined
+    own._joined = lambda words: (asked.extend(words), joined(words))[1]
+    own.encode(["qwoned qwoned, Qwoned. QWONED!"])
+    assert asked.count("qwoned") == 1

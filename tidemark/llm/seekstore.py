@@ -8,10 +8,13 @@ tool reads the file as the plain concatenation.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, shared_dir
+from tidemark.llm.common import Memory, filesystem, shared_dir
 
 # Fixed values of the published formats.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -92,12 +95,21 @@ class Reader:
 
 # ---- token ids ----
 
-#: Chunks that a worker remembers, and the longest of these.
-REMEMBERED, LONGEST = 700_000, 48
+#: Chunks and words that a worker remembers, the longest of these, and words that the library gets as one text.
+CHUNKS, WORDS, LONGEST, JOINED = 300_000, 400_000, 48, 100
+#: Letters, then signs: no normal form, special token or short form of a word reaches over their border.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: The normal form and the splitting of tokenizers whose words are those of _WORD in lower case.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class ChunkTokenizer:
-    """The tokenizers library with a memory: white space never joins tokens, so a text's ids are those of its chunks."""
+    """The tokenizers library with a memory: white space never joins tokens, so a text's ids are those of its chunks.
+
+    A chunk of letters and signs behind them has the ids of its letters in lower case and of its signs, where the
+    tokenizer splits and lowers like that; the library gets such words many at a time and tells whose an id is.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -106,25 +118,62 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known, self.words = Memory(CHUNKS), Memory(WORDS)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [*((spec["normalizer"] or {}).get("normalizers") or []), *((spec["pre_tokenizer"] or {}).get("pretokenizers") or [])]
+        split = [(x["pattern"], x["behavior"], x["invert"]) for x in steps if x["type"] == "Split"]
+        self.splits = [x["type"] for x in steps] == [*_NORMAL, "Split", "ByteLevel"] and split == [({"Regex": _SPLIT}, "Removed", True)] and not spec["post_processor"]
+        self.splits = self.splits and not steps[-1]["add_prefix_space"] and not steps[-1]["use_regex"] and all(x["content"][:1] in "<[" for x in spec["added_tokens"])
+
+    def _alone(self, chunks: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(chunks), 20_000):
+            for e in self.library.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for part, e in zip(parts, self.library.encode_batch([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            of, ids = e.word_ids, array("I", e.ids)
+            first = [k for k in range(len(of)) if not k or of[k] != of[k - 1]]
+            if len(first) != len(part):
+                yield from self._alone(part)
+                continue
+            for a, z in zip(first, [*first[1:], len(of)], strict=True):
+                yield ids[a:z].tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds the ids of chunks to what is known."""
+        cut, alone, known = [], [], self.known.young
+        for c in chunks:
+            m = _WORD.fullmatch(c) if self.splits and len(c) <= LONGEST else None
+            if m:
+                word, signs = m.groups()
+                cut.append((c, word.lower(), signs))
+            else:
+                alone.append(c)
+        known.update(zip(alone, self._alone(alone), strict=True))
+        wanted = {x for _, x, _ in cut}
+        wanted.update(x for _, _, x in cut)
+        wanted.discard("")
+        new, words = self.words.missing(wanted), self.words.young
+        words.update(zip(new, self._joined(new), strict=True))
+        words[""] = b""
+        for c, word, signs in cut:
+            known[c] = words[word] + words[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = {c for x in chunks for c in x if c not in known}
-        extra = {}
+        new = self.known.missing(set().union(*chunks))
         if new:
-            listed = list(new)
-            for at in range(0, len(listed), 20_000):
-                part = listed[at : at + 20_000]
-                for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (known if len(c) <= LONGEST else extra)[c] = np.array(e.ids, "<u4").tobytes()
-        if not extra:
-            return [b"".join(map(known.__getitem__, x)) for x in chunks]
-        return [b"".join([known[c] if c in known else extra[c] for c in x]) for x in chunks]
+            self._learn(new)
+        known = self.known.young
+        out = [b"".join(map(known.__getitem__, x)) for x in chunks]
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
+        return out
 
 
 @lru_cache(maxsize=2)
