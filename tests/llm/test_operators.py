@@ -821,3 +821,45 @@ def test_words_are_encoded_once_whatever_stands_behind_them():
     own._joined = lambda words: (asked.extend(words), joined(words))[1]
     own.encode(["qwoned qwoned, Qwoned. QWONED!"])
     assert asked.count("qwoned") == 1
+
+
+def test_prefix_shingles_need_one_worker_a_task(spark):
+    """Rows of marked groups are left out in the function that looks at the shingles: no second function runs beside it, and groups of several rows stand once."""
+    prefix = [[10 * g + k for k in range(3)] for g in range(6)]
+    rows = [(100 * g + c, g, 15, [p << 30 for p in prefix[g]]) for g in range(6) for c in range(1 + (g == 2))] + [(900, 6, 15, [prefix[0][1] << 30, 7 << 40])]
+    full = spark.createDataFrame(rows, "node long, grp long, n long, prefix array<long>")
+    groups, repeated, marks = ngramjoin.prefix_groups(full)
+    found = ngramjoin.prefixes_again(groups, 20, marks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in repeated.select("grp", "several").collect()] == [(2, True)]
+    kept = [(r["token"], r["grp"], r["pos"], r["several"]) for r in found.collect()]
+    assert len(kept) == len(set(kept))
+    assert {(prefix[0][1] << 30, 0, 1, False), (prefix[0][1] << 30, 6, 0, False), (prefix[2][0] << 30, 2, 0, True)} <= set(kept)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(tmp_path):
+    from tidemark.llm import common
+
+    loads = []
+    first, second = (common.worker_tables(2)(lambda path, k=k: loads.append((k, path)) or path) for k in "ab")
+    for table in (first, second, first):
+        common.only_for(table)
+        assert table("x") == table("x") == "x"
+    assert loads == [("a", "x"), ("b", "x"), ("a", "x")]
+    common.only_for()
+    assert not first.cache_info().currsize
+    for table in (first, second):
+        common._TABLES.remove(table)
+
+
+def test_texts_go_to_workers_in_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows, then in (("10000", "1500"), ("0", "1500"), ("700", "700")):
+            spark.conf.set(name, rows)
+            decontam.remove_contaminated(docs, spark.createDataFrame([("1", "a b c")], "item_id string, text string"))
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)

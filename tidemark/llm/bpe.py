@@ -21,7 +21,6 @@ import json
 import re
 from array import array
 from bisect import bisect_right
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import Memory
+from tidemark.llm.common import Memory, only_for, worker_tables
 
 #: White space as the vocabulary's splitting pattern sees it (it is not what str.split() uses).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -217,7 +216,7 @@ class Vocabulary:
         return b"".join(map(self.arc_labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@worker_tables(2)
 def vocabulary(path: str) -> Vocabulary:
     """A worker compiles a vocabulary once."""
     return Vocabulary(path)
@@ -234,6 +233,7 @@ def encode(documents: DataFrame, vocab_path: str, text_col: str = "text", carry:
     schema = StructType([*(f for f in fields.schema.fields if f.name != "body"), StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches):
+        only_for(vocabulary)
         v = vocabulary(vocab_path)
         for batch in batches:
             ids = [v.encode(t.as_py() or "") for t in batch.column("body")]
@@ -249,6 +249,7 @@ def digests(documents: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     schema = StructType([fields.schema["id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches):
+        only_for(vocabulary)
         v = vocabulary(vocab_path)
         for batch in batches:
             n, ids_hash, text_hash = [], [], []

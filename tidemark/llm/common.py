@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"file://{own}"
 
 
+#: Rows of texts that go to a worker at once, at most; Spark's own 10,000 take tens of MB in each task, on both sides.
+TEXT_ROWS = 1_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows go to workers in batches of at most TEXT_ROWS in this session; smaller ones stay as they are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns that table: lineage ends there, and no executor holds the only copy."""
     spark = df.sparkSession
@@ -71,14 +85,35 @@ class Memory:
         """Those of the keys that are not remembered; the others are all in the younger generation then."""
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for key in keys.difference(young):
-            found = old.get(key)
-            if found is None:
-                out.append(key)
-            else:
-                young[key] = found
-        return out
+        rest = keys.difference(self.young)
+        again = self.old.keys() & rest
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(rest - again)
+
+
+_TABLES = []
+
+
+def worker_tables(maxsize: int):
+    """An lru_cache for what a worker loads for one operator: only_for() empties those of the others."""
+
+    def held(load):
+        _TABLES.append(lru_cache(maxsize=maxsize)(load))
+        return _TABLES[-1]
+
+    return held
+
+
+def only_for(*own) -> None:
+    """Called where a task begins. A worker serves one operator after the other: here it lets go of all tables but own, so that what it holds does not add up over the stages of a job."""
+    others = [t for t in _TABLES if t not in own and t.cache_info().currsize]
+    for t in others:
+        t.cache_clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
 
 
 def filesystem(uri: str):

@@ -10,7 +10,6 @@ nor a task has to hold all of it.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import WordHasher, batches_of, filesystem, shared_dir, text_buffers
+from tidemark.llm.common import WordHasher, batches_of, filesystem, only_for, shared_dir, small_batches, text_buffers, worker_tables
 
 #: Bytes that separate words, after A-Z became a-z: all of ASCII but digits and letters.
 NOT_WORD = bytes(x for x in range(128) if not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122))
 #: UTF-8 bytes of text whose suffixes are sorted together.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Rows of the benchmark in one block.
 BLOCK_ROWS = 4_000
 #: Matches that are looked at together.
@@ -138,7 +137,7 @@ class Block:
         self.item, self.left, self.window = item[self.starts], left[self.starts].astype(np.int64), size[self.starts].astype(np.int64)
 
 
-@lru_cache(maxsize=8)
+@worker_tables(8)
 def _block(path: str, window: int) -> Block:
     """A block of the benchmark, read from the shared folder; a worker keeps the last ones."""
     store, place = filesystem(path)
@@ -174,12 +173,14 @@ def search(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def _positional(documents: DataFrame, benchmark: DataFrame, carry: tuple[str, ...], text_col: str, item_col: str, item_text: str, window: int, longest: bool) -> DataFrame:
     """search() with carry's columns named c_0, c_1 and so on; longest is empty where it is not wanted."""
+    small_batches(documents.sparkSession)
     files = _lay_down(benchmark, item_col, item_text)
     fields = documents.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("body"))
     held = [f"c_{i}" for i in range(len(carry))]
     schema = StructType([*(f for f in fields.schema.fields if f.name != "body"), *StructType.fromDDL(FOUND).fields])
 
     def scan(batches):
+        only_for(_block)
         hasher = WordHasher(NOT_WORD)
         for batch in batches:
             for shard in batches_of(batch, "body", SHARD_BYTES):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.common import WHITE, batches_of, text_buffers
+from tidemark.llm.common import WHITE, batches_of, only_for, small_batches, text_buffers
 
 #: Trigrams are hashed to so many cells.
 CELLS = 1 << 18
@@ -64,6 +64,7 @@ def learn(documents: DataFrame, lang_col: str = "lang", text_col: str = "text",
     sample = labelled.join(F.broadcast(seen), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("count")) * (1 << 20)).select("lang", "body")
 
     def count(batches):
+        only_for()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
@@ -151,6 +152,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col:
 
 def positional(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, carry: tuple[str, ...]) -> tuple[list[str], DataFrame]:
     """predict() with carry's columns named c_0, c_1 and so on."""
+    small_batches(documents.sparkSession)
     names, table = model
     shared = documents.sparkSession.sparkContext.broadcast(table)
     fields = documents.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("body"))
@@ -160,6 +162,7 @@ def positional(documents: DataFrame, model: tuple[list[str], np.ndarray], text_c
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def guess(batches):
+        only_for()
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK * 4 // max(4, len(names))):
                 shares = shares_of(part.column("body"), len(names), shared.value)

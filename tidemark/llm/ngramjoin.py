@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.common import WordHasher, batches_of, drop, keep, mix, shingles, text_buffers
+from tidemark.llm.common import WordHasher, batches_of, drop, keep, mix, only_for, shingles, small_batches, text_buffers
 
 #: Cells of the sketch, as powers of two: at least and at most; and those of one slice, which is summed up by itself.
 CELLS_LOG, MOST_CELLS_LOG, SLICE_LOG = 16, 26, 16
@@ -90,10 +90,13 @@ def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     width, bounds = 1 << SLICE_LOG, np.array(LEVELS) * max(1, (text // CELL_BYTES) >> log)
 
     def count(batches):
+        only_for()
         hasher, held, waiting = WordHasher(), [], 0
 
         def out():
-            cells = np.sort(np.concatenate(held))
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
             at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             counts, cells = np.diff(np.append(at, len(cells))), cells[at].astype(np.int64)
             own, first = np.unique(cells >> SLICE_LOG, return_index=True)
@@ -189,12 +192,14 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     columns are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     body = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     table, log, hot_level = frequency_levels(body, size)
     levels = spark.sparkContext.broadcast(table)
     fields = body.withColumn("tie", F.xxhash64("body"))
 
     def sign(batches):
+        only_for()
         hasher = WordHasher()
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
@@ -217,9 +222,9 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     one = F.min(F.struct("id", "tie"))
     nodes = full.groupBy("node").agg(F.min("id").alias("least"), F.first("grp").alias("grp"), F.first("n").alias("n"), one.alias("row"), F.first("bits").alias("bits"))
     nodes = keep(nodes.select("node", "least", "grp", "n", F.xxhash64("row.id", "row.tie").alias("key"), "bits"), "nodes")
-    heads_of, repeated = prefix_groups(full)
+    heads_of, repeated, marks = prefix_groups(full)
     prefixes = (full.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
-    shared = keep(shared_tokens(prefixes_again(heads_of, prefixes), percent, int(nodes.count() ** 0.5) + 1, hot_level), "shared")
+    shared = keep(shared_tokens(prefixes_again(heads_of, prefixes, marks), percent, int(nodes.count() ** 0.5) + 1, hot_level), "shared")
     drop(repeated)
     slim = keep(signed.select("id", "tie", "n", "node"), "rows")
     drop(signed)
@@ -267,18 +272,19 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return slim.join(named, "node", "left").select(F.col("id").alias(id_col), "tie", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
-def prefix_groups(full: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """grp, n, prefix and several (has more than one node) of every group; and the kept table of those that may have several rows.
+def prefix_groups(full: DataFrame) -> tuple[DataFrame, DataFrame, Marks]:
+    """grp, n, prefix, several (has more than one node) and row of every group; the kept table of those that may have several rows; and their marks.
 
-    Rows that are alone in their group are read from where they are; the others, few, are put together.
+    Rows that are alone in their group are read from where they are; the others, few, are put together. Where row is true,
+    it is a row as it was: its group is not it if that is marked, which prefixes_again() leaves out. A task thus needs one
+    worker; a function of its own for the marks would need another one beside it.
     """
     names = keep(full.groupBy("grp").count().where("count > 1").select("grp"), "repeated")
     marks = Marks(names, names.count())
-    again = marks.has(F.col("grp"))
-    repeated = keep(full.where(again).groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several")), "groups")
+    repeated = keep(full.where(marks.has(F.col("grp"))).groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several")), "groups")
     drop(names)
-    alone = full.where(~again).select("grp", "n", "prefix", F.lit(False).alias("several"))
-    return alone.unionByName(repeated), repeated
+    alone = full.select("grp", "n", "prefix", F.lit(False).alias("several"), F.lit(True).alias("row"))
+    return alone.unionByName(repeated.withColumn("row", F.lit(False))), repeated, marks
 
 
 def _prints(tokens: np.ndarray) -> np.ndarray:
@@ -291,21 +297,31 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
 
 
-def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
+def prefixes_again(groups: DataFrame, prefixes: int, marks: Marks | None = None) -> DataFrame:
     """token, grp, n, pos and several of the prefix shingles that may be in several groups, and of the first one of groups of several nodes.
 
-    prefixes: about how many prefix shingles there are, which sets the sizes of the bitmap and of its slices.
+    prefixes: about how many prefix shingles there are, which sets the sizes of the bitmap and of its slices. With marks,
+    groups have a column row, and of rows where it is true those whose group is marked are left out.
     """
+    groups = groups.select("grp", "n", "prefix", "several", "row") if marks else groups.select("grp", "n", "prefix", "several", F.lit(False).alias("row"))
     spark = groups.sparkSession
     log = min(MOST_AGAIN_LOG, max(AGAIN_LOG, prefixes.bit_length() + 1))
     inner = PRINT_LOG - min(MOST_SLICES_LOG, max(SLICES_LOG, prefixes.bit_length() - 20))
     width = 1 << (log - PRINT_LOG + inner)
 
+    def wanted(batch):
+        if marks is None:
+            return batch
+        gone = batch.column("row").to_numpy(zero_copy_only=False) & marks.holds(batch.column("grp").to_numpy())
+        return batch.filter(pa.array(~gone))
+
     def send(batches):
         held, waiting = [], 0
 
         def out():
-            prints = np.sort(np.concatenate(held))
+            prints = np.concatenate(held)
+            held.clear()
+            prints.sort()
             own, first = np.unique(prints >> np.uint64(inner), return_index=True)
             packer, packed = zstandard.ZstdCompressor(level=1), []
             for a, z in zip(first.tolist(), np.append(first[1:], len(prints)).tolist(), strict=True):
@@ -314,7 +330,7 @@ def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "prints"])
 
         for batch in batches:
-            held.append(_prints(_lists(batch.column("prefix"))[0]))
+            held.append(_prints(_lists(wanted(batch).column("prefix"))[0]))
             waiting += len(held[-1])
             if waiting > COUNTED:
                 yield out()
@@ -344,7 +360,7 @@ def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
         if held:
             yield out()
 
-    found = groups.select("prefix").mapInArrow(send, "slice int, prints binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(find, "slice int, bits binary")
+    found = groups.select("grp", "prefix", "row").mapInArrow(send, "slice int, prints binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(find, "slice int, bits binary")
     bits = np.zeros((1 << log) // 8, np.uint8)
     for r in found.toLocalIterator():
         bits[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
@@ -353,7 +369,7 @@ def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
     def pick(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+                batch = wanted(whole.slice(start, 2000))
                 tokens, first = _lists(batch.column("prefix"))
                 row = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 pos = np.arange(len(tokens)) - first[:-1][row]
@@ -364,7 +380,7 @@ def prefixes_again(groups: DataFrame, prefixes: int) -> DataFrame:
                     k = kept[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(tokens[k]), batch.column("grp").take(pa.array(row[k])), batch.column("n").take(pa.array(row[k])), pa.array(pos[k].astype(np.int32)), pa.array(several[row[k]])], names=["token", "grp", "n", "pos", "several"])
 
-    return groups.select("grp", "n", "prefix", "several").mapInArrow(pick, "token long, grp long, n long, pos int, several boolean")
+    return groups.mapInArrow(pick, "token long, grp long, n long, pos int, several boolean")
 
 
 def shared_tokens(postings: DataFrame, percent: int, parts: int, hot_level: int) -> DataFrame:
@@ -484,14 +500,17 @@ class Marks:
             bits[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
         self.bits = names.sparkSession.sparkContext.broadcast(bits)
 
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        """Whether each number may be marked: false marks happen, missing ones do not. For tasks."""
+        at = numbers & ((1 << self.log) - 1)
+        return (self.bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
     def has(self, column):
-        """Whether the number of a column may be marked: false marks happen, missing ones do not."""
-        bits, cells = self.bits, (1 << self.log) - 1
+        """Whether the number of a column may be marked, as a function of the column."""
 
         @F.pandas_udf("boolean")
         def marked(numbers: pd.Series) -> pd.Series:
-            at = numbers.to_numpy() & cells
-            return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            return pd.Series(self.holds(numbers.to_numpy()))
 
         return marked(column)
 

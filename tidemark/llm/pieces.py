@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from functools import lru_cache
 from itertools import groupby
 
 import ahocorasick
@@ -26,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from tidemark.llm.common import only_for, worker_tables
+
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
 #: Units that a worker remembers (twice as many at most), the longest of these, and pairs of tokens whose verdict it remembers.
@@ -231,7 +232,7 @@ def _text(spelled: bytes) -> str:
         return spelled.decode("utf-8", "surrogateescape").translate(_LOST)
 
 
-@lru_cache(maxsize=2)
+@worker_tables(2)
 def pieces(path: str) -> Pieces:
     """A worker reads a model once."""
     return Pieces(path)
@@ -249,6 +250,7 @@ def encode(documents: DataFrame, model_path: str, text_col: str = "text", carry:
     schema = StructType([*(f for f in fields.schema.fields if f.name != "body"), StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches):
+        only_for(pieces)
         p = pieces(model_path)
         for batch in batches:
             ids = [p.encode(t.as_py() or "") for t in batch.column("body")]
@@ -263,6 +265,7 @@ def digests(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_
     schema = StructType([fields.schema["id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches):
+        only_for(pieces)
         p = pieces(model_path)
         for batch in batches:
             n, ids_hash, text_hash = [], [], []

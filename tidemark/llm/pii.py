@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import batches_of
+from tidemark.llm.common import batches_of, only_for
 
 KINDS = ("email", "ip", "card", "phone")
 CHUNK = 4 << 20
@@ -376,6 +376,7 @@ def _positional(documents: DataFrame, text_col: str, carry: tuple[str, ...]) ->
     schema = StructType([*(f for f in fields.schema.fields if f.name != "body"), StructField("base", ArrayType(_SPAN)), StructField("added", ArrayType(_SPAN))])
 
     def scan(batches):
+        only_for()
         for batch in batches:
             for part in batches_of(batch, "body", CHUNK):
                 texts = part.column("body")

@@ -16,7 +16,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, filesystem, shared_dir
+from tidemark.llm.common import Memory, filesystem, only_for, shared_dir, worker_tables
 
 # Fixed values of the published formats.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -176,7 +175,7 @@ class ChunkTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_tables(2)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     """A worker loads a tokenizer once."""
     return ChunkTokenizer(path)
@@ -208,6 +207,7 @@ def write_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     ordered = fields.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def write(batches):
+        only_for(chunk_tokenizer)
         store, place = filesystem(folder)
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.zst"
