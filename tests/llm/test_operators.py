@@ -863,3 +863,10 @@ def test_texts_go_to_workers_in_small_batches(spark, docs):
             assert spark.conf.get(name) == then
     finally:
         spark.conf.set(name, before)
+
+
+def test_chunks_of_long_ago_are_still_known():
+    own = seekstore.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(350_000):
+        own.known.put(str(k), b"")
+    assert not own.known.missing({"0", "1000"})

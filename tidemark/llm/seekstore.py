@@ -95,7 +95,7 @@ class Reader:
 # ---- token ids ----
 
 #: Chunks and words that a worker remembers, the longest of these, and words that the library gets as one text.
-CHUNKS, WORDS, LONGEST, JOINED = 300_000, 400_000, 48, 100
+CHUNKS, WORDS, LONGEST, JOINED = 800_000, 600_000, 48, 100
 #: Letters, then signs: no normal form, special token or short form of a word reaches over their border.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: The normal form and the splitting of tokenizers whose words are those of _WORD in lower case.
