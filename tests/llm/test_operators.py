@@ -292,6 +292,25 @@ def test_marks_of_many_slices(spark, monkeypatch):
     assert all(x["in"] for x in held if x["id"] % 7 == 0) and sum(x["in"] for x in held) < 1200
 
 
+def test_bitmaps_come_in_one_job_whatever_the_partitions(spark):
+    groups = spark.createDataFrame([(g, 15, [g << 30, 7 << 40], False) for g in range(9)], "grp long, n long, prefix array<long>, several boolean")
+    body = spark.createDataFrame([("a b c d e f",), ("a b c d e g",)], "body string")
+    some = spark.range(50).select(F.xxhash64("id").alias("key"))
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for name, make in (("marks", lambda: ngramjoin.Marks(some, 50)), ("levels", lambda: ngramjoin.frequency_levels(body, 4)), ("again", lambda: ngramjoin.prefixes_again(groups, 20))):
+            spark.sparkContext.setJobGroup(name, name)
+            make()
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) <= 8, name
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_ngram_join_inside_groups_of_equal_prefixes(spark, monkeypatch):
     import pyarrow as pa
 

@@ -22,7 +22,8 @@ groups of a frequent shingle.
 
 Most shingles of prefixes are in one group alone and can link nothing. So that they are not shuffled with all that
 belongs to them, tasks first send sorted gaps of 40 bits of each, about three bytes, and a bitmap says which of these
-occur again; what it marks falsely is found alone later. Sets are compared by 60-bit hashes of shingles and named by 63 bits; two different sets
+occur again; what it marks falsely is found alone later. Sketch and bitmaps have a fixed most size and come to the driver
+in one job each, however many partitions make them. Sets are compared by 60-bit hashes of shingles and named by 63 bits; two different sets
 share a name with a chance of 1e-9 among 10^5 documents and 1e-3 among 10^8.
 """
 
@@ -135,7 +136,7 @@ def frequency_levels(body: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
 
     counted = body.mapInArrow(count, "slice int, cells binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, levels binary")
     out = np.zeros(1 << (log - 1), np.uint8)
-    for r in counted.toLocalIterator():
+    for r in counted.collect():
         out[r["slice"] << (SLICE_LOG - 1) : (r["slice"] + 1) << (SLICE_LOG - 1)] = np.frombuffer(r["levels"], np.uint8)
     return out, log, int(np.searchsorted(bounds, HOT)) + 1
 
@@ -362,7 +363,7 @@ def prefixes_again(groups: DataFrame, prefixes: int, marks: Marks | None = None)
 
     found = groups.select("grp", "prefix", "row").mapInArrow(send, "slice int, prints binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(find, "slice int, bits binary")
     bits = np.zeros((1 << log) // 8, np.uint8)
-    for r in found.toLocalIterator():
+    for r in found.collect():
         bits[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
     marked = spark.sparkContext.broadcast(bits)
 
@@ -496,7 +497,7 @@ class Marks:
 
         marked = names.mapInArrow(mark, "slice int, bits binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
         bits = np.zeros((1 << self.log) // 8, np.uint8)
-        for row in marked.toLocalIterator():
+        for row in marked.collect():
             bits[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
         self.bits = names.sparkSession.sparkContext.broadcast(bits)
 
