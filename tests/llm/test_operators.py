@@ -889,3 +889,18 @@ def test_chunks_of_long_ago_are_still_known():
     for k in range(350_000):
         own.known.put(str(k), b"")
     assert not own.known.missing({"0", "1000"})
+
+
+def test_units_of_one_piece_are_remembered_once_and_longer(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, asked = bpe.Vocabulary(path), []
+    merge = own.automaton.encode
+    own.automaton.encode = lambda word: (asked.append(word), merge(word))[1]
+    text = " ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(140_000))
+    assert own.encode(text) == own.encode(text)
+    assert len(asked) == 140_000
+    monkeypatch.setattr(bpe, "KNOWN", 4)
+    library, small = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    for t in (text[:3000] + text[:3000], "it's  'so'  !!'s\n\n x'll 12ab,  " * 3 + "y" * 100, "", "   "):
+        assert np.frombuffer(small.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(small.known.young) + len(small.known.old) <= 8

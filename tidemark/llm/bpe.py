@@ -39,7 +39,7 @@ _UNITS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The published splitting pattern of byte-level vocabularies.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units and pieces of units that a worker remembers, and the longest of these.
-UNITS, PIECES, LONGEST = 100_000, 150_000, 48
+KNOWN, LONGEST = 320_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -142,12 +142,14 @@ class Automaton:
         for end, arc in self.ends.iter(word.decode("latin-1")):
             if at[end] < 0:
                 here = at[end - arc[0]]
-                if here >= 0:
+                if here > 0:
                     row = rows[here]
                     if row is None:
                         row = self.row(here)
                     if not bisect_right(row, arc[1]) & 1:
                         at[end], by[end] = arc[2], arc
+                elif not here:  # the start lacks no arc
+                    at[end], by[end] = arc[2], arc
         out = []
         while last >= 0:
             size, _, _, label = by[last]
@@ -172,33 +174,34 @@ class Vocabulary:
         self.special = special
         self.special_re = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.arc_labels = dict(labels) | {i: s.encode() for s, i in special.items()}
-        self.units, self.pieces = Memory(UNITS), Memory(PIECES)
+        self.known = Memory(KNOWN)  # of units and pieces alike: a piece that stands alone is a unit of that one piece
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self.known.get(piece)
         if ids is None:
             ids = array("I", self.automaton.encode(piece.encode("utf-8"))).tobytes()
             if len(piece) <= LONGEST:
-                self.pieces.put(piece, ids)
+                self.known.put(piece, ids)
         return ids
 
     def _unit(self, unit: str) -> bytes:
-        """The ids of a unit as little-endian 32-bit integers; short ones are remembered, up to a bound."""
-        ids = self.units.get(unit)
-        if ids is None:
-            pieces = _PIECES.findall(unit)
-            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
-            if len(unit) <= LONGEST:
-                self.units.put(unit, ids)
+        """The ids of a unit that is not remembered, as little-endian 32-bit integers; short ones are remembered, up to a bound."""
+        pieces = _PIECES.findall(unit)
+        if len(pieces) == 1:  # remembered once
+            return self._piece(unit)
+        ids = b"".join(map(self._piece, pieces))
+        if len(unit) <= LONGEST:
+            self.known.put(unit, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
         units = _UNITS.findall(text)
-        parts = list(map(self.units.young.get, units))
-        if None in parts:
-            for k, p in enumerate(parts):
-                if p is None:
-                    parts[k] = self._unit(units[k])
+        new = {u: self._unit(u) for u in self.known.missing(set(units))}
+        young = self.known.young
+        parts = list(map(young.get, units))
+        if None in parts:  # too long to be remembered, or not of the younger generation any more
+            old = self.known.old
+            parts = [p or new.get(u) or old.get(u) or self._unit(u) for u, p in zip(units, parts, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
