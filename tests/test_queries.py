@@ -40,3 +40,14 @@ def test_query_equals_sql(spark, oracle, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
+
+
+def test_inception_of_half_days_is_that_of_the_sql(spark, tmp_path):
+    """A quarter of an even balance may end in a half, which the SQL's cast rounds to the even day: by itself that shifts an age."""
+    from tidemark.plans import screen_plans
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS s_suppkey, 'x' AS s_name, (range % 25)::INTEGER AS s_nationkey, (range * 2 - 900)::DOUBLE AS s_acctbal FROM range(5000)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    ours = {(r["ticker"], str(r["inception"])) for r in screen_plans._fund_facts(spark, str(tmp_path)).collect()}
+    assert ours == {(t, str(d)) for t, d in con.sql(f"WITH {screen_plans.FUND_SQL} SELECT ticker, inception FROM fund").fetchall()}

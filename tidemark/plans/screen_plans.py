@@ -104,7 +104,7 @@ def _fund_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = F.col("s_acctbal")
     return adapters.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), "s_suppkey").alias("ticker"), (F.abs(bal) / 1e6).alias("expense_ratio"), (F.abs(bal) * 5e4).alias("aum"), (F.col("s_nationkey") * 2e4).alias("avg_volume"), F.concat(F.lit("N"), "s_nationkey").alias("category"),
-        F.lit(None).cast("string").alias("legal_type"), F.date_sub(F.lit(TODAY).cast("date"), F.round(F.abs(bal) / 4).cast("int")).alias("inception"), F.when(bal > 0, F.col("s_nationkey") / 30.0).alias("top_share"),
+        F.lit(None).cast("string").alias("legal_type"), F.date_sub(F.lit(TODAY).cast("date"), F.bround(F.abs(bal) / 4).cast("int")).alias("inception"), F.when(bal > 0, F.col("s_nationkey") / 30.0).alias("top_share"),
     )
 
 
