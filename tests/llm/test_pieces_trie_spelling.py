@@ -211,6 +211,21 @@ def test_variants(spark, monkeypatch, crowded):
     assert sum(x[4] for x in expected) > 100 and any(x[1] and x[2] != x[1] for x in expected)
 
 
+def test_tables_of_words_are_not_broadcast(spark, monkeypatch):
+    """They go through the driver otherwise: Spark sizes them by their packed files, and not by what the bands make of them."""
+    plans = []
+    keep = spelling.keep
+    monkeypatch.setattr(spelling, "keep", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    text = " ".join(f"{a}{b}{c}sting" for a in "bdfg" for b in "aeio" for c in ("", "x"))
+    df = spark.createDataFrame([(k, f"{text} casting" if k else f"{text} " * 9) for k in range(4)], "doc_id long, text string")
+    out = spelling.variants(df)
+    plans.append(("whole", out._jdf.queryExecution().executedPlan().toString()))
+    assert {name for name, _ in plans} == {"words", "near", "forms", "roots", "whole"}
+    crowded = lambda line: "shorter#" in line and "band#" not in line  # noqa: E731  few rows whatever the words are
+    assert not [line for _, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and not crowded(line)]
+    assert [name for name, plan in plans if "SortMergeJoin" in plan].count("roots") and out.count()
+
+
 def test_counts_handed_on_in_parts_and_long_texts(spark, monkeypatch):
     rows = misspelt(9, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string")

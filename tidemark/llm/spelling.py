@@ -35,6 +35,9 @@ LEAST_LETTERS, LEAST_COUNT, FORM_TIMES = 5, 3, 2
 COUNTED, LISTED = 200_000, 1 << 20
 #: Words that share one half, from which number on they meet by three quarters of their letters instead.
 CROWDED = 2000
+#: Joins of tables of words. Spark sizes them by their packed files and does not count what an explode adds, so it would take
+#: some for small enough to be broadcast through the driver. Only the crowded halves are left to it: a row for 500 words at most.
+SHUFFLED = "merge"
 
 
 def _counts(doc_id: object, text: str) -> Counter:
@@ -135,7 +138,7 @@ def near_words(counts: DataFrame) -> DataFrame:
     fit = F.when(F.col("size_b") == F.col("shorter"), (F.col("word_a") < F.col("word_b")) & flipped.isin(0, 2)).otherwise(flipped == 1)
     for k in range(BANDS - 1):  # an earlier band that is equal makes the pair
         fit &= (F.col("band") <= k) | (differ.bitwiseAND(F.lit(_band(k))) != 0)
-    met = side("a").where("size_a = shorter").join(side("b"), list(KEY)).where(fit)
+    met = side("a").where("size_a = shorter").join(side("b").hint(SHUFFLED), list(KEY)).where(fit)
     a, b = (_parts(F.col(f"word_{x}"), F.col(f"size_{x}"), F.col("shorter")) for x in "ab")
     later = F.col("part").isin(1, 4, 5) & (a[0] == b[0]) | (F.col("part") == 3) & (a[2] == b[2]) | (F.col("part") == 5) & (a[4] == b[4])
     near = met.where(F.levenshtein("word_a", "word_b", 1) == 1).where(~later)
@@ -148,7 +151,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while up.where("more").limit(1).count():
         over = up.select(F.col("word").alias("root"), F.col("root").alias("next"), F.col("more").alias("next_more"))
         last = up
-        up = keep(up.join(over, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.coalesce("next_more", F.lit(False)).alias("more")), "roots")
+        up = keep(up.join(over.hint(SHUFFLED), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.coalesce("next_more", F.lit(False)).alias("more")), "roots")
         drop(last)
     return up.select("word", "root")
 
@@ -165,8 +168,8 @@ def variants(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     enough = -F.col("best.less") >= FORM_TIMES * F.col("n")
-    found = counts.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"))
+    found = counts.join(best.hint(SHUFFLED), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"))
     found = keep(found, "forms")
     drop(counts, pairs)
     roots = _roots(found.where("form is not null"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint(SHUFFLED), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
