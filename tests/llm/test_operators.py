@@ -220,6 +220,30 @@ def test_lm_score_equals_plain_smoothing_and_does_not_depend_on_passes(spark):
     assert sum(over) < 0.05 * sum(len(t.split()) + 1 for _, t in texts)
 
 
+def test_lm_documents_are_read_as_often_at_any_number_of_blocks(spark, docs, monkeypatch):
+    """A pass over the documents for some blocks each grows with the product of both."""
+    kept = []
+    keep = lmscore.keep
+    monkeypatch.setattr(lmscore, "keep", lambda df, name: (kept.append(name), keep(df, name))[1])
+    found = {}
+    for most in (lmscore.BLOCK_NGRAMS, 300):
+        monkeypatch.setattr(lmscore, "BLOCK_NGRAMS", most)
+        kept.clear()
+        out = lmscore.score(docs, docs)
+        scans = out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") + len(kept)
+        found[most] = scans, lmscore.count_ngrams(docs)[1], sorted((sort_key(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out.collect())
+    (few, blocks, rows), (many, more_blocks, same) = found.values()
+    assert (blocks, few, rows) == (8, many, same) and more_blocks > 2 * 32
+
+
+def test_packed_hashes_are_as_they_were():
+    r = np.random.default_rng(5)
+    for size, bits in ((0, 64), (1, 64), (2, 64), (900, 64), (900, 40), (900, 9)):
+        values = np.unique(r.integers(0, (1 << bits) - 1, size, dtype=np.uint64, endpoint=True))
+        assert (lmscore.unpack(lmscore.pack(values)) == values).all() and len(lmscore.unpack(lmscore.pack(values))) == len(values)
+    assert len(lmscore.pack(np.arange(100, dtype=np.uint64))) == 1 + 8 + 99
+
+
 def brute_links(rows, size, percent):
     sets = []
     for _, t, *_ in rows:

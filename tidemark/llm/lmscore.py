@@ -5,24 +5,24 @@ is in the filter once for each level from 1 to q, each time with several bits. A
 level after level until a bit is missing, and smooths the pair's relative frequency with the word's own.
 
 Counting sends sorted hash arrays, summed up in each task, to blocks of the hash range; each block becomes its exact
-word counts, kept as a table, and its part of the filter. Word counts come from a table of the most frequent words,
-bounded and broadcast; all others count as their mean. So what a pair adds to a score depends on its own block alone:
-the documents are passed over once for each PASS_BLOCKS blocks, whose filters are broadcast, and the passes' sums are
-added up. A worker holds the filter of one pass, whatever the input; the passes grow with it. The exact base score takes
-frequent words from the table, words that the filter does not have as unknown, and the rest from the blocks' counts.
+word counts, kept as a table, and its part of the filter. Documents are dealt to groups of GROUP_TEXT bytes by a hash.
+A group asks each block once for its distinct pairs and words there, in one shuffle; the block looks pairs up in its part
+of the filter and words in its counts, and the answers, a byte for a pair, go back to the group, which adds them up for
+its documents. So documents are read as often at any size, a worker holds one block or one group, and what is shuffled
+is in proportion to the input. Words of a bounded broadcast table of the most frequent ones are not asked for; that
+saves a part of the shuffle and changes no result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.common import WordHasher, batches_of, keep, mix, text_buffers
 
@@ -32,8 +32,10 @@ BASE, PROBES, BITS = 1.6, 5, 7.2
 PRIOR, GROWTH = 2.0, 0.75
 #: N-grams that one block of the hash range should hold, at most and about, and words of the broadcast table at most.
 BLOCK_NGRAMS, TABLE_WORDS = 1_500_000, 1_000_000
-#: Blocks whose filters are in memory in one pass, and in one broadcast variable; a block takes about 2.5 MB, 4 at most.
-PASS_BLOCKS, SLICE_BLOCKS = 32, 8
+#: Blocks that one look-up task takes, about; a block's filter takes about 2.5 MB, 4 at most.
+PASS_BLOCKS = 1
+#: Bytes of text in a group of documents, about; groups at least; n-grams that a block looks up at once.
+GROUP_TEXT, GROUPS, LOOKED_UP = 12 << 20, 24, 1 << 19
 CHUNK = 2 << 20
 #: Stands for the end of a document, which counts as a token.
 END = np.uint64(0x5DEECE66D1234567)
@@ -71,6 +73,31 @@ def _sum_up(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return values[at], np.diff(np.append(at, len(values))) if weights is None else np.add.reduceat(weights, at)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted hashes as the first of them and the gaps between them, in as many bytes as the widest gap takes."""
+    if not len(values):
+        return b""
+    gaps = np.diff(values)
+    width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The hashes of pack()."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    narrow = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    wide = np.zeros((len(narrow) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8, offset=1)
+    wide[1:, : data[0]] = narrow
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _hasher() -> WordHasher:
+    return WordHasher()
+
+
 def _by_row(row: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
     """The sum of the weights, or the number, of each of n rows."""
     return np.bincount(row, weights, minlength=n).astype(np.float64)
@@ -145,7 +172,7 @@ def _in_blocks(grams: np.ndarray, counts: np.ndarray, blocks: int):
     """(block, hashes, counts) of sorted n-grams; blocks are ranges."""
     edges = np.searchsorted(block_of(grams, blocks), np.arange(blocks + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, grams[edges[b] : edges[b + 1]].tobytes(), counts[edges[b] : edges[b + 1]].astype("<u4").tobytes()
+        yield b, pack(grams[edges[b] : edges[b + 1]]), counts[edges[b] : edges[b + 1]].astype("<u4").tobytes()
 
 
 def count_ngrams(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
@@ -189,7 +216,7 @@ def count_ngrams(training: DataFrame, text_col: str = "text") -> tuple[DataFrame
         sums = {}
         for order in (1, 2):
             own = pdf[pdf["n"] == order]
-            sums[order] = _sum_up(np.frombuffer(b"".join(own["grams"]), "<u8"), np.frombuffer(b"".join(own["counts"]), "<u4").astype(np.int64))
+            sums[order] = _sum_up(np.concatenate([np.zeros(0, np.uint64), *map(unpack, own["grams"])]), np.frombuffer(b"".join(own["counts"]), "<u4").astype(np.int64))
         words, counts = sums[1]
         part = build_block(np.concatenate((words, sums[2][0])), np.concatenate((counts, sums[2][1])))
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "words": [words.tobytes()], "counts": [counts.astype("<i8").tobytes()], "filter": [part.tobytes()], "total": [int(counts.sum())], "distinct": [len(words)], "pairs": [len(sums[2][0])]})
@@ -228,137 +255,135 @@ def frequent_words(table: DataFrame, most: int = TABLE_WORDS) -> tuple[np.ndarra
     return words[order], counts[order]
 
 
-def broadcast_filter(table: DataFrame, first: int, last: int) -> list[Broadcast]:
-    """The filters of the blocks from first to before last as broadcast variables, so that the driver holds one of them at a time."""
-    sc, out = table.sparkSession.sparkContext, []
-    for at in range(first, last, SLICE_BLOCKS):
-        rows = table.where(F.col("block").between(at, min(at + SLICE_BLOCKS, last) - 1)).select("block", "filter").collect()
-        out.append(sc.broadcast(([x["block"] for x in rows], [len(x["filter"]) for x in rows], b"".join(x["filter"] for x in rows))))
-    return out
+def _counts_in(words: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each word in a table sorted by hash, 0 where it is missing."""
+    if not len(table):
+        return np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return np.where(table[at] == words, counts[at], 0)
+
+
+def _ask(fields: DataFrame, frequent, blocks: int) -> DataFrame:
+    """grp, block, words, grams: the distinct words beyond the frequent ones, and pairs, of a group of documents (grp, body; a group's rows stand together)."""
+
+    def ask(batches):
+        hasher = _hasher()
+        grp, words, grams = None, [], []
+
+        def out():
+            if grp is None:
+                return
+            distinct = np.unique(np.concatenate(words))
+            found = {"words": distinct[_counts_in(distinct, *frequent.value) == 0], "grams": np.unique(np.concatenate(grams))}
+            edges = {k: np.searchsorted(block_of(v, blocks), np.arange(blocks + 1)) for k, v in found.items()}
+            some = np.flatnonzero(np.diff(edges["words"]) + np.diff(edges["grams"]))
+            for at in range(0, len(some), 64):
+                own = some[at : at + 64]
+                packed = {k: pa.array([pack(v[edges[k][b] : edges[k][b + 1]]) for b in own], pa.binary()) for k, v in found.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), grp, np.int64)), pa.array(own.astype(np.int32)), packed["words"], packed["grams"]], names=["grp", "block", "words", "grams"])
+
+        for batch in batches:
+            for part in batches_of(batch, "body", CHUNK):
+                number = part.column("grp").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    if number[a] != grp:
+                        yield from out()
+                        grp, words, grams = int(number[a]), [], []
+                    tokens_, first = tokens(part.slice(a, z - a).column("body"), hasher)
+                    words.append(np.unique(tokens_))
+                    grams.append(np.unique(pairs(tokens_, first)))
+        yield from out()
+
+    return fields.mapInArrow(ask, "grp long, block int, words binary, grams binary")
+
+
+def _look_up(asked: DataFrame, table: DataFrame, blocks: int, pass_blocks: int) -> DataFrame:
+    """grp, block, counts, levels of what was asked: the words' exact counts and the pairs' levels in the filter, in the order of their hashes."""
+    none = F.lit(None).cast("binary")
+    stream = asked.withColumns({"counts": none, "filter": none}).unionByName(table.select(F.lit(None).cast("long").alias("grp"), "block", "words", none.alias("grams"), "counts", "filter"))
+    # a block's own row comes first, then what is asked
+    stream = stream.repartition(-(-blocks // max(1, pass_blocks)), "block").sortWithinPartitions("block", F.col("filter").isNull())
+
+    def look_up(batches):
+        current, exact, exact_counts, lookup = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def out():
+            words, grams = (np.concatenate([x[k] for x in waiting]) for k in (1, 2))
+            counts = _counts_in(words, exact, exact_counts).astype("<i8")
+            levels = (np.zeros(len(grams), np.int64) if lookup is None else lookup.levels(grams, np.full(len(grams), current))).astype(np.uint8)
+            w, g = (np.cumsum([0, *(len(x[k]) for x in waiting)]).tolist() for k in (1, 2))
+            made = [(counts[w[k] : w[k + 1]].tobytes(), levels[g[k] : g[k + 1]].tobytes()) for k in range(len(waiting))]
+            columns = [pa.array([x[0] for x in waiting], pa.int64()), pa.array([current] * len(waiting), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*made, strict=True))]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["grp", "block", "counts", "levels"])
+
+        size = 0
+        for batch in batches:
+            for grp, block, w, g, c, f in zip(*(batch.column(x) for x in ("grp", "block", "words", "grams", "counts", "filter")), strict=True):
+                if block.as_py() != current or size > LOOKED_UP:
+                    if waiting:
+                        yield out()
+                    size = 0
+                if block.as_py() != current:  # without a row of its own no training n-gram is in the block
+                    current, exact, exact_counts, lookup = block.as_py(), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+                if f.is_valid:
+                    exact, exact_counts, data = np.frombuffer(w.as_py(), "<u8"), np.frombuffer(c.as_py(), "<i8"), f.as_py()
+                    lookup = Filter([([current], [len(data)], data)], current, current + 1)
+                    continue
+                waiting.append((grp.as_py(), unpack(w.as_py()), unpack(g.as_py())))
+                size += len(waiting[-1][1]) + len(waiting[-1][2])
+        if waiting:
+            yield out()
+
+    return stream.mapInArrow(look_up, "grp long, block int, counts binary, levels binary")
 
 
 def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every document row; log10 of probabilities.
 
-    base_score is exact add-half word scoring; score takes pairs of words, from the filter, smoothed with the words.
-    Whole texts are scored; a null or empty text is its end alone. Equal rows get equal scores. Without training texts
-    all words are unknown. Other columns are not read. pass_blocks bounds the memory and changes no result.
+    base_score is exact add-half word scoring; score takes pairs of words, from the filter, smoothed with the words'
+    exact counts. Whole texts are scored; a null or empty text is its end alone. Equal rows get equal scores. Without
+    training texts all words are unknown. Other columns are not read. pass_blocks: blocks that a look-up task takes; it
+    changes no result.
     """
     spark = documents.sparkSession
     table, blocks = count_ngrams(training, text_col)
     totals = table.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n_all, n_distinct = totals["n"] or 0, totals["v"] or 0
-    words_table = frequent_words(table)
-    others = max(0, n_distinct - len(words_table[0]))
-    rare_count = (n_all - int(words_table[1].sum())) / others if others else 0.0
-    frequent = spark.sparkContext.broadcast(words_table)
+    frequent = spark.sparkContext.broadcast(frequent_words(table))
     rest = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
-    fields = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).withColumn("tie", F.xxhash64("body")).withColumn("rid", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("body")))
-    asked_type = ArrayType(StructType([StructField("block", IntegerType()), StructField("words", BinaryType())]))
-    schema = StructType([fields.schema["id"], StructField("rid", LongType()), StructField("tie", LongType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()), StructField("asked", asked_type)])
-
-    def one_pass(first_block: int, last_block: int) -> DataFrame:
-        """What the words and pairs of these blocks add for each document."""
-        held = broadcast_filter(table, first_block, last_block)
-        begins = first_block == 0
-
-        def scan(batches):
-            hasher = WordHasher()
-            lookup = Filter([b.value for b in held], first_block, last_block)
-            known_words, known_counts = frequent.value
-            for batch in batches:
-                for part in batches_of(batch, "body", CHUNK):
-                    words, first = tokens(part.column("body"), hasher)
-                    rows, n = first[:-1], len(first) - 1
-                    row = np.repeat(np.arange(n), np.diff(first))
-                    if len(known_words):
-                        at = np.minimum(np.searchsorted(known_words, words), len(known_words) - 1)
-                        counts = np.where(known_words[at] == words, known_counts[at], 0)
-                    else:
-                        counts = np.zeros(len(words), np.int64)
-                    # words of these blocks: known ones, those that the filter lacks, and the rest, for each row by block
-                    block = block_of(words, blocks)
-                    here = (block >= first_block) & (block < last_block)
-                    base = _by_row(row[here & (counts > 0)], np.log10(counts[here & (counts > 0)] + 0.5) - rest, n)
-                    known = np.bincount(row[here & (counts > 0)], minlength=n)
-                    open_ = np.flatnonzero(here & (counts == 0))
-                    there = lookup.levels(words[open_], block[open_]) > 0
-                    base += _by_row(row[open_[~there]], None, n) * (np.log10(0.5) - rest)
-                    rare = open_[there]
-                    asked = [[] for _ in range(n)]
-                    order = rare[np.lexsort((block[rare], row[rare]))]
-                    key = row[order] * np.int64(blocks) + block[order]
-                    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-                    for a, z in zip(cut.tolist(), np.append(cut, len(key))[1:].tolist(), strict=True):
-                        asked[int(key[a]) // blocks].append({"block": int(key[a]) % blocks, "words": words[order[a:z]].tobytes()})
-                    # pairs of these blocks: the pair from the filter, its words from the table
-                    both = pairs(words, first)
-                    block = block_of(both, blocks)
-                    here = np.flatnonzero((block >= first_block) & (block < last_block))
-                    single = np.where(counts > 0, counts, rare_count)
-                    before = np.empty_like(single)
-                    before[1:] = single[:-1]
-                    before[rows] = single[first[1:] - 1]
-                    single, before = single[here], before[here]
-                    pair = np.minimum(count_of(lookup.levels(both[here], block[here])), np.minimum(single, before))
-                    weight = PRIOR * (before + 1) ** GROWTH
-                    smooth = (pair + weight * 10 ** (np.log10(single + 0.5) - rest)) / (before + weight)
-                    total = _by_row(row[here], np.log10(smooth), n)
-                    size = np.diff(first) if begins else np.zeros(n, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("rid"), part.column("tie"), pa.array(size), pa.array(known), pa.array(base), pa.array(total), pa.array(asked, pa.list_(pa.struct([("block", pa.int32()), ("words", pa.binary())])))],
-                        names=["id", "rid", "tie", "n_tokens", "n_known", "base", "score", "asked"],
-                    )
-
-        out = keep(fields.mapInArrow(scan, schema), "scored")
-        for b in held:  # the sums are written; these filters are not needed any more
-            b.destroy()
-        return out.withColumn("times", F.lit(int(begins)).cast("long"))
-
-    scored = reduce(DataFrame.unionByName, [one_pass(at, min(at + pass_blocks, blocks)) for at in range(0, blocks, pass_blocks)])
-    frequent.destroy()
-
-    # rare words, at their block's exact counts: sums for each document. A block's counts come first, then what is asked
-    asked = scored.select("rid", "tie", F.explode("asked").alias("a")).select("rid", "tie", F.col("a.block").alias("block"), F.col("a.words").alias("words"), F.lit(None).cast("binary").alias("counts"))
-    none = F.lit(None).cast("long")
-    stream = asked.unionByName(table.select(none.alias("rid"), none.alias("tie"), "block", "words", "counts"))
-    stream = stream.repartition("block").sortWithinPartitions("block", F.col("counts").isNull())
-
-    def look_up(batches):
-        current, exact, exact_counts = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            rid, tie, known, base = [], [], [], []
-            for r, t, b, w, c in zip(*(batch.column(x).to_pylist() for x in ("rid", "tie", "block", "words", "counts")), strict=True):
-                if c is not None:
-                    current, exact, exact_counts = b, np.frombuffer(w, "<u8"), np.frombuffer(c, "<i8")
-                    continue
-                if b != current:  # no training word is in this block
-                    current, exact, exact_counts = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                words = np.frombuffer(w, "<u8")
-                if len(exact):
-                    at = np.minimum(np.searchsorted(exact, words), len(exact) - 1)
-                    counts = np.where(exact[at] == words, exact_counts[at], 0)
-                else:
-                    counts = np.zeros(len(words), np.int64)
-                rid.append(r)
-                tie.append(t)
-                base.append(float(np.sum(np.log10(counts + 0.5) - rest)))
-                known.append(int(np.count_nonzero(counts)))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(tie, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64())], names=["rid", "tie", "rare_base", "rare_known"])
-
-    rare = stream.mapInArrow(look_up, "rid long, tie long, rare_base double, rare_known long")
-    # equal rows (the same id and text) asked as often as they occur; each gets its share of the sums
-    zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
-    both = scored.select("id", "rid", "tie", "n_tokens", "n_known", "base", "score", "times").unionByName(
-        rare.select(F.lit(None).cast(fields.schema["id"].dataType).alias("id"), "rid", "tie", zero.alias("n_tokens"), F.col("rare_known").alias("n_known"), F.col("rare_base").alias("base"), nothing.alias("score"), zero.alias("times"))
-    )
-    each = both.groupBy("rid", "tie").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("times", "n_tokens", "n_known", "base", "score")])
-    rows = each.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return rows.select(
-        F.col("id").alias(id_col),
-        (F.col("n_tokens") / F.col("times")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("times")).alias("base_score"),
-        (F.col("score") / F.col("times")).alias("score"),
-    )
+    fields = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    size = fields.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    groups = max(GROUPS, -(-size // GROUP_TEXT))
+    # the same exchange serves what is asked and what is added up
+    dealt = fields.withColumn("grp", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("body")), F.lit(groups))).repartition(groups, "grp")
+    answers = _look_up(_ask(dealt.sortWithinPartitions("grp"), frequent, blocks), table, blocks, pass_blocks).repartition(groups, "grp")
+    schema = StructType([fields.schema["id"], *[StructField(c, LongType()) for c in ("n_tokens", "n_known")], *[StructField(c, DoubleType()) for c in ("base", "score")]])
+
+    def add_up(docs: pa.Table, answered: pa.Table) -> pa.Table:
+        words, first = tokens(docs.column("body"), _hasher())
+        n = len(first) - 1
+        row = np.repeat(np.arange(n), np.diff(first))
+        order = np.argsort(answered.column("block").to_numpy())
+        joined = lambda c, kind: np.frombuffer(b"".join(answered.column(c).take(pa.array(order)).to_pylist()), kind)
+        distinct, word = np.unique(words, return_inverse=True)
+        count = _counts_in(distinct, *frequent.value)
+        count[count == 0] = joined("counts", "<i8")
+        grams, gram = np.unique(pairs(words, first), return_inverse=True)
+        level = joined("levels", np.uint8)
+        assert len(level) == len(grams), "a group of documents was dealt out twice in different ways"
+        # what each distinct word stands for, then the tokens
+        log = np.log10(count + 0.5) - rest
+        alone, weight = 10**log, PRIOR * (count + 1.0) ** GROWTH
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[first[:-1]] = word[first[1:] - 1]
+        pair = np.minimum(count_of(np.arange(_LEVELS))[level][gram], np.minimum(count[word], count[before]))
+        smooth = (pair + weight[before] * alone[word]) / (count[before] + weight[before])
+        figures = [pa.array(np.diff(first)), pa.array(np.bincount(row[count[word] > 0], minlength=n)), pa.array(_by_row(row, log[word], n)), pa.array(_by_row(row, np.log10(smooth), n))]
+        return pa.Table.from_arrays([docs.column("id"), *figures], names=["id", "n_tokens", "n_known", "base", "score"])
+
+    found = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(add_up, schema)
+    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
